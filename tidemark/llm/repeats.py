@@ -242,8 +242,10 @@ def repeated_ranges(docs: DataFrame, units: Units, length: int, k: int, first_st
     kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
     mixed_up = distinct.join(kinds, "h")
     spans = scratch(spark, "spans")
-    fetched = fetch(docs, mixed_up, units, length)
-    resolved(fetched.where(F.col("kinds") <= most), units, length, first_stays).unionByName(by_digest(fetched.where(F.col("kinds") > most), units, length, first_stays)).write.parquet(spans)
+    found = resolved(fetch(docs, mixed_up.where(F.col("kinds") <= most), units, length), units, length, first_stays)
+    if kinds.where(F.col("kinds") > most).limit(1).count():
+        found = found.unionByName(by_digest(fetch(docs, mixed_up.where(F.col("kinds") > most), units, length), units, length, first_stays))
+    found.write.parquet(spans)
     spans = spark.read.schema(f"h long, d long, spans {SPAN_SQL}").parquet(spans)
     verdict = distinct.join(spans, ["h", "d"], "left").where("count > 1 OR spans IS NOT NULL").select("h", "d", "count", "at", "spans")
     placed = table.select("h", "d", "key", "dig", "first", "n", "reps").join(verdict, ["h", "d"])

@@ -100,13 +100,13 @@ def references(counted: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     return long.select("ref_lang", F.array(*[f"c{i}" for i in range(n_chars)]).alias("ref_chars"), F.array(*[f"w{i}" for i in range(n_words)]).alias("ref_words"))
 
 
-def judged(docs: DataFrame, least_words: int = LEAST_WORDS, most_chars=MOST_CHARS, most_words=MOST_WORDS) -> DataFrame:
+def judged(docs: DataFrame, least_words: int = LEAST_WORDS, most_chars=MOST_CHARS, most_words=MOST_WORDS, carry=()) -> DataFrame:
     """doc_id, lang, the base counts, js_chars, js_words, base_failed and kept of every document.
 
     The counts are cut off by a checkpoint (some 50 numbers a document), so the
     texts are read once for both the references and the verdicts.
     """
-    counted = cut(base_counts(docs.select("doc_id", "lang", "text")).drop("text"))
+    counted = cut(base_counts(docs.select("doc_id", "lang", "text", *carry)).drop("text"))
     refs = references(counted, least_words)
     # One row a language. The join needs no hint: it is broadcast when the size that AQE measures allows it.
     c = counted.join(refs, F.col("lang").eqNullSafe(F.col("ref_lang")), "left")
@@ -118,6 +118,17 @@ def judged(docs: DataFrame, least_words: int = LEAST_WORDS, most_chars=MOST_CHAR
     return c.withColumn("kept", ~F.col("base_failed") & fine)
 
 
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns.
+
+    Verdicts come back by (doc_id, hash of the text and language), so rows that
+    share a doc_id but not a text are told apart.
+    """
+    name = F.xxhash64(F.coalesce("text", F.lit("")), "lang")
+    j = judged(docs.withColumn("q_name", name), carry=("q_name",)).where("kept").select(F.col("doc_id").alias("of"), F.col("q_name").alias("named")).distinct()
+    return docs.join(j, F.col("doc_id").eqNullSafe(F.col("of")) & (name == F.col("named")), "left_semi")
+
+
 def op7_rules(spark, sf_dir: str) -> DataFrame:
     j = judged(table(spark, sf_dir, "documents"))
     return j.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("js_chars", 6).alias("js_chars"), F.round("js_words", 6).alias("js_words"))
