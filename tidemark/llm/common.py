@@ -45,6 +45,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """docs with each row as a struct `row`, beside the named columns: helpers' names then clash with none of docs."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unboxed(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The rows of a boxed frame, with some columns changed."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col("row").getField(c).alias(c) for c in columns])
+
+
 def words_of(text: Column) -> Column:
     """Array of a text's words; null and empty texts have none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

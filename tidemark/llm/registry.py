@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import importlib
-import importlib.util
 
 #: query name -> (module, function, SQL constant or function; None where SQL can't express it)
 _KNOWN = {
@@ -22,8 +21,6 @@ _KNOWN = {
 
 def _each():
     for name, (module, function, sql) in _KNOWN.items():
-        if importlib.util.find_spec(f"tidemark.llm.{module}") is None:
-            continue
         m = importlib.import_module(f"tidemark.llm.{module}")
         s = getattr(m, sql) if sql else None
         yield name, getattr(m, function), s() if callable(s) else s

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import GAP, cut, table
+from tidemark.llm.common import GAP, boxed, cut, table, unboxed
 
 #: Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = (
@@ -124,9 +124,9 @@ def kept_documents(docs: DataFrame) -> DataFrame:
     Verdicts come back by (doc_id, hash of the text and language), so rows that
     share a doc_id but not a text are told apart.
     """
-    name = F.xxhash64(F.coalesce("text", F.lit("")), "lang")
-    j = judged(docs.withColumn("q_name", name), carry=("q_name",)).where("kept").select(F.col("doc_id").alias("of"), F.col("q_name").alias("named")).distinct()
-    return docs.join(j, F.col("doc_id").eqNullSafe(F.col("of")) & (name == F.col("named")), "left_semi")
+    named = boxed(docs, "doc_id", "lang", "text").withColumn("q_name", F.xxhash64(F.coalesce("text", F.lit("")), "lang"))
+    j = judged(named, carry=("q_name",)).where("kept").select(F.col("doc_id").alias("q_of"), F.col("q_name").alias("q_kept")).distinct()
+    return unboxed(named.join(j, F.col("doc_id").eqNullSafe(F.col("q_of")) & (F.col("q_name") == F.col("q_kept")), "left_semi"), docs.columns)
 
 
 def op7_rules(spark, sf_dir: str) -> DataFrame:

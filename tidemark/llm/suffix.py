@@ -10,8 +10,7 @@ copies go. Strings are judged on the input.
 Cases: a null text counts as empty and stays null in `deduplicated`; texts
 shorter than the length lose nothing; rows that repeat doc_id and text get the
 same result; no rows give no rows; columns beyond doc_id and text are carried
-through by `deduplicated`, whatever their names but those of the helpers (key,
-dig, ranges).
+through by `deduplicated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import byte_values
-from tidemark.llm.common import table, utf8_column
+from tidemark.llm.common import boxed, table, unboxed, utf8_column
 from tidemark.llm.repeats import MOST, SPAN_SQL, Units, covered, identified, repeated_ranges
 
 LENGTH, ANCHOR = 400, 100
@@ -105,9 +104,9 @@ def deduplicated(docs: DataFrame, keep: str = "first", length: int = LENGTH, anc
 
         return pd.Series([one(t, r) for t, r in zip(text, ranges, strict=True)], dtype=object)
 
-    d = ranged(docs.withColumn("was_null", F.col("text").isNull()), keep, length, anchor, most)
-    d = d.withColumn("text", cut("text", F.col("ranges").cast(SPAN_SQL)))
-    return d.withColumn("text", F.when(F.col("was_null"), None).otherwise(F.col("text"))).select(*docs.columns)
+    box = boxed(docs, "doc_id", "text")
+    d = ranged(box, keep, length, anchor, most)
+    return unboxed(d.withColumn("text", cut("text", F.col("ranges").cast(SPAN_SQL))), docs.columns, text=F.when(F.col("row.text").isNotNull(), F.col("text")))
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
