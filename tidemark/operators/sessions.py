@@ -55,3 +55,9 @@ def capture_stats(events: DataFrame) -> DataFrame:
         n(F.col("kind") == "screen").alias("screen_events"), n(F.col("kind") == "clipboard").alias("clipboard_events"),
         n(F.col("kind") == "skip").alias("dedup_skips"),
     )
+
+
+def sweep_log(captures: DataFrame) -> DataFrame:
+    """sweep, window_id, step, kind: open, event and close of each stored window of a sweep, apart from the focused stream."""
+    stored = sweep_distinct(captures).where("stored")
+    return stored.select("sweep", "window_id", F.posexplode(F.array(F.lit("open"), F.lit("event"), F.lit("close"))).alias("step", "kind"))

@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidemark.operators.redact import PLACEHOLDER
 
@@ -210,16 +211,35 @@ def streamed(signals: DataFrame, by: str = "stream", mode=default_mode) -> DataF
     return signals.select(by, *SIGNAL_COLUMNS).groupBy(by).applyInPandasWithState(step, OUT_SQL, STATE_SQL, "append", "NoTimeout")
 
 
-def store_sink(store, chunk):
-    """A foreachBatch function that files the events of closed episodes; `chunk` makes chunks of events.
+class CatalogSink:
+    """A foreachBatch function that files episodes once they close.
 
-    Closed episodes of a batch are ingested whole; an episode without events is skipped.
+    Engine rows wait in a staging table (under `staging`, by batch) until their
+    episode's close row comes; then episode, events and chunks are ingested
+    together into the shard of the episode's start. A batch that runs again
+    overwrites its own staging directory, and episodes already filed are left
+    out, so a retry adds nothing twice. Episodes without events are dropped.
     """
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        episodes, events = chunk(batch)
-        kept = episodes.join(events.select("episode_id").distinct(), episodes["id"] == events["episode_id"], "left_semi")
-        store.append("episodes", kept)
-        store.append("events", events)
-
-    return write
+    def __init__(self, store, staging: str):
+        self.store, self.staging = store, staging
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        from tidemark.operators.chunk import chunk_text
+        from tidemark.schemas import DEFAULT_PROVENANCE
+
+        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.staging}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = spark.read.option("basePath", self.staging).parquet(self.staging)
+        name = F.concat_ws("-", "stream", F.col("episode").cast("string"))
+        rows = rows.withColumn("episode_id", name).withColumn("at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
+        closed = rows.where((F.col("kind") == "close") & (F.col("batch") == batch_id)).select("episode_id", F.col("at").alias("ts_end"))
+        filed = self.store.read("episodes").select(F.col("id").alias("episode_id"))
+        closed = closed.join(filed, "episode_id", "left_anti")
+        events = rows.where(F.col("kind").isin("screen", "clipboard")).join(closed.select("episode_id"), "episode_id", "left_semi")
+        events = events.select(F.concat_ws("-", "episode_id", F.col("seq").cast("string")).alias("id"), "episode_id", F.col("at").alias("ts"), F.col("kind").alias("type"), F.lit("ax").alias("source"), F.lit(1.0).alias("confidence"), F.col("text").alias("raw_text"), "text_hash", F.lit(0).alias("redaction_flags"), F.lit(DEFAULT_PROVENANCE).alias("provenance"))
+        opened = rows.where("kind = 'open'").select("episode_id", F.col("at").alias("ts_start"), F.col("app").alias("bundle_id"), F.col("app").alias("app_name"), F.col("title").alias("window_title"))
+        episodes = opened.join(closed, "episode_id").join(events.select("episode_id").distinct(), "episode_id", "left_semi").withColumnRenamed("episode_id", "id")
+        chunks = chunk_text(events.select("id", "episode_id", "ts", "source", F.col("raw_text").alias("text")))
+        chunks = chunks.select(F.concat_ws("-", "id", F.col("ordinal").cast("string")).alias("id"), "episode_id", F.col("id").alias("event_id"), F.col("chunk").alias("text"), "token_count", F.col("ts").alias("ts_capture"), "source")
+        self.store.ingest(episodes, events, chunks)
