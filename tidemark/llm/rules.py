@@ -89,7 +89,8 @@ def divergence(p: Column, q: Column) -> Column:
         return F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(F.lit(0.0))
 
     terms = F.zip_with(p, q, lambda a, b: part(a, b) + part(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+    distance = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+    return F.when(p.isNotNull() & q.isNotNull(), distance)
 
 
 def references(counted: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
