@@ -125,3 +125,20 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment:
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
+
+
+def oracle_sql() -> str:
+    """The same windows and containment in DuckDB SQL, without the retrieval."""
+    c = Classes(TEMPLATES, 0.8)
+    rows = [f"('{name}', {half}, {need}, '{TEMPLATES[name]}')" for half, ts in c.of.items() for name, _, need in ts]
+    grams = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
+    cut = "regexp_extract_all(lower({0}), '(?:[a-z]|[^\\x00-\\x7F])+|[0-9]+')"
+    return f"""
+WITH t AS (SELECT license, half, need, unnest(list_distinct({grams.format("k")})) AS g FROM (SELECT *, {cut.format("text")} AS k FROM (VALUES {", ".join(rows)}) v(license, half, need, text))),
+size AS (SELECT license, count(*) AS size FROM t GROUP BY license),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {cut.format("coalesce(text, '')")} AS k FROM documents),
+g AS (SELECT rid, doc_id, unnest({grams.format("k")}) AS g, unnest(range(0, len(k) - 1)) AS p FROM d WHERE len(k) > 1),
+hit AS (SELECT rid, doc_id, license, half, need, t.g, unnest([p // half, p // half - 1]) AS b FROM g JOIN t ON g.g = t.g),
+n AS (SELECT rid, doc_id, license, b * half AS first_shingle, count(DISTINCT g) AS n FROM hit WHERE b >= 0 GROUP BY rid, doc_id, license, b, half, need HAVING count(DISTINCT g) >= need)
+SELECT doc_id, license, max(n) / CAST(any_value(size) AS DOUBLE) AS containment, CAST(arg_max(first_shingle, n * 1000000000 - first_shingle) AS BIGINT) AS first_shingle FROM n JOIN size USING (license) GROUP BY rid, doc_id, license
+"""

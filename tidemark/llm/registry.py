@@ -7,14 +7,14 @@ import importlib
 #: query name -> (module, function, SQL constant or function; None where SQL can't express it)
 _KNOWN = {
     "op1_suffix_dedup": ("suffix", "op1_suffix_dedup", None),
-    "op2_substring_dedup": ("substring", "op2_substring_dedup", None),
+    "op2_substring_dedup": ("substring", "op2_substring_dedup", "OP2_SQL"),
     "op3_decontamination": ("semantic", "op3_decontamination", None),
-    "op4_near_dedup": ("bagminhash", "op4_near_dedup", None),
+    "op4_near_dedup": ("bagminhash", "op4_near_dedup", "OP4_SQL"),
     "op5_quality": ("classifier", "op5_quality", None),
     "op6_chat": ("chat", "op6_chat", "oracle_sql"),
     "op7_rules": ("rules", "op7_rules", "oracle_sql"),
     "op8_tokens": ("tokencount", "op8_tokens", None),
-    "op9_licenses": ("licenses", "op9_licenses", None),
+    "op9_licenses": ("licenses", "op9_licenses", "oracle_sql"),
     "op10_mixing": ("mixing", "op10_mixing", "OP10_SQL"),
 }
 

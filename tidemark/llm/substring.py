@@ -163,3 +163,15 @@ def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return removal_report(table(spark, sf_dir, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT rid, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+g AS (SELECT *, CASE WHEN lead(i, 19) OVER (PARTITION BY rid ORDER BY i) IS NOT NULL
+  THEN string_agg(word, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS g FROM p),
+e AS (SELECT rid, i, min(doc_id) OVER (PARTITION BY g) < doc_id OR min(i) OVER (PARTITION BY g, rid) < i AS hit FROM g WHERE g IS NOT NULL),
+c AS (SELECT p.*, coalesce(bool_or(hit) OVER (PARTITION BY p.rid ORDER BY p.i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN e ON e.rid = p.rid AND e.i = p.i),
+r AS (SELECT rid, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone), '') AS kept FROM c GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (rid)
+"""
