@@ -32,8 +32,8 @@ from tidemark.llm.common import scratch, table
 
 #: Before a blank between two non-blanks (Unicode white space counts as blank).
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Distinct pieces that a worker remembers.
-REMEMBERED = 200_000
+#: Distinct pieces that each generation of a worker's memory holds.
+REMEMBERED = 300_000
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -53,23 +53,43 @@ def tokenizer_digest(path: str) -> str:
         return hashlib.sha256(f.read() + b"\0tokenizers " + tokenizers.__version__.encode()).hexdigest()
 
 
-def piece_counter(path: str):
-    """A function from texts to their token counts, with a bounded memory of pieces."""
-    t, known = tokenizer(path), {}
+class PieceCounter:
+    """Token counts of texts, with a bounded memory of pieces.
 
-    def count(texts: list[str]) -> list[int]:
-        split = [CUT.sub("\0 ", s).split("\0") if "\0" not in s else None for s in texts]
-        fresh = list({p for pieces in split if pieces is not None for p in pieces if p not in known})
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list({p for pieces in split if pieces is not None for p in pieces})
-        for first in range(0, len(fresh), 4096):
-            some = fresh[first : first + 4096]
-            known.update(zip(some, (len(e.ids) for e in t.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+    Two generations of at most REMEMBERED pieces each: a full young one takes
+    the old one's place, and old pieces that are met again move to the young.
+    """
+
+    def __init__(self, path: str):
+        self.encoder, self.young, self.old = tokenizer(path), {}, {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Puts the counts of all pieces into the young generation."""
+        missing = []
+        for p in pieces:
+            n = self.old.get(p)
+            if n is None:
+                missing.append(p)
+            else:
+                self.young[p] = n
+        for first in range(0, len(missing), 4096):
+            some = missing[first : first + 4096]
+            self.young.update(zip(some, (len(e.ids) for e in self.encoder.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+
+    def count(self, texts: list[str]) -> list[int]:
         # A text with NUL characters goes to the library whole.
-        return [len(t.encode(s, add_special_tokens=False).ids) if pieces is None else sum(map(known.__getitem__, pieces)) for s, pieces in zip(texts, split, strict=True)]
+        split = [CUT.sub("\0 ", s).split("\0") if "\0" not in s else None for s in texts]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        self._learn({p for pieces in split if pieces is not None for p in pieces}.difference(self.young))
+        known = self.young.__getitem__
+        return [len(self.encoder.encode(s, add_special_tokens=False).ids) if pieces is None else sum(map(known, pieces)) for s, pieces in zip(texts, split, strict=True)]
+
 
-    return count
+@functools.lru_cache(maxsize=2)
+def piece_counter(path: str) -> PieceCounter:
+    """The worker's counter, kept from task to task."""
+    return PieceCounter(path)
 
 
 def cached(spark, path: str, version: str) -> DataFrame:
@@ -96,7 +116,7 @@ def token_counts(docs: DataFrame, cache: str, model: str, limit: int = 1024) ->
     texts = named.join(of.hint("shuffle_hash"), mine).select("digest", "text")
 
     def encode(batches):
-        count = piece_counter(model)
+        count = piece_counter(model).count
         for b in batches:
             for first in range(0, b.num_rows, 512):
                 part = b.slice(first, 512)
