@@ -114,7 +114,7 @@ def merged_sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, b
     schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bits", pa.binary())])
     parts = partial_sketches(docs, window, anchor, bits).repartition("row", "block").sortWithinPartitions("row", "block")
     sketch = [np.zeros(1 << bits - 3, np.uint8) for _ in range(DEPTH)]
-    for r in parts.mapInArrow(add, "row int, block int, bits binary").toLocalIterator():
+    for r in parts.mapInArrow(add, "row int, block int, bits binary").collect():  # DEPTH * 2**bits bits
         sketch[r["row"]][r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
     return sketch
 
