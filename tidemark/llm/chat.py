@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import bounded_batches, table
 
 #: Ids above the vocabulary's 50,256 ranks and its one special id.
 TURN, TEXT, END = 50257, 50258, 50259
@@ -86,6 +86,7 @@ def encoded_turns(rows: DataFrame, vocabulary: str, learned=LEARNED) -> DataFram
             more = [pa.array(ids, pa.list_(pa.int32())), pa.array(start, pa.int64()), pa.array(stop, pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "ids", "mask_from", "mask_to"])
 
+    bounded_batches(rows.sparkSession)
     turns = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return turns.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, mask_from long, mask_to long")
 

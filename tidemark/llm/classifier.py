@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import BASE, LETTER, words
-from tidemark.llm.common import mixed, slabs, table, utf8_column
+from tidemark.llm.common import bounded_batches, mixed, slabs, table, utf8_column
 
 BITS = 18
 #: Bound of the sample of labelled rows that training sees.
 MOST = 8000
-SLAB = 1 << 20
+SLAB = 1 << 18
 FOLDS = 5
 
 
@@ -152,6 +152,7 @@ def scored(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = MOST, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     s = scored(docs, trained(labelled(docs, labels, most), most=most))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemark.llm.bytewords import OTHER, windows, words
-from tidemark.llm.common import mixed, slabs, table, utf8_column
+from tidemark.llm.common import bounded_batches, mixed, slabs, table, utf8_column
 
 #: Notices by which works state their licence.
 TEMPLATES = {
@@ -38,7 +38,7 @@ TEMPLATES = {
 }
 #: A window with the required share of a template goes unretrieved with this probability at most.
 MISS = 1e-6
-SLAB = 1 << 20
+SLAB = 1 << 18
 
 
 def shingles(data: np.ndarray, ends: np.ndarray):
@@ -108,6 +108,7 @@ def matches(data: np.ndarray, ends: np.ndarray, c: Classes):
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
     """doc_id, license, containment, first_shingle (start of the best window) of every match."""
+    bounded_batches(docs.sparkSession)
     templates = templates or TEMPLATES
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("first_shingle", pa.int64())])
 

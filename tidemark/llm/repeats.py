@@ -32,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import prefix, stretches
-from tidemark.llm.common import mixed, scratch, slabs, utf8_column
+from tidemark.llm.common import bounded_batches, mixed, scratch, slabs, utf8_column
 
 NONE = -(1 << 63)
-SLAB = 1 << 20
+SLAB = 1 << 18
 PLACE = 28
 #: Distinct segments of a bucket that one task may sort.
 MOST = 40_000
@@ -119,6 +119,7 @@ class Units:
 
 def identified(docs: DataFrame) -> DataFrame:
     """docs plus key and dig."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("dig", F.xxhash64(text)).withColumn("text", text)
 

@@ -28,7 +28,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import scratch, table
+from tidemark.llm.common import bounded_batches, scratch, table
 
 #: Before a blank between two non-blanks (Unicode white space counts as blank).
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -106,6 +106,7 @@ def cached(spark, path: str, version: str) -> DataFrame:
 def token_counts(docs: DataFrame, cache: str, model: str, limit: int = 1024) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row; fills the cache at path `cache`."""
     spark, version = docs.sparkSession, tokenizer_digest(model)
+    bounded_batches(spark)
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
     # One row stands for each distinct content; only numbers and digests are grouped and joined, a text moves once.
