@@ -90,20 +90,28 @@ def test_collapse_keeps_the_first_of_each(spark):
     assert all(r.kept_as <= r.seq for r in got)
 
 
-def greedy(pairs, n):
-    kept = []
-    for i in range(n):
-        if not any((j, i) in pairs for j in kept):
-            kept.append(i)
-    return kept
-
-
-def test_collapse_rounds_are_the_sequential_rule(spark):
-    texts = [" ".join(f"c{(i * 2 + j)}" for j in range(60)) for i in range(25)]
-    signed = spark.createDataFrame([(i, neardup.signature_of(t)) for i, t in enumerate(texts)], "seq long, signature array<long>")
-    pairs = {(r.earlier, r.later) for r in neardup.verified_pairs(signed, 0.6).collect()}
-    got = neardup.collapse(spark.createDataFrame(list(enumerate(texts)), "seq long, text string"), 0.6).where("verdict = 'retained'").collect()
-    assert sorted(r.seq for r in got) == greedy(pairs, 25)
+def sequential(texts, threshold):
+    """The rule itself: each text against the retained ones before it that share a band."""
+    kept, out = [], []
+    for i, t in enumerate(texts):
+        s = neardup.signature_of(t)
+        best = None
+        for j, r in kept:
+            if any(s[k : k + 8] == r[k : k + 8] for k in range(0, 128, 8)):
+                x = sum(a == b for a, b in zip(s, r, strict=True)) / 128
+                if x >= threshold and (best is None or x > best[0]):
+                    best = (x, j)
+        out.append(("near", best[1]) if best else ("retained", i))
+        if not best:
+            kept.append((i, s))
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.85])
+def test_collapse_rounds_are_the_sequential_rule(spark, threshold):
+    texts = [" ".join(f"c{(i * 2 + j)}" for j in range(60)) for i in range(25)] + [" ".join(f"e{(i + j)}" for j in range(90)) for i in range(12)]
+    got = neardup.collapse(spark.createDataFrame(list(enumerate(texts)), "seq long, text string"), threshold).collect()
+    assert [(r.verdict, r.kept_as) for r in sorted(got, key=lambda r: r.seq)] == sequential(texts, threshold)
 
 
 # redaction and policy

@@ -7,7 +7,6 @@ import functools
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,48 +82,60 @@ def band_rows(df: DataFrame, bands: int = BANDS) -> DataFrame:
     return df.withColumn("k", F.explode(keys)).select(*df.columns, "k.band", "k.key")
 
 
-def candidate_pairs(signed: DataFrame, bands: int = BANDS) -> DataFrame:
-    """Distinct (earlier, later) of rows (seq, signature) that share a band."""
-    b = band_rows(signed, bands).select("seq", "key")
-    return b.select(F.col("seq").alias("later"), "key").join(b.select(F.col("seq").alias("earlier"), "key"), "key").where("earlier < later").select("earlier", "later").distinct()
+def links_from(heads: DataFrame, members: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """earlier, later, jaccard of the heads with the later members that share a band and are similar enough.
+
+    heads and members: seq, key. A bucket gives heads times members, not all its pairs.
+    """
+    pairs = heads.select(F.col("seq").alias("earlier"), "key").join(members.select(F.col("seq").alias("later"), "key"), "key").where("earlier < later")
+    pairs = pairs.select("earlier", "later").distinct()
+    a, b = (signatures.select(F.col("seq").alias(n), F.col("signature").alias(f"of_{n}")) for n in ("earlier", "later"))
+    both = pairs.join(a, "earlier").join(b, "later")
+    return both.select("earlier", "later", estimated_jaccard(F.col("of_earlier"), F.col("of_later")).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def verified_pairs(signed: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """earlier, later, jaccard of candidate pairs at the threshold or above."""
-    p = candidate_pairs(signed, bands)
-    p = p.join(signed.select(F.col("seq").alias("earlier"), F.col("signature").alias("sa")), "earlier").join(signed.select(F.col("seq").alias("later"), F.col("signature").alias("sb")), "later")
-    return p.select("earlier", "later", estimated_jaccard(F.col("sa"), F.col("sb")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+def retained_first(signatures: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(retained seqs, links of them to the rest) of rows (seq, signature), in order of seq.
+
+    A row that comes first in all its buckets, among those undecided, has no
+    earlier undecided neighbour: it is retained, and later neighbours of it
+    are collapsed. Each round decides the first undecided row at least.
+    """
+    keyed = _cut(band_rows(signatures, bands).select("seq", "key"))
+    undecided, retained = keyed, None
+    while True:
+        least = undecided.groupBy("key").agg(F.min("seq").alias("least"))
+        ahead = undecided.join(least, "key").groupBy("seq").agg(F.min(F.col("seq") == F.col("least")).alias("free")).where("free").select("seq")
+        ahead = _cut(ahead)
+        if not ahead.limit(1).count():
+            break
+        retained = ahead if retained is None else _cut(retained.union(ahead))
+        near = links_from(undecided.join(ahead, "seq"), undecided, signatures, threshold).select(F.col("later").alias("seq"))
+        undecided = _cut(undecided.join(ahead.union(near).distinct(), "seq", "left_anti"))
+    if retained is None:
+        retained = signatures.select("seq").limit(0)
+    heads, rest = keyed.join(retained, "seq"), keyed.join(retained, "seq", "left_anti")
+    return retained, links_from(heads, rest, signatures, threshold)
 
 
 def collapse(df: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """seq, verdict (retained, exact or near) and kept_as of rows (seq, text), in order of seq.
+    """seq, verdict (retained, exact or near), kept_as and jaccard of rows (seq, text), in order of seq.
 
     Equal normalised texts are exact repeats of the first. A text is near if an
-    earlier retained one is similar enough; collapsed texts represent nothing.
-    Rounds decide what their decided neighbours allow: with a retained earlier
-    neighbour a row is near, with none left undecided it is retained.
+    earlier retained one is similar enough, and kept as the most similar one,
+    the first of equals; collapsed texts represent nothing.
     """
     seen = df.select("seq", normalize(F.coalesce("text", F.lit(""))).alias("text"))
-    same = W.partitionBy("text").orderBy("seq")
-    seen = seen.withColumn("of", F.min("seq").over(same))
-    firsts = seen.where("seq = of").select("seq", minhash("text").alias("signature"))
-    checkpoint = _cut(firsts)
-    pairs = _cut(verified_pairs(checkpoint, threshold, bands))
-    state = _cut(firsts.select("seq", F.lit(None).cast("string").alias("verdict")))
-    while True:
-        earlier = pairs.join(state.select(F.col("seq").alias("earlier"), F.col("verdict").alias("ev")), "earlier")
-        seen_by = earlier.groupBy(F.col("later").alias("seq")).agg(F.max(F.col("ev") == "retained").alias("has"), F.max(F.col("ev").isNull()).alias("waits"))
-        step = state.join(seen_by, "seq", "left")
-        new = F.when(F.col("verdict").isNotNull(), F.col("verdict")).when(F.col("has"), F.lit("near")).when(F.coalesce("waits", F.lit(False)), F.lit(None)).otherwise(F.lit("retained"))
-        state = _cut(step.select("seq", new.alias("verdict")))
-        if not state.where("verdict IS NULL").limit(1).count():
-            break
-    best = pairs.join(state.where("verdict = 'retained'").select(F.col("seq").alias("earlier")), "earlier")
-    best = best.groupBy(F.col("later").alias("seq")).agg(F.max(F.struct("jaccard", (-F.col("earlier")).alias("e"))).alias("b")).select("seq", (-F.col("b.e")).alias("kept_as"))
-    decided = state.join(best, "seq", "left").select("seq", "verdict", F.when(F.col("verdict") == "near", F.col("kept_as")).otherwise(F.col("seq")).alias("kept_as"))
-    rest = seen.where("seq <> of").select("seq", "of").join(decided.select(F.col("seq").alias("of"), F.col("verdict").alias("v"), "kept_as"), "of")
-    rest = rest.select("seq", F.when(F.col("v") == "near", F.lit("near")).otherwise(F.lit("exact")).alias("verdict"), "kept_as")
-    return decided.unionByName(rest)
+    seen = _cut(seen.withColumn("digest", F.sha2("text", 256)))
+    firsts = seen.groupBy("digest").agg(F.min("seq").alias("of"))
+    named = _cut(seen.join(firsts, "digest").select("seq", "of"))
+    signatures = _cut(seen.join(named.where("seq = of").select("seq"), "seq").select("seq", minhash("text").alias("signature")))
+    retained, links = retained_first(signatures, threshold, bands)
+    best = links.groupBy(F.col("later").alias("of")).agg(F.max(F.struct("jaccard", (-F.col("earlier")).alias("e"))).alias("b"))
+    best = best.select("of", (-F.col("b.e")).alias("kept_as"), F.col("b.jaccard").alias("jaccard"))
+    joined = named.join(best, "of", "left")
+    verdict = F.when(F.col("kept_as").isNotNull(), "near").when(F.col("seq") == F.col("of"), "retained").otherwise("exact")
+    return joined.select("seq", verdict.alias("verdict"), F.coalesce("kept_as", "of").alias("kept_as"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from tidemark.functions import dates, text, vectors
 from tidemark.operators import chunk, exclude, filing, neardup, redact, retrieve, serve, sessions
 from tidemark.plans import derived
 from tidemark.plans.derived import table
-from tidemark.sources.store import latest_vectors
+from tidemark.sources.store import latest_vectors, reliable
 
 RANGE = (dt.datetime(2026, 1, 12), dt.datetime(2026, 1, 25, 12))
 #: Stretch of the events' weeks.
@@ -157,8 +157,11 @@ def minhash_signature(spark, d):
 
 
 def lsh_candidates(spark, d):
-    s = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), neardup.minhash(F.coalesce("text", F.lit(""))).alias("signature"))
-    return neardup.verified_pairs(s)
+    """Links of retained distinct texts to those that collapse into them."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("seq"), text.normalize(F.coalesce("text", F.lit(""))).alias("text"))
+    firsts = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("seq").alias("seq")).select("seq")
+    signatures = reliable(docs.join(firsts, "seq").select("seq", neardup.minhash("text").alias("signature")))
+    return neardup.retained_first(signatures)[1]
 
 
 def near_dup(spark, d):
