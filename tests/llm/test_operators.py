@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import corpus
@@ -171,6 +172,35 @@ def test_hub_is_found_among_its_copies(spark):
     assert got == classes(some)
 
 
+def test_versions_without_their_original_are_brute_force(spark, monkeypatch):
+    """Versions come in twos with other words at the same places: the two link, and no version is like many others."""
+    monkeypatch.setattr(bagminhash, "FEW", 20)
+    base, some = corpus.prose(4300, 400).split(), []
+    for i in range(800):
+        w = list(base)
+        for at in np.random.default_rng(i // 2).choice(400, 7, replace=False):
+            w[at] = f"new{i}x{at}"
+        some.append((i, " ".join(w), "en", "s", 0))
+    bags = [bag(t) for _, t, *_ in some[:80]]
+    assert all((similarity(a, b) >= 0.8) == (i // 2 == j // 2) for i, a in enumerate(bags) for j, b in enumerate(bags))
+    got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(corpus.frame(spark, some)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 800, 2)) == 400 and len({*got.values()}) >= 390
+
+
+def test_pairs_of_a_bucket_are_met_once_across_batches():
+    """All distances of all buckets, whatever the batches, and none within a component."""
+    r = np.random.default_rng(8)
+    key = np.sort(r.integers(0, 9, 90))
+    node, comp = np.arange(90), r.integers(0, 4, 90)
+    for size in (1, 7, 90):
+        got = []
+        for near in (1, 8, 64):
+            batches = [pa.record_batch({"key": key[i : i + size], "node": node[i : i + size], "comp": comp[i : i + size], "sketch": [bytes(128)] * len(key[i : i + size])}) for i in range(0, 90, size)]
+            for b in bagminhash._meeting(near, 8 * near, 0.8)(iter(batches)):
+                got += zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
+        assert sorted(got) == [(i, j) for i in range(90) for j in range(i) if key[i] == key[j] and comp[i] != comp[j]]
+
+
 def test_signatures_estimate_weighted_jaccard():
     r = np.random.default_rng(5)
     gaps = []

@@ -10,13 +10,18 @@ documents. Points come in order of time and stop when none can be earlier than
 the latest component, which takes about m log m points a document.
 
 Signatures are banded. In each bucket of a band the most central member (the
-one whose buckets hold most) is its hub: members are compared with the hub,
-not with each other. Where different components still meet in a bucket, each
-member is also compared with the bucket's next hubs. Pairs are verified by exact multiset overlap of
-the shingles; verified links give classes as connected components.
+one whose buckets hold most) is its hub: members are compared with the hub
+first. Where different components still meet in a bucket, rounds follow: members
+stand in one order, and a round compares those that are so many places apart,
+unless they are in one component by then, until no distance is left. So each two
+members of a bucket are compared, or are linked without it. Pairs whose whole
+signatures agree in too few components are left out first (AGREE). Pairs are
+verified by exact multiset overlap of the shingles; verified links give classes
+as connected components.
 
 Exact copies share one node, so a group of copies of any size costs a row of
-numbers per copy. Work in a bucket is linear in its members.
+numbers per copy. Work in a bucket is linear in its members where its hub links
+them, and grows with the pairs of different components where it doesn't.
 
 Cases: null texts, and texts without words, resemble nothing and are classes of their
 own; a text of one to four words is one shingle; a null doc_id gets a null
@@ -27,11 +32,11 @@ rows. Extra columns are ignored. class_id is the least doc_id of the class.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import BASE, windows, words
@@ -41,7 +46,14 @@ SHINGLE = 5
 #: 32 bands of 4 rows: at similarity 0.8 all bands miss with probability 5e-8.
 BANDS, ROWS = 32, 4
 SLAB = 1 << 17
-HUBS = 8
+#: A round compares members from one of these distances up to the next; each is REACH times the one before.
+REACH = 16
+#: So many new links of a round are merged on the driver; more are merged as tables.
+FEW = 20_000
+#: Rows of whole buckets that a task compares at once.
+CHUNK = 1 << 14
+#: Odds that a pair at the threshold agrees in too few components of the signature, as those of the bands to miss it.
+MISS = 5e-8
 
 
 def bag(data: np.ndarray, ends: np.ndarray, n: int = SHINGLE):
@@ -101,8 +113,18 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key
 
 
+def agree(least: float, m: int) -> int:
+    """Components that two signatures share at least, but with odds of MISS, where the similarity is `least`."""
+    below = 0.0
+    for k in range(m + 1):
+        below += math.comb(m, k) * least**k * (1 - least) ** (m - k)
+        if below > MISS:
+            return k
+    return m
+
+
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the text, and its band keys (null where there is no shingle)."""
+    """doc_id, digest of the text, its band keys (null where there is no shingle) and a byte of each component."""
 
     def run(batches):
         for b in batches:
@@ -117,9 +139,11 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 raw = part.tobytes()
                 digests = [hashlib.blake2b(raw[e[i] : e[i + 1]], digest_size=16).digest() for i in range(last - first)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (last - first) + 1, bands), pa.int32()), pa.array(keys.ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(digests, pa.binary()), lists], names=["doc_id", "digest", "keys"])
+                low = mixed(sig).astype(np.uint8)
+                sketches = pa.array([row.tobytes() for row in low], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(digests, pa.binary()), lists, sketches], names=["doc_id", "digest", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>, sketch binary")
 
 
 def overlaps(pairs: DataFrame, least: float) -> DataFrame:
@@ -163,8 +187,36 @@ def components(links: DataFrame) -> DataFrame:
             return label
 
 
-def near_links(docs: DataFrame, sigs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Verified links (a, b) between nodes, enough to connect each class."""
+def linked(label: DataFrame, links: DataFrame) -> DataFrame:
+    """label (node, comp) after new links between its nodes; comp stays the least node."""
+    of = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
+    links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+    few = links.limit(FEW + 1).collect()
+    if not few:
+        return label
+    if len(few) <= FEW:
+        top: dict[int, int] = {}
+        for r in few:
+            ends = []
+            for x in r:
+                while top.get(x, x) != x:
+                    top[x] = x = top.get(top[x], top[x])
+                ends.append(x)
+            top[max(ends)] = min(ends)
+        rows = []
+        for x in top:
+            to = x
+            while top.get(to, to) != to:
+                to = top[to]
+            rows.append((x, to))
+        moved = label.sparkSession.createDataFrame(rows, "comp long, to long")
+    else:
+        moved = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return cut(label.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+
+
+def near_components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """node, comp of every node: the least node that verified links reach."""
     exploded = nodes.select("node", F.explode("keys").alias("key"))
     counts = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = exploded.join(counts, "key")
@@ -173,17 +225,56 @@ def near_links(docs: DataFrame, sigs: DataFrame, nodes: DataFrame, least: float)
     hubs = members.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("least"))).alias("top"))
     hubs = hubs.select("key", (-F.col("top.least")).alias("hub"))
     star = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = cut(verified(docs, nodes, star, least))
-    comp = components(links)
-    # Where components still meet in a bucket, members meet the bucket's most central ones of other components.
-    placed = members.join(comp, "node", "left").select("key", "node", "central", F.coalesce("comp", "node").alias("comp"))
-    mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    placed = cut(placed.join(mixed_keys, "key"))
-    nth = F.row_number().over(W.partitionBy("key").orderBy(F.desc("central"), "node"))
-    few = placed.withColumn("nth", nth).where(F.col("nth") <= HUBS).select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"))
-    more = placed.join(few, "key").where("comp <> b_comp")
-    more = more.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
-    return links.union(cut(verified(docs, nodes, more, least)))
+    links = verified(docs, nodes, star, least)
+    label = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+    label, near = cut(label), 1
+    while True:
+        placed = members.join(label, "node").select("key", "node", "comp")
+        still = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi AND n > {near}").select("key", "n")
+        placed = cut(placed.join(still, "key"))
+        most = placed.agg(F.max("n")).first()[0]
+        if most is None:
+            return label
+        rows = placed.join(nodes.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "node")
+        far = near * REACH
+        pairs = rows.select("key", "node", "comp", "sketch").mapInArrow(_meeting(near, far, least), "a long, b long").distinct()
+        label, near = linked(label, verified(docs, nodes, pairs, least)), far
+        if most <= near:
+            return label
+
+
+def _meeting(near: int, far: int, least: float):
+    """Pairs (a, b), a > b, of members of a bucket that are `near` to `far` - 1 places apart, in different
+    components, and whose signatures allow the similarity; the rows come by key and node."""
+    enough = agree(least, BANDS * ROWS)
+
+    def pairs(key, node, comp, sketch):
+        for d in range(near, min(far, len(key))):
+            same = key[d:] == key[:-d]
+            if not same.any():
+                break  # no bucket is that large
+            at = np.flatnonzero(same & (comp[d:] != comp[:-d]))
+            for some in range(0, len(at), CHUNK):
+                i = at[some : some + CHUNK]
+                i = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= enough]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(node[i])], names=["a", "b"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "comp")]
+            new.append(utf8_column(b, "sketch")[0].reshape(len(new[0]), BANDS * ROWS))
+            held = [[x] for x in new] if held is None else [h + [x] for h, x in zip(held, new, strict=True)]
+            if sum(map(len, held[0])) >= CHUNK and held[0][0][0] != new[0][-1]:
+                whole = [np.concatenate(h) for h in held]
+                end = int(np.searchsorted(whole[0], whole[0][-1]))
+                yield from pairs(*(x[:end] for x in whole))
+                held = [[x[end:]] for x in whole]
+        if held is not None:
+            yield from pairs(*(np.concatenate(h) for h in held))
+
+    return run
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -213,10 +304,9 @@ def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sigs = cut(signed(docs))
     able = sigs.where(F.col("doc_id").isNotNull() & F.col("keys").isNotNull())
-    nodes = able.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
+    nodes = able.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    comp = components(near_links(docs, sigs, nodes, least))
-    placed = nodes.select("node", "digest", "id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    placed = nodes.select("node", "digest", "id").join(near_components(docs, nodes, least), "node")
     least_id = placed.groupBy("comp").agg(F.min("id").alias("class_id"))
     classes = placed.join(least_id, "comp").select("digest", "class_id")
     named = able.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
