@@ -105,6 +105,25 @@ def test_decontamination_recall_against_brute_force(spark):
     assert len(truth) >= 60 and len(got & truth) >= 0.9 * len(truth) and not got - truth
 
 
+def test_decontamination_of_rewordings_against_brute_force(spark):
+    """40 to 45 in 100 tokens replaced, the answer whole: all that decided() takes, at any place, is found."""
+    items, some, truth = [(i, corpus.prose(5200 + i, 30)) for i in range(20)], [], set()
+    for i in range(80):
+        w, r = items[i % 20][1].split(), np.random.default_rng(i)
+        other = corpus.prose(1500 + i, 30).split()
+        for at in r.choice(len(w) * 2 // 3, int(len(w) * (0.4 + 0.05 * (i % 2))), replace=False):
+            w[at] = other[at]
+        some.append((i, f"{corpus.prose(1100 + i, 37 + i)} {' '.join(w)} {corpus.prose(1300 + i, 90)}", "en", "s", 0))
+    for d, t, *_ in some:
+        _, h = semantic.tokens(*joined([t]))
+        for i, text in items:
+            _, own = semantic.tokens(*joined([text]))
+            if any(semantic.decided(own, h[s : s + 2 * len(own)].tolist()) for s in range(0, len(h), 4)):
+                truth.add((d, i))
+    got = {(r.doc_id, r.item_id) for r in semantic.matches(corpus.frame(spark, some), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(truth) >= 60 and len(got & truth) == len(truth)
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert semantic.matches(corpus.empty(spark), none).count() == 0
