@@ -120,8 +120,17 @@ def test_decontamination_of_rewordings_against_brute_force(spark):
             _, own = semantic.tokens(*joined([text]))
             if any(semantic.decided(own, h[s : s + 2 * len(own)].tolist()) for s in range(0, len(h), 4)):
                 truth.add((d, i))
-    got = {(r.doc_id, r.item_id) for r in semantic.matches(corpus.frame(spark, some), spark.createDataFrame(items, "item_id long, text string")).collect()}
-    assert len(truth) >= 60 and len(got & truth) == len(truth)
+    got = {(r.doc_id, r.item_id) for r in semantic.matches(corpus.frame(spark, some), spark.createDataFrame(items, "item_id long, text string"), least_cosine=2.0).collect()}
+    assert len(truth) >= 60 and len(got & truth) == len(truth)  # without any help of the latent search
+
+
+def test_decontamination_of_very_long_and_very_short_items(spark):
+    items = [(0, corpus.prose(5300, 3000)), (1, "quorvex blintar zumphle drackow")]
+    some = [(0, f"{corpus.prose(1, 90)} {items[0][1]} {corpus.prose(2, 61)}", "en", "s", 0)]
+    some += [(i, f"{corpus.prose(10 + i, 20 + i)} {items[1][1]} {corpus.prose(30 + i, 40)}", "en", "s", 0) for i in range(1, 9)]
+    some.append((9, " ".join(items[0][1].split()[:1200]), "en", "s", 0))
+    got = {(r.doc_id, r.item_id): r.common for r in semantic.matches(corpus.frame(spark, some), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(0, 0): 1.0} | {(i, 1): 1.0 for i in range(1, 9)}
 
 
 def test_decontamination_of_empty_tables(spark):
