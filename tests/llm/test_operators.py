@@ -6,7 +6,6 @@ from collections import Counter
 
 import duckdb
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from tests.llm import corpus
@@ -133,6 +132,15 @@ def test_decontamination_of_very_long_and_very_short_items(spark):
     assert got == {(0, 0): 1.0} | {(i, 1): 1.0 for i in range(1, 9)}
 
 
+def test_decontamination_judges_each_text(spark):
+    """Only the texts that hold the item go, whatever rows share their doc_id, null ones too."""
+    item = corpus.prose(7007, 30)
+    leak, clean = f"{corpus.prose(61, 60)} {item} {corpus.prose(62, 60)}", corpus.prose(63, 100)
+    docs = corpus.frame(spark, [(d, t, "en", "s", 0) for d, t in [(5, leak), (5, clean), (None, leak), (None, clean), (6, None), (7, "")]])
+    kept = semantic.decontaminated(docs, spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, clean), (0, clean), (6, ""), (7, "")])
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert semantic.matches(corpus.empty(spark), none).count() == 0
@@ -200,33 +208,49 @@ def test_hub_is_found_among_its_copies(spark):
     assert got == classes(some)
 
 
-def test_versions_without_their_original_are_brute_force(spark, monkeypatch):
-    """Versions come in twos with other words at the same places: the two link, and no version is like many others."""
-    monkeypatch.setattr(bagminhash, "FEW", 20)
-    base, some = corpus.prose(4300, 400).split(), []
-    for i in range(800):
+def versions(seed: int, n: int, replaced: int, of=lambda i: i):
+    """Copies of one text, each with other words at some places."""
+    base, some = corpus.prose(seed, 400).split(), []
+    for i in range(n):
         w = list(base)
-        for at in np.random.default_rng(i // 2).choice(400, 7, replace=False):
+        for at in np.random.default_rng(of(i)).choice(400, replaced, replace=False):
             w[at] = f"new{i}x{at}"
         some.append((i, " ".join(w), "en", "s", 0))
+    return some
+
+
+@pytest.mark.parametrize("rows,items", [(bagminhash.BLOCK_ROWS, bagminhash.BLOCK_ITEMS), (50, 1 << 13)])
+def test_versions_without_their_original_are_brute_force(spark, monkeypatch, rows, items):
+    """Versions come in twos with other words at the same places: the two link, and no version is like many others.
+
+    Small blocks make each two blocks of a bucket meet in a task of their own.
+    """
+    monkeypatch.setattr(bagminhash, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(bagminhash, "BLOCK_ITEMS", items)
+    some = versions(4300, 800, 7, lambda i: i // 2)
     bags = [bag(t) for _, t, *_ in some[:80]]
     assert all((similarity(a, b) >= 0.8) == (i // 2 == j // 2) for i, a in enumerate(bags) for j, b in enumerate(bags))
     got = {r.doc_id: r.class_id for r in bagminhash.near_duplicates(corpus.frame(spark, some)).collect()}
     assert sum(got[i] == got[i + 1] for i in range(0, 800, 2)) == 400 and len({*got.values()}) >= 390
 
 
-def test_pairs_of_a_bucket_are_met_once_across_batches():
-    """All distances of all buckets, whatever the batches, and none within a component."""
-    r = np.random.default_rng(8)
-    key = np.sort(r.integers(0, 9, 90))
-    node, comp = np.arange(90), r.integers(0, 4, 90)
-    for size in (1, 7, 90):
-        got = []
-        for near in (1, 8, 64):
-            batches = [pa.record_batch({"key": key[i : i + size], "node": node[i : i + size], "comp": comp[i : i + size], "sketch": [bytes(128)] * len(key[i : i + size])}) for i in range(0, 90, size)]
-            for b in bagminhash._meeting(near, 8 * near, 0.8)(iter(batches)):
-                got += zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True)
-        assert sorted(got) == [(i, j) for i in range(90) for j in range(i) if key[i] == key[j] and comp[i] != comp[j]]
+def test_template_pages_are_brute_force(spark):
+    """Six words of a template replaced: similarities lie on both sides of the threshold."""
+    some = versions(4400, 500, 6)
+    want = classes(some)
+    assert 100 < len({*want.values()}) < 400
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(corpus.frame(spark, some)).collect()} == want
+
+
+def test_texts_that_share_a_doc_id(spark):
+    """(5, x) and (5, y) are unlike each other; (7, y') is near y and (5, x) stands twice."""
+    x, y = corpus.prose(51, 200), corpus.prose(52, 200)
+    some = [(5, x), (5, x), (5, y), (7, y + " more"), (8, ""), (8, ""), (None, x), (None, x)]
+    df = corpus.frame(spark, [(d, t, "en", "s", 0) for d, t in some])
+    got = sorted((r.doc_id or 0, r.class_id or 0) for r in bagminhash.near_duplicates(df).collect())
+    assert got == [(0, 0), (0, 0), (5, 5), (5, 5), (5, 5), (7, 5), (8, 8), (8, 8)]
+    kept = sorted((r.doc_id or 0, r.text) for r in bagminhash.representatives(df).collect())
+    assert kept == sorted([(0, x), (0, x), (5, x), (5, y), (8, "")])
 
 
 def test_signatures_estimate_weighted_jaccard():

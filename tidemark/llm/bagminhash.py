@@ -11,47 +11,49 @@ the latest component, which takes about m log m points a document.
 
 Signatures are banded. In each bucket of a band the most central member (the
 one whose buckets hold most) is its hub: members are compared with the hub
-first. Where different components still meet in a bucket, rounds follow: members
-stand in one order, and a round compares those that are so many places apart,
-unless they are in one component by then, until no distance is left. So each two
-members of a bucket are compared, or are linked without it. Pairs whose whole
-signatures agree in too few components are left out first (AGREE). Pairs are
-verified by exact multiset overlap of the shingles; verified links give classes
-as connected components.
+first. Where different components still meet in a bucket, its members' shingles
+are brought together and every two members of different components are compared
+there, each pair in the first bucket that it shares. A large bucket is dealt out
+in blocks of bounded size, and each two blocks meet in a task; tasks give links
+only, no pairs. So each two members of a bucket are compared, or are linked
+without it. Pairs of very different sizes, and pairs whose whole signatures
+agree in too few components (see `agree`), are left out first. Pairs are verified
+by exact multiset overlap of the shingles; verified links give classes as
+connected components.
 
 Exact copies share one node, so a group of copies of any size costs a row of
 numbers per copy. Work in a bucket is linear in its members where its hub links
-them, and grows with the pairs of different components where it doesn't.
+them, and grows with the pairs of different components where it doesn't: a
+comparison is then a count of common bits.
 
 Cases: null texts, and texts without words, resemble nothing and are classes of their
-own; a text of one to four words is one shingle; a null doc_id gets a null
-class and joins none; repeated rows are rows of one class; no rows give no
-rows. Extra columns are ignored. class_id is the least doc_id of the class.
+own; a text of one to four words is one shingle; a text of any length is one bag,
+of eight bytes a word; a null doc_id gets a null class and joins none; repeated
+rows are rows of one class; rows of one doc_id with different texts belong to the
+classes of their texts; no rows give no rows. Extra columns are ignored. class_id
+is the least doc_id of the class.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import BASE, windows, words
-from tidemark.llm.common import bounded_batches, boxed, cut, mixed, slabs, table, unboxed, utf8_column
+from tidemark.llm.common import bounded_batches, boxed, cut, mixed, scratch, slabs, table, unboxed, utf8_column
 
 SHINGLE = 5
 #: 32 bands of 4 rows: at similarity 0.8 all bands miss with probability 5e-8.
 BANDS, ROWS = 32, 4
 SLAB = 1 << 17
-#: A round compares members from one of these distances up to the next; each is REACH times the one before.
-REACH = 16
-#: So many new links of a round are merged on the driver; more are merged as tables.
-FEW = 20_000
-#: Rows of whole buckets that a task compares at once.
-CHUNK = 1 << 14
+#: A block of a bucket has some so many members, and some so many shingles, at most.
+BLOCK_ROWS, BLOCK_ITEMS = 1 << 12, 1 << 20
+#: Pairs, and shingles of one side, that a task compares at once.
+CHUNK = 1 << 13
 #: Odds that a pair at the threshold agrees in too few components of the signature, as those of the bands to miss it.
 MISS = 5e-8
 
@@ -124,48 +126,89 @@ def agree(least: float, m: int) -> int:
 
 
 def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, digest of the text, its band keys (null where there is no shingle) and a byte of each component."""
+    """doc_id, digest, band keys (null where there is no shingle) and a byte of each component, of rows with digest and text."""
 
     def run(batches):
         for b in batches:
             data, ends = utf8_column(b, "text")
-            ids = b.column("doc_id")
+            ids, digest = b.column("doc_id"), b.column("digest")
             for first, last in slabs(ends, SLAB):
-                part, e = data[ends[first] : ends[last]], ends[first : last + 1] - ends[first]
-                doc, g, weight = bag(part, e)
+                doc, g, weight = bag(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
                 sig = signatures(doc, g, weight, last - first, bands * rows)
                 some = np.bincount(doc, minlength=last - first) > 0
                 keys = band_keys(sig, bands, rows).astype(np.int64)
-                raw = part.tobytes()
-                digests = [hashlib.blake2b(raw[e[i] : e[i + 1]], digest_size=16).digest() for i in range(last - first)]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands * (last - first) + 1, bands), pa.int32()), pa.array(keys.ravel()), mask=pa.array(~some))
                 low = mixed(sig).astype(np.uint8)
                 sketches = pa.array([row.tobytes() for row in low], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(digests, pa.binary()), lists, sketches], names=["doc_id", "digest", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), digest.slice(first, last - first), lists, sketches], names=["doc_id", "digest", "keys", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, keys array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, digest binary, keys array<long>, sketch binary")
 
 
-def overlaps(pairs: DataFrame, least: float) -> DataFrame:
-    """Rows (a, b) of those (a, b, a_text, b_text) whose multiset Jaccard similarity is `least` or more."""
+def digest() -> Column:
+    """By which texts are told apart."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
+def bags(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node, size and items of the chosen (node, id, digest): a sorted 64-bit number for each shingle, repeats numbered."""
+
+    def run(batches):
+        for b in batches:
+            data, ends = utf8_column(b, "text")
+            node = b.column("node")
+            for first, last in slabs(ends, SLAB):
+                doc, g, weight = bag(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
+                each = np.repeat(np.arange(len(g)), weight)
+                nth = np.arange(len(each)) - np.repeat(np.cumsum(weight) - weight, weight)
+                doc, item = doc[each], mixed(g[each] + nth.astype(np.uint64) * np.uint64(BASE))
+                item = item[np.lexsort((item, doc))]
+                size = np.bincount(doc, minlength=last - first)
+                raw, at = item.tobytes(), np.concatenate(([0], np.cumsum(size))).tolist()
+                held = pa.array([raw[8 * x : 8 * y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([node.slice(first, last - first), pa.array(size, pa.int64()), held], names=["node", "size", "items"])
+
+    wanted = chosen.select("node", F.col("id").alias("of"), F.col("digest").alias("of_digest"))
+    held = docs.join(wanted.hint("shuffle_hash"), (F.col("doc_id") == F.col("of")) & (F.col("digest") == F.col("of_digest")))
+    return held.select("node", "text").mapInArrow(run, "node long, size long, items binary")
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of nodes whose signatures allow the similarity."""
+    enough = agree(least, BANDS * ROWS)
+
+    def run(batches):
+        for b in batches:
+            x, y = (utf8_column(b, c)[0].reshape(b.num_rows, -1) for c in ("x", "y"))
+            keep = pa.array((x == y).sum(axis=1) >= enough)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    of = lambda node, sketch: nodes.select(F.col("node").alias(node), F.col("sketch").alias(sketch))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def overlaps(pairs: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose multiset Jaccard similarity is `least` or more; held is a table of bags."""
 
     def run(batches):
         for b in batches:
-            x, xe = utf8_column(b, "a_text")
-            y, ye = utf8_column(b, "b_text")
+            (x, xe), (y, ye) = ((d.view(np.uint64), e // 8) for d, e in (utf8_column(b, c) for c in ("x", "y")))
             keep = np.zeros(b.num_rows, bool)
             for first, last in slabs(xe + ye, SLAB):
-                sides = [bag(d[e[first] : e[last]], e[first : last + 1] - e[first]) for d, e in ((x, xe), (y, ye))]
-                doc, g, w = (np.concatenate(z) for z in zip(*sides, strict=True))
-                order = np.lexsort((g, doc))
-                doc, g, w = doc[order], g[order], w[order]
-                both = np.flatnonzero((doc[1:] == doc[:-1]) & (g[1:] == g[:-1]))
-                shared = np.bincount(doc[both], np.minimum(w[both], w[both + 1]), last - first)
-                total = np.bincount(doc, w, last - first)
-                keep[first:last] = shared >= least * (total - shared) - 1e-9
+                doc, item = (np.concatenate(z) for z in zip(*[(np.repeat(np.arange(last - first), np.diff(e[first : last + 1])), d[e[first] : e[last]]) for d, e in ((x, xe), (y, ye))], strict=True))
+                order = np.lexsort((item, doc))
+                doc, item = doc[order], item[order]
+                shared = np.bincount(doc[1:][(doc[1:] == doc[:-1]) & (item[1:] == item[:-1])], minlength=last - first)
+                keep[first:last] = similar(shared, np.bincount(doc, minlength=last - first), least)
             yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    of = lambda node, items: held.select(F.col("node").alias(node), F.col("items").alias(items))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar(shared: np.ndarray, total: np.ndarray, least: float) -> np.ndarray:
+    """Whether bags of `total` shingles together, `shared` of them common, have a Jaccard similarity of `least`."""
+    return shared >= least * (total - shared) - 1e-9
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -190,140 +233,158 @@ def components(links: DataFrame) -> DataFrame:
 def linked(label: DataFrame, links: DataFrame) -> DataFrame:
     """label (node, comp) after new links between its nodes; comp stays the least node."""
     of = lambda x: label.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_comp"))
-    links = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-    few = links.limit(FEW + 1).collect()
-    if not few:
+    links = cut(links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))
+    if links.isEmpty():
         return label
-    if len(few) <= FEW:
-        top: dict[int, int] = {}
-        for r in few:
-            ends = []
-            for x in r:
-                while top.get(x, x) != x:
-                    top[x] = x = top.get(top[x], top[x])
-                ends.append(x)
-            top[max(ends)] = min(ends)
-        rows = []
-        for x in top:
-            to = x
-            while top.get(to, to) != to:
-                to = top[to]
-            rows.append((x, to))
-        moved = label.sparkSession.createDataFrame(rows, "comp long, to long")
-    else:
-        moved = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    moved = components(links).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
     return cut(label.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
 
 
 def near_components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """node, comp of every node: the least node that verified links reach."""
+    spark = docs.sparkSession
     exploded = nodes.select("node", F.explode("keys").alias("key"))
-    counts = exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # What is grouped by a bucket is written before it is joined, so that a bucket of any size can be split in the join.
+    counts = cut(exploded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     members = exploded.join(counts, "key")
     central = members.groupBy(F.col("node").alias("of")).agg(F.sum("n").alias("central"))
     members = cut(members.join(central, F.col("node") == F.col("of")).select("key", "node", "central"))
     hubs = members.groupBy("key").agg(F.max(F.struct("central", (-F.col("node")).alias("least"))).alias("top"))
-    hubs = hubs.select("key", (-F.col("top.least")).alias("hub"))
+    hubs = cut(hubs.select("key", (-F.col("top.least")).alias("hub")))
+    path = scratch(spark, "bags")
+    bags(docs, nodes.join(members.select("node").distinct(), "node")).write.parquet(path)
+    held = spark.read.schema("node long, size long, items binary").parquet(path)
     star = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = verified(docs, nodes, star, least)
-    label = nodes.select("node").join(components(links), "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-    label, near = cut(label), 1
-    while True:
-        placed = members.join(label, "node").select("key", "node", "comp")
-        still = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where(f"lo <> hi AND n > {near}").select("key", "n")
-        placed = cut(placed.join(still, "key"))
-        most = placed.agg(F.max("n")).first()[0]
-        if most is None:
-            return label
-        rows = placed.join(nodes.select("node", "sketch"), "node").repartition("key").sortWithinPartitions("key", "node")
-        far = near * REACH
-        pairs = rows.select("key", "node", "comp", "sketch").mapInArrow(_meeting(near, far, least), "a long, b long").distinct()
-        label, near = linked(label, verified(docs, nodes, pairs, least)), far
-        if most <= near:
-            return label
+    label = components(overlaps(cut(alike(star, nodes, least)), held, least))
+    label = cut(nodes.select("node").join(label, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
+    placed = members.select("key", "node").join(label, "node").join(held.select("node", "size"), "node")
+    sums = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum("size").alias("size")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_ROWS), F.ceil(F.col("size") / BLOCK_ITEMS)).cast("int")
+    still = cut(sums.select("key", blocks.alias("blocks")))
+    if still.isEmpty():
+        return label
+    dealt = placed.select("key", "node", "comp").join(still, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = dealt.join(nodes.select("node", "keys", "sketch"), "node").join(held, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return linked(label, rows.mapInArrow(_meeting(least), "a long, b long"))
 
 
-def _meeting(near: int, far: int, least: float):
-    """Pairs (a, b), a > b, of members of a bucket that are `near` to `far` - 1 places apart, in different
-    components, and whose signatures allow the similarity; the rows come by key and node."""
+def _meeting(least: float):
+    """Links (a, b) between members of different components; the rows of two blocks of a bucket come one after the other."""
     enough = agree(least, BANDS * ROWS)
 
-    def pairs(key, node, comp, sketch):
-        for d in range(near, min(far, len(key))):
-            same = key[d:] == key[:-d]
-            if not same.any():
-                break  # no bucket is that large
-            at = np.flatnonzero(same & (comp[d:] != comp[:-d]))
-            for some in range(0, len(at), CHUNK):
-                i = at[some : some + CHUNK]
-                i = i[(sketch[i] == sketch[i + d]).sum(axis=1) >= enough]
-                if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i + d]), pa.array(node[i])], names=["a", "b"])
-
     def run(batches):
-        held = None
+        held, at = [], None
         for b in batches:
-            new = [b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node", "comp")]
-            new.append(utf8_column(b, "sketch")[0].reshape(len(new[0]), BANDS * ROWS))
-            held = [[x] for x in new] if held is None else [h + [x] for h, x in zip(held, new, strict=True)]
-            if sum(map(len, held[0])) >= CHUNK and held[0][0][0] != new[0][-1]:
-                whole = [np.concatenate(h) for h in held]
-                end = int(np.searchsorted(whole[0], whole[0][-1]))
-                yield from pairs(*(x[:end] for x in whole))
-                held = [[x[end:]] for x in whole]
-        if held is not None:
-            yield from pairs(*(np.concatenate(h) for h in held))
+            names = list(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            first = 0
+            while first < len(names):
+                last = first + 1
+                while last < len(names) and names[last] == names[first]:
+                    last += 1
+                if names[first] != at and held:
+                    yield links(at, held)
+                    held = []
+                at = names[first]
+                held.append(b.slice(first, last - first))
+                first = last
+        if held:
+            yield links(at, held)
+
+    def links(at, held):
+        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = rows.take(pa.array(np.argsort(rows["size"].to_numpy(), kind="stable")))
+        node, comp, own, size = (rows[c].to_numpy() for c in ("node", "comp", "own", "size"))
+        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
+        sketch = utf8_column(rows, "sketch")[0].reshape(len(node), BANDS * ROWS)
+        data, ends = utf8_column(rows, "items")
+        _, column, often = np.unique(data.view(np.uint64), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(node)), size)
+        ends = ends // 8
+        band = int(np.flatnonzero(keys[0] == at[0])[0])
+        comp, found = comp.copy(), []
+        # Bags of J >= least differ in size by that factor at most: a row's partners follow it up to `until`.
+        until = np.searchsorted(size, size / least + 1e-9, "right")
+        for first, last in ((x, min(x + 256, hi)) for lo, hi in slabs(ends, CHUNK) for x in range(lo, hi, 256)):
+            some = np.arange(first, until[last - 1])
+            able = (some > np.arange(first, last)[:, None]) & (some < until[first:last, None]) & (comp[first:last, None] != comp[some])
+            if at[1] != at[2]:
+                able &= own[first:last, None] != own[some]
+            a, b = np.nonzero(able)
+            a, b, bits = a + first, b + first, None
+            for lo in range(0, len(a), CHUNK):
+                x, y = a[lo : lo + CHUNK], b[lo : lo + CHUNK]
+                keep = ((sketch[x] == sketch[y]).sum(axis=1) >= enough) & (comp[x] != comp[y])
+                x, y = x[keep], y[keep]
+                keep = (keys[x] == keys[y]).argmax(axis=1) == band
+                x, y = x[keep], y[keep]
+                if bits is None and len(x):
+                    here = slice(ends[first], ends[some[-1] + 1])
+                    bits = _bits(column[here], of[here] - first, int(ends[last] - ends[first]), often, len(some))
+                step = max(1, (1 << 21) // (1 if bits is None else bits.shape[1]))
+                for part in range(0, len(x), step):
+                    u, v = x[part : part + step], y[part : part + step]
+                    shared = np.bitwise_count(bits[u - first] & bits[v - first]).sum(axis=1, dtype=np.int64)
+                    ok = similar(shared, size[u] + size[v], least)
+                    for p, q in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
+                        if comp[p] != comp[q]:
+                            comp[comp == comp[q]] = comp[p]
+                            found.append((node[p], node[q]))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs of nodes that are similar enough, by their texts."""
-    pairs = cut(pairs)
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # The row that a node stands for: the least doc_id of its text. Other texts under that doc_id fall to the digest.
-    chosen = nodes.join(needed, "node").select("node", "digest", F.col("id").alias("of"))
-    held = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id") == F.col("of")).select("node", "digest", "text")
-    right = held.mapInArrow(_same_text, "node long, text string")
-    a = right.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-    b = right.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-    return overlaps(pairs.join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text"), least).distinct()
+def _bits(column: np.ndarray, row: np.ndarray, own: int, often: np.ndarray, rows: int) -> np.ndarray:
+    """A row of bits for each member: which of the columns among the first `own` entries it has; columns met once don't count."""
+    wanted = np.unique(column[:own][often[column[:own]] > 1])
+    name = np.full(len(often), -1, np.int64)
+    name[wanted] = np.arange(len(wanted))
+    there = name[column]
+    row, there = row[there >= 0], there[there >= 0]
+    bits = np.zeros((rows, max(1, -(-len(wanted) // 64))), np.uint64)
+    np.bitwise_or.at(bits, (row, there >> 6), np.uint64(1) << (there & 63).astype(np.uint64))
+    return bits
 
 
-def _same_text(batches):
-    """Rows whose text has the digest of their node."""
-    for b in batches:
-        same = [t is not None and hashlib.blake2b(t.encode(), digest_size=16).digest() == d for t, d in zip(b.column("text").to_pylist(), b.column("digest").to_pylist(), strict=True)]
-        keep = pa.array(same, pa.bool_())
-        yield pa.RecordBatch.from_arrays([b.column("node").filter(keep), b.column("text").filter(keep)], names=["node", "text"])
+def _classes(docs: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, digest, able (has shingles and a doc_id) of every row; and digest, first, first_digest
+    of every able digest: the least doc_id of its class, and which of that doc_id's texts."""
+    bounded_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", digest().alias("digest"))
+    sigs = cut(signed(docs))
+    rows = sigs.select("doc_id", "digest", (F.col("doc_id").isNotNull() & F.col("keys").isNotNull()).alias("able"))
+    nodes = sigs.where(F.col("doc_id").isNotNull() & F.col("keys").isNotNull())
+    nodes = nodes.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
+    placed = cut(nodes.select("node", "digest", "id").join(near_components(docs, nodes, least), "node"))
+    head = cut(placed.groupBy("comp").agg(F.min(F.struct("id", "digest")).alias("head")))
+    return rows, placed.join(head, "comp").select("digest", F.col("head.id").alias("first"), F.col("head.digest").alias("first_digest"))
 
 
 def near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id of every row; class_id is the least doc_id of the row's class."""
-    bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sigs = cut(signed(docs))
-    able = sigs.where(F.col("doc_id").isNotNull() & F.col("keys").isNotNull())
-    nodes = able.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
-    nodes = cut(nodes.withColumn("node", F.monotonically_increasing_id()))
-    placed = nodes.select("node", "digest", "id").join(near_components(docs, nodes, least), "node")
-    least_id = placed.groupBy("comp").agg(F.min("id").alias("class_id"))
-    classes = placed.join(least_id, "comp").select("digest", "class_id")
-    named = able.select("doc_id", "digest").join(classes, "digest").select("doc_id", "class_id")
-    alone = sigs.where(F.col("doc_id").isNull() | F.col("keys").isNull()).select("doc_id", F.col("doc_id").alias("class_id"))
-    return named.union(alone)
+    rows, found = _classes(docs, least)
+    named = rows.where("able").join(found, "digest").select("doc_id", F.col("first").alias("class_id"))
+    return named.union(rows.where("NOT able").select("doc_id", F.col("doc_id").alias("class_id")))
 
 
 def representatives(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """One document of each class, that of the least doc_id; rows with null doc_id stay.
+    """One document of each class, that of the least doc_id and, among its texts, digest.
 
-    Where a doc_id comes in several rows, one of those of the class stays.
+    Rows with null doc_id stay; so do rows without shingles, but for rows that repeat both doc_id and text.
     """
-    kept = near_duplicates(docs, least).where("doc_id = class_id").groupBy(F.col("doc_id").alias("of")).agg(F.count("*").alias("rows"))
-    joined = boxed(docs, "doc_id").join(kept, F.col("doc_id") == F.col("of"), "left")
-    single = joined.where("rows = 1 OR doc_id IS NULL").select("row")
-    # Rare rows that share a doc_id: only they are grouped with their texts.
-    several = joined.where("rows > 1").select("row", "doc_id").dropDuplicates(["doc_id"]).select("row")
+    rows, found = _classes(docs, least)
+    heads = found.select(F.col("first").alias("doc_id"), F.col("first_digest").alias("digest")).distinct()
+    kept = rows.where("able").join(heads, ["doc_id", "digest"]).unionByName(rows.where("NOT able AND doc_id IS NOT NULL"))
+    kept = kept.groupBy(F.col("doc_id").alias("of"), F.col("digest").alias("of_digest")).agg(F.count("*").alias("times"))
+    box = boxed(docs, "doc_id", "text").select("row", F.col("doc_id").cast("long").alias("doc_id"), digest().alias("digest"))
+    joined = box.join(kept, (F.col("doc_id") == F.col("of")) & (F.col("digest") == F.col("of_digest")), "left")
+    single = joined.where("times = 1 OR doc_id IS NULL").select("row")
+    # Rare rows that are all alike: only they are grouped with their texts.
+    several = joined.where("times > 1").select("row", "of", "of_digest").dropDuplicates(["of", "of_digest"]).select("row")
     return unboxed(single.union(several), docs.columns)
 
 
