@@ -1,18 +1,22 @@
-"""Repeated windows of L units (bytes or words) in a corpus, without listing all windows.
-
-1. Anchors. The least hash among a window's k-unit stretches is its anchor.
-   Neighbouring windows share anchors, so a text falls into runs of windows
-   with one anchor; a run's segment is all that its windows cover. Equal
-   windows have equal anchors at equal offsets: they meet in the bucket of the
-   anchor's hash h. A text has some 2 / (L - k + 2) runs a unit.
+"""Repeated strings of L units (bytes or words) in a corpus, without listing all windows.
+
+1. Anchors. The least hash among the k-unit stretches of a window of `floor`
+   units is its anchor. Neighbouring windows share anchors, so a text falls into
+   runs of windows with one anchor; a run's segment is all that strings of L
+   units from its windows cover (up to the text's end). Equal windows have equal
+   anchors at equal offsets: they meet in the bucket of the anchor's hash h.
+   A text has some 2 / (floor - k + 2) runs a unit.
 2. Equal segments. Runs are grouped by (h, digest of the segment). What occurs
-   twice is repeated as a whole; groups of copies are a counter each.
-3. Buckets. Only where a bucket holds different segments are their units
-   fetched, once for each distinct segment, and suffixes sorted: those at the
-   anchor first; those one unit further left follow by a stable sort on that
-   unit. In each suffix order, stretches of neighbours with a common prefix of
-   L units hold equal windows; a previous or next smaller position within the
-   stretch is an earlier match (the longest previous factor reaches L).
+   twice is repeated as a whole: equal suffixes are one row with a counter.
+3. Suffix order. Where a bucket holds different segments their units are fetched,
+   once for each distinct segment, and suffixes sorted: those at the anchor
+   first; those one unit further left follow by a stable sort on that unit. Each
+   order has its array of longest common prefixes. From a suffix, the previous
+   and the next one in order that stand at a smaller position have the longest
+   earlier match: the greater of the two common prefixes is the suffix's longest
+   previous factor. Factors of the reversed positions are the longest later
+   matches. A factor of L units is a repeated string; `floor` asks for shorter
+   ones too, from the same arrays.
    A bucket with more than `most` distinct segments isn't brought into a task:
    its windows are grouped by digest, in as many tasks as there are.
 4. Ranges of repeated window starts go back to the documents.
@@ -103,8 +107,8 @@ def pieces(ends: np.ndarray, most: int, length: int):
             yield first, lo, hi, ends[first : last + 1] - lo
 
 
-RUN = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("reps", pa.int32())])
-RUN_SQL = "h long, d long, key long, dig long, first long, n int, off int, reps int"
+RUN = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("size", pa.int32()), ("reps", pa.int32())])
+RUN_SQL = "h long, d long, key long, dig long, first long, n int, off int, size int, reps int"
 
 
 class Units:
@@ -124,8 +128,9 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("dig", F.xxhash64(text)).withColumn("text", text)
 
 
-def run_table(docs: DataFrame, units: Units, length: int, k: int, wanted: Callable | None = None) -> DataFrame:
+def run_table(docs: DataFrame, units: Units, length: int, k: int, wanted: Callable | None = None, floor: int | None = None) -> DataFrame:
     """The runs of identified documents; wanted(h) says which anchor hashes to keep."""
+    floor = floor or length
 
     def run(batches):
         for b in batches:
@@ -133,59 +138,92 @@ def run_table(docs: DataFrame, units: Units, length: int, k: int, wanted: Callab
             key, dig = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "dig"))
             for lo_doc, hi_doc in slabs(ends, SLAB):
                 values, store, bounds = units.split(data[ends[lo_doc] : ends[hi_doc]], ends[lo_doc : hi_doc + 1] - ends[lo_doc])
-                for doc0, lo, hi, e in pieces(bounds, SLAB, length):
-                    first, n, a, h, doc = runs(values[lo:hi], e, length, k)
+                whole, w = memoryview(store.tobytes()), units.dtype.itemsize
+                for doc0, lo, hi, e in pieces(bounds, SLAB, floor):
+                    first, n, a, h, doc = runs(values[lo:hi], e, floor, k)
                     if wanted is not None and len(h):
                         keep = wanted(h)
                         first, n, a, h, doc = first[keep], n[keep], a[keep], h[keep], doc[keep]
                     if not len(h):
                         continue
-                    part = store[lo:hi]
-                    whole = memoryview(part.tobytes())
-                    w = units.dtype.itemsize
-                    d = np.array([int.from_bytes(hashlib.blake2b(whole[f * w : t * w], digest_size=8).digest(), "little", signed=True) for f, t in zip(first.tolist(), (first + n - 1 + length).tolist(), strict=True)], np.int64)
+                    rows = doc + doc0
+                    begin = first + lo
+                    end = np.minimum(begin + n - 1 + length, bounds[rows + 1])
+                    # Segments are told apart by their units and their number of windows.
+                    d = [hashlib.blake2b(whole[f * w : t * w], digest_size=8, salt=m.to_bytes(16, "little")).digest() for f, t, m in zip(begin.tolist(), end.tolist(), n.tolist(), strict=True)]
+                    d = np.frombuffer(b"".join(d), np.int64)
                     # A periodic text repeats one segment run by run: such a train of runs is one row.
                     new = np.ones(len(h), bool)
                     new[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (first[1:] != first[:-1] + n[:-1]) | (n[1:] != n[:-1])
                     s = np.flatnonzero(new)
-                    rows = doc[s] + doc0 + lo_doc
-                    within = first[s] + lo - bounds[doc[s] + doc0]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(d[s]), pa.array(key[rows]), pa.array(dig[rows]), pa.array(within), pa.array(n[s].astype(np.int32)), pa.array((a - first)[s].astype(np.int32)), pa.array(np.diff(np.append(s, len(h))).astype(np.int32))], schema=RUN)
+                    within, rows = begin - bounds[rows], rows + lo_doc
+                    ints = lambda x: pa.array(x[s].astype(np.int32))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(d[s]), pa.array(key[rows[s]]), pa.array(dig[rows[s]]), pa.array(within[s]), ints(n), ints(a - first), ints(end - begin), pa.array(np.diff(np.append(s, len(h))).astype(np.int32))], schema=RUN)
 
     return docs.select("key", "dig", "text").mapInArrow(run, RUN_SQL)
 
 
-def smaller_position(place: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether each entry has a previous or a next smaller place within its group; groups are stretches."""
-    opening = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(place, opening)
-    # The least of a stretch has no smaller place on either side; every other entry has it on one of them.
-    return place > np.repeat(least, np.diff(np.append(opening, len(place))))
-
+def longest_previous(place: np.ndarray, lcp: np.ndarray, floor: int) -> np.ndarray:
+    """The longest common prefix of each suffix with one at a smaller place, 0 if below floor.
 
-def resolve(bucket: np.ndarray, segments: list[np.ndarray], off: np.ndarray, n: np.ndarray, place: np.ndarray, length: int, earlier: bool) -> list[list[tuple[int, int]]]:
-    """For each segment, ranges of its windows that another segment of its bucket holds too (earlier: at a smaller place).
+    The suffixes are in order and lcp[i] is the common prefix of i - 1 and i
+    (lcp[0] = 0). The longest match with a smaller place is with the previous or
+    the next smaller one in order. Both are found by jumps: from a neighbour of
+    greater place the search goes on where that neighbour's search has come to.
+    """
+    best = np.zeros(len(place), lcp.dtype)
+    for back in (False, True):
+        p, common = (place[::-1], np.append(lcp[:1], lcp[:0:-1])) if back else (place, lcp.copy())
+        to = np.arange(len(p)) - 1
+        while len(i := np.flatnonzero((common >= floor) & (p[to] > p))):
+            common[i], to[i] = np.minimum(common[i], common[to[i]]), to[to[i]]
+        common = np.where(common >= floor, common, 0)
+        best = np.maximum(best, common[::-1] if back else common)
+    return best
+
+
+def least_between(values: np.ndarray):
+    """A function of a < b: the least of values[a:b], by the minima of stretches of powers of two."""
+    tables = [values]
+    while 2 << len(tables) - 1 <= len(values):
+        last, half = tables[-1], 1 << len(tables) - 1
+        tables.append(np.minimum(last[:-half], last[half:]))
+    wide = np.zeros((len(tables), max(1, len(values))), values.dtype)
+    for level, t in enumerate(tables):
+        wide[level, : len(t)] = t
+
+    def least(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
+        return np.minimum(wide[level, a], wide[level, b - (1 << level)])
+
+    return least
+
+
+def resolve(bucket: np.ndarray, segments: list[np.ndarray], off: np.ndarray, n: np.ndarray, place: np.ndarray, length: int, earlier: bool, floor: int | None = None) -> list[list[tuple[int, int, int]]]:
+    """For each segment, (reach, from, to) ranges of its windows whose longest match in another segment of its bucket
+    is `reach` units or more, for reach = length and floor (earlier: at a smaller place).
 
     bucket: numbers, in order. off: the anchor's place in the segment. place: ranks of the segments' first occurrences.
     """
-    rows = len(segments)
+    rows, floor = len(segments), floor or length
     low = off - n + 1
-    reach = length - low
+    reach = np.minimum(np.array([len(s) for s in segments]) - off, length)
     right = np.zeros((rows, length), segments[0].dtype)
     left = np.zeros((rows, int(off.max()) if rows else 0), segments[0].dtype)
     for x, s in enumerate(segments):
         right[x, : reach[x]] = s[off[x] : off[x] + reach[x]]
         left[x, : off[x]] = s[: off[x]][::-1]
-    names = [(int(b), r.tobytes()) for b, r in zip(bucket, right, strict=True)]
+    # Of suffixes that are alike but for their ends the shorter comes first.
+    names = [(int(b), r.tobytes(), int(z)) for b, r, z in zip(bucket, right, reach, strict=True)]
     order = np.array(sorted(range(rows), key=names.__getitem__))
     # Common prefix with the next suffix in order, no longer than either.
     same = right[order[1:]] == right[order[:-1]]
-    common = np.where(same.all(axis=1), length, same.argmin(axis=1))
+    common = np.where(same.all(axis=1), length, same.argmin(axis=1)).astype(np.int32)
     common = np.minimum(common, np.minimum(reach[order[1:]], reach[order[:-1]]))
-    common[bucket[order[1:]] != bucket[order[:-1]]] = -1
+    least = least_between(common)
     rank = np.empty(rows, np.int64)
     rank[order] = np.arange(rows)
-    flags = np.zeros((rows, int(n.max()) if rows else 0), bool)
+    factors = np.zeros((rows, int(n.max()) if rows else 0), np.int32)
     cls = bucket[order].astype(np.int64)
     for o in range(left.shape[1] + 1):
         if o:
@@ -199,74 +237,79 @@ def resolve(bucket: np.ndarray, segments: list[np.ndarray], off: np.ndarray, n:
                 new = np.ones(len(order), np.int64)
                 new[1:] = (cls[1:] != cls[:-1]) | (unit[1:] != unit[:-1])
                 cls = np.cumsum(new)
-        far = np.concatenate(([0], np.cumsum(common < length - o)))
         live = np.flatnonzero(low[order] <= o)
         x = order[live]
         if len(x) < 2:
             continue
-        alike = (cls[live][1:] == cls[live][:-1]) & (far[rank[x[1:]]] == far[rank[x[:-1]]])
-        if not alike.any():
+        alike = np.flatnonzero(cls[live][1:] == cls[live][:-1])
+        lcp = np.zeros(len(x), np.int32)
+        lcp[alike + 1] = np.minimum(o + least(rank[x[alike]], rank[x[alike + 1]]), length)
+        if lcp.max() < floor:
             continue
-        group = np.cumsum(np.concatenate(([1], ~alike)))
-        if earlier:
-            hit = smaller_position(place[x], group)
-        else:
-            hit = np.zeros(len(x), bool)
-            hit[1:] |= alike
-            hit[:-1] |= alike
-        flags[x[hit], off[x[hit]] - o] = True
-    out = []
-    for x in range(rows):
-        f = np.flatnonzero(np.diff(np.concatenate(([0], flags[x].astype(np.int8), [0]))))
-        out.append(list(zip(f[::2].tolist(), f[1::2].tolist(), strict=True)))
+        found = longest_previous(place[x], lcp, floor)
+        if not earlier:
+            found = np.maximum(found, longest_previous(-place[x], lcp, floor))
+        factors[x, off[x] - o] = found
+    out: list[list[tuple[int, int, int]]] = [[] for _ in range(rows)]
+    for least_reach in {length, floor}:
+        edge = np.diff(np.pad(factors >= least_reach, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        for (x, lo), hi in zip(np.argwhere(edge > 0).tolist(), np.nonzero(edge < 0)[1].tolist(), strict=True):
+            out[x].append((least_reach, lo, hi))
     return out
 
 
-SPAN = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))
-SPAN_SQL = "array<struct<lo: long, hi: long>>"
+SPAN = pa.list_(pa.struct([("reach", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64())]))
+SPAN_SQL = "array<struct<reach: int, lo: long, hi: long>>"
 
 
-def repeated_ranges(docs: DataFrame, units: Units, length: int, k: int, first_stays: bool, wanted: Callable | None = None, most: int = MOST) -> DataFrame:
-    """key, dig, ranges: window starts [lo, hi) of each document that occur elsewhere too.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
-    first_stays: only those that occur earlier, by (doc_id, text hash, place).
+
+def repeated_ranges(docs: DataFrame, units: Units, length: int, k: int, first_stays: bool, wanted: Callable | None = None, most: int = MOST, floor: int | None = None) -> DataFrame:
+    """key, dig, ranges: (reach, lo, hi) for window starts [lo, hi) of each document whose next `reach` units occur elsewhere too.
+
+    reach is length and, if another one is given, floor. first_stays: only those that occur earlier, by (doc_id, text hash, place).
     """
-    spark = docs.sparkSession
-    everything = scratch(spark, "runs")
-    run_table(docs, units, length, k, wanted).write.parquet(everything)
-    table = spark.read.schema(RUN_SQL).parquet(everything)
-    often = table.groupBy("h").agg(F.count("*").alias("c"), F.sum("reps").alias("r")).where("r > 1").select("h")
-    some = scratch(spark, "repeated-runs")
-    table.join(often, "h").write.parquet(some)
-    table = spark.read.schema(RUN_SQL).parquet(some)
-    distinct = table.groupBy("h", "d").agg(F.sum("reps").alias("count"), F.min(F.struct("key", "dig", "first")).alias("at"), F.min("n").alias("n"), F.min("off").alias("off"))
-    kinds = distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    floor = floor or length
+    every = written(run_table(docs, units, length, k, wanted, floor), "runs")
+    # What is grouped by an anchor is written before it is joined, so that an anchor of any frequency can be split in the join.
+    often = written(every.groupBy("h").agg(F.sum("reps").alias("r")).where("r > 1").select("h"), "repeated-anchors")
+    runs_ = written(every.join(often, "h"), "repeated-runs")
+    distinct = runs_.groupBy("h", "d").agg(F.sum("reps").alias("count"), F.min(F.struct("key", "dig", "first")).alias("at"), *[F.min(c).alias(c) for c in ("n", "off", "size")])
+    distinct = written(distinct, "segments")
+    kinds = written(distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     mixed_up = distinct.join(kinds, "h")
-    spans = scratch(spark, "spans")
-    found = resolved(fetch(docs, mixed_up.where(F.col("kinds") <= most), units, length), units, length, first_stays)
-    if kinds.where(F.col("kinds") > most).limit(1).count():
-        found = found.unionByName(by_digest(fetch(docs, mixed_up.where(F.col("kinds") > most), units, length), units, length, first_stays))
-    found.write.parquet(spans)
-    spans = spark.read.schema(f"h long, d long, spans {SPAN_SQL}").parquet(spans)
+    found = resolved(fetch(docs, mixed_up.where(F.col("kinds") <= most), units), units, length, first_stays, floor)
+    if not kinds.where(F.col("kinds") > most).isEmpty():
+        found = found.unionByName(by_digest(fetch(docs, mixed_up.where(F.col("kinds") > most), units), units, length, first_stays, floor))
+    spans = written(found, "spans")
     verdict = distinct.join(spans, ["h", "d"], "left").where("count > 1 OR spans IS NOT NULL").select("h", "d", "count", "at", "spans")
-    placed = table.select("h", "d", "key", "dig", "first", "n", "reps").join(verdict, ["h", "d"])
-    begin, train = F.col("first"), F.col("n").cast("long") * F.col("reps")
-    own = F.transform(F.coalesce("spans", F.array().cast(SPAN_SQL)), lambda s: F.struct((begin + s["lo"]).alias("lo"), (begin + s["hi"]).alias("hi")))
-    span = lambda lo, hi: F.array(F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi")))
-    whole = span(begin, begin + train)
+    placed = runs_.select("h", "d", "key", "dig", "first", "n", "size", "reps").join(verdict, ["h", "d"])
+    begin, n = F.col("first"), F.col("n").cast("long")
+    train = n * F.col("reps")
+    own = F.transform(F.coalesce("spans", F.array().cast(SPAN_SQL)), lambda s: F.struct(s["reach"].alias("reach"), (begin + s["lo"]).alias("lo"), (begin + s["hi"]).alias("hi")))
+    span = lambda reach, lo, hi: F.struct(F.lit(reach).alias("reach"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    # Windows near the text's end have no `length` units; a train of several runs has them all.
+    long = F.when(F.col("reps") > 1, train).otherwise(F.least(n, F.greatest(F.col("size") - length + 1, F.lit(0))))
+    all_of = lambda lo, to: F.filter(F.array(span(length, lo, to), *([span(floor, lo, begin + train)] if floor < length else [])), lambda s: s["lo"] < s["hi"])
+    whole = all_of(begin, begin + long)
     if first_stays:
         is_first = F.col("at") == F.struct("key", "dig", "first")
-        after = F.when(F.col("reps") > 1, F.concat(own, span(begin + F.col("n"), begin + train))).otherwise(own)
-        found = F.when(is_first, after).otherwise(whole)
+        after = F.when(F.col("reps") > 1, F.concat(own, all_of(begin + n, begin + long))).otherwise(own)
+        ranges = F.when(is_first, after).otherwise(whole)
     else:
-        found = F.when(F.col("count") > 1, whole).otherwise(own)
-    ranges = placed.select("key", "dig", F.explode(found).alias("r"))
+        ranges = F.when(F.col("count") > 1, whole).otherwise(own)
+    ranges = placed.select("key", "dig", F.explode(ranges).alias("r"))
     return ranges.groupBy("key", "dig").agg(F.collect_set("r").alias("ranges"))
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, units: Units, length: int) -> DataFrame:
-    """h, d, off, n, key, dig, first, kinds, segment: the units of each distinct segment, from its first document."""
-    asked = wanted.select("h", "d", "off", "n", "kinds", "at.*").groupBy("key", "dig").agg(F.collect_list(F.struct("h", "d", "off", "n", "kinds", "first")).alias("asked"))
+def fetch(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
+    """h, d, off, n, key, dig, first, segment: the units of each distinct segment, from its first document."""
+    asked = wanted.select("h", "d", "off", "n", "size", "at.*").groupBy("key", "dig").agg(F.collect_list(F.struct("h", "d", "off", "n", "size", "first")).alias("asked"))
     both = docs.select("key", "dig", "text").join(asked, ["key", "dig"])
 
     def cutout(batches):
@@ -276,42 +319,47 @@ def fetch(docs: DataFrame, wanted: DataFrame, units: Units, length: int) -> Data
             for i in range(b.num_rows):
                 raw = data[ends[i] : ends[i + 1]]
                 _, store, _ = units.split(raw, np.array([0, len(raw)]))
-                out = [{**x, "key": key[i], "dig": dig[i], "segment": units.segment(store, x["first"], x["first"] + x["n"] - 1 + length)} for x in asked[i]]
+                out = [{**x, "key": key[i], "dig": dig[i], "segment": units.segment(store, x["first"], x["first"] + x["size"])} for x in asked[i]]
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("kinds", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("segment", pa.binary())])
-    return both.mapInArrow(cutout, "h long, d long, off int, n int, kinds long, key long, dig long, first long, segment binary")
+    schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("segment", pa.binary())])
+    return both.mapInArrow(cutout, "h long, d long, off int, n int, key long, dig long, first long, segment binary")
 
 
-def resolved(fetched: DataFrame, units: Units, length: int, earlier: bool) -> DataFrame:
+def resolved(fetched: DataFrame, units: Units, length: int, earlier: bool, floor: int) -> DataFrame:
     """h, d, spans of the segments of buckets that fit a task; each bucket is sorted where it arrives."""
 
     def run(batches):
         rows: list[dict] = []
+        here: set[int] = set()
 
         def flush():
             names = {h: i for i, h in enumerate(dict.fromkeys(r["h"] for r in rows))}
             place = np.empty(len(rows), np.int64)
             place[sorted(range(len(rows)), key=lambda i: (rows[i]["key"], rows[i]["dig"], rows[i]["first"]))] = np.arange(len(rows))
             segments = [np.frombuffer(r["segment"], units.dtype) for r in rows]
-            found = resolve(np.array([names[r["h"]] for r in rows]), segments, np.array([r["off"] for r in rows]), np.array([r["n"] for r in rows]), place, length, earlier)
-            out = [{"h": r["h"], "d": r["d"], "spans": [{"lo": a, "hi": b} for a, b in s]} for r, s in zip(rows, found, strict=True) if s]
+            found = resolve(np.array([names[r["h"]] for r in rows]), segments, np.array([r["off"] for r in rows]), np.array([r["n"] for r in rows]), place, length, earlier, floor)
+            out = [{"h": r["h"], "d": r["d"], "spans": [{"reach": t, "lo": a, "hi": b} for t, a, b in s]} for r, s in zip(rows, found, strict=True) if s]
             return pa.RecordBatch.from_pylist(out, schema)
 
         for b in batches:
             for r in b.to_pylist():
-                if len(rows) >= BLOCK and r["h"] != rows[-1]["h"]:
-                    yield flush()
-                    rows = []
-                rows.append(r)
+                if rows and r["h"] != rows[-1]["h"]:
+                    here.clear()
+                    if len(rows) >= BLOCK:
+                        yield flush()
+                        rows = []
+                if r["d"] not in here:  # a document that stands in several rows gives its segments several times
+                    here.add(r["d"])
+                    rows.append(r)
         if rows:
             yield flush()
 
     schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("spans", SPAN)])
-    return fetched.drop("kinds").repartition("h").sortWithinPartitions("h").mapInArrow(run, f"h long, d long, spans {SPAN_SQL}")
+    return fetched.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"h long, d long, spans {SPAN_SQL}")
 
 
-def by_digest(fetched: DataFrame, units: Units, length: int, earlier: bool) -> DataFrame:
+def by_digest(fetched: DataFrame, units: Units, length: int, earlier: bool, floor: int) -> DataFrame:
     """The same for buckets of any size: a row per window, grouped by the window's digest."""
 
     def run(batches):
@@ -319,25 +367,27 @@ def by_digest(fetched: DataFrame, units: Units, length: int, earlier: bool) -> D
         for b in batches:
             for r in b.to_pylist():
                 raw = memoryview(r["segment"])
-                digests = [hashlib.blake2b(raw[t * w : (t + length) * w], digest_size=16).digest() for t in range(r["n"])]
-                m = r["n"]
-                yield pa.RecordBatch.from_pydict({"w": digests, "t": list(range(m)), **{c: [r[c]] * m for c in ("h", "d", "key", "dig", "first")}}, schema)
-
-    schema = pa.schema([("w", pa.binary()), ("t", pa.int64()), *[(c, pa.int64()) for c in ("h", "d", "key", "dig", "first")]])
-    rows = fetched.mapInArrow(run, "w binary, t long, h long, d long, key long, dig long, first long")
+                for reach in {length, floor}:
+                    m = min(r["n"], len(raw) // w - reach + 1)
+                    if m > 0:
+                        digests = [hashlib.blake2b(raw[t * w : (t + reach) * w], digest_size=16).digest() for t in range(m)]
+                        yield pa.RecordBatch.from_pydict({"w": digests, "reach": [reach] * m, "t": list(range(m)), **{c: [r[c]] * m for c in ("h", "d", "key", "dig", "first")}}, schema)
+
+    schema = pa.schema([("w", pa.binary()), ("reach", pa.int32()), ("t", pa.int64()), *[(c, pa.int64()) for c in ("h", "d", "key", "dig", "first")]])
+    rows = fetched.dropDuplicates(["h", "d"]).mapInArrow(run, "w binary, reach int, t long, h long, d long, key long, dig long, first long")
     at = F.struct("key", "dig", "first")
-    groups = rows.groupBy("h", "w").agg(F.count("*").alias("c"), F.min(at).alias("least")).where("c > 1")
-    hit = rows.join(groups, ["h", "w"])
+    groups = rows.groupBy("h", "reach", "w").agg(F.count("*").alias("c"), F.min(at).alias("least")).where("c > 1")
+    hit = rows.join(groups, ["h", "reach", "w"])
     if earlier:
         hit = hit.where(at != F.col("least"))
-    return hit.groupBy("h", "d").agg(F.collect_list(F.struct(F.col("t").alias("lo"), (F.col("t") + 1).alias("hi"))).alias("spans"))
+    return hit.groupBy("h", "d").agg(F.collect_list(F.struct("reach", F.col("t").alias("lo"), (F.col("t") + 1).alias("hi"))).alias("spans"))
 
 
 def covered(ranges: list | None, size: int, length: int) -> np.ndarray:
-    """Sorted disjoint [lo, hi) stretches of units that the windows starting in the ranges cover, as rows."""
-    if not ranges:
-        return np.zeros((0, 2), np.int64)
-    r = np.array(sorted((x["lo"], x["hi"] - 1 + length) for x in ranges), np.int64)
+    """Sorted disjoint [lo, hi) stretches of units that the strings of `length` units starting in the ranges cover, as rows."""
+    r = np.array(sorted((x["lo"], x["hi"] - 1 + length) for x in (() if ranges is None else ranges) if x["reach"] == length), np.int64).reshape(-1, 2)
+    if not len(r):
+        return r
     top = np.maximum.accumulate(r[:, 1])
     new = np.ones(len(r), bool)
     new[1:] = r[1:, 0] > top[:-1]
