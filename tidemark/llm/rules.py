@@ -27,8 +27,9 @@ COMMON_WORDS = (
     "de", "la", "le", "et", "les", "des", "en", "une", "que", "est",
     "el", "y", "los", "del", "se", "las", "un", "por", "con", "no",
 )
-#: Character classes counted by what their removal leaves; letters beyond ASCII and the rest follow.
-CLASSES = (("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("blank", r"[\x20\x09-\x0D]+"), ("symbol", "[#*$%&|<>]+"), ("ascii", r"[\x00-\x7F]+"))
+#: Character classes counted by what their removal leaves, one after the other: each looks at what is left. The rest of
+#: ASCII is the last class here, and what isn't ASCII is left in the end.
+CLASSES = (("lower", "[a-z]+"), ("blank", r"[\x20\x09-\x0D]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"), ("ascii", r"[\x00-\x7F]+"))
 #: A verdict needs this many words.
 LEAST_WORDS = 40
 #: Largest Jensen-Shannon distance to the language, as (a, b) of a + b / sqrt(n_words), since a
@@ -52,16 +53,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("q_text", "\n"), lambda s: s.rlike(r"[^\x20\x09-\x0D]"))
     d = d.select(
         "*",
-        F.aggregate("q_words", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
         F.when(F.size("q_words") >= 5, hashes).otherwise(F.array().cast("array<bigint>")).alias("q_win"),
         F.when(F.contains("q_text", F.lit("\n")), lines).otherwise(F.array().cast("array<string>")).alias("q_lines"),
         F.length("q_text").cast("long").alias("q_chars"),
-        *[(F.length("q_text") - F.length(F.regexp_replace("q_text", regex, ""))).cast("long").alias(f"q_{name}") for name, regex in CLASSES],
+        F.regexp_replace("q_text", CLASSES[0][1], "").alias("q_left0"),
         F.filter("q_words", lambda w: w.isin(*COMMON_WORDS)).alias("q_common"),
     )
+    for i, (_, regex) in enumerate(CLASSES[1:]):
+        d = d.withColumn(f"q_left{i + 1}", F.regexp_replace(f"q_left{i}", regex, ""))
+    left = [F.col("q_chars"), *[F.length(f"q_left{i}").cast("long") for i in range(len(CLASSES))]]
+    d = d.withColumns({f"q_{name}": left[i] - left[i + 1] for i, (name, _) in enumerate(CLASSES)} | {"q_beyond": left[-1]})
     twice = F.size(F.array_distinct("q_win")) < F.size("q_win")
     d = d.select(
         "*",
+        (F.col("q_chars") - F.col("q_blank")).alias("word_chars"),
         F.col("q_symbol").alias("n_symbols"),
         (F.size("q_lines") - F.size(F.array_distinct("q_lines"))).cast("long").alias("n_dup_lines"),
         F.when(twice, F.sort_array(F.transform("q_win", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("q_sorted"),
@@ -70,9 +75,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("q_places", F.sort_array(F.transform(F.filter("q_sorted", lambda s, i: F.coalesce(alike(s, i), F.lit(False))), lambda s: s["i"])))
     steps = F.zip_with("q_places", F.slice("q_places", 2, F.greatest(F.size("q_places"), F.lit(1))), lambda a, b: F.least(F.lit(5), F.coalesce(b - a, F.lit(5))))
     repeats = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
-    other = F.col("q_chars") - F.col("q_lower") - F.col("q_upper") - F.col("q_digit") - F.col("q_blank") - F.col("q_symbol")
-    beyond = F.col("q_chars") - F.col("q_ascii")
-    chars = F.array("q_lower", "q_upper", "q_digit", "q_blank", "q_symbol", other - beyond, beyond)
+    chars = F.array("q_lower", "q_upper", "q_digit", "q_blank", "q_symbol", "q_ascii", "q_beyond")
     hits = [(F.size("q_common") - F.size(F.array_remove("q_common", w))).cast("long") for w in COMMON_WORDS]
     return d.select(
         *held, "n_words", "word_chars", "n_symbols", "n_dup_lines",
@@ -138,7 +141,7 @@ def op7_rules(spark, sf_dir: str) -> DataFrame:
 def oracle_sql() -> str:
     """The same verdicts in DuckDB SQL, with windows and histograms as rows."""
     gone = lambda regex: f"length(t) - length(regexp_replace(t, '{regex}', '', 'g'))"
-    lower, upper, digit, blank, symbol, ascii_ = (gone(regex) for _, regex in CLASSES)
+    lower, upper, digit, blank, symbol, ascii_ = (gone(dict(CLASSES)[name]) for name in ("lower", "upper", "digit", "blank", "symbol", "ascii"))
     chars = [lower, upper, digit, blank, symbol, f"({ascii_}) - ({lower}) - ({upper}) - ({digit}) - ({blank}) - ({symbol})", f"length(t) - ({ascii_})"]
     hits = [f"len(list_filter(w, lambda x: x = '{word}'))" for word in COMMON_WORDS]
     (ca, cb), (wa, wb) = MOST_CHARS, MOST_WORDS
