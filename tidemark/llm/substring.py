@@ -8,22 +8,25 @@ windows, so an estimate below two proves a window unique. Second pass: only
 windows estimated repeated are grouped exactly, by their words.
 
 The merged sketch leaves the cluster as one bit a cell (estimate of two or
-more), DEPTH * 2**bits bits, whatever the corpus: that is the bound of the
-broadcast. A larger corpus wants a larger `bits` for the filter to spare as
-much; a sketch too small only lets more windows through to the exact pass.
+more), DEPTH * 2**bits bits. It is sized by the corpus, some LOAD cells for each
+anchor, up to 2**BITS cells a row: that bounds the broadcast at 64 MB, whatever
+the corpus. Beyond some 4 * 10**8 anchors (20 GB of text) a fuller sketch lets
+more windows through to the exact pass, which settles them all the same.
 
 Words are told apart by 64-bit hashes. A word goes if a window over it also
 starts earlier: in a smaller doc_id, or in the same document before.
 
-Cases: null and empty texts have no words; texts under 20 words lose none;
-rows that repeat doc_id and text get the same result, none earlier than the
-other; a null doc_id counts as the least; no rows give no rows; further
-columns are ignored.
+Cases: null and empty texts have no words; texts under 20 words lose none; a text
+of any length is cut into runs of bounded size; rows that repeat doc_id and text
+get the same result, none earlier than the other; rows of one doc_id with
+different texts are documents of their own, in order of the texts' hashes; a null
+doc_id counts as the least; no rows give no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,8 @@ from tidemark.llm.common import mixed, slabs, table, utf8_column
 from tidemark.llm.repeats import MOST, SLAB, Units, covered, identified, pieces, repeated_ranges, runs
 
 WINDOW, ANCHOR = 20, 6
-BITS, DEPTH = 26, 2
+#: Cells of a row are 2**LEAST_BITS to 2**BITS, by the corpus: LOAD for each anchor, of which a text has one in some ANCHOR_BYTES.
+LEAST_BITS, BITS, DEPTH, LOAD, ANCHOR_BYTES = 20, 28, 2, 8, 48
 FLUSH = 1 << 21
 
 
@@ -48,6 +52,12 @@ def split(data: np.ndarray, ends: np.ndarray):
 WORDS = Units(split, np.uint64)
 
 
+def sized(docs: DataFrame) -> int:
+    """Bits that number the cells of a sketch of these documents."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, LOAD * size / ANCHOR_BYTES)))))
+
+
 def cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
     return (mixed(h ^ np.uint64(0x5851F42D4C957F2D * (row + 1) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -88,7 +98,7 @@ def partial_sketches(docs: DataFrame, window: int, anchor: int, bits: int) -> Da
     return docs.select("text").mapInArrow(run, "row int, block int, cells binary")
 
 
-def merged_sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = BITS) -> list[np.ndarray]:
+def merged_sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = LEAST_BITS) -> list[np.ndarray]:
     """For each row of the sketch, a packed bit per cell: whether the merged count is two or more."""
 
     def add(batches):
@@ -127,9 +137,10 @@ def estimated_repeated(sketch: list[np.ndarray], h: np.ndarray, bits: int) -> np
     return keep
 
 
-def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = BITS, most: int = MOST) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row."""
+def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, most: int = MOST) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every row; bits: the sketch's size, else by the corpus."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    bits = bits or sized(docs)
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, window, anchor, bits))
     d = identified(docs)
     found = repeated_ranges(d.select("key", "dig", "text"), WORDS, window, anchor, True, lambda h: estimated_repeated(sketch.value, h, bits), most)
