@@ -266,16 +266,24 @@ def near_components(docs: DataFrame, nodes: DataFrame, least: float) -> DataFram
     dealt = placed.select("key", "node", "comp").join(still, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    rows = dealt.join(nodes.select("node", "keys", "sketch"), "node").join(held, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    return linked(label, rows.mapInArrow(_meeting(least), "a long, b long"))
+    signs = nodes.select("node", "keys", "sketch")
+    beside = lambda df: df.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    # First without the shingles: which members have a partner that the signatures allow at all.
+    able = beside(dealt.join(signs, "node").join(held.select("node", "size"), "node")).mapInArrow(_by_blocks(_able, least), "key long, i int, j int, node long, comp long, own int")
+    rows = beside(cut(able).join(signs, "node").join(held, "node"))
+    return linked(label, rows.mapInArrow(_by_blocks(_links, least), "a long, b long"))
 
 
-def _meeting(least: float):
-    """Links (a, b) between members of different components; the rows of two blocks of a bucket come one after the other."""
-    enough = agree(least, BANDS * ROWS)
+def _by_blocks(of, least: float):
+    """Feeds `of` the rows of two blocks of a bucket, by size; they come one after the other."""
 
     def run(batches):
         held, at = [], None
+
+        def done():
+            rows = pa.Table.from_batches(held).combine_chunks()
+            return of(_Members(at, rows.take(pa.array(np.argsort(rows["size"].to_numpy(), kind="stable"))), least))
+
         for b in batches:
             names = list(zip(*(b.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
             first = 0
@@ -284,57 +292,81 @@ def _meeting(least: float):
                 while last < len(names) and names[last] == names[first]:
                     last += 1
                 if names[first] != at and held:
-                    yield links(at, held)
+                    yield done()
                     held = []
                 at = names[first]
                 held.append(b.slice(first, last - first))
                 first = last
         if held:
-            yield links(at, held)
-
-    def links(at, held):
-        rows = pa.Table.from_batches(held).combine_chunks()
-        rows = rows.take(pa.array(np.argsort(rows["size"].to_numpy(), kind="stable")))
-        node, comp, own, size = (rows[c].to_numpy() for c in ("node", "comp", "own", "size"))
-        keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), BANDS)
-        sketch = utf8_column(rows, "sketch")[0].reshape(len(node), BANDS * ROWS)
-        data, ends = utf8_column(rows, "items")
-        _, column, often = np.unique(data.view(np.uint64), return_inverse=True, return_counts=True)
-        of = np.repeat(np.arange(len(node)), size)
-        ends = ends // 8
-        band = int(np.flatnonzero(keys[0] == at[0])[0])
-        comp, found = comp.copy(), []
+            yield done()
+
+    return run
+
+
+class _Members:
+    """Members of one or two blocks of a bucket, in order of size."""
+
+    def __init__(self, at: tuple[int, int, int], rows: pa.Table, least: float):
+        self.rows, self.least, self.across = rows, least, at[1] != at[2]
+        self.node, comp, self.own, self.size = (rows[c].to_numpy() for c in ("node", "comp", "own", "size"))
+        self.comp, n = comp.copy(), rows.num_rows
+        self.keys = rows["keys"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+        self.sketch = utf8_column(rows, "sketch")[0].reshape(n, BANDS * ROWS)
+        self.band = int(np.flatnonzero(self.keys[0] == at[0])[0])
+        self.ends = np.concatenate(([0], np.cumsum(self.size)))
         # Bags of J >= least differ in size by that factor at most: a row's partners follow it up to `until`.
-        until = np.searchsorted(size, size / least + 1e-9, "right")
-        for first, last in ((x, min(x + 256, hi)) for lo, hi in slabs(ends, CHUNK) for x in range(lo, hi, 256)):
-            some = np.arange(first, until[last - 1])
-            able = (some > np.arange(first, last)[:, None]) & (some < until[first:last, None]) & (comp[first:last, None] != comp[some])
-            if at[1] != at[2]:
-                able &= own[first:last, None] != own[some]
+        self.until = np.searchsorted(self.size, self.size / least + 1e-9, "right")
+
+    def pairs(self):
+        """first and last of some rows, and (x, y) arrays: their partners in other components that the sizes and
+        signatures allow and that share no earlier bucket. What is merged meanwhile is left out."""
+        enough = agree(self.least, BANDS * ROWS)
+        for first, last in ((x, min(x + 256, hi)) for lo, hi in slabs(self.ends, CHUNK) for x in range(lo, hi, 256)):
+            some = np.arange(first, self.until[last - 1])
+            able = (some > np.arange(first, last)[:, None]) & (some < self.until[first:last, None]) & (self.comp[first:last, None] != self.comp[some])
+            if self.across:
+                able &= self.own[first:last, None] != self.own[some]
             a, b = np.nonzero(able)
-            a, b, bits = a + first, b + first, None
             for lo in range(0, len(a), CHUNK):
-                x, y = a[lo : lo + CHUNK], b[lo : lo + CHUNK]
-                keep = ((sketch[x] == sketch[y]).sum(axis=1) >= enough) & (comp[x] != comp[y])
-                x, y = x[keep], y[keep]
-                keep = (keys[x] == keys[y]).argmax(axis=1) == band
+                x, y = a[lo : lo + CHUNK] + first, b[lo : lo + CHUNK] + first
+                keep = ((self.sketch[x] == self.sketch[y]).sum(axis=1) >= enough) & (self.comp[x] != self.comp[y])
                 x, y = x[keep], y[keep]
-                if bits is None and len(x):
-                    here = slice(ends[first], ends[some[-1] + 1])
-                    bits = _bits(column[here], of[here] - first, int(ends[last] - ends[first]), often, len(some))
-                step = max(1, (1 << 21) // (1 if bits is None else bits.shape[1]))
-                for part in range(0, len(x), step):
-                    u, v = x[part : part + step], y[part : part + step]
-                    shared = np.bitwise_count(bits[u - first] & bits[v - first]).sum(axis=1, dtype=np.int64)
-                    ok = similar(shared, size[u] + size[v], least)
-                    for p, q in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
-                        if comp[p] != comp[q]:
-                            comp[comp == comp[q]] = comp[p]
-                            found.append((node[p], node[q]))
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return run
+                keep = (self.keys[x] == self.keys[y]).argmax(axis=1) == self.band
+                if keep.any():
+                    yield first, last, x[keep], y[keep]
+
+
+def _able(members: _Members) -> pa.RecordBatch:
+    """The rows that are in some pair."""
+    some = np.zeros(len(members.node), bool)
+    for _, _, x, y in members.pairs():
+        some[x] = some[y] = True
+    rows = members.rows.select(["key", "i", "j", "node", "comp", "own"]).filter(pa.array(some)).combine_chunks()
+    return pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.columns], names=rows.column_names)
+
+
+def _links(members: _Members) -> pa.RecordBatch:
+    """Links (a, b) that join the components of similar members; no more than there are members."""
+    data, _ = utf8_column(members.rows, "items")
+    _, column, often = np.unique(data.view(np.uint64), return_inverse=True, return_counts=True)
+    of, ends, comp, size = np.repeat(np.arange(len(members.node)), members.size), members.ends, members.comp, members.size
+    found, bits, at = [], np.zeros((0, 1), np.uint64), None
+    for first, last, x, y in members.pairs():
+        if at != first:
+            far = members.until[last - 1]
+            here = slice(ends[first], ends[far])
+            bits, at = _bits(column[here], of[here] - first, int(ends[last] - ends[first]), often, far - first), first
+        step = max(1, (1 << 21) // bits.shape[1])
+        for part in range(0, len(x), step):
+            u, v = x[part : part + step], y[part : part + step]
+            shared = np.bitwise_count(bits[u - first] & bits[v - first]).sum(axis=1, dtype=np.int64)
+            ok = similar(shared, size[u] + size[v], members.least)
+            for p, q in zip(u[ok].tolist(), v[ok].tolist(), strict=True):
+                if comp[p] != comp[q]:
+                    comp[comp == comp[q]] = comp[p]
+                    found.append((members.node[p], members.node[q]))
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _bits(column: np.ndarray, row: np.ndarray, own: int, often: np.ndarray, rows: int) -> np.ndarray:
