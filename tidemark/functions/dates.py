@@ -38,32 +38,45 @@ def _day(year: Column, month: Column, day: Column) -> Column:
 def event_date(text: Column, captured: Column) -> Column:
     """The day that text speaks of, seen from the capture time; null if none."""
     today = F.to_date(captured)
-    part = lambda pattern, group: F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
-    number = lambda pattern, group: part(pattern, group).try_cast("int")
-    place = lambda pattern: F.regexp_instr(text, F.lit(pattern))
-
-    def month_named(pattern: str, month_group: int, day_group: int) -> Column:
-        month, day, year = _named(MONTHS)[F.lower(part(pattern, month_group))], number(pattern, day_group), number(pattern, 3)
-        this = _day(F.year(captured), month, day)
-        rolled = F.when(this < today, _day(F.year(captured) + 1, month, day)).otherwise(this)
-        return F.when(year.isNotNull(), _day(year, month, day)).otherwise(rolled)
-
-    word = F.lower(part(RELATIVE, 1))
-    shift = F.when(word == "yesterday", -1).when(word == "today", 0).when(word.isNotNull(), 1)
-    target = _named(WEEKDAYS)[F.lower(part(WEEKDAY, 2))]
-    delta = F.pmod(target - F.dayofweek(captured) + 7, F.lit(7))
-    qualifier = F.coalesce(F.lower(part(WEEKDAY, 1)), F.lit(""))
-    delta = F.when(qualifier == "next", delta + 7).when(qualifier == "last", delta - 7).otherwise(delta)
-    found = [
-        (ISO_DATE, 0, _day(number(ISO_DATE, 1), number(ISO_DATE, 2), number(ISO_DATE, 3))),
-        (MONTH_DAY, 1, month_named(MONTH_DAY, 1, 2)),
-        (DAY_MONTH, 1, month_named(DAY_MONTH, 2, 1)),
-        (RELATIVE, 2, F.date_add(today, shift)),
-        (WEEKDAY, 3, F.date_add(today, delta.cast("int"))),
-    ]
-    structs = [F.struct(place(p).alias("at"), F.lit(prio).alias("prio"), d.alias("day")) for p, prio, d in found]
-    usable = F.filter(F.array(*structs), lambda s: (s["at"] > 0) & s["day"].isNotNull())
-    return F.array_min(usable)["day"]
+
+    def reference(pattern: str, priority: int, day_of) -> Column:
+        """Place, priority and day of the pattern's first match: the text is searched for the match, the match for its parts."""
+
+        def of(match: Column) -> Column:
+            part = lambda group: F.nullif(F.regexp_extract(match, pattern, group), F.lit(""))
+            at = F.when(match != "", F.regexp_instr(text, F.lit(pattern))).otherwise(0)
+            return F.struct(at.alias("at"), F.lit(priority).alias("prio"), F.when(match != "", day_of(part)).alias("day"))
+
+        return F.get(F.transform(F.array(F.regexp_extract(text, pattern, 0)), of), F.lit(0))
+
+    number = lambda x: x.try_cast("int")
+
+    def month_named(month_group: int, day_group: int):
+        def day_of(part) -> Column:
+            month, day, year = _named(MONTHS)[F.lower(part(month_group))], number(part(day_group)), number(part(3))
+            this = _day(F.year(captured), month, day)
+            rolled = F.when(this < today, _day(F.year(captured) + 1, month, day)).otherwise(this)
+            return F.when(year.isNotNull(), _day(year, month, day)).otherwise(rolled)
+
+        return day_of
+
+    def relative(part) -> Column:
+        word = F.lower(part(1))
+        return F.date_add(today, F.when(word == "yesterday", -1).when(word == "today", 0).when(word.isNotNull(), 1))
+
+    def weekday(part) -> Column:
+        delta = F.pmod(_named(WEEKDAYS)[F.lower(part(2))] - F.dayofweek(captured) + 7, F.lit(7))
+        qualifier = F.coalesce(F.lower(part(1)), F.lit(""))
+        return F.date_add(today, F.when(qualifier == "next", delta + 7).when(qualifier == "last", delta - 7).otherwise(delta).cast("int"))
+
+    found = F.array(
+        reference(ISO_DATE, 0, lambda part: _day(number(part(1)), number(part(2)), number(part(3)))),
+        reference(MONTH_DAY, 1, month_named(1, 2)),
+        reference(DAY_MONTH, 1, month_named(2, 1)),
+        reference(RELATIVE, 2, relative),
+        reference(WEEKDAY, 3, weekday),
+    )
+    return F.array_min(F.filter(found, lambda s: (s["at"] > 0) & s["day"].isNotNull()))["day"]
 
 
 def shard_of(ts: Column) -> Column:

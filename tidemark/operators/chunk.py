@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import sentences, token_estimate, word_list
+from tidemark.functions.text import normalize, sentences, token_estimate, word_list
 
 TARGET, MOST = 768, 1024
 _ACC = "struct<done: array<struct<text: string, tokens: int>>, cur: string, tokens: int>"
@@ -51,6 +51,30 @@ def first_seen(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     return df.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("rn = 1").drop("rn")
 
 
+def chunking_stage(events: DataFrame, column: str = "text", **how) -> DataFrame:
+    """events (event_id, text) cut to chunks and judged: event_id, ordinal, chunk, token_count, seq, verdict, kept_as.
+
+    In order of event and ordinal a chunk is an exact repeat of a stored one, or
+    near one, or stored; what collapses isn't remembered.
+    """
+    from tidemark.operators.neardup import collapse
+
+    c = chunk_text(events.select("event_id", normalize(F.col(column)).alias(column)), column, **how).drop(column)
+    c = c.withColumn("seq", F.shiftleft(F.col("event_id").cast("long"), 24) + F.col("ordinal"))
+    return c.join(collapse(c.select("seq", F.col("chunk").alias("text"))).select("seq", "verdict", "kept_as"), "seq")
+
+
+def stage_volume(judged: DataFrame) -> DataFrame:
+    """One row of counters of a chunking stage."""
+    n = lambda v: F.count_if(F.col("verdict") == v)
+    size, kept = F.length("chunk").cast("long"), F.col("verdict") == "retained"
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return judged.agg(
+        F.count("*").alias("produced"), n("retained").alias("stored"), n("exact").alias("exact_skips"), n("near").alias("near_skips"),
+        total(size).alias("raw_chars"), total(F.when(kept, size)).alias("stored_chars"),
+    )
+
+
 def hourly_volume(df: DataFrame, ts: str = "ts", size: str = "n") -> DataFrame:
     """hour (number since the epoch), rows, chars."""
     hour = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(3_600_000_000)).cast("long")

@@ -88,6 +88,23 @@ def exclusion_mode(rules=DEFAULT_RULES) -> Column:
     return mode
 
 
+def mode_of(rules=DEFAULT_RULES):
+    """The same verdict as a function of one context (bundle, app, title, url), for the capture engine."""
+    kept = [(t, re.compile(p, re.IGNORECASE) if t == "regex" else p.lower(), m) for t, p, m in rules if t != "schedule" and (t != "regex" or valid_regex(p))]
+
+    def meets(kind: str, pattern, x: dict) -> bool:
+        if kind == "app":
+            return (x.get("bundle") or "").lower() == pattern
+        if kind in ("window", "url"):
+            return pattern in (x.get("title" if kind == "window" else "url") or "").lower()
+        return kind == "regex" and bool(pattern.search("\n".join(x.get(c) or "" for c in ("bundle", "app", "title", "url"))))
+
+    def mode(x: dict) -> str:
+        return max((m for t, p, m in kept if meets(t, p, x)), key=SEVERITY.__getitem__, default="capture")
+
+    return mode
+
+
 def strategy(bundle: Column, table=STRATEGIES) -> Column:
     known = F.create_map(*[F.lit(x) for kv in table for x in kv])
     return F.coalesce(F.try_element_at(known, bundle), F.lit(DEFAULT_STRATEGY))
@@ -107,6 +124,21 @@ def layered_choice(strategy_: Column, secure: Column, ax: Column, ocr: Column) -
     return F.when(strategy_ == "ocrOnly", from_ocr).when(F.coalesce(secure, F.lit(False)), from_ax).when(needs_ocr(strategy_, ax) & longer, from_ocr).otherwise(from_ax)
 
 
+def ambient_choice(strategy_: Column, resolved: Column, secure: Column, ax: Column, ocr: Column, may_ocr: Column) -> Column:
+    """struct(text, source) of a window in the background; null where nothing may be stored of it.
+
+    A window that couldn't be resolved is not looked at in another way, and a
+    window beyond the sweep's budget has no OCR text. OCR text must be the
+    longer one when normalised.
+    """
+    from_ax = F.when(ax.isNotNull(), F.struct(ax.alias("text"), F.lit("ax").alias("source")))
+    from_ocr = F.when(may_ocr & ocr.isNotNull(), F.struct(ocr.alias("text"), F.lit("ocr").alias("source")))
+    size = lambda c: F.length(normalize(F.coalesce(c, F.lit(""))))
+    better = needs_ocr(strategy_, ax) & from_ocr.isNotNull() & (size(ocr) > size(ax))
+    vetted = F.when(F.coalesce(secure, F.lit(False)), from_ax).when(better, from_ocr).otherwise(from_ax)
+    return F.when(strategy_ == "ocrOnly", from_ocr).when(resolved, vetted)
+
+
 def ocr_within_budget(df: DataFrame, budget: int = OCR_BUDGET) -> DataFrame:
     """df (sweep, position, needs) plus may_ocr: the first `budget` rows of a sweep that need OCR."""
     nth = F.row_number().over(W.partitionBy("sweep", "needs").orderBy("position"))

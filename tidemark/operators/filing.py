@@ -123,7 +123,20 @@ def transitions(drafts: DataFrame, actions: DataFrame) -> DataFrame:
     return j.withColumn("result", result).withColumn("new_status", F.when(F.col("result") == "ok", to).otherwise(F.col("status")))
 
 
-def pending(drafts: DataFrame, limit: int) -> DataFrame:
-    """Drafts awaiting approval, oldest first; rows without key or with an unknown status don't count."""
-    ok = drafts.where(F.col("external_key").isNotNull() & F.col("status").isin(*STATUSES))
-    return ok.where("status = 'draft'").orderBy("created_at", "id").limit(max(limit, 0))
+def readable(drafts: DataFrame) -> DataFrame:
+    """Drafts that can be read: rows without key or with an unknown status don't count."""
+    return drafts.where(F.col("external_key").isNotNull() & F.col("status").isin(*STATUSES))
+
+
+def by_id(drafts: DataFrame, id_) -> DataFrame:
+    return readable(drafts).where(F.col("id") == id_)
+
+
+def by_status(drafts: DataFrame, status: str, limit: int = 100) -> DataFrame:
+    """Drafts of a status, oldest first."""
+    return readable(drafts).where(F.col("status") == status).orderBy("created_at", "id").limit(max(limit, 0))
+
+
+def pending(drafts: DataFrame, limit: int = 100) -> DataFrame:
+    """Drafts awaiting approval, oldest first."""
+    return by_status(drafts, "draft", limit)

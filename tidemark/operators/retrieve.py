@@ -59,6 +59,11 @@ def inverted_index(chunks: DataFrame) -> DataFrame:
     return words.groupBy("shard", "term", "chunk_id", "len").agg(F.count("*").alias("tf"))
 
 
+def chunk_lengths(chunks: DataFrame) -> DataFrame:
+    """shard, chunk_id, len (terms) of every chunk, of which shard_stats are counts and means."""
+    return chunks.select("shard", "chunk_id", F.size(index_terms(F.col("text"))).alias("len"))
+
+
 def shard_stats(chunks: DataFrame) -> DataFrame:
     """shard, n_chunks, avg_len."""
     return chunks.groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg(F.size(index_terms(F.col("text")))).alias("avg_len"))
@@ -179,6 +184,25 @@ def unembedded(chunks: DataFrame, vectors: DataFrame, model: str, batch: int | N
     return left if batch is None else left.limit(batch)
 
 
+def keyword_hits(index: DataFrame, stats: DataFrame, probes: DataFrame, k: int) -> DataFrame:
+    """probe, chunk_id, score, place: the first k chunks of many keyword searches at once, over all shards as one.
+
+    probes: probe, nth, term. The searches share one pass over the index.
+    """
+    whole = stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum(F.col("n_chunks") * F.col("avg_len")) / F.sum("n_chunks")).alias("avg_len"))
+    wanted = probes.select("term").distinct()
+    some = index.join(wanted, "term").withColumn("n", F.count("*").over(W.partitionBy("term")))
+    s = some.crossJoin(F.broadcast(whole)).withColumn("idf", F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    idf = F.when(F.col("idf") <= 0, F.lit(RARE_IDF)).otherwise(F.col("idf"))
+    s = s.withColumn("part", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
+    hits = s.select("term", "chunk_id", "part").join(probes, "term")
+    # Parts add up in the terms' order, so that equal texts score alike.
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda x: x["part"])
+    scored = hits.groupBy("probe", "chunk_id").agg((-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+    place = F.row_number().over(W.partitionBy("probe").orderBy("score", "chunk_id"))
+    return scored.withColumn("place", place).where(F.col("place") <= k)
+
+
 def recall_at(results: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
     """probes, hits, recall: share of the probes whose expected label is among their first k results."""
     hit = results.where(F.col("place") <= k).join(expected, ["probe", "label"], "left_semi").select("probe").distinct()

@@ -47,17 +47,56 @@ def sweep_distinct(captures: DataFrame) -> DataFrame:
     return captures.withColumn("stored", ~F.coalesce(same, F.lit(False)))
 
 
-def capture_stats(events: DataFrame) -> DataFrame:
-    """One row of counters of an engine's event log (kind, skipped)."""
+def capture_stats(log: DataFrame) -> DataFrame:
+    """One row of counters of an engine's output (kind; provider_calls and idle_calls so far, by stream)."""
     n = lambda cond: F.count_if(cond)
-    return events.agg(
-        n(F.col("kind") == "open").alias("episodes_opened"), n(F.col("kind") == "close").alias("episodes_closed"),
-        n(F.col("kind") == "screen").alias("screen_events"), n(F.col("kind") == "clipboard").alias("clipboard_events"),
-        n(F.col("kind") == "skip").alias("dedup_skips"),
+    streams = log.groupBy("stream").agg(
+        *[n(F.col("kind") == k).alias(k) for k in ("open", "close", "screen", "clipboard", "skip")],
+        F.max("provider_calls").alias("calls"), F.max("idle_calls").alias("idle"),
     )
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
+    return streams.agg(
+        total("open", "episodes_opened"), total("close", "episodes_closed"), total("screen", "screen_events"), total("clipboard", "clipboard_events"),
+        total("skip", "dedup_skips"), total("calls", "provider_calls"), total("idle", "idle_provider_calls"),
+    )
+
+
+def ambient_sweeps(captures: DataFrame, rules=None) -> DataFrame:
+    """The windows of sweeps as the engine sees them, plus mode, text (redacted), redaction_flags, text_hash and outcome.
+
+    captures: sweep (consecutive numbers), window_id, bundle, app, title, url,
+    text (null where nothing was read). A window's text is stored as an episode
+    of its own, apart from the focused stream, unless it is that stored last
+    while the window has been in each sweep. outcome: excluded, nothing, skip
+    or stored. A redact rule stores a placeholder and reads nothing.
+    """
+    from tidemark.functions.text import capped, normalize, text_hash
+    from tidemark.operators import exclude, redact
+
+    rules = exclude.DEFAULT_RULES if rules is None else rules
+    c = captures.withColumn("mode", exclude.exclusion_mode(rules))
+    read = F.when(F.col("mode") == "capture", F.nullif(normalize(capped(F.col("text"))), F.lit("")))
+    c = redact.redact(c.withColumn("text", read))
+    masked = F.col("mode") == "redact"
+    c = c.withColumn("text", F.when(masked, F.lit(redact.PLACEHOLDER)).otherwise(F.col("text")))
+    c = c.withColumn("title", F.when(masked, F.lit(redact.PLACEHOLDER)).otherwise(F.col("title"))).withColumn("text_hash", F.when(F.col("text").isNotNull(), text_hash(F.col("text"))))
+    w = W.partitionBy("window_id").orderBy("sweep")
+    c = c.withColumn("stretch", F.col("sweep") - F.row_number().over(w))
+    before = F.last("text_hash", True).over(W.partitionBy("window_id", "stretch").orderBy("sweep").rowsBetween(W.unboundedPreceding, -1))
+    same = before.eqNullSafe(F.col("text_hash"))
+    outcome = F.when(F.col("mode") == "never_capture", "excluded").when(F.col("text").isNull(), "nothing").when(same, "skip").otherwise("stored")
+    return c.withColumn("outcome", outcome).drop("stretch")
+
+
+def sweep_stats(swept: DataFrame) -> DataFrame:
+    """One row of counters of ambient_sweeps: episodes, events, provider calls, skips."""
+    n = lambda cond, name: F.count_if(cond).alias(name)
+    stored = F.col("outcome") == "stored"
+    return swept.agg(n(stored, "ambient_episodes"), n(stored, "ambient_events"), n(F.col("mode") == "capture", "ambient_provider_calls"), n(F.col("outcome") == "skip", "ambient_dedup_skips"))
 
 
-def sweep_log(captures: DataFrame) -> DataFrame:
-    """sweep, window_id, step, kind: open, event and close of each stored window of a sweep, apart from the focused stream."""
-    stored = sweep_distinct(captures).where("stored")
-    return stored.select("sweep", "window_id", F.posexplode(F.array(F.lit("open"), F.lit("event"), F.lit("close"))).alias("step", "kind"))
+def sweep_log(swept: DataFrame) -> DataFrame:
+    """sweep, window_id, step, kind, title, text, text_hash, redaction_flags: open, event and close of each stored window."""
+    event = F.col("kind") == "event"
+    stored = swept.where("outcome = 'stored'").select("*", F.posexplode(F.array(F.lit("open"), F.lit("event"), F.lit("close"))).alias("step", "kind"))
+    return stored.select("sweep", "window_id", "step", "kind", "title", *[F.when(event, F.col(c)).alias(c) for c in ("text", "text_hash", "redaction_flags")])

@@ -2,13 +2,17 @@
 
 An episode lives in the shard of its start week with all its events, chunks
 and vectors. Readers list the directories anew with each query.
+
+An ingest is a transaction: its tables are written aside, marked as ready, and
+then moved file by file. `recover` finishes what was ready and drops what
+wasn't, so a lost driver leaves either all of an episode or nothing; a
+transaction of one name is done once.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-import os
-import tempfile
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +21,24 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.dates import shard_bounds, shard_of
+from tidemark.operators.retrieve import Query, chunk_lengths, hybrid_search, inverted_index, shards_for
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. On one machine the warehouse serves; on a cluster it must be named."""
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if there:
+        return there
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
 def reliable(df: DataFrame) -> DataFrame:
     """df, its lineage cut by a checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidemark-checkpoints"))
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
     return df.checkpoint()
 
 
@@ -47,18 +62,112 @@ class Store:
 
     def append(self, table: str, df: DataFrame) -> None:
         """Rows added to a table; columns it lacks are null."""
-        want = schemas.struct(table)
-        df = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
-        writer = df.write.mode("append")
+        writer = self._fitted(table, df).write.mode("append")
         (writer.partitionBy("shard") if table in schemas.SHARDED else writer).parquet(self.path(table))
 
-    def ingest(self, episodes: DataFrame, events: DataFrame, chunks: DataFrame) -> None:
-        """Episodes to the shard of their start, events and chunks along with their episode."""
-        e = episodes.withColumn("shard", shard_of(F.col("ts_start")))
+    def ingest(self, episodes: DataFrame, events: DataFrame, chunks: DataFrame, name: str | None = None) -> None:
+        """Episodes to the shard of their start, events, chunks and their index along with them: all of it or nothing."""
+        name = name or uuid.uuid4().hex
+        if self.exists(f"{self.root}/_done/{name}"):
+            return
+        aside = f"{self.root}/_pending/{name}"
+        e = reliable(episodes.withColumn("shard", shard_of(F.col("ts_start"))))
         of = e.select(F.col("id").alias("episode_id"), "shard")
-        self.append("events", events.join(of, "episode_id"))
-        self.append("chunks", chunks.join(of, "episode_id"))
-        self.append("episodes", e)
+        c = chunks.join(of, "episode_id")
+        kept = c.select("shard", F.col("id").alias("chunk_id"), "text")
+        for table, df in (("events", events.join(of, "episode_id")), ("chunks", c), ("postings", inverted_index(kept)), ("lengths", chunk_lengths(kept)), ("episodes", e)):
+            self._fitted(table, df).write.mode("overwrite").partitionBy("shard").parquet(f"{aside}/{table}")
+        self._touch(f"{aside}/_READY")
+        self._publish(name)
+
+    def _publish(self, name: str) -> None:
+        """Moves a ready transaction's files to their tables, the episodes last. Done again, it moves what is left."""
+        aside = f"{self.root}/_pending/{name}"
+        for table in ("events", "chunks", "postings", "lengths", "episodes"):
+            for shard in self._children(f"{aside}/{table}"):
+                for part in self._children(f"{aside}/{table}/{shard}") if shard.startswith("shard=") else ():
+                    self._move(f"{aside}/{table}/{shard}/{part}", f"{self.path(table)}/{shard}", f"{name}-{part}")
+        self._touch(f"{self.root}/_done/{name}")
+        self.delete(aside)
+
+    def recover(self) -> list[str]:
+        """Finishes transactions that were ready, drops the others; returns the names of those finished."""
+        done = []
+        for name in self._children(f"{self.root}/_pending"):
+            if self.exists(f"{self.root}/_pending/{name}/_READY"):
+                self._publish(name)
+                done.append(name)
+            else:
+                self.delete(f"{self.root}/_pending/{name}")
+        return done
+
+    def version(self) -> int:
+        """The schema version that the store was last brought to; 0 for a new one."""
+        held = [int(x.removeprefix("version=")) for x in self._children(f"{self.root}/_schema")]
+        return max(held, default=0)
+
+    def migrate(self) -> list[int]:
+        """Applies the schema versions above the store's; returns them. Columns that files lack read as null."""
+        if self.version() > schemas.SCHEMA_VERSION:
+            raise ValueError(f"the store has schema version {self.version()}, this is {schemas.SCHEMA_VERSION}")
+        steps = [v for v in sorted(schemas.VERSIONS) if v > self.version()]
+        for v in steps:
+            if "postings" in schemas.VERSIONS[v] and self.version():
+                self.reindex()
+            self._touch(f"{self.root}/_schema/version={v}")
+        return steps
+
+    def reindex(self) -> None:
+        """Writes postings and lengths anew from the chunks."""
+        kept = self.read("chunks").select("shard", F.col("id").alias("chunk_id"), "text")
+        for table, df in (("postings", inverted_index(kept)), ("lengths", chunk_lengths(kept))):
+            self._fitted(table, df).write.mode("overwrite").partitionBy("shard").parquet(self.path(table))
+
+    def search(self, q: Query, **vector) -> DataFrame:
+        """hybrid_search over the shards that the query's range meets; postings and vectors are read, not made.
+
+        Chunks come with their episode's application and keys and their event's
+        provenance; a chunk without its event isn't found.
+        """
+        names = shards_for(self.shards(), q.time_range)
+        part = lambda table: self.read(table).where(F.col("shard").isin(names))
+        of = part("episodes").select("shard", F.col("id").alias("episode_id"), "app_name", "bundle_id", "entity_keys")
+        prov = part("events").select("shard", F.col("id").alias("event_id"), "provenance")
+        chunks = part("chunks").withColumnRenamed("id", "chunk_id").join(of, ["shard", "episode_id"]).join(prov, ["shard", "event_id"])
+        stats = part("lengths").groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
+        if vector:
+            vector["vectors"] = part("vectors")
+        return hybrid_search(chunks, q, index=part("postings"), stats=stats, **vector)
+
+    def _fitted(self, table: str, df: DataFrame) -> DataFrame:
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(table)])
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        p, fs = self._at(path)
+        return fs.exists(p)
+
+    def delete(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
+    def _children(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _touch(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.create(p, True).close()
+
+    def _move(self, path: str, folder: str, name: str) -> None:
+        p, fs = self._at(path)
+        to, _ = self._at(folder)
+        fs.mkdirs(to)
+        if not fs.rename(p, self.spark._jvm.org.apache.hadoop.fs.Path(to, name)):
+            raise OSError(f"{path} can't be moved to {folder}")
 
     def shards(self, table: str = "episodes") -> list[str]:
         """Ids of the existing shards, sorted; one short string a week leaves the cluster."""
@@ -72,11 +181,9 @@ class Store:
     def purge_before(self, cutoff: dt.datetime) -> list[str]:
         """Drop the shards that end at or before cutoff, whole directories at a time; returns their ids."""
         gone = [s for s in self.shards() if shard_bounds(s)[1] <= cutoff]
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in schemas.SHARDED:
             for s in gone:
-                p = jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/shard={s}")
-                p.getFileSystem(conf).delete(p, True)
+                self.delete(f"{self.path(table)}/shard={s}")
         return gone
 
     def upsert_vectors(self, new: DataFrame) -> None:

@@ -4,7 +4,9 @@ A stream key (a user or device) has its own machine, so streams run apart.
 Signals: seq, ts, kind (app_change, text_signal, clipboard, activity, tick,
 finish), bundle, app, title, text. text of app_change, activity and tick is
 what a text provider would read then.
-Output rows: seq, ts, kind (open, screen, clipboard, skip, close), episode, app, title, text, text_hash.
+Output rows: seq, ts, kind (open, screen, clipboard, skip, close), episode, bundle, app, title, text, text_hash,
+redaction_flags, provider_calls and idle_calls so far. Exclusion rules decide on
+each context, and every text passes the redactor before it is hashed or stored.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.redact import PLACEHOLDER
+from tidemark.operators.exclude import DEFAULT_RULES, mode_of
+from tidemark.operators.redact import PLACEHOLDER, redacted
 
 IDLE, DEBOUNCE, FALLBACK, MAX_TEXT = 300.0, 2.0, 30.0, 200_000
-OUT_SQL = "stream string, seq long, ts double, kind string, episode long, app string, title string, text string, text_hash string"
+OUT_SQL = "stream string, seq long, ts double, kind string, episode long, bundle string, app string, title string, text string, text_hash string, redaction_flags int, provider_calls long, idle_calls long"
+OUT = [c.split()[0] for c in OUT_SQL.split(", ")]
 SIGNAL_COLUMNS = ["seq", "ts", "kind", "bundle", "app", "title", "text"]
 
 
@@ -39,16 +43,17 @@ class State:
     idle: bool = False
     seen: dict = field(default_factory=dict)
     provider_calls: int = 0
+    idle_calls: int = 0
 
 
-def default_mode(signal: dict) -> str:
-    return "capture"
+default_mode = mode_of(DEFAULT_RULES)
 
 
 class Engine:
-    """One stream's machine; `mode` says never_capture, redact or capture of a signal's context."""
+    """One stream's machine; `mode` says never_capture, redact or capture of a signal's context,
+    `redact` gives a text without its secrets and flags of what they were."""
 
-    def __init__(self, state: State | None = None, mode=default_mode, redact=lambda t: t):
+    def __init__(self, state: State | None = None, mode=default_mode, redact=redacted):
         self.s, self.mode, self.redact = state or State(), mode, redact
 
     def feed(self, x: dict) -> list[dict]:
@@ -56,9 +61,11 @@ class Engine:
         getattr(self, "_" + x["kind"])(x, out)
         return out
 
-    def _emit(self, x: dict, out: list, kind: str, ts: float, text: str | None = None) -> None:
-        masked = self.mode(x) == "redact"
-        out.append({"seq": x["seq"], "ts": ts, "kind": kind, "episode": self.s.episode, "app": self.s.app, "title": PLACEHOLDER if masked and self.s.title is not None else self.s.title, "text": text, "text_hash": hashlib.sha256(text.encode()).hexdigest() if text is not None else None})
+    def _emit(self, x: dict, out: list, kind: str, ts: float, text: str | None = None, flags: int = 0) -> None:
+        here = {"bundle": self.s.bundle, "app": self.s.app, "title": self.s.title}
+        title = PLACEHOLDER if self.s.title is not None and self.mode(here) == "redact" else self.s.title
+        digest = hashlib.sha256(text.encode()).hexdigest() if text is not None else None
+        out.append({"seq": x["seq"], "ts": ts, "kind": kind, "episode": self.s.episode, **here, "title": title, "text": text, "text_hash": digest, "redaction_flags": flags, "provider_calls": self.s.provider_calls, "idle_calls": self.s.idle_calls})
 
     def _same(self, x: dict) -> bool:
         return self.s.has_context and (self.s.bundle, self.s.title or "") == (x["bundle"], x["title"] or "")
@@ -80,21 +87,22 @@ class Engine:
             self.s.open_since = None
 
     def _store(self, x: dict, out: list, kind: str, text: str, slot: str) -> None:
-        text = self.redact(" ".join(text[:MAX_TEXT].split()))
-        if self.mode(x) == "redact":
-            text = PLACEHOLDER
+        text = PLACEHOLDER if self.mode(x) == "redact" else " ".join(text[:MAX_TEXT].split())
         if not text:
             return
+        text, flags = self.redact(text)
         digest = hashlib.sha256(text.encode()).hexdigest()
         if self.s.seen.get(slot) == digest:
-            self._emit(x, out, "skip", x["ts"], text)
+            self._emit(x, out, "skip", x["ts"], text, flags)
             return
         self.s.seen[slot] = digest
-        self._emit(x, out, kind, x["ts"], text)
+        self._emit(x, out, kind, x["ts"], text, flags)
 
     def _capture(self, x: dict, out: list) -> None:
         self.s.attempt = x["ts"]
-        self.s.provider_calls += 0 if self.mode(x) == "redact" else 1
+        if self.mode(x) != "redact":
+            self.s.provider_calls += 1
+            self.s.idle_calls += int(self.s.idle)
         self._store(x, out, "screen", x["text"] or "", f"screen|{self.s.bundle}|{self.s.title or ''}")
 
     def _app_change(self, x: dict, out: list) -> None:
@@ -158,27 +166,27 @@ class Engine:
         self._close(x, out, x["ts"])
 
 
-def replay(signals: Iterable[dict], mode=default_mode) -> tuple[list[dict], State]:
+def replay(signals: Iterable[dict], mode=default_mode, redact=redacted) -> tuple[list[dict], State]:
     """All output of a list of signals, and the last state."""
-    e, out = Engine(mode=mode), []
+    e, out = Engine(mode=mode, redact=redact), []
     for x in signals:
         out += e.feed(x)
     return out, e.s
 
 
-def folded(signals: DataFrame, by: str = "stream", mode=default_mode) -> DataFrame:
+def folded(signals: DataFrame, by: str = "stream", mode=default_mode, redact=redacted) -> DataFrame:
     """The engine over a finished table: each stream's signals pass through in order, none is held."""
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, e = object(), Engine(mode=mode)
+        key, e = object(), Engine(mode=mode, redact=redact)
         for b in batches:
             rows = []
             for x in b.astype(object).where(b.notna(), None).to_dict("records"):
                 if x[by] != key:
-                    key, e = x[by], Engine(mode=mode)
+                    key, e = x[by], Engine(mode=mode, redact=redact)
                 rows += [{"stream": key, **r} for r in e.feed(x)]
-            yield pd.DataFrame(rows, columns=["stream", "seq", "ts", "kind", "episode", "app", "title", "text", "text_hash"])
+            yield pd.DataFrame(rows, columns=OUT)
 
     ordered = signals.select(by, *SIGNAL_COLUMNS).repartition(by).sortWithinPartitions(by, "seq")
     return ordered.mapInPandas(run, OUT_SQL)
@@ -187,7 +195,7 @@ def folded(signals: DataFrame, by: str = "stream", mode=default_mode) -> DataFra
 STATE_SQL = "json string"
 
 
-def streamed(signals: DataFrame, by: str = "stream", mode=default_mode) -> DataFrame:
+def streamed(signals: DataFrame, by: str = "stream", mode=default_mode, redact=redacted) -> DataFrame:
     """The engine over a stream of signals: state per key, output in append mode.
 
     Rows of a micro-batch are taken in order of seq; a later batch must not
@@ -199,14 +207,14 @@ def streamed(signals: DataFrame, by: str = "stream", mode=default_mode) -> DataF
 
     def step(key, batches, state):
         held = State(**json.loads(state.get[0])) if state.exists else State()
-        e, rows = Engine(held, mode=mode), []
+        e, rows = Engine(held, mode=mode, redact=redact), []
         parts = [b for b in batches if len(b)]
         if parts:
             b = pd.concat(parts).sort_values("seq")
             for x in b.astype(object).where(b.notna(), None).to_dict("records"):
                 rows += [{"stream": key[0], **r} for r in e.feed(x)]
         state.update((json.dumps(asdict(e.s)),))
-        yield pd.DataFrame(rows, columns=["stream", "seq", "ts", "kind", "episode", "app", "title", "text", "text_hash"])
+        yield pd.DataFrame(rows, columns=OUT)
 
     return signals.select(by, *SIGNAL_COLUMNS).groupBy(by).applyInPandasWithState(step, OUT_SQL, STATE_SQL, "append", "NoTimeout")
 
@@ -214,32 +222,38 @@ def streamed(signals: DataFrame, by: str = "stream", mode=default_mode) -> DataF
 class CatalogSink:
     """A foreachBatch function that files episodes once they close.
 
-    Engine rows wait in a staging table (under `staging`, by batch) until their
-    episode's close row comes; then episode, events and chunks are ingested
-    together into the shard of the episode's start. A batch that runs again
-    overwrites its own staging directory, and episodes already filed are left
-    out, so a retry adds nothing twice. Episodes without events are dropped.
+    Engine rows wait in a staging table (under `staging`) until their episode's
+    close row comes; then episode, events and chunks are ingested together into
+    the shard of the episode's start. A batch reads what the one before left
+    open, and leaves behind what is open after it: its cost follows the open
+    episodes, not the history. A batch that runs again overwrites its own
+    directory and its ingest is done once (by name and batch number), so a retry
+    adds nothing twice. Episodes without events are dropped.
     """
 
-    def __init__(self, store, staging: str):
-        self.store, self.staging = store, staging
+    def __init__(self, store, staging: str, name: str = "sink"):
+        self.store, self.staging, self.name = store, staging, name
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from tidemark.operators.chunk import chunk_text
         from tidemark.schemas import DEFAULT_PROVENANCE
 
-        batch.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{self.staging}/batch={batch_id}")
         spark = batch.sparkSession
-        rows = spark.read.option("basePath", self.staging).parquet(self.staging)
+        batch.write.mode("overwrite").parquet(f"{self.staging}/batch={batch_id}")
+        rows = spark.read.schema(OUT_SQL).parquet(f"{self.staging}/batch={batch_id}")
+        if self.store.exists(f"{self.staging}/open={batch_id - 1}"):
+            rows = rows.unionByName(spark.read.schema(OUT_SQL).parquet(f"{self.staging}/open={batch_id - 1}"))
+        ended = rows.where("kind = 'close'").select("stream", "episode").distinct()
+        rows.join(ended, ["stream", "episode"], "left_anti").write.mode("overwrite").parquet(f"{self.staging}/open={batch_id}")
         name = F.concat_ws("-", "stream", F.col("episode").cast("string"))
         rows = rows.withColumn("episode_id", name).withColumn("at", F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")))
-        closed = rows.where((F.col("kind") == "close") & (F.col("batch") == batch_id)).select("episode_id", F.col("at").alias("ts_end"))
-        filed = self.store.read("episodes").select(F.col("id").alias("episode_id"))
-        closed = closed.join(filed, "episode_id", "left_anti")
+        closed = rows.where("kind = 'close'").select("episode_id", F.col("at").alias("ts_end"))
         events = rows.where(F.col("kind").isin("screen", "clipboard")).join(closed.select("episode_id"), "episode_id", "left_semi")
-        events = events.select(F.concat_ws("-", "episode_id", F.col("seq").cast("string")).alias("id"), "episode_id", F.col("at").alias("ts"), F.col("kind").alias("type"), F.lit("ax").alias("source"), F.lit(1.0).alias("confidence"), F.col("text").alias("raw_text"), "text_hash", F.lit(0).alias("redaction_flags"), F.lit(DEFAULT_PROVENANCE).alias("provenance"))
-        opened = rows.where("kind = 'open'").select("episode_id", F.col("at").alias("ts_start"), F.col("app").alias("bundle_id"), F.col("app").alias("app_name"), F.col("title").alias("window_title"))
+        events = events.select(F.concat_ws("-", "episode_id", F.col("seq").cast("string")).alias("id"), "episode_id", F.col("at").alias("ts"), F.col("kind").alias("type"), F.lit("ax").alias("source"), F.lit(1.0).alias("confidence"), F.col("text").alias("raw_text"), "text_hash", "redaction_flags", F.lit(DEFAULT_PROVENANCE).alias("provenance"))
+        opened = rows.where("kind = 'open'").select("episode_id", F.col("at").alias("ts_start"), F.col("bundle").alias("bundle_id"), F.col("app").alias("app_name"), F.col("title").alias("window_title"))
         episodes = opened.join(closed, "episode_id").join(events.select("episode_id").distinct(), "episode_id", "left_semi").withColumnRenamed("episode_id", "id")
         chunks = chunk_text(events.select("id", "episode_id", "ts", "source", F.col("raw_text").alias("text")))
         chunks = chunks.select(F.concat_ws("-", "id", F.col("ordinal").cast("string")).alias("id"), "episode_id", F.col("id").alias("event_id"), F.col("chunk").alias("text"), "token_count", F.col("ts").alias("ts_capture"), "source")
-        self.store.ingest(episodes, events, chunks)
+        self.store.ingest(episodes, events, chunks, f"{self.name}-{batch_id}")
+        for old in (f"batch={batch_id - 1}", f"open={batch_id - 2}"):
+            self.store.delete(f"{self.staging}/{old}")
