@@ -77,4 +77,8 @@ def test_sweeps_store_changes_only(spark):
     c = spark.createDataFrame(rows, "sweep long, window_id long, hash string")
     got = {(r.sweep, r.window_id) for r in sessions.sweep_distinct(c).where("stored").collect()}
     assert got == {(1, 7), (3, 7), (5, 7), (1, 8)}
-    assert sessions.sweep_log(c).count() == 12
+    windows = c.selectExpr("sweep", "window_id", "'com.example.a' AS bundle", "'a' AS app", "'t' AS title", "cast(null AS string) AS url", "hash AS text")
+    swept = sessions.ambient_sweeps(windows)
+    assert {(r.sweep, r.window_id) for r in swept.where("outcome = 'stored'").collect()} == got
+    assert sessions.sweep_log(swept).count() == 12
+    assert sessions.sweep_stats(swept).first().asDict() == {"ambient_episodes": 4, "ambient_events": 4, "ambient_provider_calls": 5, "ambient_dedup_skips": 1}

@@ -96,7 +96,7 @@ def is_card_run(run: str) -> bool:
 def redact_checked(df: DataFrame, name: str, flag: int, pattern: str, valid: Callable[[str], bool], column: str = "text") -> DataFrame:
     """df with the matches that `valid` accepts masked and `flag` set; each match is judged by itself.
 
-    Only rows that hold a match pass through Python.
+    Only texts that hold a match are sent to Python, the others as nulls; one scan does both.
     """
     matcher = re.compile(pattern, re.ASCII)
 
@@ -106,11 +106,11 @@ def redact_checked(df: DataFrame, name: str, flag: int, pattern: str, valid: Cal
 
     if "redaction_flags" not in df.columns:
         df = df.withColumn("redaction_flags", F.lit(0))
-    candidate = F.coalesce(F.col(column).rlike(pattern), F.lit(False))
-    rest = df.where(~candidate)
-    done = df.where(candidate).withColumn("was", F.col(column)).withColumn(column, masked(F.col(column)))
-    done = done.withColumn("redaction_flags", F.when(F.col(column) != F.col("was"), F.col("redaction_flags").bitwiseOR(F.lit(flag))).otherwise(F.col("redaction_flags"))).drop("was")
-    return done.select(*df.columns).unionByName(rest)
+    given = F.when(F.col(column).rlike(pattern), F.col(column))
+    step = df.select(*df.columns, masked(given).alias("_masked"))
+    hit = F.coalesce(F.col("_masked") != F.col(column), F.lit(False))
+    changed = {column: F.coalesce("_masked", column), "redaction_flags": F.when(hit, F.col("redaction_flags").bitwiseOR(F.lit(flag))).otherwise(F.col("redaction_flags"))}
+    return step.select(*[changed[c].alias(c) if c in changed else c for c in df.columns])
 
 
 def redact_cards(df: DataFrame, column: str = "text") -> DataFrame:

@@ -169,6 +169,12 @@ def known_provenance(p: Column) -> Column:
     return F.when(p.isin("untrusted_ambient", "user_input", "system"), p).otherwise(F.lit("untrusted_ambient"))
 
 
+def with_provenance(chunks: DataFrame, events: DataFrame) -> DataFrame:
+    """chunks with their event's provenance (events: id, and shard where chunks have it); a chunk without its event goes."""
+    by = ["shard", "event_id"] if "shard" in chunks.columns else ["event_id"]
+    return chunks.join(events.withColumnRenamed("id", "event_id").select(*by, known_provenance(F.col("provenance")).alias("provenance")), by)
+
+
 def shards_for(names: list[str], time_range: tuple[dt.datetime, dt.datetime] | None) -> list[str]:
     """The shards whose week meets a closed range; all without one."""
     if time_range is None:

@@ -25,7 +25,7 @@ ELO, EHI = (f"TIMESTAMP '{x}'" for x in q.EVENT_RANGE)
 STRATEGY = "CASE " + " ".join(f"WHEN bundle = {lit(b)} THEN {lit(s)}" for b, s in exclude.STRATEGIES) + " ELSE 'axThenOCR' END"
 BUNDLE = "CASE " + " ".join(f"WHEN doc_id % 13 = {i} THEN {lit(b)}" for i, (b, _) in enumerate(exclude.STRATEGIES)) + " ELSE 'com.example.other' END"
 STRATEGIES_SQL = f"""b AS (SELECT *, {BUNDLE} AS bundle FROM documents),
-s AS (SELECT doc_id, bundle, {STRATEGY} AS strategy, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 12) ELSE text END AS ax, substr(text, 1, 40) AS ocr FROM b),
+s AS (SELECT doc_id, bundle, {STRATEGY} AS strategy, CASE WHEN doc_id % 3 = 0 THEN lang ELSE text END AS ax, text || chr(10) || source AS ocr FROM b),
 n AS (SELECT *, CASE strategy WHEN 'axOnly' THEN false WHEN 'ocrOnly' THEN true ELSE length(trim(regexp_replace(coalesce(ax, ''), '\\s+', ' ', 'g'))) <= 16 END AS needs FROM s)"""
 SENTENCES = "list_filter(list_transform(regexp_split_to_array(regexp_replace({0}, '([.!?]) ', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
 TOKENS = "CAST(ceil(len(" + WORDS + ") * CAST(1.3 AS DOUBLE)) AS INT)"
@@ -93,24 +93,31 @@ def _index() -> str:
       bm AS (SELECT shard, chunk_id, -sum(part ORDER BY nth) AS score FROM parts GROUP BY ALL)"""
 
 
-def _search(lo: str, hi: str, limit: int, keyword: bool = True) -> str:
+def _search(lo: str, hi: str, limit: int, keyword: bool = True, vectors: bool = False) -> str:
     pool = max(5 * limit, 50)
     lists = []
     if keyword:
         lists.append(f"SELECT shard, chunk_id, 1 AS l, row_number() OVER (PARTITION BY shard ORDER BY score, chunk_id) AS r FROM bm JOIN able USING (shard, chunk_id) QUALIFY r <= {pool}")
     lists.append(f"SELECT shard, chunk_id, 2 AS l, row_number() OVER (PARTITION BY shard ORDER BY ts_capture DESC, chunk_id) AS r FROM able QUALIFY r <= {pool}")
-    return f"""able AS (SELECT * FROM chunks WHERE ts_capture BETWEEN {lo} AND {hi}), lists AS ({" UNION ALL ".join(lists)}),
-      fused AS (SELECT shard, chunk_id, coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 1 THEN r END)), 0) + coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 2 THEN r END)), 0) AS score FROM lists GROUP BY ALL)"""
-
-
-def _full(lo: str, hi: str, limit: int, keyword: bool = True) -> str:
-    return f"""WITH {_index()}, {_search(lo, hi, limit, keyword)},
+    near = weeks = ""
+    if vectors:  # in a store, where weeks outside the range aren't read
+        weeks = f" AND shard BETWEEN {SHARD_SQL.format(lo)} AND {SHARD_SQL.format(hi)}"
+        near = f"""{QUANT}, b AS (SELECT z.vec_id AS chunk_id, ints, CAST(CAST(s AS FLOAT) AS DOUBLE) AS scale FROM z JOIN s USING (vec_id)),
+      near AS (SELECT b.chunk_id, list_sum(list_transform(range(1, 65), lambda i: CAST(b.ints[i] * p.ints[i] AS BIGINT))) * b.scale * p.scale AS similarity FROM b, b p WHERE p.chunk_id = 0),
+      """
+        lists.append(f"SELECT shard, chunk_id, 3 AS l, row_number() OVER (PARTITION BY shard ORDER BY similarity DESC, chunk_id) AS r FROM near JOIN able USING (chunk_id) WHERE similarity >= 0.3 QUALIFY r <= {pool}")
+    return f"""{near}able AS (SELECT * FROM chunks WHERE ts_capture BETWEEN {lo} AND {hi}{weeks}), lists AS ({" UNION ALL ".join(lists)}),
+      fused AS (SELECT shard, chunk_id, coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 1 THEN r END)), 0) + coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 2 THEN r END)), 0) + coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 3 THEN r END)), 0) AS score FROM lists GROUP BY ALL)"""
+
+
+def _full(lo: str, hi: str, limit: int, keyword: bool = True, vectors: bool = False) -> str:
+    return f"""WITH {_index()}, {_search(lo, hi, limit, keyword, vectors)},
       fe AS (SELECT f.*, episode_id FROM fused f JOIN chunks USING (shard, chunk_id)),
       c1 AS (SELECT *, row_number() OVER (PARTITION BY shard, episode_id ORDER BY score DESC, chunk_id) > 3 AS beyond FROM fe),
       d1 AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY beyond, score DESC, chunk_id) AS place FROM c1 QUALIFY place <= {limit}),
       again AS (SELECT chunk_id, episode_id, CASE WHEN (SELECT count(DISTINCT shard) FROM d1) > 1 THEN 1.0::DOUBLE / (60 + place) ELSE score END AS score FROM d1),
       c2 AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, chunk_id) > 3 AS beyond FROM again)
-      SELECT chunk_id, episode_id, round(score, 9) AS score, row_number() OVER (ORDER BY beyond, score DESC, chunk_id) AS place FROM c2 QUALIFY place <= {limit}"""
+      SELECT chunk_id, episode_id, round(score, 9) AS score, row_number() OVER (ORDER BY beyond, score DESC, chunk_id) AS place{", 'untrusted_ambient' AS provenance" if vectors else ""} FROM c2 QUALIFY place <= {limit}"""
 
 
 QUANT = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
@@ -121,6 +128,12 @@ LUHN = """d AS (SELECT o_orderkey, '4' || lpad(CAST(o_orderkey AS VARCHAR), 6, '
   SELECT o_orderkey, list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 1 THEN CASE WHEN 2 * CAST(digits[i] AS INT) > 9 THEN 2 * CAST(digits[i] AS INT) - 9 ELSE 2 * CAST(digits[i] AS INT) END ELSE CAST(digits[i] AS INT) END)) % 10 = 0 AS valid FROM d"""
 
 
+AMBIENT_SQL = f"""WITH m AS (SELECT doc_id // 40 AS sweep, doc_id % 40 AS window_id, lang, CASE WHEN source = 'src1' THEN 'never_capture' WHEN lang = 'de' THEN 'redact' ELSE 'capture' END AS mode FROM documents),
+  x AS (SELECT sweep, window_id, mode, CASE WHEN mode = 'redact' THEN '{redact.PLACEHOLDER}' ELSE 'window ' || lang END AS title, CASE mode WHEN 'redact' THEN '{redact.PLACEHOLDER}' WHEN 'capture' THEN lang END AS text, sweep - row_number() OVER (PARTITION BY window_id ORDER BY sweep) AS stretch FROM m),
+  y AS (SELECT *, last_value(text IGNORE NULLS) OVER (PARTITION BY window_id, stretch ORDER BY sweep ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x),
+  swept AS (SELECT sweep, window_id, mode, title, text, CASE WHEN mode = 'never_capture' THEN 'excluded' WHEN text IS NULL THEN 'nothing' WHEN before IS NOT DISTINCT FROM text THEN 'skip' ELSE 'stored' END AS outcome FROM y)"""
+
+
 def oracle_sql() -> dict[str, str]:
     contexts = f"WITH {CONTEXTS_SQL}"
     shards = f"WITH s AS (SELECT DISTINCT {SHARD_SQL.format('ts')} AS shard, CAST(date_trunc('week', ts) AS TIMESTAMP) AS lo FROM events), r AS (SELECT shard, lo, lo + INTERVAL 7 DAY AS hi FROM s)"
@@ -157,9 +170,9 @@ def oracle_sql() -> dict[str, str]:
         "knn_topk": f"WITH {QUANT} SELECT z.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(z.ints[i] * p.ints[i] AS BIGINT))) AS BIGINT) AS dot FROM z, z p WHERE p.vec_id = 0 AND z.vec_id <> 0 ORDER BY dot DESC, z.vec_id LIMIT 10",
         "unembedded_anti": f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT doc_id FROM labels)",
         "vector_upsert_latest": "SELECT user_id AS chunk_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1",
-        "query_terms": f"""WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(map(lit, STOPWORDS))})) AS w FROM benchmark),
-          p AS (SELECT item_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT item_id, term, min(i) AS i FROM p GROUP BY ALL)
-          SELECT item_id, term, CAST(row_number() OVER (PARTITION BY item_id ORDER BY i) - 1 AS INT) AS nth FROM f QUALIFY nth < {MAX_TERMS}""",
+        "query_terms": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(map(lit, STOPWORDS))})) AS w FROM documents),
+          p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, term, min(i) AS i FROM p GROUP BY ALL)
+          SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS nth FROM f QUALIFY nth < {MAX_TERMS}""",
         "bm25_topk": f"WITH {_index()} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score, chunk_id LIMIT 50",
         "recency_topk": f"WITH {CHUNKS_SQL} SELECT shard, chunk_id, row_number() OVER (PARTITION BY shard ORDER BY ts_capture DESC, chunk_id) AS rank FROM chunks QUALIFY rank <= 50",
         "filter_time_app_entity": f"WITH {CHUNKS_SQL} SELECT chunk_id, ts_capture FROM chunks WHERE ts_capture BETWEEN {LO} AND {HI} AND (app_name = 'src0' OR bundle_id = 'src0') AND list_contains(entity_keys, 'en')",
@@ -171,29 +184,45 @@ def oracle_sql() -> dict[str, str]:
         "recall_at_3": f"""WITH {_index()}, w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(map(lit, STOPWORDS))})) AS w FROM benchmark),
           p AS (SELECT item_id AS probe, unnest(list_slice(w, 1, 100000)) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT probe, term, min(i) AS i FROM p GROUP BY ALL),
           t AS (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY i) AS nth FROM f QUALIFY nth <= {MAX_TERMS}),
-          h AS (SELECT probe, chunk_id, count(*) AS n FROM (SELECT DISTINCT term, chunk_id FROM idx) JOIN t USING (term) GROUP BY ALL),
-          top AS (SELECT probe, n, row_number() OVER (PARTITION BY probe ORDER BY n DESC, chunk_id) AS place FROM h QUALIFY place <= 3), z AS (SELECT probe, count(*) AS size FROM t GROUP BY probe),
-          hit AS (SELECT DISTINCT probe FROM top JOIN z USING (probe) WHERE n * 10 >= size * 9)
+          g AS (SELECT sum(n_chunks) AS n_chunks, sum(n_chunks * avg_len) / sum(n_chunks) AS avg_len FROM stats), df2 AS (SELECT term, count(*) AS n FROM idx GROUP BY term),
+          p2 AS (SELECT probe, chunk_id, nth, CASE WHEN ln((g.n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((g.n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) END
+            * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / g.avg_len)) AS part FROM idx JOIN t USING (term) JOIN df2 USING (term), g),
+          sc AS (SELECT probe, chunk_id, -sum(part ORDER BY nth) AS score FROM p2 GROUP BY ALL),
+          top AS (SELECT probe, chunk_id, row_number() OVER (PARTITION BY probe ORDER BY score, chunk_id) AS place FROM sc QUALIFY place <= 3),
+          held AS (SELECT item_id AS probe, chunk_id FROM benchmark b JOIN chunks c ON contains(c.text, b.text) WHERE item_id IN (SELECT probe FROM t)),
+          z AS (SELECT DISTINCT probe FROM held), hit AS (SELECT DISTINCT probe FROM top JOIN held USING (probe, chunk_id))
           SELECT count(*) AS probes, CAST(count(hit.probe) AS BIGINT) AS hits, count(hit.probe) / CAST(count(*) AS DOUBLE) AS recall FROM z LEFT JOIN hit USING (probe)""",
+        "store_search": _full(LO, HI, 20, vectors=True),
         "sessions_idle": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 43200 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS ts_start, max(ts) AS ts_end, count(*) AS n_events FROM s GROUP BY 1, 2",
         "sessions_idle_global": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 300 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS session FROM g) SELECT CAST(session AS BIGINT) AS session, min(ts) AS ts_start, max(ts) AS ts_end, count(*) AS n_events FROM s GROUP BY 1",
         "context_episodes": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 43200 SECOND OR lag(ts) OVER w IS NULL OR event_type IS DISTINCT FROM lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM g) SELECT user_id, CAST(episode AS BIGINT) AS episode, min(ts) AS ts_start, max(ts) AS ts_end, count(*) AS n FROM s GROUP BY 1, 2",
         "consecutive_dedup": "SELECT event_id, user_id, event_type AS app FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)",
         "sweep_dedup": "WITH e AS (SELECT doc_id % 40 AS window_id, doc_id // 40 AS sweep, lang FROM documents) SELECT sweep, window_id, NOT coalesce(lag(sweep) OVER w = sweep - 1 AND lag(lang) OVER w = lang, false) AS stored FROM e WINDOW w AS (PARTITION BY window_id ORDER BY sweep)",
-        "capture_stats": "WITH k AS (SELECT CASE WHEN lag(event_type) OVER w IS NULL THEN 'open' WHEN lag(event_type) OVER w = event_type THEN 'skip' WHEN event_type = 'click' THEN 'clipboard' ELSE 'screen' END AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT count(*) FILTER (WHERE k = 'open') AS episodes_opened, count(*) FILTER (WHERE k = 'close') AS episodes_closed, count(*) FILTER (WHERE k = 'screen') AS screen_events, count(*) FILTER (WHERE k = 'clipboard') AS clipboard_events, count(*) FILTER (WHERE k = 'skip') AS dedup_skips FROM k",
+        "capture_stats": """WITH k AS (SELECT user_id, ts, event_id, event_id % 7 = 0 AS clip, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS new FROM events),
+          e AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS episode FROM k),
+          g AS (SELECT user_id, episode, arg_min(clip, (ts, event_id)) AS first_clip, count(*) FILTER (WHERE clip) AS clips FROM e GROUP BY ALL)
+          SELECT count(*) AS episodes_opened, count(*) - count(DISTINCT user_id) AS episodes_closed, count(*) FILTER (WHERE NOT first_clip) AS screen_events, count(*) FILTER (WHERE clips > 0) AS clipboard_events,
+            CAST(sum(greatest(clips - 1, 0)) AS BIGINT) AS dedup_skips, count(*) FILTER (WHERE NOT first_clip) AS provider_calls, CAST(0 AS BIGINT) AS idle_provider_calls FROM g""",
+        "ambient_sweep": f"{AMBIENT_SQL} SELECT sweep, window_id, mode, title, text, outcome FROM swept",
+        "sweep_stats": f"{AMBIENT_SQL} SELECT count(*) FILTER (WHERE outcome = 'stored') AS ambient_episodes, count(*) FILTER (WHERE outcome = 'stored') AS ambient_events, count(*) FILTER (WHERE mode = 'capture') AS ambient_provider_calls, count(*) FILTER (WHERE outcome = 'skip') AS ambient_dedup_skips FROM swept",
+        "sweep_log": f"{AMBIENT_SQL} SELECT sweep, window_id, step, kind, title, CASE WHEN kind = 'event' THEN text END AS text FROM swept, (VALUES (0::BIGINT, 'open'), (1, 'event'), (2, 'close')) v(step, kind) WHERE outcome = 'stored'",
+        "ambient_choice": f"""WITH {STRATEGIES_SQL}, c AS (SELECT *, doc_id % 4 <> 0 AND ocr IS NOT NULL AS has, length({NORM.replace("text", "coalesce(ocr, '')")}) > length({NORM.replace("text", "coalesce(ax, '')")}) AS longer FROM n),
+          x AS (SELECT *, CASE WHEN strategy = 'ocrOnly' THEN CASE WHEN has THEN 'ocr' END WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 7 <> 0 AND needs AND has AND longer THEN 'ocr' WHEN ax IS NOT NULL THEN 'ax' END AS source FROM c)
+          SELECT doc_id, source, length(CASE source WHEN 'ocr' THEN ocr WHEN 'ax' THEN ax END) AS n_text FROM x""",
         "sweep_plan": f"""WITH w AS (SELECT p_partkey % 20 AS sweep, p_partkey AS window_id, p_partkey % 37 AS pid, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_type END AS title, p_size * 20 * 400 AS area,
           p_partkey % 13 <> 0 AS on_screen, p_partkey % 17 = 0 AS layered, p_partkey % 101 = 0 AS hidden FROM part),
           k AS (SELECT * FROM w WHERE on_screen AND NOT layered AND area >= {exclude.MIN_AREA} AND title IS NOT NULL AND (sweep, pid) NOT IN (SELECT (sweep, pid) FROM w WHERE hidden))
           SELECT sweep, window_id, row_number() OVER (PARTITION BY sweep ORDER BY area DESC, window_id) AS place FROM k QUALIFY place <= {exclude.MAX_WINDOWS}""",
-        "ledger_since": "SELECT o_orderpriority AS process, count(*) AS n, CAST(sum(CAST(floor(o_totalprice) AS BIGINT)) AS BIGINT) AS bytes, min(CAST(o_orderdate AS TIMESTAMP)) AS first_ts FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1",
+        "ledger_since": "SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderstatus AS destination, CAST(floor(o_totalprice) AS BIGINT) AS byte_count, CAST(o_orderkey AS VARCHAR) AS purpose FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderpriority = '1-URGENT'",
         "draft_insert_idempotent": f"WITH {DRAFTS_SQL} SELECT id, external_key FROM drafts WHERE external_key NOT IN (SELECT external_key FROM drafts WHERE id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY created_at, id) = 1",
         "draft_transition": f"""WITH {DRAFTS_SQL}, a AS (SELECT o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS id, ['approve', 'dismiss', 'commit', 'undo'][o_orderkey % 4 + 1] AS action FROM orders),
           r AS (SELECT a.id, action, status, CASE WHEN status IS NULL THEN 'not_found' WHEN (action = 'approve' AND status = 'draft') OR (action = 'dismiss' AND status IN ('draft', 'approved')) OR (action = 'commit' AND status = 'approved') OR (action = 'undo' AND status = 'committed') THEN 'ok' ELSE 'illegal_transition' END AS result FROM a LEFT JOIN drafts d ON d.id = a.id)
           SELECT id, action, result, CASE WHEN result = 'ok' THEN CASE action WHEN 'approve' THEN 'approved' WHEN 'dismiss' THEN 'dismissed' WHEN 'commit' THEN 'committed' ELSE 'undone' END ELSE status END AS new_status FROM r""",
+        "drafts_by_status": f"WITH {DRAFTS_SQL} SELECT id, external_key, status FROM drafts WHERE status = 'approved' ORDER BY created_at, id LIMIT 25",
         "pending_drafts": f"WITH {DRAFTS_SQL} SELECT id, external_key FROM drafts WHERE status = 'draft' ORDER BY created_at, id LIMIT 25",
         "url_denylist": f"SELECT page_id, {url.format('url')} AS in_url, {url.format('html')} AS in_html FROM pages",
         "compose_page": "SELECT item_id AS id, CAST(0 AS INT) AS nth, 'heading_2' AS type, 'Log' AS text, 'none' AS checked FROM benchmark UNION ALL SELECT item_id, 1, 'bulleted_list_item', text, 'none' FROM benchmark UNION ALL SELECT * FROM (VALUES (-2, 0, 'paragraph', 'No activity captured for this period.', 'none'), (-1, 0, 'heading_2', 'Commitments', 'none'), (-1, 1, 'to_do', 'ship (due 2026-02-01)', 'false'), (-1, 2, 'to_do', 'call', 'false'), (-1, 3, 'heading_2', 'Log', 'none'), (-1, 4, 'bulleted_list_item', 'met', 'none'), (-1, 5, 'heading_2', 'Reading', 'none'), (-1, 6, 'bulleted_list_item', 'paper', 'none'))",
         "format_results": f"SELECT conv_id, turn, sha256('[' || turn || '] ax · ' || turn || ' · episode ' || substr(CAST(conv_id AS VARCHAR), 1, 8) || chr(10) || CASE WHEN {role} = 'untrusted_ambient' THEN '⟦[' || translate(text, '⟦⟧', '[]') || '⟧' ELSE '[' || translate(text, '⟦⟧', '[]') END) AS hash FROM conversations",
-        "provenance_join": f"WITH p AS (SELECT CASE WHEN turn % 5 = 4 THEN 'untrusted_ambient' ELSE {role} END AS provenance, text FROM conversations) SELECT provenance, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM p GROUP BY 1",
+        "provenance_join": f"WITH t AS (SELECT conv_id, turn, CASE WHEN turn % 5 = 4 THEN 'odd label' ELSE {role} END AS label, text FROM conversations), v AS (SELECT conv_id, turn, min(label) AS label FROM t WHERE (conv_id + turn) % 11 <> 0 GROUP BY ALL) SELECT CASE WHEN v.label = 'odd label' THEN 'untrusted_ambient' ELSE v.label END AS provenance, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM t JOIN v USING (conv_id, turn) GROUP BY 1",
     }
     return out

@@ -12,7 +12,7 @@ from tidemark.functions import dates, text, vectors
 from tidemark.operators import chunk, exclude, filing, neardup, redact, retrieve, serve, sessions
 from tidemark.plans import derived
 from tidemark.plans.derived import table
-from tidemark.sources.store import latest_vectors, reliable
+from tidemark.sources.store import Store, latest_vectors, reliable, scratch
 
 RANGE = (dt.datetime(2026, 1, 12), dt.datetime(2026, 1, 25, 12))
 #: Stretch of the events' weeks.
@@ -63,7 +63,7 @@ def exclusion_mode(spark, d):
 def _strategies(spark, d):
     seeds = F.array(*[F.lit(b) for b, _ in exclude.STRATEGIES])
     e = table(spark, d, "documents").withColumn("bundle", F.when(F.col("doc_id") % 13 < 12, F.get(seeds, (F.col("doc_id") % 13).cast("int"))).otherwise(F.lit("com.example.other")))
-    return e.withColumn("strategy", exclude.strategy(F.col("bundle"))).withColumn("ax", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.col("text"))).withColumn("ocr", F.substring("text", 1, 40))
+    return e.withColumn("strategy", exclude.strategy(F.col("bundle"))).withColumn("ax", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(F.col("text"))).withColumn("ocr", F.concat("text", F.lit("\n"), "source"))
 
 
 def capability_strategy(spark, d):
@@ -202,7 +202,7 @@ def vector_upsert_latest(spark, d):
 
 
 def query_terms(spark, d):
-    return table(spark, d, "benchmark").select("item_id", F.posexplode(text.query_terms(F.col("text"))).alias("nth", "term"))
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.query_terms(F.col("text"))).alias("nth", "term"))
 
 
 def _bm25(spark, d):
@@ -252,15 +252,36 @@ def recent_activity(spark, d):
 
 
 def recall_at_3(spark, d):
-    """For every benchmark item, whether a document with most of its words is among the three that share most."""
-    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("probe"), F.explode(text.query_terms(F.col("text"))).alias("term"))
-    index = retrieve.inverted_index(derived.chunks(spark, d)).select("term", "chunk_id").distinct()
-    hits = index.join(terms, "term").groupBy("probe", "chunk_id").agg(F.count("*").alias("n"))
-    place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("n"), "chunk_id"))
-    top = hits.withColumn("place", place).where("place <= 3")
-    size = terms.groupBy("probe").agg(F.count("*").alias("size"))
-    labelled = top.join(size, "probe").withColumn("label", (F.col("n") * 10 >= F.col("size") * 9).cast("int"))
-    return retrieve.recall_at(labelled, size.select("probe", F.lit(1).alias("label")))
+    """For every benchmark item that some chunk holds, whether a keyword search for it brings such a chunk among its first three."""
+    c = derived.chunks(spark, d)
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("probe"), F.col("text").alias("item"))
+    probes = items.select("probe", F.posexplode(text.query_terms(F.col("item"))).alias("nth", "term"))
+    index = reliable(retrieve.inverted_index(c))
+    found = retrieve.keyword_hits(index, retrieve.shard_stats(c), probes, 3)
+    # A chunk that holds an item has all its terms: only such pairs are compared as texts.
+    terms = items.join(probes.select("probe").distinct(), "probe").select("probe", F.array_distinct(text.index_terms(F.col("item"))).alias("terms"))
+    wanted = terms.select("probe", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+    pairs = index.select("term", "chunk_id").join(wanted, "term").groupBy("probe", "chunk_id", "size").agg(F.count("*").alias("n")).where("n = size")
+    held = pairs.select("probe", "chunk_id").join(items, "probe").join(c.select("chunk_id", "text"), "chunk_id").where(F.col("text").contains(F.col("item")))
+    held = reliable(held.select("probe", "chunk_id", F.lit(1).alias("label")))
+    return retrieve.recall_at(found.join(held, ["probe", "chunk_id"]), held.select("probe", "label"))
+
+
+def store_search(spark, d):
+    """A search with a query vector in a store: documents are ingested with their index and vectors, and weeks outside the range stay unread."""
+    key = lambda c: F.lpad(F.col(c).cast("string"), 15, "0")
+    c = derived.chunks(spark, d)
+    store = Store(spark, scratch(spark, "store"))
+    episodes = c.groupBy("episode_id").agg(F.min("ts_capture").alias("ts_start"), F.max("ts_capture").alias("ts_end"), *[F.min(x).alias(x) for x in ("app_name", "bundle_id", "entity_keys")])
+    episodes = episodes.withColumn("id", key("episode_id")).drop("episode_id")
+    events = c.select(key("chunk_id").alias("id"), key("episode_id").alias("episode_id"), F.col("ts_capture").alias("ts"), "provenance")
+    held = c.select(key("chunk_id").alias("id"), key("chunk_id").alias("event_id"), key("episode_id").alias("episode_id"), "text", "ts_capture", "source")
+    store.ingest(episodes, events, held)
+    v = _vectors(spark, d)
+    store.upsert_vectors(v.join(c.select(F.col("chunk_id").alias("vec_id"), "shard"), "vec_id").select(key("vec_id").alias("chunk_id"), F.lit("m64").alias("model_id"), F.lit(64).alias("dim"), "scale", F.col("ints").alias("embedding"), "shard"))
+    probe = v.where("vec_id = 0").first()
+    found = store.search(retrieve.Query(SEARCH, RANGE, limit=20), query_vector=(probe.ints, probe.scale, "m64"))
+    return found.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("episode_id").cast("long").alias("episode_id"), F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"), "provenance")
 
 
 def sessions_idle(spark, d):
@@ -287,11 +308,49 @@ def sweep_dedup(spark, d):
     return sessions.sweep_distinct(e).select("sweep", "window_id", "stored")
 
 
-def capture_stats(spark, d):
+def _context_signals(spark, d):
+    """Application changes and clipboard signals of each user, as the capture engine takes them."""
     e = derived.app_contexts(spark, d)
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    kind = F.when(F.lag("app").over(w).isNull(), "open").when(F.lag("app").over(w) == F.col("app"), "skip").when(F.col("app") == "click", "clipboard").otherwise("screen")
-    return sessions.capture_stats(e.withColumn("kind", kind))
+    seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
+    return e.select(F.col("user_id").cast("string").alias("stream"), seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_id") % 7 == 0, "clipboard").otherwise("app_change").alias("kind"), "bundle", "app", "title", F.col("app").alias("text"))
+
+
+def capture_stats(spark, d):
+    from tidemark.streaming.engine import folded
+
+    return sessions.capture_stats(folded(_context_signals(spark, d)))
+
+
+SWEEP_RULES = (("app", "com.example.SRC1", "never_capture"), ("window", "WINDOW DE", "redact"))
+
+
+def _ambient(spark, d):
+    docs = table(spark, d, "documents")
+    c = docs.select(F.floor(F.col("doc_id") / 40).cast("long").alias("sweep"), (F.col("doc_id") % 40).alias("window_id"), F.concat(F.lit("com.example."), "source").alias("bundle"), F.col("source").alias("app"), F.concat(F.lit("window "), "lang").alias("title"), F.lit(None).cast("string").alias("url"), F.col("lang").alias("text"))
+    return sessions.ambient_sweeps(c, SWEEP_RULES)
+
+
+def ambient_sweep(spark, d):
+    return _ambient(spark, d).select("sweep", "window_id", "mode", "title", "text", "outcome")
+
+
+def sweep_stats(spark, d):
+    return sessions.sweep_stats(_ambient(spark, d))
+
+
+def sweep_log(spark, d):
+    return sessions.sweep_log(_ambient(spark, d)).select("sweep", "window_id", F.col("step").cast("long").alias("step"), "kind", "title", "text")
+
+
+def ambient_choice(spark, d):
+    n = F.col("doc_id")
+    c = _strategies(spark, d).withColumn("c", exclude.ambient_choice(F.col("strategy"), n % 9 != 0, n % 7 == 0, F.col("ax"), F.col("ocr"), n % 4 != 0))
+    return c.select("doc_id", F.col("c.source").alias("source"), F.length("c.text").cast("long").alias("n_text"))
+
+
+def chunk_stage(spark, d):
+    """The counters of chunking, exact and near-duplicate removal together."""
+    return chunk.stage_volume(chunk.chunking_stage(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"))))
 
 
 def sweep_plan(spark, d):
@@ -310,8 +369,11 @@ def ocr_assemble(spark, d):
 
 
 def ledger_since(spark, d):
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"), F.col("o_orderpriority").alias("process"), F.floor("o_totalprice").cast("long").alias("byte_count"))
-    return o.where(F.col("ts") >= F.lit(dt.datetime(1997, 1, 1))).groupBy("process").agg(F.count("*").alias("n"), F.sum("byte_count").alias("bytes"), F.min("ts").alias("first_ts"))
+    """A ledger written from the orders and read since an instant for one process."""
+    store = Store(spark, scratch(spark, "ledger"))
+    store.append("egress_ledger", table(spark, d, "orders").select(F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("o_orderpriority").alias("process"), F.col("o_orderstatus").alias("destination"), F.floor("o_totalprice").cast("long").alias("byte_count"), F.col("o_orderkey").cast("string").alias("purpose")))
+    found = store.ledger("egress_ledger", since=dt.datetime(1997, 1, 1), process="1-URGENT")
+    return found.select(F.col("ts").cast("timestamp_ntz").alias("ts"), "destination", "byte_count", "purpose")
 
 
 def draft_insert_idempotent(spark, d):
@@ -324,6 +386,10 @@ def draft_transition(spark, d):
     return filing.transitions(derived.drafts(spark, d).select("id", "status"), actions).select("id", "action", "result", "new_status")
 
 
+def drafts_by_status(spark, d):
+    return filing.by_status(derived.drafts(spark, d), "approved", 25).select("id", "external_key", "status")
+
+
 def pending_drafts(spark, d):
     return filing.pending(derived.drafts(spark, d), 25).select("id", "external_key")
 
@@ -362,8 +428,12 @@ def _provenance():
 
 
 def provenance_join(spark, d):
-    c = table(spark, d, "conversations").withColumn("provenance", F.when(F.col("turn") % 5 == 4, F.lit("odd label")).otherwise(_provenance()))
-    return c.groupBy(retrieve.known_provenance(F.col("provenance")).alias("provenance")).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+    """Turns as chunks with the provenance of their events; a chunk whose event is missing goes."""
+    t = table(spark, d, "conversations").withColumn("event_id", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    label = F.when(F.col("turn") % 5 == 4, F.lit("odd label")).otherwise(_provenance())
+    events = t.where((F.col("conv_id") + F.col("turn")) % 11 != 0).groupBy(F.col("event_id").alias("id")).agg(F.min(label).alias("provenance"))
+    c = retrieve.with_provenance(t.select("event_id", "text"), events)
+    return c.groupBy("provenance").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
 def throttle(spark, d):
@@ -384,8 +454,8 @@ def engine_fold(spark, d):
 ALL = [
     normalize_hash, title_normalize, shard_id, shard_range, shards_intersecting, droppable_shards, external_key, exclusion_mode, capability_strategy, ocr_fallback, layered_choice, ocr_budget,
     redact_tokens, redact_cards, luhn, sentence_split, token_estimate, chunk_pack, event_time, exact_dedup, hourly_volume, volume_stats, minhash_signature, lsh_candidates, near_dup, hash_embedding,
-    quantize_int8, knn_topk, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3,
-    sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, sweep_plan, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, pending_drafts,
+    quantize_int8, knn_topk, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search,
+    sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, ambient_sweep, sweep_stats, sweep_log, ambient_choice, chunk_stage, sweep_plan, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, drafts_by_status, pending_drafts,
     url_denylist, extract_validate, compose_page, format_results, provenance_join, throttle, engine_fold,
 ]
 

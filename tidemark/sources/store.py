@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.dates import shard_bounds, shard_of
-from tidemark.operators.retrieve import Query, chunk_lengths, hybrid_search, inverted_index, shards_for
+from tidemark.operators.retrieve import Query, chunk_lengths, hybrid_search, inverted_index, shards_for, with_provenance
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -34,6 +34,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def reliable(df: DataFrame) -> DataFrame:
     """df, its lineage cut by a checkpoint in the cluster's shared folder."""
     context = df.sparkSession.sparkContext
@@ -132,8 +137,7 @@ class Store:
         names = shards_for(self.shards(), q.time_range)
         part = lambda table: self.read(table).where(F.col("shard").isin(names))
         of = part("episodes").select("shard", F.col("id").alias("episode_id"), "app_name", "bundle_id", "entity_keys")
-        prov = part("events").select("shard", F.col("id").alias("event_id"), "provenance")
-        chunks = part("chunks").withColumnRenamed("id", "chunk_id").join(of, ["shard", "episode_id"]).join(prov, ["shard", "event_id"])
+        chunks = with_provenance(part("chunks").withColumnRenamed("id", "chunk_id").join(of, ["shard", "episode_id"]), part("events"))
         stats = part("lengths").groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
         if vector:
             vector["vectors"] = part("vectors")
