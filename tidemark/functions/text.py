@@ -22,6 +22,7 @@ MAX_TERMS = 12
 #: URLs, active schemes and Markdown links that filed text must not hold. Fixed value.
 URL_LIKE = r"(?i)(https?://|www\.|\bdata:[^\s]|\bjavascript:|\bfile:/|!\[|\]\()"
 OPEN, CLOSE = "⟦", "⟧"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def capped(text: Column, most: int = MAX_TEXT) -> Column:
@@ -99,7 +100,7 @@ def external_key(recipe: Column, day: Column, destination: Column) -> Column:
 
 def entity_match(keys: Column, entity: str) -> Column:
     """Whether the keys hold the entity, ASCII case aside."""
-    return F.coalesce(F.exists(keys, lambda k: F.lower(k) == entity.lower()), F.lit(False))
+    return F.coalesce(F.exists(keys, lambda k: F.translate(k, UPPER, UPPER.lower()) == entity.translate(str.maketrans(UPPER, UPPER.lower()))), F.lit(False))
 
 
 def luhn_run(digits: Column) -> Column:

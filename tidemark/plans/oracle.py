@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions.text import MAX_TERMS, SPINNERS, STOPWORDS, query_term_list
-from tidemark.operators import exclude, neardup, redact
+from tidemark.operators import chunk, exclude, filing, neardup, redact
 from tidemark.plans import queries as q
 from tidemark.plans.derived import CHUNKS_SQL, CONTEXTS_SQL, DRAFTS_SQL, EVENTS_SQL, SHARD_SQL
 
@@ -134,6 +134,67 @@ AMBIENT_SQL = f"""WITH m AS (SELECT doc_id // 40 AS sweep, doc_id % 40 AS window
   swept AS (SELECT sweep, window_id, mode, title, text, CASE WHEN mode = 'never_capture' THEN 'excluded' WHEN text IS NULL THEN 'nothing' WHEN before IS NOT DISTINCT FROM text THEN 'skip' ELSE 'stored' END AS outcome FROM y)"""
 
 
+THROTTLE_SQL = """WITH RECURSIVE e AS (SELECT event_type AS client, event_id AS seq, epoch_us(ts) / 1e6 AS at, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events),
+  r AS (SELECT DISTINCT client, CAST(NULL AS BIGINT) AS seq, CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS held, CAST(NULL AS BOOLEAN) AS admitted FROM e
+    UNION ALL SELECT s.client, s.seq, s.n, CASE WHEN len(s.live) < 3 THEN list_append(s.live, s.at) ELSE s.live END, len(s.live) < 3
+    FROM (SELECT e.*, list_filter(r.held, lambda t: e.at - t < 3600) AS live FROM r JOIN e ON e.client = r.client AND e.n = r.n + 1) s)
+  SELECT client, seq, admitted FROM r WHERE n > 0"""
+OCR_SQL = f"""WITH RECURSIVE w AS (SELECT l_orderkey AS image, 'w' || l_linenumber AS text, -(CAST(1 AS DOUBLE) - l_linenumber * CAST(0.01 AS DOUBLE)) AS down, CAST(l_partkey % 100 AS DOUBLE) AS place FROM lineitem),
+  n AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY down, place, text) AS n FROM w),
+  r AS (SELECT image, text, down, place, n, down AS anchor, 1 AS line FROM n WHERE n = 1
+    UNION ALL SELECT x.image, x.text, x.down, x.place, x.n, CASE WHEN fits THEN x.anchor ELSE x.down END, x.line + CASE WHEN fits THEN 0 ELSE 1 END
+    FROM (SELECT n.*, r.anchor, r.line, abs(n.down - r.anchor) <= CAST({exclude.LINE} AS DOUBLE) AS fits FROM r JOIN n ON n.image = r.image AND n.n = r.n + 1) x),
+  l AS (SELECT image, line, string_agg(text, ' ' ORDER BY place, text) AS text FROM r GROUP BY image, line)
+  SELECT image, string_agg(text, chr(10) ORDER BY line) AS text FROM l GROUP BY image"""
+
+
+def _cards() -> str:
+    digit = "CAST(substr(reverse(c), CAST(i + 1 AS BIGINT), 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(0, len(c)), lambda i: CASE WHEN i % 2 = 0 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)) % 10 = 0"
+    ends = ", ".join(f"left(d, {n}), right(d, {n})" for n in (16, 15, 13))
+    return f"""WITH d AS (SELECT -doc_id AS doc_id, text FROM {values(q.CARDS, "doc_id, text")} UNION ALL SELECT doc_id, text FROM documents),
+      m AS (SELECT doc_id, text, regexp_split_to_array(text, '{redact.CARD}') AS parts, regexp_extract_all(text, '{redact.CARD}') AS runs FROM d),
+      g AS (SELECT *, list_transform(list_transform(runs, lambda r: regexp_replace(r, '[^0-9]', '', 'g')), lambda d: CASE WHEN length(d) IN (17, 18) THEN [{ends}] ELSE [d] END) AS ends FROM m),
+      v AS (SELECT *, list_transform(ends, lambda e: len(list_filter(e, lambda c: {luhn})) > 0) AS valid FROM g),
+      n AS (SELECT doc_id, text, array_to_string(list_transform(range(1, len(parts) + 1), lambda i: parts[i] || CASE WHEN i > len(runs) THEN '' WHEN valid[i] THEN '{redact.mask("creditCard")}' ELSE runs[i] END), '') AS masked FROM v)
+      SELECT doc_id, sha256(masked) AS hash, CASE WHEN masked <> text THEN {redact.CREDIT_CARD} ELSE 0 END AS redaction_flags FROM n"""
+
+
+def _chunks() -> str:
+    """Sentences and, of sentences above the most, stretches of as many words as fit at two tokens a word; then greedy packing."""
+    most, target = chunk.MOST, chunk.TARGET
+    step = most // 2
+    return f"""WITH RECURSIVE t AS (SELECT doc_id, unnest({SENTENCES.format(NORM)}) AS s, generate_subscripts({SENTENCES.format(NORM)}, 1) AS nth FROM documents),
+      w AS (SELECT doc_id, nth, s, {WORDS.format("s")} AS w, {TOKENS.format("s")} AS tokens FROM t),
+      x AS (SELECT doc_id, nth, unnest(CASE WHEN tokens <= {most} THEN [s] ELSE list_transform(range(0, len(w), {step}), lambda i: array_to_string(w[i + 1:i + {step}], ' ')) END) AS text,
+        unnest(CASE WHEN tokens <= {most} THEN [CAST(0 AS BIGINT)] ELSE range(0, len(w), {step}) END) AS part FROM w),
+      p AS (SELECT doc_id, text, {TOKENS.format("text")} AS tokens, row_number() OVER (PARTITION BY doc_id ORDER BY nth, part) AS n FROM x),
+      r AS (SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS held, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS next FROM p
+        UNION ALL SELECT doc_id, n, CASE WHEN now >= {target} THEN 0 ELSE now END, place, place + CASE WHEN now >= {target} THEN 1 ELSE 0 END
+        FROM (SELECT p.doc_id, p.n, CAST(CASE WHEN r.held > 0 AND r.held + p.tokens > {most} THEN p.tokens ELSE r.held + p.tokens END AS BIGINT) AS now,
+          r.next + CASE WHEN r.held > 0 AND r.held + p.tokens > {most} THEN 1 ELSE 0 END AS place FROM r JOIN p ON p.doc_id = r.doc_id AND p.n = r.n + 1) s)
+      SELECT doc_id, CAST(place AS INT) AS ordinal, sha256(string_agg(text, ' ' ORDER BY n)) AS hash, CAST(sum(tokens) AS INT) AS token_count FROM r JOIN p USING (doc_id, n) GROUP BY doc_id, place"""
+
+
+def _extracts(url: str) -> str:
+    keys = ", ".join(f"({i}, '{key}', '{name}', '{when}')" for i, (key, (name, when)) in enumerate(filing.FIELDS.items()))
+    known = ", ".join(f"'{key}'" for key in filing.FIELDS)
+    instant = r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:?\d\d)"
+    return f"""WITH p AS (SELECT -id AS id, payload FROM {values(q.EXTRACTS, "id, payload")} UNION ALL SELECT item_id, CAST(json_object('log_entries', json_array(json_object('text', text))) AS VARCHAR) FROM benchmark),
+      j AS (SELECT row_number() OVER () AS row, id, payload, CASE WHEN json_valid(payload) THEN CAST(payload AS JSON) END AS j FROM p),
+      o AS (SELECT * FROM j WHERE json_type(j) = 'OBJECT'),
+      e AS (SELECT row, list_min(list_filter(json_keys(j), lambda k: k NOT IN ({known}))) AS extra FROM o),
+      f AS (SELECT row, nth, name, stamp, json_extract(j, '$.' || key) AS list FROM o, (VALUES {keys}) v(nth, key, name, stamp)),
+      i AS (SELECT row, nth, name, stamp, unnest(json_extract(list, '$[*]')) AS item, generate_subscripts(json_extract(list, '$[*]'), 1) AS place FROM f WHERE json_type(list) = 'ARRAY'),
+      c AS (SELECT row, nth, place, item ->> ('$.' || name) AS text, json_type(item) <> 'OBJECT' OR json_type(item, '$.' || name) IS DISTINCT FROM 'VARCHAR'
+        OR (coalesce(json_type(item, '$.' || stamp), 'NULL') <> 'NULL' AND NOT (json_type(item, '$.' || stamp) = 'VARCHAR' AND regexp_full_match(item ->> ('$.' || stamp), '{instant}'))) AS bad FROM i),
+      k AS (SELECT row, nth, place, bad, CASE WHEN regexp_full_match(text, '\\s*') THEN 'empty text' WHEN length(text) > {filing.MOST_TEXT} THEN 'text too long' WHEN {url.format("text")} THEN 'URL in field' END AS reason FROM c),
+      s AS (SELECT row, bool_or(bad) AS bad, arg_min(reason, struct_pack(a := nth, b := place)) FILTER (WHERE reason IS NOT NULL) AS reason FROM k GROUP BY row),
+      l AS (SELECT row, bool_or(list IS NOT NULL AND json_type(list) <> 'ARRAY') AS bad, max(json_array_length(list)) > {filing.MOST_ITEMS} AS many FROM f GROUP BY row)
+      SELECT id, CASE WHEN o.row IS NULL THEN 'not a JSON object' WHEN extra IS NOT NULL THEN 'unknown field: ' || extra WHEN {url.format("j.payload")} THEN 'URL in payload'
+        WHEN l.bad OR s.bad THEN 'malformed schema' WHEN many THEN 'too many items' ELSE s.reason END AS reason
+      FROM j LEFT JOIN (SELECT row FROM o) o USING (row) LEFT JOIN e USING (row) LEFT JOIN s USING (row) LEFT JOIN l USING (row)"""
+
 def oracle_sql() -> dict[str, str]:
     contexts = f"WITH {CONTEXTS_SQL}"
     shards = f"WITH s AS (SELECT DISTINCT {SHARD_SQL.format('ts')} AS shard, CAST(date_trunc('week', ts) AS TIMESTAMP) AS lo FROM events), r AS (SELECT shard, lo, lo + INTERVAL 7 DAY AS hi FROM s)"
@@ -157,6 +218,11 @@ def oracle_sql() -> dict[str, str]:
         "sentence_split": f"WITH s AS (SELECT doc_id, {SENTENCES.format(NORM)} AS s FROM documents) SELECT doc_id, generate_subscripts(s, 1) - 1 AS nth, unnest(s) AS sentence FROM s",
         "token_estimate": f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents",
         "event_time": _event_time(),
+        "redact_cards": _cards(),
+        "chunk_pack": _chunks(),
+        "ocr_assemble": OCR_SQL,
+        "throttle": THROTTLE_SQL,
+        "extract_validate": _extracts(url),
         "exact_dedup": f"WITH {EVENTS_SQL} SELECT min(event_id) AS event_id, sha256({NORM}) AS hash FROM capture_events GROUP BY 2",
         "hourly_volume": "SELECT CAST(floor(epoch_us(ts) / 3600000000) AS BIGINT) AS hour, count(*) AS n_rows, CAST(sum(length(props)) AS BIGINT) AS n_chars FROM events GROUP BY 1",
         "volume_stats": f"WITH {EVENTS_SQL}, e AS (SELECT length(text) AS n, row_number() OVER (PARTITION BY sha256({NORM}) ORDER BY event_id) = 1 AS f FROM capture_events) SELECT count(*) AS produced, CAST(count(*) FILTER (WHERE f) AS BIGINT) AS stored, CAST(count(*) FILTER (WHERE NOT f) AS BIGINT) AS exact_skips, CAST(sum(n) AS BIGINT) AS raw_chars, CAST(sum(n) FILTER (WHERE f) AS BIGINT) AS stored_chars FROM e",
