@@ -94,23 +94,21 @@ def encoded_turns(rows: DataFrame, vocabulary: str, learned=LEARNED) -> DataFram
 def assembled(rows: DataFrame, vocabulary: str | None = None, learned=LEARNED) -> DataFrame:
     """conv_id, nth, start, ids, mask_from, mask_to: the turns of each conversation in place.
 
-    start is the number of tokens before the turn in its conversation; the
-    learned tokens stand at start + mask_from up to start + mask_to.
+    start is the number of tokens before the turn in its conversation, by a
+    prefix sum; the learned tokens stand from mask_from up to mask_to, counted
+    like start from the conversation's first token.
     """
     t = encoded_turns(rows, vocabulary or vocabulary_path(), learned)
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    return t.select(
-        "conv_id",
-        F.row_number().over(order).alias("nth"),
-        F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0)).alias("start"),
-        "ids", "mask_from", "mask_to",
-    )
+    start = F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0))
+    placed = t.select("conv_id", F.row_number().over(order).alias("nth"), start.alias("start"), "ids", "mask_from", "mask_to")
+    return placed.select("conv_id", "nth", "start", "ids", *[(F.col("start") + F.col(c)).alias(c) for c in ("mask_from", "mask_to")])
 
 
 def conversations_of(segments: DataFrame) -> DataFrame:
     """conv_id, input_ids, loss_mask: a row per conversation, for conversations that fit a row."""
-    mask = F.transform("ids", lambda x, i: F.when((i >= F.col("mask_from")) & (i < F.col("mask_to")), 1).otherwise(0))
+    mask = F.transform("ids", lambda x, i: F.when((F.col("start") + i >= F.col("mask_from")) & (F.col("start") + i < F.col("mask_to")), 1).otherwise(0))
     whole = segments.withColumn("mask", mask).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("start", "ids", "mask"))).alias("parts"))
     return whole.select("conv_id", F.flatten("parts.ids").alias("input_ids"), F.flatten("parts.mask").alias("loss_mask"))
 
@@ -128,12 +126,14 @@ def digests(segments: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     The segments of a conversation come in order (the prefix sum's sort) and
     stream through running digests: nothing is gathered, however long it is.
+    What the mask covers is found at the places that the prefix sums give, in
+    the tokens as they come.
     """
     path = vocabulary or vocabulary_path()
 
     def stream(batches):
         e = encoder(path)
-        at, row = object(), None
+        at, row, seen = object(), None, 0
 
         def done():
             return {"conv_id": at, "n_turns": row[0], "turns_sha256": row[1].hexdigest(), "loss_chars": row[2], "loss_sha256": row[3].hexdigest(), "formatted_chars": row[4]}
@@ -144,9 +144,10 @@ def digests(segments: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 if conv != at or row is None:
                     if row is not None:
                         out.append(done())
-                    at, row = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    at, row, seen = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0], 0
                 role, text = read_back(ids, e.decode)
-                learned = unescape(e.decode(ids[lo:hi])) if hi > lo else ""
+                learned = unescape(e.decode(ids[max(lo - seen, 0) : max(hi - seen, 0)]))
+                seen += len(ids)
                 row[0] += 1
                 row[1].update(f"{role}\n{text}\n".encode())
                 row[2] += len(learned)
