@@ -284,6 +284,38 @@ def test_classifier_learns_and_scores_all(spark):
     assert len(held) > 60 and np.mean([r.predicted == (r.doc_id % 4 != 0) for r in held]) > 0.95
 
 
+def test_classifier_is_a_plain_one(spark):
+    """Training and scores against the update rule written out coordinate by coordinate."""
+    some = [(i, corpus.prose(i, 40) + " !!" * (i % 3), "en", "s", 0) for i in range(60)] + [(61, "", "en", "s", 0), (62, None, "en", "s", 0)]
+    docs = corpus.frame(spark, some)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    f = classifier.Ftrl(classifier.BITS)
+    z, n = Counter(), Counter()
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= f.l1 else (np.copysign(f.l1, z[i]) - z[i]) / ((f.beta + np.sqrt(n[i])) / f.alpha + f.l2)
+
+    def vector(text):
+        _, index, value = classifier.features(*joined([text or ""]), classifier.BITS)
+        return [*zip(index.tolist(), (20 * value).tolist(), strict=True), (1 << classifier.BITS, 1.0)]
+
+    def score(x):
+        return 1 / (1 + np.exp(-sum(weight(i) * v for i, v in x)))
+
+    rows = sorted(classifier.labelled(docs.select("doc_id", "text"), labels).collect(), key=lambda r: r["rank"])
+    order = np.random.default_rng(7)
+    for _ in range(4):
+        for k in order.permutation(len(rows)):
+            x = vector(rows[k].text)
+            gap = score(x) - rows[k].label
+            for i, v, w in [(i, v, weight(i)) for i, v in x]:
+                z[i] += gap * v - (np.sqrt(n[i] + (gap * v) ** 2) - np.sqrt(n[i])) / f.alpha * w
+                n[i] += (gap * v) ** 2
+    got = {r.doc_id: r.score for r in classifier.quality(docs, labels).collect()}
+    assert set(got) == {d for d, *_ in some}
+    assert all(abs(got[d] - score(vector(t))) < 1e-3 for d, t, *_ in some)
+
+
 def test_classifier_without_labels_or_rows(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in classifier.quality(corpus.frame(spark), labels).collect()} == {0.5}
