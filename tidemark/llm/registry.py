@@ -16,6 +16,9 @@ _KNOWN = {
     "op8_tokens": ("tokencount", "op8_tokens", None),
     "op9_licenses": ("licenses", "op9_licenses", "oracle_sql"),
     "op10_mixing": ("mixing", "op10_mixing", "OP10_SQL"),
+    "op11_bpe": ("bpe", "op11_bpe", None),
+    "op12_merkle": ("merkle", "op12_merkle", "OP12_SQL"),
+    "op13_hard_negatives": ("balltree", "op13_hard_negatives", "OP13_SQL"),
 }
 
 
