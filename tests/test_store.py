@@ -65,3 +65,125 @@ def test_latest_vector(spark):
     df = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "chunk_id string, seq long")
     assert {(r.chunk_id, r.seq) for r in st.latest_vectors(df, "seq").collect()} == {("a", 3), ("b", 2)}
     assert st.reliable(df).where(F.col("seq") > 1).count() == 2
+
+
+def one_episode(spark):
+    t = dt.datetime(2026, 1, 6)
+    episodes = spark.createDataFrame([("E1", t, t), ("E2", dt.datetime(2026, 3, 4), t)], "id string, ts_start timestamp, ts_end timestamp")
+    events = spark.createDataFrame([("V1", "E1", t, "user_input"), ("V2", "E2", t, "odd")], "id string, episode_id string, ts timestamp, provenance string")
+    chunks = spark.createDataFrame([("C1", "E1", "V1", "budget review moved", t, "ax"), ("C2", "E2", "V2", "lunch budget", t, "ocr"), ("C3", "E2", "gone", "budget without an event", t, "ax")], "id string, episode_id string, event_id string, text string, ts_capture timestamp, source string")
+    return episodes, events, chunks
+
+
+def sizes(s):
+    return {t: s.count(t) for t in ("episodes", "events", "chunks", "postings", "lengths")}
+
+
+class Stopped(Exception):
+    pass
+
+
+def stopping(monkeypatch, after):
+    """The store's driver is lost after so many moves."""
+    moved, move = [], st.Store._move
+
+    def some(self, *a):
+        if len(moved) == after:
+            raise Stopped
+        moved.append(a)
+        move(self, *a)
+
+    monkeypatch.setattr(st.Store, "_move", some)
+    return moved
+
+
+def test_a_crash_at_each_file_and_a_retry_give_each_row_once(spark, tmp_path, monkeypatch):
+    rows = one_episode(spark)
+    whole = st.Store(spark, f"file://{tmp_path}/whole")
+    with monkeypatch.context() as m:
+        moved = stopping(m, -1)
+        whole.ingest(*rows, "n")
+    want = sizes(whole)
+    assert want["chunks"] == 3 and len(moved) >= 10
+    for after in range(len(moved)):
+        root = f"file://{tmp_path}/{after}"
+        with monkeypatch.context() as m:
+            stopping(m, after)
+            try:
+                st.Store(spark, root).ingest(*rows, "n")
+                raise AssertionError("it wasn't stopped")
+            except Stopped:
+                pass
+        if after % 2:  # a retry in the same way, or a new opening alone
+            st.Store(spark, root).ingest(*rows, "n")
+        assert sizes(st.Store(spark, root)) == want, after
+
+
+def test_a_retry_by_the_same_store_object(spark, tmp_path, monkeypatch):
+    s, rows = st.Store(spark, f"file://{tmp_path}/s"), one_episode(spark)
+    with monkeypatch.context() as m:
+        stopping(m, 3)
+        try:
+            s.ingest(*rows, "n")
+        except Stopped:
+            pass
+    s.ingest(*rows, "n")
+    s.ingest(*rows, "n")
+    assert sizes(s)["events"] == 2 and sizes(s)["chunks"] == 3 and s._children(f"{s.root}/_pending") == []
+
+
+def test_recover_drops_what_is_not_ready(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}/s")
+    s._touch(f"{s.root}/_pending/half/events/shard=2026-W02/part-0.parquet")
+    assert st.Store(spark, s.root)._children(f"{s.root}/_pending") == ["half"]  # may be another writer's
+    assert s.recover() == [] and s._children(f"{s.root}/_pending") == []
+
+
+def test_opening_migrates_and_indexes(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}/s")
+    assert s.version() == st.schemas.SCHEMA_VERSION and s.migrate() == []
+    s.ingest(*one_episode(spark))
+    want = sorted(map(tuple, s.read("postings").collect()))
+    for old in ("postings", "lengths", "_schema"):  # as a store of version 2 was left
+        s.delete(s.path(old))
+    s._touch(f"{s.root}/_schema/version=2")
+    again = st.Store(spark, s.root)
+    assert again.version() == 3 and sorted(map(tuple, again.read("postings").collect())) == want and again.count("lengths") == 3
+    again.reindex()
+    assert sorted(map(tuple, again.read("postings").collect())) == want
+    s._touch(f"{s.root}/_schema/version=9")
+    try:
+        st.Store(spark, s.root)
+        raise AssertionError("a newer store was opened")
+    except ValueError:
+        pass
+
+
+def test_vectors_are_one_a_chunk_and_can_go(spark, tmp_path, monkeypatch):
+    s = seeded(spark, tmp_path)
+    make = lambda rows: spark.createDataFrame([(c, m, 2, 1.0, v, sh) for c, m, v, sh in rows], "chunk_id string, model_id string, dim int, scale float, embedding array<tinyint>, shard string")
+    s.upsert_vectors(make([("E1-c0", "m1", [1, 2], "2026-W02"), ("E1-c0", "m1", [3, 4], "2026-W02"), ("E1-c1", "m1", [5, 6], "2026-W02"), ("E3-c0", "m1", [7, 8], "2026-W10")]))
+    assert sorted((r.chunk_id, r.embedding) for r in s.read("vectors").collect()) == [("E1-c0", [3, 4]), ("E1-c1", [5, 6]), ("E3-c0", [7, 8])]
+    new = make([("E1-c0", "m1", [9, 9], "2026-W02"), ("E3-c1", "m1", [1, 1], "2026-W10")])
+    with monkeypatch.context() as m:
+        stopping(m, 1)
+        try:
+            s.upsert_vectors(new, "again")
+        except Stopped:
+            pass
+    s.upsert_vectors(new, "again")
+    assert sorted((r.chunk_id, r.embedding) for r in s.read("vectors").collect()) == [("E1-c0", [9, 9]), ("E1-c1", [5, 6]), ("E3-c0", [7, 8]), ("E3-c1", [1, 1])]
+    s.remove_vectors(spark.createDataFrame([("2026-W02", "E1-c0"), ("2026-W02", "none"), ("2026-W44", "x")], "shard string, chunk_id string"))
+    assert sorted(r.chunk_id for r in s.read("vectors").collect()) == ["E1-c1", "E3-c0", "E3-c1"]
+
+
+def test_compaction_keeps_the_rows(spark, tmp_path):
+    s = st.Store(spark, f"file://{tmp_path}/s")
+    for i in range(3):
+        e, v, c = one_episode(spark)
+        tag = lambda df, *cols: df.withColumns({x: F.concat(F.col(x), F.lit(f"-{i}")) for x in cols})  # noqa: B023, E731
+        s.ingest(tag(e, "id"), tag(v, "id", "episode_id"), tag(c, "id", "episode_id", "event_id"))
+    before = sorted(map(tuple, s.read("postings").collect()))
+    assert s.compact("postings") == ["2026-W02", "2026-W10"] and s.compact("postings") == []
+    assert sorted(map(tuple, s.read("postings").collect())) == before
+    assert all(len(s._children(f"{s.path('postings')}/{x}")) == 1 for x in ("shard=2026-W02", "shard=2026-W10"))

@@ -26,6 +26,8 @@ DRAFTS = "id string, recipe string, destination string, external_key string, pay
 SIGNALS = "seq long, ts double, kind string, bundle string, app string, title string, text string"
 TABLES = {"episodes": EPISODES, "events": EVENTS, "chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "egress_ledger": EGRESS, "write_ledger": WRITES, "consent_log": CONSENT, "drafts": DRAFTS}
 SHARDED = ("episodes", "events", "chunks", "vectors", "postings", "lengths")
+#: The column that a sharded table's files are sorted by.
+SORTED = {"episodes": "ts_start", "events": "id", "chunks": "id", "vectors": "chunk_id", "postings": "term", "lengths": "chunk_id"}
 #: Schema version -> what it added.
 VERSIONS = {1: ("episodes", "events", "chunks", "egress_ledger", "write_ledger", "consent_log"), 2: ("vectors", "drafts"), 3: ("postings", "lengths")}
 

@@ -4,9 +4,9 @@ An episode lives in the shard of its start week with all its events, chunks
 and vectors. Readers list the directories anew with each query.
 
 An ingest is a transaction: its tables are written aside, marked as ready, and
-then moved file by file. `recover` finishes what was ready and drops what
-wasn't, so a lost driver leaves either all of an episode or nothing; a
-transaction of one name is done once.
+then moved file by file. A lost driver leaves either all of an episode or
+nothing: opening the store, or a retry under the same name, finishes what was
+ready. A transaction of one name is done once.
 """
 
 from __future__ import annotations
@@ -48,64 +48,109 @@ def reliable(df: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables below a root path that Spark can read and write."""
+    """Tables below a root path that Spark can read and write.
+
+    Opening a store finishes the transactions that are ready and brings the
+    schema up to date. What isn't ready yet may be another writer's and stays.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self.finish()
+        self.migrate()
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
     def read(self, table: str) -> DataFrame:
         """The table under its fixed schema; absent tables are empty."""
+        return self._read_at(schemas.struct(table), self.path(table))
+
+    def _read_at(self, schema, *paths: str, base: str | None = None) -> DataFrame:
+        reader = self.spark.read.schema(schema)
         try:
-            return self.spark.read.schema(schemas.struct(table)).parquet(self.path(table))
+            return (reader if base is None else reader.option("basePath", base)).parquet(*paths)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schemas.struct(table))
+            return self.spark.createDataFrame([], schema)
 
     def append(self, table: str, df: DataFrame) -> None:
         """Rows added to a table; columns it lacks are null."""
-        writer = self._fitted(table, df).write.mode("append")
-        (writer.partitionBy("shard") if table in schemas.SHARDED else writer).parquet(self.path(table))
+        if table in schemas.SHARDED:
+            self._dealt(table, df).write.mode("append").partitionBy("shard").parquet(self.path(table))
+        else:
+            self._fitted(table, df).write.mode("append").parquet(self.path(table))
 
     def ingest(self, episodes: DataFrame, events: DataFrame, chunks: DataFrame, name: str | None = None) -> None:
-        """Episodes to the shard of their start, events, chunks and their index along with them: all of it or nothing."""
+        """Episodes to the shard of their start, events, chunks and their index along with them: all of it or nothing.
+
+        A name is ingested once. If an earlier call under it got as far as its
+        mark, that call's rows are published and these are left alone.
+        """
         name = name or uuid.uuid4().hex
-        if self.exists(f"{self.root}/_done/{name}"):
+        if self._known(name):
             return
-        aside = f"{self.root}/_pending/{name}"
         e = reliable(episodes.withColumn("shard", shard_of(F.col("ts_start"))))
         of = e.select(F.col("id").alias("episode_id"), "shard")
         c = chunks.join(of, "episode_id")
         kept = c.select("shard", F.col("id").alias("chunk_id"), "text")
-        for table, df in (("events", events.join(of, "episode_id")), ("chunks", c), ("postings", inverted_index(kept)), ("lengths", chunk_lengths(kept)), ("episodes", e)):
-            self._fitted(table, df).write.mode("overwrite").partitionBy("shard").parquet(f"{aside}/{table}")
+        self._commit(name, {"events": events.join(of, "episode_id"), "chunks": c, "postings": inverted_index(kept), "lengths": chunk_lengths(kept), "episodes": e})
+
+    def _known(self, name: str) -> bool:
+        """Whether a transaction of this name is done; one that is ready is finished first."""
+        if not self.exists(f"{self.root}/_done/{name}") and self.exists(f"{self.root}/_pending/{name}/_READY"):
+            self._publish(name)
+        return self.exists(f"{self.root}/_done/{name}")
+
+    def _commit(self, name: str, tables: dict[str, DataFrame], instead_of: list[str] = ()) -> None:
+        """Writes the tables aside, marks them as ready, and publishes them in place of the files `instead_of` (paths below the root)."""
+        aside = f"{self.root}/_pending/{name}"
+        self.delete(aside)
+        for table, df in tables.items():
+            self._dealt(table, df).write.mode("overwrite").partitionBy("shard").parquet(f"{aside}/{table}")
+        if instead_of:
+            self.spark.createDataFrame([(x,) for x in instead_of], "path string").coalesce(1).write.text(f"{aside}/_instead_of")
         self._touch(f"{aside}/_READY")
         self._publish(name)
 
     def _publish(self, name: str) -> None:
-        """Moves a ready transaction's files to their tables, the episodes last. Done again, it moves what is left."""
+        """Moves a ready transaction's files to their tables, the episodes last, and removes those that they replace. Done again, it does what is left."""
         aside = f"{self.root}/_pending/{name}"
-        for table in ("events", "chunks", "postings", "lengths", "episodes"):
+        for table in sorted((t for t in self._children(aside) if not t.startswith("_")), key=lambda t: (t == "episodes", t)):
             for shard in self._children(f"{aside}/{table}"):
                 for part in self._children(f"{aside}/{table}/{shard}") if shard.startswith("shard=") else ():
                     self._move(f"{aside}/{table}/{shard}/{part}", f"{self.path(table)}/{shard}", f"{name}-{part}")
+        if self.exists(f"{aside}/_instead_of"):
+            for (old,) in self.spark.read.text(f"{aside}/_instead_of").toLocalIterator():  # files of the shards concerned
+                self.delete(f"{self.root}/{old}")
         self._touch(f"{self.root}/_done/{name}")
         self.delete(aside)
 
+    def finish(self) -> list[str]:
+        """Publishes the transactions that were ready when their driver was lost; returns their names."""
+        ready = [n for n in self._children(f"{self.root}/_pending") if self.exists(f"{self.root}/_pending/{n}/_READY")]
+        for n in ready:
+            self._publish(n)
+        return ready
+
     def recover(self) -> list[str]:
-        """Finishes transactions that were ready, drops the others; returns the names of those finished."""
-        done = []
+        """finish, and drops what wasn't ready: for the only writer of a store. Returns the names of those finished."""
+        done = self.finish()
         for name in self._children(f"{self.root}/_pending"):
-            if self.exists(f"{self.root}/_pending/{name}/_READY"):
-                self._publish(name)
-                done.append(name)
-            else:
-                self.delete(f"{self.root}/_pending/{name}")
+            self.delete(f"{self.root}/_pending/{name}")
         return done
 
+    def compact(self, table: str, most: int = 1) -> list[str]:
+        """Writes the shards of more than `most` files anew, as few sorted files; returns the shards. Rows stay as they are."""
+        files = {s: self._children(f"{self.path(table)}/{s}") for s in self._children(self.path(table)) if s.startswith("shard=")}
+        small = {s: f for s, f in files.items() if len(f) > most}
+        if small:
+            old = [f"{table}/{s}/{x}" for s, f in small.items() for x in f]
+            rows = self._read_at(schemas.struct(table), *[f"{self.root}/{x}" for x in old], base=self.path(table))
+            self._commit(f"compact-{uuid.uuid4().hex}", {table: rows}, old)
+        return [s.removeprefix("shard=") for s in small]
+
     def version(self) -> int:
         """The schema version that the store was last brought to; 0 for a new one."""
         held = [int(x.removeprefix("version=")) for x in self._children(f"{self.root}/_schema")]
@@ -117,7 +162,7 @@ class Store:
             raise ValueError(f"the store has schema version {self.version()}, this is {schemas.SCHEMA_VERSION}")
         steps = [v for v in sorted(schemas.VERSIONS) if v > self.version()]
         for v in steps:
-            if "postings" in schemas.VERSIONS[v] and self.version():
+            if "postings" in schemas.VERSIONS[v] and self.exists(self.path("chunks")) and not self.exists(self.path("postings")):
                 self.reindex()
             self._touch(f"{self.root}/_schema/version={v}")
         return steps
@@ -125,8 +170,8 @@ class Store:
     def reindex(self) -> None:
         """Writes postings and lengths anew from the chunks."""
         kept = self.read("chunks").select("shard", F.col("id").alias("chunk_id"), "text")
-        for table, df in (("postings", inverted_index(kept)), ("lengths", chunk_lengths(kept))):
-            self._fitted(table, df).write.mode("overwrite").partitionBy("shard").parquet(self.path(table))
+        old = [f"{t}/{s}/{x}" for t in ("postings", "lengths") for s in self._children(self.path(t)) for x in self._children(f"{self.path(t)}/{s}")]
+        self._commit(f"reindex-{uuid.uuid4().hex}", {"postings": inverted_index(kept), "lengths": chunk_lengths(kept)}, old)
 
     def search(self, q: Query, **vector) -> DataFrame:
         """hybrid_search over the shards that the query's range meets; postings and vectors are read, not made.
@@ -146,6 +191,10 @@ class Store:
     def _fitted(self, table: str, df: DataFrame) -> DataFrame:
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(table)])
 
+    def _dealt(self, table: str, df: DataFrame) -> DataFrame:
+        """Rows of a shard in as few files as their size asks for, a hot shard in several, sorted by what readers look for."""
+        return self._fitted(table, df).hint("rebalance", F.col("shard")).sortWithinPartitions("shard", schemas.SORTED[table])
+
     def _at(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
@@ -170,7 +219,8 @@ class Store:
         p, fs = self._at(path)
         to, _ = self._at(folder)
         fs.mkdirs(to)
-        if not fs.rename(p, self.spark._jvm.org.apache.hadoop.fs.Path(to, name)):
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(to, name)
+        if not fs.rename(p, there) and (fs.exists(p) or not fs.exists(there)):  # another finisher may have moved it
             raise OSError(f"{path} can't be moved to {folder}")
 
     def shards(self, table: str = "episodes") -> list[str]:
@@ -190,12 +240,33 @@ class Store:
                 self.delete(f"{self.path(table)}/shard={s}")
         return gone
 
-    def upsert_vectors(self, new: DataFrame) -> None:
-        """Vectors by chunk_id, the new one in place of the old; only the shards concerned are written again."""
-        names = [r[0] for r in new.select("shard").distinct().toLocalIterator()]
-        old = self.read("vectors").where(F.col("shard").isin(names)).join(new.select("chunk_id"), "chunk_id", "left_anti")
-        merged = reliable(old.unionByName(new.select(*old.columns)))
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(self.path("vectors"))
+    def upsert_vectors(self, new: DataFrame, name: str | None = None) -> None:
+        """Vectors by chunk_id, one of the new in place of the old; only the shards concerned are written again.
+
+        Of several new rows of a chunk the one of the greatest model_id, then
+        embedding, stays. A transaction, as ingest is.
+        """
+        name = name or uuid.uuid4().hex
+        if self._known(name):
+            return
+        fresh = self._fitted("vectors", new)
+        w = W.partitionBy("shard", "chunk_id").orderBy(F.desc("model_id"), F.desc("embedding"), F.desc("scale"))
+        fresh = reliable(fresh.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn"))
+        self._replace_vectors(name, fresh.select("shard", "chunk_id"), fresh)
+
+    def remove_vectors(self, gone: DataFrame, name: str | None = None) -> None:
+        """The vectors of (shard, chunk_id) go; those that have none are no fault."""
+        name = name or uuid.uuid4().hex
+        if not self._known(name):
+            self._replace_vectors(name, reliable(gone.select("shard", "chunk_id").distinct()), None)
+
+    def _replace_vectors(self, name: str, gone: DataFrame, fresh: DataFrame | None) -> None:
+        at = self.path("vectors")
+        names = [f"shard={r[0]}" for r in gone.select("shard").distinct().toLocalIterator()]  # a short string a week
+        files = [f"vectors/{s}/{x}" for s in names for x in self._children(f"{at}/{s}")]
+        old = self._read_at(schemas.struct("vectors"), *[f"{self.root}/{x}" for x in files], base=at) if files else self.spark.createDataFrame([], schemas.struct("vectors"))
+        kept = old.join(gone, ["shard", "chunk_id"], "left_anti").select(*old.columns)
+        self._commit(name, {"vectors": kept if fresh is None else kept.unionByName(fresh.select(*old.columns))}, files)
 
     def fetch(self, table: str, id_: str) -> DataFrame:
         return self.read(table).where(F.col("id") == id_)
