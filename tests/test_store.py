@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark.operators import retrieve
 from tidemark.sources import store as st
 
 
@@ -187,3 +188,56 @@ def test_compaction_keeps_the_rows(spark, tmp_path):
     assert s.compact("postings") == ["2026-W02", "2026-W10"] and s.compact("postings") == []
     assert sorted(map(tuple, s.read("postings").collect())) == before
     assert all(len(s._children(f"{s.path('postings')}/{x}")) == 1 for x in ("shard=2026-W02", "shard=2026-W10"))
+
+
+def searchable(spark, root):
+    """A store of three weeks with several sessions, applications and keys; one chunk's event is missing."""
+    s, start = st.Store(spark, root), dt.datetime(2026, 1, 5)
+    words = ["budget", "review", "deploy", "café", "kernel", "invoice", "the"]
+    episodes = [(f"E{i:02d}", start + dt.timedelta(hours=30 * i), start + dt.timedelta(hours=30 * i + 1), f"app{i % 3}", f"com.app{i % 3}", [f"Key{i % 2}"]) for i in range(14)]
+    events = [(f"V{i:02d}-{k}", e[0], e[1], ["user_input", "odd", None][k % 3]) for i, e in enumerate(episodes) for k in range(4) if (i, k) != (3, 1)]
+    chunks = [(f"C{i:02d}-{k}", e[0], f"V{i:02d}-{k}", " ".join(words[(i * k + j * (k + 1)) % 7] for j in range(5 + k)), e[1] + dt.timedelta(minutes=k), ["ax", "x"][k % 2]) for i, e in enumerate(episodes) for k in range(4)]
+    s.ingest(
+        spark.createDataFrame(episodes, "id string, ts_start timestamp, ts_end timestamp, app_name string, bundle_id string, entity_keys array<string>"),
+        spark.createDataFrame(events, "id string, episode_id string, ts timestamp, provenance string"),
+        spark.createDataFrame(chunks, "id string, episode_id string, event_id string, text string, ts_capture timestamp, source string"),
+    )
+    return s
+
+
+def asked():
+    week = (dt.datetime(2026, 1, 12), dt.datetime(2026, 1, 18))
+    return [
+        retrieve.Query("budget review"), retrieve.Query("kernel", week), retrieve.Query("", week, limit=3), retrieve.Query("deploy invoice", app="com.app1"), retrieve.Query("café", entities=["KEY1", ""]),
+        retrieve.Query("nothing like it"), retrieve.Query("the of"), retrieve.Query("budget", limit=0), retrieve.Query("invoice", app="nobody"), retrieve.Query("budget", (dt.datetime(2030, 1, 1), dt.datetime(2030, 1, 2))),
+    ]
+
+
+def test_a_table_of_queries_gives_each_query_s_own_answer(spark, tmp_path):
+    s, queries = searchable(spark, f"file://{tmp_path}/s"), asked()
+    got = {}
+    for r in s.search_table(retrieve.query_rows(spark, queries)).collect():
+        got.setdefault(r.probe, []).append(tuple(r)[1:])
+    for i, q in enumerate(queries):
+        assert sorted(got.get(i, []), key=str) == sorted(map(tuple, s.search(q).collect()), key=str), q
+    assert len(got[0]) == 8 and len(got[2]) == 3 and 7 not in got and 9 not in got
+    assert all("C03-1" != r[0] for rows in got.values() for r in rows)  # its event is missing
+
+
+def test_search_prunes_weeks_and_moves_no_text(spark, tmp_path):
+    s = searchable(spark, f"file://{tmp_path}/s")
+    plan = s.search(asked()[1])._jdf.queryExecution().executedPlan().toString()
+    assert "[2026-W03]" in plan or "shard#" in plan
+    reads = [x for x in plan.split("ReadSchema: ")[1:]]
+    assert sum("text:string" in x.split(">")[0] for x in reads) == 1
+    keyword = s.search(retrieve.Query("budget review"))
+    assert {r.provenance for r in keyword.collect()} <= {"user_input", "untrusted_ambient"}
+
+
+def test_search_with_a_vector_and_a_corrupt_one(spark, tmp_path):
+    s = searchable(spark, f"file://{tmp_path}/s")
+    of = {r.id: r.shard for r in s.read("chunks").select("id", "shard").collect()}
+    rows = [("C00-0", 2, [100, 0]), ("C05-2", 2, [90, 10]), ("C07-1", 2, [1]), ("C08-1", 3, [100, 0]), ("C09-0", 2, [0, 100])]
+    s.upsert_vectors(spark.createDataFrame([(c, "m", d, 0.01, v, of[c]) for c, d, v in rows], "chunk_id string, model_id string, dim int, scale float, embedding array<tinyint>, shard string"))
+    found = [r.chunk_id for r in s.search(retrieve.Query("zzz"), query_vector=([100, 0], 0.01, "m")).orderBy("place").collect()]
+    assert found == ["C00-0", "C05-2"]  # ragged and odd rows are skipped, the last is below the floor

@@ -37,12 +37,9 @@ def search(root: str, text: str, limit: int) -> int:
 
     spark = SparkSession.builder.getOrCreate()
     store = Store(spark, root)
-    of = store.read("episodes").select(F.col("id").alias("episode_id"), "app_name", "bundle_id", "entity_keys")
-    prov = store.read("events").select(F.col("id").alias("event_id"), "provenance")
-    chunks = store.read("chunks").withColumnRenamed("id", "chunk_id").join(of, "episode_id").join(prov, "event_id", "left")
-    store.upsert_vectors(embed.embed_backlog(chunks, store.read("vectors")))
-    found = retrieve.hybrid_search(chunks, retrieve.Query(text, limit=limit), vectors=store.read("vectors"), query_vector=embed.query_vector(text))
-    rows = serve.rendered(found.withColumn("q", F.lit(0)).withColumn("ts", F.unix_micros("ts_capture") / 1e6), ["q"]).collect()
+    store.upsert_vectors(embed.embed_backlog(store.read("chunks").withColumnRenamed("id", "chunk_id"), store.read("vectors")))
+    found = store.search(retrieve.Query(text, limit=limit), query_vector=embed.query_vector(text))
+    rows = serve.rendered(found.withColumn("q", F.lit(0)).withColumn("ts", F.date_format("ts_capture", "yyyy-MM-dd'T'HH:mm:ss'Z'")), ["q"]).collect()
     print(rows[0]["answer"] if rows else serve.NOTHING)
     return 0
 

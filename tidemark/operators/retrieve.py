@@ -10,12 +10,12 @@ import datetime as dt
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import shard_bounds
-from tidemark.functions.text import entity_match, index_terms, query_term_list
+from tidemark.functions.text import UPPER, entity_match, index_terms, query_term_list, query_terms
 from tidemark.functions.vectors import int_dot
 
 K1, B, RARE_IDF = 1.2, 0.75, 1e-6
@@ -100,7 +100,7 @@ def reciprocal_ranks(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
     return together.groupBy("shard", "chunk_id").agg(reduce(lambda a, b: a + b, terms).alias("score"))
 
 
-def diversified(fused: DataFrame, limit: int, cap: int = EPISODE_CAP, by: list[str] | None = None, id_: str = "chunk_id") -> DataFrame:
+def diversified(fused: DataFrame, limit: int | Column, cap: int = EPISODE_CAP, by: list[str] | None = None, id_: str = "chunk_id") -> DataFrame:
     """fused (.., episode_id, score) plus place up to limit: `cap` an episode first, then the rest in fused order.
 
     A null episode isn't capped. by: groups that are ranked apart.
@@ -139,25 +139,110 @@ def candidate_lists(chunks: DataFrame, q: Query, index: DataFrame | None = None,
     return out
 
 
-def hybrid_search(chunks: DataFrame, q: Query, **given) -> DataFrame:
-    """chunk_id, episode_id, text, score, source, provenance, ts_capture, place: the answer to q.
+def query_rows(spark: SparkSession, queries: list[Query]) -> DataFrame:
+    """Queries as rows: probe (their place in the list), text, lo, hi, app, entities, limit."""
+    rows = [(i, q.text, *(q.time_range or (None, None)), q.app, [e for e in q.entities if e], q.limit) for i, q in enumerate(queries)]
+    return spark.createDataFrame(rows, "probe int, text string, lo timestamp, hi timestamp, app string, entities array<string>, limit int")
 
-    chunks: shard, chunk_id, episode_id, text, ts_capture, source, provenance,
-    app_name, bundle_id, entity_keys. Each shard gives its diversified top
+
+def _pairs(queries: DataFrame, shards: list[str], pruned: bool) -> DataFrame:
+    """Each query with each shard, or with each that its range meets (all, without one): an equi-join later on, not a comparison of ranges.
+
+    shards are a name a week, so a query has a short list.
+    """
+    if not shards:
+        return queries.withColumn("shard", F.lit("")).limit(0)
+    weeks = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(shard_bounds(s)[0]).alias("start"), F.lit(shard_bounds(s)[1]).alias("end")) for s in shards])
+    meets = F.filter(weeks, lambda w: F.lit(not pruned) | F.col("lo").isNull() | ((w["start"] <= F.col("hi")) & (w["end"] > F.col("lo"))))
+    return queries.withColumn("w", F.explode(meets)).withColumn("shard", F.col("w.shard")).drop("w")
+
+
+def _obeys() -> Column:
+    """hard_filter, with the query's fields as columns lo, hi, app, entities beside the chunk's."""
+    inside = F.col("lo").isNull() | F.col("ts_capture").between(F.col("lo"), F.col("hi"))
+    app = F.col("app").isNull() | (F.col("app") == "") | (F.col("app_name") == F.col("app")) | (F.col("bundle_id") == F.col("app"))
+    lower = lambda c: F.translate(c, UPPER, UPPER.lower())
+    wanted = F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: e != "")
+    held = F.coalesce(F.transform("entity_keys", lower), F.array().cast("array<string>"))
+    keys = F.forall(wanted, lambda e: F.array_contains(held, lower(e)))
+    return inside & F.coalesce(app, F.lit(False)) & keys
+
+
+def search_many(queries: DataFrame, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], near: DataFrame | None = None, pruned: bool = True) -> DataFrame:
+    """probe, shard, chunk_id, episode_id, score, place: the answers to a table of queries, in one plan.
+
+    queries: as query_rows gives them. catalog: shard, chunk_id, episode_id,
+    ts_capture, app_name, bundle_id, entity_keys; no text moves. near: probe,
+    shard, chunk_id, similarity. A query's keyword list is that of its terms, its recency
+    list comes where it has a range or no term, its vector list where near has
+    it; all are ranked by one shuffle. Each shard gives its diversified top
     list; several shards' lists are fused by rank again and diversified again.
-    Text is fetched last, for the rows of the answer.
     """
-    if q.clamped == 0:
-        return chunks.limit(0).select("chunk_id", "episode_id", "text", F.lit(0.0).alias("score"), "source", "provenance", "ts_capture", F.lit(0).alias("place"))
-    fused = reciprocal_ranks(candidate_lists(chunks, q, **given))
-    fused = fused.join(chunks.select("chunk_id", "episode_id"), "chunk_id")
-    top = diversified(fused, q.clamped, by=["shard"])
-    shards = F.size(F.collect_set("shard").over(W.partitionBy()))
-    top = top.withColumn("shards", shards)
-    again = F.when(F.col("shards") > 1, F.lit(1.0) / (RRF_K + F.col("place"))).otherwise(F.col("score"))
-    final = diversified(top.withColumn("score", again).drop("place"), q.limit)
-    meta = chunks.select("chunk_id", "text", "ts_capture", known_source(F.col("source")).alias("source"), known_provenance(F.col("provenance")).alias("provenance"))
-    return final.join(meta, "chunk_id").select("chunk_id", "episode_id", "text", "score", "source", "provenance", "ts_capture", "place")
+    q = queries.withColumn("clamped", F.greatest(F.least("limit", F.lit(CLAMP)), F.lit(0))).withColumn("pool", F.greatest(F.col("clamped") * 5, F.lit(50))).where("clamped > 0")
+    q = _pairs(q.withColumn("terms", query_terms(F.coalesce("text", F.lit("")))).drop("text"), shards, pruned)
+    narrow = catalog.select("shard", "chunk_id", "episode_id", "ts_capture", "app_name", "bundle_id", "entity_keys")
+    wanted = ["probe", "shard", "lo", "hi", "app", "entities", "pool"]
+    entry = lambda df, i, key: df.select("probe", "shard", "chunk_id", "episode_id", "pool", F.lit(i).alias("list"), key.cast("double").alias("key"))
+    scores = bm25_many(index, stats, q.select("probe", "shard", F.posexplode("terms").alias("nth", "term")))
+    lists = [entry(scores.join(q.select(*wanted), ["probe", "shard"]).join(narrow, ["shard", "chunk_id"]).where(_obeys()), 0, F.col("score"))]
+    recent = q.where((F.size("terms") == 0) | F.col("lo").isNotNull()).select(*wanted)
+    lists.append(entry(narrow.join(recent, "shard").where(_obeys()), 1, -F.unix_micros(F.col("ts_capture").cast("timestamp"))))
+    if near is not None:
+        close = near.select("probe", "shard", "chunk_id", "similarity").join(q.select(*wanted), ["probe", "shard"])
+        lists.append(entry(close.join(narrow, ["shard", "chunk_id"]).where(_obeys()), 2, -F.col("similarity")))
+    # The greatest pool is a literal, so that each task keeps that many of a list at most before the shuffle.
+    rank = F.row_number().over(W.partitionBy("probe", "shard", "list").orderBy("key", "chunk_id"))
+    ranked_lists = reduce(DataFrame.unionByName, lists).withColumn("rank", rank).where(F.col("rank") <= 5 * CLAMP).where(F.col("rank") <= F.col("pool"))
+    parts = [F.coalesce(F.lit(1.0) / (RRF_K + F.max(F.when(F.col("list") == i, F.col("rank")))), F.lit(0.0)) for i in range(len(lists))]
+    fused = ranked_lists.groupBy("probe", "shard", "chunk_id").agg(F.max("episode_id").alias("episode_id"), reduce(lambda a, b: a + b, parts).alias("score"))
+    limits = queries.select("probe", F.col("limit").alias("most"), F.greatest(F.least("limit", F.lit(CLAMP)), F.lit(0)).alias("clamped"))
+    top = diversified(fused.join(limits, "probe"), F.col("clamped"), by=["probe", "shard"])
+    several = F.size(F.collect_set("shard").over(W.partitionBy("probe"))) > 1  # CLAMP rows a shard at most
+    again = F.when(several, F.lit(1.0) / (RRF_K + F.col("place"))).otherwise(F.col("score"))
+    final = diversified(top.withColumn("score", again).drop("place"), F.col("most"), by=["probe"])
+    return final.select("probe", "shard", "chunk_id", "episode_id", "score", "place")
+
+
+def bm25_many(index: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
+    """probe, shard, chunk_id, score of the chunks that hold a term; wanted: probe, shard, nth, term.
+
+    Counts are per shard and term, over all chunks. Parts add up in the terms'
+    order, so that equal texts score alike.
+    """
+    terms = wanted.select("shard", "term").distinct()
+    hits = index.join(terms, ["shard", "term"])
+    n = hits.groupBy("shard", "term").agg(F.count("*").alias("n"))
+    s = hits.join(n, ["shard", "term"]).join(stats, "shard")
+    idf = F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.when(idf <= 0, F.lit(RARE_IDF)).otherwise(idf)
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+    s = s.select("shard", "term", "chunk_id", part.alias("part")).join(wanted, ["shard", "term"])
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda x: x["part"])  # MAX_TERMS at most
+    return s.groupBy("probe", "shard", "chunk_id").agg((-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("score"))
+
+
+def hybrid_search(chunks: DataFrame, q: Query, index: DataFrame | None = None, stats: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None) -> DataFrame:
+    """chunk_id, episode_id, text, score, source, provenance, ts_capture, place: the answer to one query, by search_many.
+
+    chunks: shard, chunk_id, episode_id, text, ts_capture, source, provenance,
+    app_name, bundle_id, entity_keys. Text is fetched last, for the rows of the
+    answer. The terms and the vector are literals, so that they reach the scans.
+    """
+    spark = chunks.sparkSession
+    names = sorted(r[0] for r in chunks.select("shard").distinct().toLocalIterator())  # a short string a week
+    found = search_one(spark, q, chunks, index if index is not None else inverted_index(chunks), stats if stats is not None else shard_stats(chunks), names, vectors, query_vector, False)
+    meta = chunks.select("shard", "chunk_id", "text", "ts_capture", known_source(F.col("source")).alias("source"), known_provenance(F.col("provenance")).alias("provenance"))
+    return found.join(meta, ["shard", "chunk_id"]).select("chunk_id", "episode_id", "text", "score", "source", "provenance", "ts_capture", "place")
+
+
+def search_one(spark: SparkSession, q: Query, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None, pruned: bool = True) -> DataFrame:
+    """search_many for one query whose terms and vector are literals."""
+    terms = query_term_list(q.text)
+    near = None
+    if vectors is not None and query_vector is not None:
+        near = knn(vectors, *query_vector).select(F.lit(0).alias("probe"), "shard", "chunk_id", "similarity")
+    hits = index.where(F.col("term").isin(terms)) if terms else index.limit(0)
+    return search_many(query_rows(spark, [q]), catalog, hits, stats, shards, near, pruned).drop("probe")
 
 
 def known_source(source: Column) -> Column:
@@ -190,25 +275,6 @@ def unembedded(chunks: DataFrame, vectors: DataFrame, model: str, batch: int | N
     return left if batch is None else left.limit(batch)
 
 
-def keyword_hits(index: DataFrame, stats: DataFrame, probes: DataFrame, k: int) -> DataFrame:
-    """probe, chunk_id, score, place: the first k chunks of many keyword searches at once, over all shards as one.
-
-    probes: probe, nth, term. The searches share one pass over the index.
-    """
-    whole = stats.agg(F.sum("n_chunks").alias("n_chunks"), (F.sum(F.col("n_chunks") * F.col("avg_len")) / F.sum("n_chunks")).alias("avg_len"))
-    wanted = probes.select("term").distinct()
-    some = index.join(wanted, "term").withColumn("n", F.count("*").over(W.partitionBy("term")))
-    s = some.crossJoin(F.broadcast(whole)).withColumn("idf", F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    idf = F.when(F.col("idf") <= 0, F.lit(RARE_IDF)).otherwise(F.col("idf"))
-    s = s.withColumn("part", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))))
-    hits = s.select("term", "chunk_id", "part").join(probes, "term")
-    # Parts add up in the terms' order, so that equal texts score alike.
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda x: x["part"])
-    scored = hits.groupBy("probe", "chunk_id").agg((-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("score"))
-    place = F.row_number().over(W.partitionBy("probe").orderBy("score", "chunk_id"))
-    return scored.withColumn("place", place).where(F.col("place") <= k)
-
-
 def recall_at(results: DataFrame, expected: DataFrame, k: int = 3) -> DataFrame:
     """probes, hits, recall: share of the probes whose expected label is among their first k results."""
     hit = results.where(F.col("place") <= k).join(expected, ["probe", "label"], "left_semi").select("probe").distinct()

@@ -120,6 +120,30 @@ def _full(lo: str, hi: str, limit: int, keyword: bool = True, vectors: bool = Fa
       SELECT chunk_id, episode_id, round(score, 9) AS score, row_number() OVER (ORDER BY beyond, score DESC, chunk_id) AS place{", 'untrusted_ambient' AS provenance" if vectors else ""} FROM c2 QUALIFY place <= {limit}"""
 
 
+def _many(lo: str, hi: str, app: str, entity: str) -> str:
+    """WITH .. answers(probe, chunk_id, episode_id, score, place): a search with limit 8 for each benchmark item."""
+    words = f"""list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(map(lit, STOPWORDS))}))"""
+    return f"""WITH {_index()},
+      qs AS (SELECT item_id AS probe, text, CAST({lo} AS TIMESTAMP) AS lo, CAST({hi} AS TIMESTAMP) AS hi, CAST({app} AS VARCHAR) AS app, CAST({entity} AS VARCHAR) AS entity FROM benchmark),
+      w AS (SELECT probe, {words} AS w FROM qs), p AS (SELECT probe, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT probe, term, min(i) AS i FROM p GROUP BY ALL),
+      t AS (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY i) AS nth FROM f QUALIFY nth <= {MAX_TERMS}),
+      reach AS (SELECT qs.*, shard FROM qs, (SELECT DISTINCT shard FROM chunks) WHERE lo IS NULL OR shard BETWEEN {SHARD_SQL.format("lo")} AND {SHARD_SQL.format("hi")}),
+      n2 AS (SELECT shard, term, count(*) AS n FROM idx GROUP BY ALL),
+      p2 AS (SELECT probe, shard, chunk_id, nth, CASE WHEN ln((n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) END
+        * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len)) AS part FROM idx JOIN t USING (term) JOIN n2 USING (shard, term) JOIN stats USING (shard)),
+      sc AS (SELECT probe, shard, chunk_id, -sum(part ORDER BY nth) AS score FROM p2 GROUP BY ALL),
+      able2 AS (SELECT probe, c.shard, chunk_id, episode_id, ts_capture, lo FROM chunks c JOIN reach r ON c.shard = r.shard AND (lo IS NULL OR ts_capture BETWEEN lo AND hi) AND (app IS NULL OR app_name = app OR bundle_id = app) AND (entity IS NULL OR list_contains(entity_keys, entity))),
+      lists2 AS (SELECT probe, shard, chunk_id, 1 AS l, row_number() OVER (PARTITION BY probe, shard ORDER BY score, chunk_id) AS r FROM sc JOIN able2 USING (probe, shard, chunk_id) QUALIFY r <= 50
+        UNION ALL SELECT probe, shard, chunk_id, 2, row_number() OVER (PARTITION BY probe, shard ORDER BY ts_capture DESC, chunk_id) AS r FROM able2 WHERE lo IS NOT NULL OR probe NOT IN (SELECT probe FROM t) QUALIFY r <= 50),
+      fe AS (SELECT probe, shard, chunk_id, chunk_id // 10 AS episode_id, coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 1 THEN r END)), 0) + coalesce(1.0::DOUBLE / (60 + max(CASE WHEN l = 2 THEN r END)), 0) AS score FROM lists2 GROUP BY ALL),
+      c1 AS (SELECT *, row_number() OVER (PARTITION BY probe, shard, episode_id ORDER BY score DESC, chunk_id) > 3 AS beyond FROM fe),
+      d1 AS (SELECT *, row_number() OVER (PARTITION BY probe, shard ORDER BY beyond, score DESC, chunk_id) AS place FROM c1 QUALIFY place <= 8),
+      m AS (SELECT probe, count(DISTINCT shard) AS shards FROM d1 GROUP BY probe),
+      again AS (SELECT probe, chunk_id, episode_id, CASE WHEN shards > 1 THEN 1.0::DOUBLE / (60 + place) ELSE score END AS score FROM d1 JOIN m USING (probe)),
+      c2 AS (SELECT *, row_number() OVER (PARTITION BY probe, episode_id ORDER BY score DESC, chunk_id) > 3 AS beyond FROM again),
+      answers AS (SELECT probe, chunk_id, episode_id, score, row_number() OVER (PARTITION BY probe ORDER BY beyond, score DESC, chunk_id) AS place FROM c2 QUALIFY place <= 8)"""
+
+
 QUANT = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
   u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS u FROM e),
   s AS (SELECT vec_id, u, list_max(list_transform(u, lambda x: abs(x))) / 127 AS s FROM u),
@@ -247,17 +271,12 @@ def oracle_sql() -> dict[str, str]:
         "hybrid_search": _full("TIMESTAMP '2026-01-05 00:00:00'", "TIMESTAMP '2026-01-11 23:00:00'", 8),
         "cross_shard_search": _full(LO, HI, 20),
         "recent_activity": _full(LO, HI, 12, False),
-        "recall_at_3": f"""WITH {_index()}, w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(map(lit, STOPWORDS))})) AS w FROM benchmark),
-          p AS (SELECT item_id AS probe, unnest(list_slice(w, 1, 100000)) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT probe, term, min(i) AS i FROM p GROUP BY ALL),
-          t AS (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY i) AS nth FROM f QUALIFY nth <= {MAX_TERMS}),
-          g AS (SELECT sum(n_chunks) AS n_chunks, sum(n_chunks * avg_len) / sum(n_chunks) AS avg_len FROM stats), df2 AS (SELECT term, count(*) AS n FROM idx GROUP BY term),
-          p2 AS (SELECT probe, chunk_id, nth, CASE WHEN ln((g.n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((g.n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) END
-            * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / g.avg_len)) AS part FROM idx JOIN t USING (term) JOIN df2 USING (term), g),
-          sc AS (SELECT probe, chunk_id, -sum(part ORDER BY nth) AS score FROM p2 GROUP BY ALL),
-          top AS (SELECT probe, chunk_id, row_number() OVER (PARTITION BY probe ORDER BY score, chunk_id) AS place FROM sc QUALIFY place <= 3),
+        "recall_at_3": f"""{_many("NULL", "NULL", "NULL", "NULL")},
           held AS (SELECT item_id AS probe, chunk_id FROM benchmark b JOIN chunks c ON contains(c.text, b.text) WHERE item_id IN (SELECT probe FROM t)),
-          z AS (SELECT DISTINCT probe FROM held), hit AS (SELECT DISTINCT probe FROM top JOIN held USING (probe, chunk_id))
+          z AS (SELECT DISTINCT probe FROM held), hit AS (SELECT DISTINCT probe FROM answers JOIN held USING (probe, chunk_id) WHERE place <= 3)
           SELECT count(*) AS probes, CAST(count(hit.probe) AS BIGINT) AS hits, count(hit.probe) / CAST(count(*) AS DOUBLE) AS recall FROM z LEFT JOIN hit USING (probe)""",
+        "search_table": f"""{_many(f"CASE WHEN item_id % 4 = 1 THEN {LO} END", f"CASE WHEN item_id % 4 = 1 THEN {HI} END", "CASE WHEN item_id % 4 = 2 THEN 'src0' END", "CASE WHEN item_id % 4 = 3 THEN 'en' END")}
+          SELECT probe, chunk_id, episode_id, round(score, 9) AS score, place, 'untrusted_ambient' AS provenance FROM answers""",
         "store_search": _full(LO, HI, 20, vectors=True),
         "sessions_idle": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 43200 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g) SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS ts_start, max(ts) AS ts_end, count(*) AS n_events FROM s GROUP BY 1, 2",
         "sessions_idle_global": "WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 300 SECOND OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (ORDER BY ts, event_id)), s AS (SELECT *, sum(new) OVER (ORDER BY ts, event_id) AS session FROM g) SELECT CAST(session AS BIGINT) AS session, min(ts) AS ts_start, max(ts) AS ts_end, count(*) AS n_events FROM s GROUP BY 1",

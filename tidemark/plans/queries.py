@@ -251,37 +251,56 @@ def recent_activity(spark, d):
     return _search(spark, d, retrieve.Query("", RANGE, limit=12))
 
 
-def recall_at_3(spark, d):
-    """For every benchmark item that some chunk holds, whether a keyword search for it brings such a chunk among its first three."""
+def _document_store(spark, d):
+    """A store of the documents: episodes, events, chunks and their index."""
+    key = lambda c: F.lpad(F.col(c).cast("string"), 15, "0")
     c = derived.chunks(spark, d)
+    store = Store(spark, scratch(spark, "store"))
+    episodes = c.groupBy("episode_id").agg(F.min("ts_capture").alias("ts_start"), F.max("ts_capture").alias("ts_end"), *[F.min(x).alias(x) for x in ("app_name", "bundle_id", "entity_keys")])
+    episodes = episodes.withColumn("id", key("episode_id")).drop("episode_id")
+    events = c.select(key("chunk_id").alias("id"), key("episode_id").alias("episode_id"), F.col("ts_capture").alias("ts"), "provenance")
+    held = c.select(key("chunk_id").alias("id"), key("chunk_id").alias("event_id"), key("episode_id").alias("episode_id"), "text", "ts_capture", "source")
+    store.ingest(episodes, events, held)
+    return store
+
+
+def _answers(found, *more):
+    return found.select(*more, F.col("chunk_id").cast("long").alias("chunk_id"), F.col("episode_id").cast("long").alias("episode_id"), F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"), "provenance")
+
+
+def search_table(spark, d):
+    """Every benchmark item as a query, all in one plan: a quarter of them with a range, an application or an entity each."""
+    i = F.col("item_id")
+    some = lambda n, v, kind: F.when(i % 4 == n, F.lit(v)).cast(kind)
+    q = table(spark, d, "benchmark").select(i.alias("probe"), "text", some(1, RANGE[0], "timestamp").alias("lo"), some(1, RANGE[1], "timestamp").alias("hi"), some(2, "src0", "string").alias("app"), F.when(i % 4 == 3, F.array(F.lit("EN"), F.lit(""))).alias("entities"), F.lit(8).alias("limit"))
+    return _answers(_document_store(spark, d).search_table(q), "probe")
+
+
+def recall_at_3(spark, d):
+    """For every benchmark item that some chunk holds, whether the search for it brings such a chunk among its first three."""
+    store = _document_store(spark, d)
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("probe"), F.col("text").alias("item"))
-    probes = items.select("probe", F.posexplode(text.query_terms(F.col("item"))).alias("nth", "term"))
-    index = reliable(retrieve.inverted_index(c))
-    found = retrieve.keyword_hits(index, retrieve.shard_stats(c), probes, 3)
+    none = lambda kind: F.lit(None).cast(kind)
+    found = store.search_table(items.select("probe", F.col("item").alias("text"), none("timestamp").alias("lo"), none("timestamp").alias("hi"), none("string").alias("app"), none("array<string>").alias("entities"), F.lit(8).alias("limit")))
     # A chunk that holds an item has all its terms: only such pairs are compared as texts.
-    terms = items.join(probes.select("probe").distinct(), "probe").select("probe", F.array_distinct(text.index_terms(F.col("item"))).alias("terms"))
+    terms = items.select("probe", F.array_distinct(text.index_terms(F.col("item"))).alias("terms"))
     wanted = terms.select("probe", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-    pairs = index.select("term", "chunk_id").join(wanted, "term").groupBy("probe", "chunk_id", "size").agg(F.count("*").alias("n")).where("n = size")
-    held = pairs.select("probe", "chunk_id").join(items, "probe").join(c.select("chunk_id", "text"), "chunk_id").where(F.col("text").contains(F.col("item")))
-    held = reliable(held.select("probe", "chunk_id", F.lit(1).alias("label")))
-    return retrieve.recall_at(found.join(held, ["probe", "chunk_id"]), held.select("probe", "label"))
+    pairs = store.read("postings").select("term", "chunk_id").join(wanted, "term").groupBy("probe", "chunk_id", "size").agg(F.count("*").alias("n")).where("n = size")
+    held = pairs.select("probe", "chunk_id").join(items, "probe").join(store.read("chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id").where(F.col("text").contains(F.col("item")))
+    asked = items.where(F.size(text.query_terms(F.col("item"))) > 0).select("probe")
+    held = reliable(held.select("probe", "chunk_id", F.lit(1).alias("label")).join(asked, "probe", "left_semi"))
+    return retrieve.recall_at(found.select("probe", "chunk_id", "place").join(held, ["probe", "chunk_id"]), held.select("probe", "label"))
 
 
 def store_search(spark, d):
     """A search with a query vector in a store: documents are ingested with their index and vectors, and weeks outside the range stay unread."""
     key = lambda c: F.lpad(F.col(c).cast("string"), 15, "0")
-    c = derived.chunks(spark, d)
-    store = Store(spark, scratch(spark, "store"))
-    episodes = c.groupBy("episode_id").agg(F.min("ts_capture").alias("ts_start"), F.max("ts_capture").alias("ts_end"), *[F.min(x).alias(x) for x in ("app_name", "bundle_id", "entity_keys")])
-    episodes = episodes.withColumn("id", key("episode_id")).drop("episode_id")
-    events = c.select(key("chunk_id").alias("id"), key("episode_id").alias("episode_id"), F.col("ts_capture").alias("ts"), "provenance")
-    held = c.select(key("chunk_id").alias("id"), key("chunk_id").alias("event_id"), key("episode_id").alias("episode_id"), "text", "ts_capture", "source")
-    store.ingest(episodes, events, held)
+    c, store = derived.chunks(spark, d), _document_store(spark, d)
     v = _vectors(spark, d)
     store.upsert_vectors(v.join(c.select(F.col("chunk_id").alias("vec_id"), "shard"), "vec_id").select(key("vec_id").alias("chunk_id"), F.lit("m64").alias("model_id"), F.lit(64).alias("dim"), "scale", F.col("ints").alias("embedding"), "shard"))
     probe = v.where("vec_id = 0").first()
     found = store.search(retrieve.Query(SEARCH, RANGE, limit=20), query_vector=(probe.ints, probe.scale, "m64"))
-    return found.select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("episode_id").cast("long").alias("episode_id"), F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"), "provenance")
+    return _answers(found)
 
 
 def sessions_idle(spark, d):
@@ -454,7 +473,7 @@ def engine_fold(spark, d):
 ALL = [
     normalize_hash, title_normalize, shard_id, shard_range, shards_intersecting, droppable_shards, external_key, exclusion_mode, capability_strategy, ocr_fallback, layered_choice, ocr_budget,
     redact_tokens, redact_cards, luhn, sentence_split, token_estimate, chunk_pack, event_time, exact_dedup, hourly_volume, volume_stats, minhash_signature, lsh_candidates, near_dup, hash_embedding,
-    quantize_int8, knn_topk, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search,
+    quantize_int8, knn_topk, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search, search_table,
     sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, ambient_sweep, sweep_stats, sweep_log, ambient_choice, chunk_stage, sweep_plan, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, drafts_by_status, pending_drafts,
     url_denylist, extract_validate, compose_page, format_results, provenance_join, throttle, engine_fold,
 ]

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.dates import shard_bounds, shard_of
-from tidemark.operators.retrieve import Query, chunk_lengths, hybrid_search, inverted_index, shards_for, with_provenance
+from tidemark.operators.retrieve import Query, chunk_lengths, inverted_index, known_source, search_many, search_one, shards_for, with_provenance
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -173,20 +173,41 @@ class Store:
         old = [f"{t}/{s}/{x}" for t in ("postings", "lengths") for s in self._children(self.path(t)) for x in self._children(f"{self.path(t)}/{s}")]
         self._commit(f"reindex-{uuid.uuid4().hex}", {"postings": inverted_index(kept), "lengths": chunk_lengths(kept)}, old)
 
-    def search(self, q: Query, **vector) -> DataFrame:
-        """hybrid_search over the shards that the query's range meets; postings and vectors are read, not made.
+    def catalog(self, shards: list[str]) -> DataFrame:
+        """What search_many ranks, without text: the chunks of these shards that have their event, with their episode's application and keys."""
+        part = lambda table: self.read(table).where(F.col("shard").isin(shards))
+        of = part("episodes").select("shard", F.col("id").alias("episode_id"), "app_name", "bundle_id", "entity_keys")
+        chunks = part("chunks").select("shard", F.col("id").alias("chunk_id"), "episode_id", "event_id", "ts_capture")
+        return chunks.join(part("events").select("shard", F.col("id").alias("event_id")), ["shard", "event_id"], "left_semi").join(of, ["shard", "episode_id"])
+
+    def statistics(self, shards: list[str]) -> DataFrame:
+        return self.read("lengths").where(F.col("shard").isin(shards)).groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
 
-        Chunks come with their episode's application and keys and their event's
-        provenance; a chunk without its event isn't found.
+    def search(self, q: Query, query_vector: tuple[list[int], float, str] | None = None) -> DataFrame:
+        """chunk_id, episode_id, text, score, source, provenance, ts_capture, place: the answer to q.
+
+        Only the shards that the range meets are read, and their postings and
+        vectors as they are stored. A chunk without its event isn't found; text
+        and provenance are fetched for the answer's rows alone.
         """
         names = shards_for(self.shards(), q.time_range)
         part = lambda table: self.read(table).where(F.col("shard").isin(names))
-        of = part("episodes").select("shard", F.col("id").alias("episode_id"), "app_name", "bundle_id", "entity_keys")
-        chunks = with_provenance(part("chunks").withColumnRenamed("id", "chunk_id").join(of, ["shard", "episode_id"]), part("events"))
-        stats = part("lengths").groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
-        if vector:
-            vector["vectors"] = part("vectors")
-        return hybrid_search(chunks, q, index=part("postings"), stats=stats, **vector)
+        vectors = part("vectors") if query_vector is not None else None
+        found = search_one(self.spark, q, self.catalog(names), part("postings"), self.statistics(names), names, vectors, query_vector)
+        return self.answered(found, names)
+
+    def search_table(self, queries: DataFrame) -> DataFrame:
+        """The answers to a table of queries (as query_rows gives them), with their probe, in one plan over the whole store."""
+        names = self.shards()
+        found = search_many(queries, self.catalog(names), self.read("postings"), self.statistics(names), names)
+        return self.answered(found, names, ["probe"])
+
+    def answered(self, found: DataFrame, shards: list[str], by: list[str] = ()) -> DataFrame:
+        """found (by.., shard, chunk_id, episode_id, score, place) with text, source, provenance and time."""
+        part = lambda table: self.read(table).where(F.col("shard").isin(shards))
+        meta = part("chunks").select("shard", F.col("id").alias("chunk_id"), "event_id", "text", "ts_capture", known_source(F.col("source")).alias("source"))
+        events = part("events").select("shard", "id", "provenance")
+        return with_provenance(found.join(meta, ["shard", "chunk_id"]), events).select(*by, "chunk_id", "episode_id", "text", "score", "source", "provenance", "ts_capture", "place")
 
     def _fitted(self, table: str, df: DataFrame) -> DataFrame:
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schemas.struct(table)])
