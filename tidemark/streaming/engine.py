@@ -44,6 +44,8 @@ class State:
     seen: dict = field(default_factory=dict)
     provider_calls: int = 0
     idle_calls: int = 0
+    text: str | None = None
+    seq: int = 0
 
 
 default_mode = mode_of(DEFAULT_RULES)
@@ -53,14 +55,37 @@ class Engine:
     """One stream's machine; `mode` says never_capture, redact or capture of a signal's context,
     `redact` gives a text without its secrets and flags of what they were."""
 
-    def __init__(self, state: State | None = None, mode=default_mode, redact=redacted):
+    def __init__(self, state: State | None = None, mode=default_mode, redact=redacted, idle: float = IDLE, debounce: float = DEBOUNCE, fallback: float = FALLBACK):
         self.s, self.mode, self.redact = state or State(), mode, redact
+        self.idle, self.debounce, self.fallback = idle, debounce, fallback
 
     def feed(self, x: dict) -> list[dict]:
         out: list[dict] = []
+        self.s.seq = x["seq"]
+        if x["kind"] != "clipboard":  # a provider would read this until something else shows
+            self.s.text = x["text"] if x["text"] is not None or x["kind"] == "app_change" else self.s.text
         getattr(self, "_" + x["kind"])(x, out)
         return out
 
+    def due(self) -> float | None:
+        """When the next timer is to fire: the idle bound, the debounce deadline, or the fallback capture."""
+        s, times = self.s, []
+        if s.idle or s.activity is None:
+            return None
+        times.append(s.activity + self.idle)
+        if s.deadline is not None:
+            times.append(s.deadline)
+        elif s.open_since is not None and s.attempt is not None and s.activity > s.attempt:
+            times.append(max(s.attempt + self.fallback, s.activity))
+        return min(times)
+
+    def advance(self, now: float) -> list[dict]:
+        """What the timers due by now give, each at its own time; the text is the last that the context showed."""
+        out: list[dict] = []
+        while (at := self.due()) is not None and at <= now:
+            self._tick({"seq": self.s.seq, "ts": at, "kind": "tick", "text": self.s.text}, out)
+        return out
+
     def _emit(self, x: dict, out: list, kind: str, ts: float, text: str | None = None, flags: int = 0) -> None:
         here = {"bundle": self.s.bundle, "app": self.s.app, "title": self.s.title}
         title = PLACEHOLDER if self.s.title is not None and self.mode(here) == "redact" else self.s.title
@@ -126,7 +151,7 @@ class Engine:
 
     def _text_signal(self, x: dict, out: list) -> None:
         if not self.s.idle and self._same(x) and self.s.open_since is not None:
-            self.s.deadline = x["ts"] + DEBOUNCE
+            self.s.deadline = x["ts"] + self.debounce
 
     def _clipboard(self, x: dict, out: list) -> None:
         self._active(x["ts"])
@@ -148,7 +173,7 @@ class Engine:
     def _tick(self, x: dict, out: list) -> None:
         x = {**x, "bundle": self.s.bundle, "app": self.s.app, "title": self.s.title}
         now, last = x["ts"], self.s.activity
-        if not self.s.idle and last is not None and now - last >= IDLE:
+        if not self.s.idle and last is not None and now - last >= self.idle:
             self.s.idle, self.s.deadline = True, None
             self._close(x, out, last)
             return
@@ -158,7 +183,7 @@ class Engine:
             if now >= self.s.deadline:
                 self.s.deadline = None
                 self._capture(x, out)
-        elif self.s.open_since is not None and self.s.attempt is not None and last is not None and last > self.s.attempt and now - self.s.attempt >= FALLBACK:
+        elif self.s.open_since is not None and self.s.attempt is not None and last is not None and last > self.s.attempt and now - self.s.attempt >= self.fallback:
             self._capture(x, out)
 
     def _finish(self, x: dict, out: list) -> None:
@@ -174,19 +199,26 @@ def replay(signals: Iterable[dict], mode=default_mode, redact=redacted) -> tuple
     return out, e.s
 
 
-def folded(signals: DataFrame, by: str = "stream", mode=default_mode, redact=redacted) -> DataFrame:
-    """The engine over a finished table: each stream's signals pass through in order, none is held."""
+def folded(signals: DataFrame, by: str = "stream", mode=default_mode, redact=redacted, timers: bool = False, **bounds: float) -> DataFrame:
+    """The engine over a finished table: each stream's signals pass through in order, none is held.
+
+    timers: idle, debounce and fallback fire at their own times, those left at
+    a stream's end too; else tick signals drive them. bounds: idle, debounce, fallback.
+    """
     import pandas as pd
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, e = object(), Engine(mode=mode, redact=redact)
+        new = lambda: Engine(mode=mode, redact=redact, **bounds)
+        key, e = None, new()
         for b in batches:
             rows = []
             for x in b.astype(object).where(b.notna(), None).to_dict("records"):
                 if x[by] != key:
-                    key, e = x[by], Engine(mode=mode, redact=redact)
-                rows += [{"stream": key, **r} for r in e.feed(x)]
+                    rows += [{"stream": key, **r} for r in (e.advance(float("inf")) if timers else ())]
+                    key, e = x[by], new()
+                rows += [{"stream": key, **r} for r in [*(e.advance(x["ts"]) if timers else ()), *e.feed(x)]]
             yield pd.DataFrame(rows, columns=OUT)
+        yield pd.DataFrame([{"stream": key, **r} for r in (e.advance(float("inf")) if timers else ())], columns=OUT)
 
     ordered = signals.select(by, *SIGNAL_COLUMNS).repartition(by).sortWithinPartitions(by, "seq")
     return ordered.mapInPandas(run, OUT_SQL)
