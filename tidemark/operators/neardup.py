@@ -6,7 +6,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,41 +31,77 @@ def coefficients(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[tuple[int, in
     return tuple((1 + a % (PRIME - 1), b % PRIME) for a, b in zip(drawn[::2], drawn[1::2], strict=True))
 
 
-def fnv32(items: list[bytes]) -> np.ndarray:
-    """FNV-1a-32 of many strings at once, byte position by byte position."""
-    size = np.array([len(x) for x in items])
-    grid = np.zeros((len(items), int(size.max()) if len(items) else 0), np.uint64)
-    for i, x in enumerate(items):
-        grid[i, : len(x)] = np.frombuffer(x, np.uint8)
-    h = np.full(len(items), FNV32_OFFSET, np.uint64)
-    for k in range(grid.shape[1]):
-        live = size > k
-        h[live] = ((h[live] ^ grid[live, k]) * np.uint64(FNV32_PRIME)) & np.uint64(0xFFFFFFFF)
+def shingle_bounds(data: np.ndarray, ends: np.ndarray, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first byte, end and text of each n-word shingle of texts that lie one after the other; fewer words are a shingle each.
+
+    data: UTF-8 with one blank between words and none at the texts' ends.
+    """
+    size = np.diff(ends)
+    blank = np.flatnonzero(data == 32)
+    first = np.sort(np.concatenate([ends[:-1][size > 0], blank + 1]))
+    of = np.searchsorted(ends, first, "right") - 1
+    last = np.append(first[1:] - 1, len(data))  # before the blank
+    tail = np.append(of[1:] != of[:-1], True) if len(of) else np.zeros(0, bool)
+    last[tail] = ends[of[tail] + 1]  # a text's last word ends with it, no blank follows
+    words = np.bincount(of, minlength=len(size))
+    place = np.arange(len(of)) - np.concatenate([[0], np.cumsum(words)[:-1]])[of] if len(of) else np.zeros(0, np.int64)
+    few = words[of] < n
+    heads = np.flatnonzero(few | (place + n <= words[of]))
+    return first[heads], last[np.where(few[heads], heads, heads + n - 1)], of[heads]
+
+
+def fnv32_of(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """FNV-1a-32 of many stretches of bytes at once, byte position by byte position; those that end early drop out."""
+    h, size = np.full(len(first), FNV32_OFFSET, np.uint32), last - first
+    by = np.argsort(-size, kind="stable")
+    at, left, out, prime = first[by], size[by], h[by], np.uint32(FNV32_PRIME)
+    for k in range(int(left[0]) if len(left) else 0):
+        live = int(np.searchsorted(-left, -k, "left"))
+        out[:live] = (out[:live] ^ data[at[:live] + k]) * prime
+    h[by] = out
     return h
 
 
-def shingle_set(text: str, n: int = SHINGLE) -> list[bytes]:
-    """Distinct n-word shingles of normalised text; fewer words are a shingle each."""
-    w = text.split()
-    grams = w if len(w) < n else [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
-    return [g.encode() for g in dict.fromkeys(grams)]
+def fnv32(items: list[bytes]) -> np.ndarray:
+    """FNV-1a-32 of many strings."""
+    ends = np.cumsum([0, *map(len, items)])
+    return fnv32_of(np.frombuffer(b"".join(items), np.uint8), ends[:-1], ends[1:])
 
 
-def signature_of(text: str, permutations: int = PERMUTATIONS) -> list[int]:
-    grams = shingle_set(text or "")
-    if not grams:
-        return [EMPTY] * permutations
+def signatures_of(texts: list[str], permutations: int = PERMUTATIONS, most: int = 1 << 15) -> np.ndarray:
+    """A signature per text, from one flat array of shingle hashes; a text without words has EMPTY everywhere."""
+    raw = [" ".join(t.split()).encode() for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    first, last, of = shingle_bounds(data, ends)
+    x = np.unique(of.astype(np.uint64) << np.uint64(32) | fnv32_of(data, first, last))
+    of, x = (x >> np.uint64(32)).astype(np.int64), x & np.uint64(0xFFFFFFFF)
+    out = np.full((len(texts), permutations), EMPTY, np.uint64)
     ab = np.array(coefficients(permutations), np.uint64)
-    x, least = np.unique(fnv32(grams)), np.full(permutations, EMPTY, np.uint64)
-    for first in range(0, len(x), 4096):  # the product table of a long text comes in slices
-        part = x[first : first + 4096]
-        least = np.minimum(least, ((ab[:, 0][:, None] * part[None, :] + ab[:, 1][:, None]) % np.uint64(PRIME)).min(axis=1))
-    return least.astype(np.int64).tolist()
+    for at in range(0, len(x), most):
+        part, who = x[at : at + most], of[at : at + most]
+        cuts = np.flatnonzero(np.append(True, who[1:] != who[:-1]))
+        for k in range(permutations):
+            out[who[cuts], k] = np.minimum(out[who[cuts], k], np.minimum.reduceat((ab[k, 0] * part + ab[k, 1]) % np.uint64(PRIME), cuts))
+    return out.astype(np.int64)
+
+
+def signature_of(text: str, permutations: int = PERMUTATIONS) -> list[int]:
+    return signatures_of([text or ""], permutations)[0].tolist()
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
 def minhash(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: signature_of(t if isinstance(t, str) else ""))
+    """Signatures, some megabytes of text at a time."""
+    given = [t if isinstance(t, str) else "" for t in text]
+    out, some, held = [], [], 0
+    for t in given:
+        some.append(t)
+        held += len(t)
+        if held > 1 << 22:
+            out += list(signatures_of(some))
+            some, held = [], 0
+    return pd.Series(out + list(signatures_of(some)), dtype=object)
 
 
 def estimated_jaccard(a: Column, b: Column) -> Column:
@@ -76,66 +112,149 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
 
 
 def band_rows(df: DataFrame, bands: int = BANDS) -> DataFrame:
-    """df plus band and key, a row for each band of `signature`."""
-    rows = PERMUTATIONS // bands
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice("signature", b * rows + 1, rows)).alias("key")))
+    """df plus band and key, a row for each band of `signature`; rows of different `scope`, if df has one, share no key."""
+    rows, scope = PERMUTATIONS // bands, [F.col("scope")] if "scope" in df.columns else []
+    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.slice("signature", b * rows + 1, rows), *scope).alias("key")))
     return df.withColumn("k", F.explode(keys)).select(*df.columns, "k.band", "k.key")
 
 
+def links_of(pairs: DataFrame, earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
+    """earlier, later, jaccard of those pairs (earlier, later) that are similar enough, by the signatures (seq, signature) of either side."""
+    a, b = (df.select(F.col("seq").alias(n), F.col("signature").alias(f"of_{n}")) for df, n in ((earlier, "earlier"), (later, "later")))
+    both = pairs.select("earlier", "later").distinct().join(a, "earlier").join(b, "later")
+    return both.select("earlier", "later", estimated_jaccard(F.col("of_earlier"), F.col("of_later")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+
+
 def links_from(heads: DataFrame, members: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
     """earlier, later, jaccard of the heads with the later members that share a band and are similar enough.
 
     heads and members: seq, key. A bucket gives heads times members, not all its pairs.
     """
     pairs = heads.select(F.col("seq").alias("earlier"), "key").join(members.select(F.col("seq").alias("later"), "key"), "key").where("earlier < later")
-    pairs = pairs.select("earlier", "later").distinct()
-    a, b = (signatures.select(F.col("seq").alias(n), F.col("signature").alias(f"of_{n}")) for n in ("earlier", "later"))
-    both = pairs.join(a, "earlier").join(b, "later")
-    return both.select("earlier", "later", estimated_jaccard(F.col("of_earlier"), F.col("of_later")).alias("jaccard")).where(F.col("jaccard") >= threshold)
+    return links_of(pairs, signatures, signatures, threshold)
 
 
-def retained_first(signatures: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
-    """(retained seqs, links of them to the rest) of rows (seq, signature), in order of seq.
+def retained_of(keyed: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+    """seq of the rows that stay, of (seq, key) and (seq, signature), in order of seq.
 
     A row that comes first in all its buckets, among those undecided, has no
     earlier undecided neighbour: it is retained, and later neighbours of it
     are collapsed. Each round decides the first undecided row at least.
     """
-    keyed = _cut(band_rows(signatures, bands).select("seq", "key"))
-    undecided, retained = keyed, None
-    while True:
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    undecided = _cut(keyed.join(shared, "key", "left_semi").select("seq", "key"))
+    retained = [keyed.select("seq").distinct().join(undecided.select("seq").distinct(), "seq", "left_anti")]  # in no bucket with another
+    while undecided.limit(1).count():
         least = undecided.groupBy("key").agg(F.min("seq").alias("least"))
         ahead = undecided.join(least, "key").groupBy("seq").agg(F.min(F.col("seq") == F.col("least")).alias("free")).where("free").select("seq")
         ahead = _cut(ahead)
-        if not ahead.limit(1).count():
-            break
-        retained = ahead if retained is None else _cut(retained.union(ahead))
+        retained.append(ahead)
         near = links_from(undecided.join(ahead, "seq"), undecided, signatures, threshold).select(F.col("later").alias("seq"))
         undecided = _cut(undecided.join(ahead.union(near).distinct(), "seq", "left_anti"))
-    if retained is None:
-        retained = signatures.select("seq").limit(0)
+    return _cut(functools.reduce(DataFrame.union, retained))
+
+
+def retained_first(signatures: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(retained seqs, links of them to the rest) of rows (seq, signature), in order of seq."""
+    keyed = _cut(band_rows(signatures, bands).select("seq", "key"))
+    retained = retained_of(keyed, signatures, threshold)
     heads, rest = keyed.join(retained, "seq"), keyed.join(retained, "seq", "left_anti")
     return retained, links_from(heads, rest, signatures, threshold)
 
 
-def collapse(df: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
-    """seq, verdict (retained, exact or near), kept_as and jaccard of rows (seq, text), in order of seq.
+def judged(df: DataFrame, stored: DataFrame | None = None, stored_bands: DataFrame | None = None, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
+    """(seq, verdict (retained, exact or near), kept_as, jaccard) of rows (seq, text) in order of seq, and (seq, digest, signature) of those retained.
 
     Equal normalised texts are exact repeats of the first. A text is near if an
     earlier retained one is similar enough, and kept as the most similar one,
-    the first of equals; collapsed texts represent nothing.
+    the first of equals; collapsed texts represent nothing. stored: what earlier
+    calls retained, all of it earlier than these rows, with its band rows
+    (seq, key); it collapses rows as if it stood before them in one table. A
+    column `scope` keeps rows of different scopes apart.
     """
-    seen = df.select("seq", normalize(F.coalesce("text", F.lit(""))).alias("text"))
-    seen = _cut(seen.withColumn("digest", F.sha2("text", 256)))
+    scope = ["scope"] if "scope" in df.columns else []
+    seen = df.select("seq", *scope, normalize(F.coalesce("text", F.lit(""))).alias("text"))
+    seen = _cut(seen.withColumn("digest", F.sha2(F.concat_ws("\u001f", *scope, "text"), 256)))
     firsts = seen.groupBy("digest").agg(F.min("seq").alias("of"))
-    named = _cut(seen.join(firsts, "digest").select("seq", "of"))
-    signatures = _cut(seen.join(named.where("seq = of").select("seq"), "seq").select("seq", minhash("text").alias("signature")))
-    retained, links = retained_first(signatures, threshold, bands)
-    best = links.groupBy(F.col("later").alias("of")).agg(F.max(F.struct("jaccard", (-F.col("earlier")).alias("e"))).alias("b"))
-    best = best.select("of", (-F.col("b.e")).alias("kept_as"), F.col("b.jaccard").alias("jaccard"))
+    named = _cut(seen.join(firsts, "digest").select("seq", "of", "digest"))
+    distinct = named.where("seq = of").select("seq", "digest")
+    known = None
+    if stored is not None:
+        known = _cut(distinct.join(stored.select("digest", F.col("seq").alias("kept")), "digest").select(F.col("seq").alias("of"), "kept"))
+        distinct = distinct.join(known.select(F.col("of").alias("seq")), "seq", "left_anti")
+    signatures = _cut(seen.join(distinct.select("seq"), "seq").select("seq", "digest", *scope, minhash("text").alias("signature")))
+    keyed = _cut(band_rows(signatures.select("seq", *scope, "signature"), bands).select("seq", "key"))
+    free, old = keyed, None
+    if stored is not None:
+        pairs = stored_bands.select(F.col("seq").alias("earlier"), "key").join(keyed.select(F.col("seq").alias("later"), "key"), "key")
+        old = _cut(links_of(pairs, stored, signatures, threshold))
+        free = keyed.join(old.select(F.col("later").alias("seq")).distinct(), "seq", "left_anti")
+    retained = retained_of(free, signatures, threshold)
+    links = links_from(keyed.join(retained, "seq"), keyed.join(retained, "seq", "left_anti"), signatures, threshold)
+    links = links if old is None else links.unionByName(old)
+    best = links.groupBy(F.col("later").alias("of")).agg(F.min(F.struct((-F.col("jaccard")).alias("far"), "earlier")).alias("b"))
+    best = best.select("of", F.col("b.earlier").alias("kept_as"), (-F.col("b.far")).alias("jaccard"))
     joined = named.join(best, "of", "left")
-    verdict = F.when(F.col("kept_as").isNotNull(), "near").when(F.col("seq") == F.col("of"), "retained").otherwise("exact")
-    return joined.select("seq", verdict.alias("verdict"), F.coalesce("kept_as", "of").alias("kept_as"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+    joined = joined.withColumn("kept", F.lit(None).cast(df.schema["seq"].dataType)) if known is None else joined.join(known, "of", "left")
+    verdict = F.when(F.col("kept").isNotNull(), "exact").when(F.col("kept_as").isNotNull(), "near").when(F.col("seq") == F.col("of"), "retained").otherwise("exact")
+    verdicts = joined.select("seq", verdict.alias("verdict"), F.coalesce("kept", "kept_as", "of").alias("kept_as"), F.coalesce("jaccard", F.lit(1.0)).alias("jaccard"))
+    return verdicts, signatures.join(retained, "seq", "left_semi")
+
+
+def collapse(df: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """seq, verdict, kept_as and jaccard of one table's rows (seq, text); see judged."""
+    return judged(df, threshold=threshold, bands=bands)[0]
+
+
+class DupIndex:
+    """What has been retained so far, in a folder of its own: texts' digests and signatures, and their band rows.
+
+    Each batch leaves a directory under its number; a batch reads those of
+    smaller numbers only, so a batch that runs again gives and leaves the same.
+    `compact` merges directories; readers then pass over what is merged.
+    """
+
+    WIDTH = 12
+
+    def __init__(self, spark: SparkSession, root: str, threshold: float = THRESHOLD, bands: int = BANDS):
+        from tidemark.sources.store import Files
+
+        self.spark, self.root, self.threshold, self.bands = spark, root.rstrip("/"), threshold, bands
+        self.files = Files(spark)
+
+    def _held(self, table: str, before: int) -> list[str]:
+        """Paths of the table's directories of batches below `before`: the last merged one and those after it."""
+        at = f"{self.root}/{table}"
+        done = {n: int(n.split("=")[1]) for n in self.files.children(at) if "=" in n and self.files.exists(f"{at}/{n}/_SUCCESS")}
+        merged = max((i for n, i in done.items() if n.startswith("merged=") and i < before), default=-1)
+        return [f"{at}/{n}" for n, i in done.items() if (i < before and i > merged and n.startswith("batch=")) or n == f"merged={merged}"]
+
+    def _read(self, table: str, schema: str, before: int) -> DataFrame:
+        paths = self._held(table, before)
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
+
+    def judge(self, rows: DataFrame, batch: int) -> DataFrame:
+        """id, verdict, kept_as (an id), jaccard of rows (id, at, text, and scope if they have scopes), in order of at and id; remembers those retained."""
+        seq = F.concat(F.lpad(F.lit(str(batch)), self.WIDTH, "0"), F.lpad(F.unix_micros("at").cast("string"), 20, "0"), F.col("id"))
+        stored = self._read("retained", "seq string, digest string, signature array<bigint>", batch)
+        bands = self._read("bands", "seq string, key bigint", batch)
+        first, scope = not self._held("retained", batch), ["scope"] if "scope" in rows.columns else []
+        verdicts, fresh = judged(rows.select(seq.alias("seq"), *scope, "text"), None if first else stored, None if first else bands, self.threshold, self.bands)
+        verdicts, fresh = _cut(verdicts), _cut(fresh)
+        fresh.select("seq", "digest", "signature").write.mode("overwrite").parquet(f"{self.root}/retained/batch={batch}")
+        keys = band_rows(fresh.select("seq", *scope, "signature"), self.bands).select("seq", "key")
+        keys.repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{self.root}/bands/batch={batch}")
+        of = lambda c: F.substring(c, self.WIDTH + 21, 1 << 20)
+        return verdicts.select(of(F.col("seq")).alias("id"), "verdict", of(F.col("kept_as")).alias("kept_as"), "jaccard")
+
+    def compact(self, before: int) -> None:
+        """Merges the directories of batches below `before`, none of which may run again."""
+        for table, by in (("retained", "digest"), ("bands", "key")):
+            paths = self._held(table, before)
+            if len(paths) > 1:
+                self.spark.read.parquet(*paths).repartitionByRange(by).sortWithinPartitions(by).write.mode("overwrite").parquet(f"{self.root}/{table}/merged={before - 1}")
+                for p in paths:
+                    self.files.delete(p)
 
 
 def _cut(df: DataFrame) -> DataFrame:

@@ -47,7 +47,42 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-class Store:
+class Files:
+    """Files and folders by any path that Spark can read and write."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, path: str) -> bool:
+        p, fs = self._at(path)
+        return fs.exists(p)
+
+    def delete(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.delete(p, True)
+
+    def children(self, path: str) -> list[str]:
+        p, fs = self._at(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def touch(self, path: str) -> None:
+        p, fs = self._at(path)
+        fs.create(p, True).close()
+
+    def move(self, path: str, folder: str, name: str) -> None:
+        p, fs = self._at(path)
+        to, _ = self._at(folder)
+        fs.mkdirs(to)
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(to, name)
+        if not fs.rename(p, there) and (fs.exists(p) or not fs.exists(there)):  # another finisher may have moved it
+            raise OSError(f"{path} can't be moved to {folder}")
+
+
+class Store(Files):
     """Tables below a root path that Spark can read and write.
 
     Opening a store finishes the transactions that are ready and brings the
@@ -55,7 +90,8 @@ class Store:
     """
 
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+        super().__init__(spark)
+        self.root = root.rstrip("/")
         self.finish()
         self.migrate()
 
@@ -111,25 +147,25 @@ class Store:
             self._dealt(table, df).write.mode("overwrite").partitionBy("shard").parquet(f"{aside}/{table}")
         if instead_of:
             self.spark.createDataFrame([(x,) for x in instead_of], "path string").coalesce(1).write.text(f"{aside}/_instead_of")
-        self._touch(f"{aside}/_READY")
+        self.touch(f"{aside}/_READY")
         self._publish(name)
 
     def _publish(self, name: str) -> None:
         """Moves a ready transaction's files to their tables, the episodes last, and removes those that they replace. Done again, it does what is left."""
         aside = f"{self.root}/_pending/{name}"
-        for table in sorted((t for t in self._children(aside) if not t.startswith("_")), key=lambda t: (t == "episodes", t)):
-            for shard in self._children(f"{aside}/{table}"):
-                for part in self._children(f"{aside}/{table}/{shard}") if shard.startswith("shard=") else ():
-                    self._move(f"{aside}/{table}/{shard}/{part}", f"{self.path(table)}/{shard}", f"{name}-{part}")
+        for table in sorted((t for t in self.children(aside) if not t.startswith("_")), key=lambda t: (t == "episodes", t)):
+            for shard in self.children(f"{aside}/{table}"):
+                for part in self.children(f"{aside}/{table}/{shard}") if shard.startswith("shard=") else ():
+                    self.move(f"{aside}/{table}/{shard}/{part}", f"{self.path(table)}/{shard}", f"{name}-{part}")
         if self.exists(f"{aside}/_instead_of"):
             for (old,) in self.spark.read.text(f"{aside}/_instead_of").toLocalIterator():  # files of the shards concerned
                 self.delete(f"{self.root}/{old}")
-        self._touch(f"{self.root}/_done/{name}")
+        self.touch(f"{self.root}/_done/{name}")
         self.delete(aside)
 
     def finish(self) -> list[str]:
         """Publishes the transactions that were ready when their driver was lost; returns their names."""
-        ready = [n for n in self._children(f"{self.root}/_pending") if self.exists(f"{self.root}/_pending/{n}/_READY")]
+        ready = [n for n in self.children(f"{self.root}/_pending") if self.exists(f"{self.root}/_pending/{n}/_READY")]
         for n in ready:
             self._publish(n)
         return ready
@@ -137,13 +173,13 @@ class Store:
     def recover(self) -> list[str]:
         """finish, and drops what wasn't ready: for the only writer of a store. Returns the names of those finished."""
         done = self.finish()
-        for name in self._children(f"{self.root}/_pending"):
+        for name in self.children(f"{self.root}/_pending"):
             self.delete(f"{self.root}/_pending/{name}")
         return done
 
     def compact(self, table: str, most: int = 1) -> list[str]:
         """Writes the shards of more than `most` files anew, as few sorted files; returns the shards. Rows stay as they are."""
-        files = {s: self._children(f"{self.path(table)}/{s}") for s in self._children(self.path(table)) if s.startswith("shard=")}
+        files = {s: self.children(f"{self.path(table)}/{s}") for s in self.children(self.path(table)) if s.startswith("shard=")}
         small = {s: f for s, f in files.items() if len(f) > most}
         if small:
             old = [f"{table}/{s}/{x}" for s, f in small.items() for x in f]
@@ -153,7 +189,7 @@ class Store:
 
     def version(self) -> int:
         """The schema version that the store was last brought to; 0 for a new one."""
-        held = [int(x.removeprefix("version=")) for x in self._children(f"{self.root}/_schema")]
+        held = [int(x.removeprefix("version=")) for x in self.children(f"{self.root}/_schema")]
         return max(held, default=0)
 
     def migrate(self) -> list[int]:
@@ -164,13 +200,13 @@ class Store:
         for v in steps:
             if "postings" in schemas.VERSIONS[v] and self.exists(self.path("chunks")) and not self.exists(self.path("postings")):
                 self.reindex()
-            self._touch(f"{self.root}/_schema/version={v}")
+            self.touch(f"{self.root}/_schema/version={v}")
         return steps
 
     def reindex(self) -> None:
         """Writes postings and lengths anew from the chunks."""
         kept = self.read("chunks").select("shard", F.col("id").alias("chunk_id"), "text")
-        old = [f"{t}/{s}/{x}" for t in ("postings", "lengths") for s in self._children(self.path(t)) for x in self._children(f"{self.path(t)}/{s}")]
+        old = [f"{t}/{s}/{x}" for t in ("postings", "lengths") for s in self.children(self.path(t)) for x in self.children(f"{self.path(t)}/{s}")]
         self._commit(f"reindex-{uuid.uuid4().hex}", {"postings": inverted_index(kept), "lengths": chunk_lengths(kept)}, old)
 
     def catalog(self, shards: list[str]) -> DataFrame:
@@ -216,34 +252,6 @@ class Store:
         """Rows of a shard in as few files as their size asks for, a hot shard in several, sorted by what readers look for."""
         return self._fitted(table, df).hint("rebalance", F.col("shard")).sortWithinPartitions("shard", schemas.SORTED[table])
 
-    def _at(self, path: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        p, fs = self._at(path)
-        return fs.exists(p)
-
-    def delete(self, path: str) -> None:
-        p, fs = self._at(path)
-        fs.delete(p, True)
-
-    def _children(self, path: str) -> list[str]:
-        p, fs = self._at(path)
-        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
-
-    def _touch(self, path: str) -> None:
-        p, fs = self._at(path)
-        fs.create(p, True).close()
-
-    def _move(self, path: str, folder: str, name: str) -> None:
-        p, fs = self._at(path)
-        to, _ = self._at(folder)
-        fs.mkdirs(to)
-        there = self.spark._jvm.org.apache.hadoop.fs.Path(to, name)
-        if not fs.rename(p, there) and (fs.exists(p) or not fs.exists(there)):  # another finisher may have moved it
-            raise OSError(f"{path} can't be moved to {folder}")
-
     def shards(self, table: str = "episodes") -> list[str]:
         """Ids of the existing shards, sorted; one short string a week leaves the cluster."""
         return sorted(r[0] for r in self.read(table).select("shard").distinct().toLocalIterator())
@@ -284,7 +292,7 @@ class Store:
     def _replace_vectors(self, name: str, gone: DataFrame, fresh: DataFrame | None) -> None:
         at = self.path("vectors")
         names = [f"shard={r[0]}" for r in gone.select("shard").distinct().toLocalIterator()]  # a short string a week
-        files = [f"vectors/{s}/{x}" for s in names for x in self._children(f"{at}/{s}")]
+        files = [f"vectors/{s}/{x}" for s in names for x in self.children(f"{at}/{s}")]
         old = self._read_at(schemas.struct("vectors"), *[f"{self.root}/{x}" for x in files], base=at) if files else self.spark.createDataFrame([], schemas.struct("vectors"))
         kept = old.join(gone, ["shard", "chunk_id"], "left_anti").select(*old.columns)
         self._commit(name, {"vectors": kept if fresh is None else kept.unionByName(fresh.select(*old.columns))}, files)

@@ -260,11 +260,16 @@ class CatalogSink:
     open, and leaves behind what is open after it: its cost follows the open
     episodes, not the history. A batch that runs again overwrites its own
     directory and its ingest is done once (by name and batch number), so a retry
-    adds nothing twice. Episodes without events are dropped.
+    adds nothing twice. Episodes without events are dropped. A chunk that repeats
+    one of its stream, of any batch before or its own, exactly or nearly, isn't
+    stored; its event is.
     """
 
-    def __init__(self, store, staging: str, name: str = "sink"):
-        self.store, self.staging, self.name = store, staging, name
+    def __init__(self, store, staging: str, name: str = "sink", merge_every: int = 32):
+        from tidemark.operators.neardup import DupIndex
+
+        self.store, self.staging, self.name, self.merge_every = store, staging, name, merge_every
+        self.known = DupIndex(store.spark, f"{staging}/known")
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         from tidemark.operators.chunk import chunk_text
@@ -286,6 +291,10 @@ class CatalogSink:
         episodes = opened.join(closed, "episode_id").join(events.select("episode_id").distinct(), "episode_id", "left_semi").withColumnRenamed("episode_id", "id")
         chunks = chunk_text(events.select("id", "episode_id", "ts", "source", F.col("raw_text").alias("text")))
         chunks = chunks.select(F.concat_ws("-", "id", F.col("ordinal").cast("string")).alias("id"), "episode_id", F.col("id").alias("event_id"), F.col("chunk").alias("text"), "token_count", F.col("ts").alias("ts_capture"), "source")
+        verdicts = self.known.judge(chunks.select("id", F.regexp_replace("episode_id", "-[^-]*$", "").alias("scope"), F.col("ts_capture").alias("at"), "text"), batch_id)
+        chunks = chunks.join(verdicts.where("verdict = 'retained'").select("id"), "id", "left_semi")
         self.store.ingest(episodes, events, chunks, f"{self.name}-{batch_id}")
+        if batch_id % self.merge_every == 0:
+            self.known.compact(batch_id)
         for old in (f"batch={batch_id - 1}", f"open={batch_id - 2}"):
             self.store.delete(f"{self.staging}/{old}")
