@@ -217,3 +217,17 @@ def test_nodes_are_left_out(monkeypatch):
         ok = np.flatnonzero((t.labels == t.labels[i]) & (np.arange(2560) != i))
         want = sorted(ok, key=lambda j: (-s[j], t.ids[j]))[:5]
         assert best.row[best.probe == k].tolist() == want
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from tidemark.llm.common import shared_dir
+
+    class Session:
+        def __init__(self, master, there):
+            self.sparkContext, self.conf = type("C", (), {"master": master}), {"spark.checkpoint.dir": there}
+
+    assert shared_dir(Session("local[4]", None)).startswith("file:")
+    assert shared_dir(Session("spark://a:7077", "hdfs://x")) == "hdfs://x"
+    for master in ("spark://a:7077", "local-cluster[3,2,3000]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(Session(master, None))
