@@ -12,6 +12,7 @@ ready. A transaction of one name is done once.
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -29,7 +30,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there:
         return there
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
 
