@@ -9,6 +9,7 @@ from enum import StrEnum
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import CLOSE, OPEN, defang
@@ -181,21 +182,39 @@ def throttled(calls: DataFrame, most: int = QUERIES, seconds: float = SECONDS) -
 
 
 def admitted_gap(df: DataFrame, by: str, ts: str, gap: float) -> DataFrame:
-    """Rows at least `gap` seconds after the last admitted one of their key (sweep throttle, title coalescing)."""
-
-    def fold(batches):
-        key, last = object(), None
-        for b in batches:
-            keep = []
-            for k, t in zip(b[by], b[ts], strict=True):
-                if k != key:
-                    key, last = k, None
-                ok = last is None or t - last >= gap
-                last = t if ok else last
-                keep.append(ok)
-            yield b[keep]
-
-    return df.repartition(by).sortWithinPartitions(by, ts).mapInPandas(fold, df.schema)
+    """Rows at least `gap` seconds after the last admitted one of their key (sweep throttle, title coalescing).
+
+    ts is in seconds, counted in microseconds; of rows of one instant the least
+    is taken for the first. A key's time is cut into slices as long as the gap,
+    and each row points at the first one that may follow it, which stands in the
+    next slice or at the head of the one after. Admitted are the rows after a
+    pause of `gap`, and whatever pointers lead to from there: paths are doubled
+    until none is left, so a key's rows spread over all tasks. Rows without an
+    instant aren't admitted; a gap of 0 admits all others.
+    """
+    from tidemark.sources.store import reliable
+
+    step = round(gap * 1_000_000)
+    at = F.round(F.col(f"`{ts}`") * 1_000_000).cast("long")
+    rows = df.select(F.coalesce(F.concat(F.lit("="), F.col(f"`{by}`").cast("string")), F.lit("")).alias("k"), at.alias("at"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")).where("at IS NOT NULL")
+    if step <= 0:
+        return rows.select("row.*")
+    nodes = reliable(rows.groupBy("k", "at").agg(F.min("row").alias("row")).withColumn("s", F.floor(F.col("at") / step)))
+    ends = nodes.groupBy("k", "s").agg(F.min("at").alias("head"), F.max("at").alias("last"))
+    # What follows: the first row at or after at + step in its slice, else the head of the next.
+    seek = nodes.select("k", (F.col("s") + 1).alias("s"), (F.col("at") + step).alias("at"), F.col("at").alias("source")).unionByName(nodes.select("k", "s", "at"), True)
+    ahead = F.min(F.when(F.col("source").isNull(), F.col("at"))).over(W.partitionBy("k", "s").orderBy("at").rangeBetween(0, W.unboundedFollowing))
+    hops = seek.withColumn("next", ahead).where("source IS NOT NULL").join(ends.select("k", (F.col("s") - 1).alias("s"), "head"), ["k", "s"], "left")
+    hops = reliable(hops.select("k", F.col("source").alias("at"), F.coalesce("next", "head").alias("next")).where("next IS NOT NULL"))
+    # Rows that nothing within the gap comes before.
+    earlier = F.coalesce(F.lag("at").over(W.partitionBy("k", "s").orderBy("at")), F.col("last"))
+    firsts = nodes.select("k", "s", "at").join(ends.select("k", (F.col("s") + 1).alias("s"), "last"), ["k", "s"], "left").withColumn("earlier", earlier)
+    admitted = reliable(firsts.where(F.col("earlier").isNull() | (F.col("at") - F.col("earlier") >= step)).select("k", "at"))
+    while hops.limit(1).count():
+        led = admitted.join(hops, ["k", "at"]).select("k", F.col("next").alias("at"))
+        admitted = reliable(admitted.union(led).distinct())
+        hops = reliable(hops.join(hops.select("k", F.col("at").alias("next"), F.col("next").alias("beyond")), ["k", "next"]).select("k", "at", F.col("beyond").alias("next")))
+    return nodes.join(admitted, ["k", "at"]).select("row.*")
 
 
 def cited(results: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -12,9 +12,10 @@ IDLE = 300
 def idle_sessions(events: DataFrame, gap: int = IDLE, by: list[str] | None = None, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """by.., session, ts_start, ts_end, n_events: a gap of `gap` seconds or more starts a session.
 
-    Without `by` there is one stream, and one task sorts it; a key spreads the work.
+    Without `by` there is one stream, whose time slices are worked on apart and stitched.
     """
-    by = by or []
+    if not by:
+        return stitched_sessions(events, gap, ts)
     w = W.partitionBy(*by).orderBy(ts, tie)
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     new = F.coalesce((at - F.lag(at).over(w) >= gap * 1_000_000).cast("int"), F.lit(1))
@@ -22,6 +23,32 @@ def idle_sessions(events: DataFrame, gap: int = IDLE, by: list[str] | None = Non
     return s.groupBy(*by, "session").agg(F.min(ts).alias("ts_start"), F.max(ts).alias("ts_end"), F.count("*").alias("n_events"))
 
 
+def stitched_sessions(events: DataFrame, gap: int = IDLE, ts: str = "ts", slices: int | None = None) -> DataFrame:
+    """session, ts_start, ts_end, n_events of one global stream, with no task that holds more than a slice.
+
+    Events of one instant count as one row. Instants are cut into slices of
+    about equal numbers of them, by approximate quantiles. A slice is summed up
+    as its first and last instant and the sessions that start within it; a
+    prefix pass over the summaries (one row a slice) gives each slice the number
+    of sessions begun before it. Null instants take no part.
+    """
+    n = slices or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = events.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("ts")).agg(F.count("*").alias("n")).withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
+    cuts = sorted(set(at.approxQuantile("at", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else []
+    place = F.size(F.filter(F.array(*[F.lit(int(c)) for c in cuts]), lambda c: c <= F.col("at"))) if cuts else F.lit(0)
+    at = at.withColumn("slice", place)
+    within = W.partitionBy("slice").orderBy("at")
+    new = F.coalesce((F.col("at") - F.lag("at").over(within) >= gap * 1_000_000).cast("long"), F.lit(0))
+    local = at.withColumn("new", new)
+    sums = local.groupBy("slice").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.sum("new").alias("inside"))
+    order = W.orderBy("slice")  # one row a slice
+    opens = F.when(F.col("first") - F.lag("last").over(order) < gap * 1_000_000, 0).otherwise(1)
+    before = F.sum(F.col("opens") + F.col("inside")).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("inside")
+    offsets = sums.withColumn("opens", opens).select("slice", before.alias("before"))
+    numbered = local.withColumn("own", F.sum("new").over(within.rowsBetween(W.unboundedPreceding, 0))).join(F.broadcast(offsets), "slice")
+    return numbered.groupBy((F.col("before") + F.col("own")).alias("session")).agg(F.min("ts").alias("ts_start"), F.max("ts").alias("ts_end"), F.sum("n").alias("n_events"))
+
+
 def context_episodes(signals: DataFrame, key: list[str], gap: int = IDLE, by: list[str] | None = None, ts: str = "ts", tie: str = "event_id") -> DataFrame:
     """signals plus episode: a new key or an idle gap starts one."""
     by = by or []
