@@ -22,7 +22,7 @@ def test_closed_episodes_are_filed_once(spark, tmp_path):
         sink(spark.createDataFrame(part, schema), i)
     sink(spark.createDataFrame(rows[7:], schema), 1)  # a retried batch
     assert store.count("episodes") == 6 and store.count("events") == 2 * 5
-    assert store.read("chunks").where("text LIKE 'guide%'").count() == 4
+    assert store.read("chunks").where("text LIKE 'draft%'").count() == 4
     assert store.read("episodes").where("ts_end < ts_start").count() == 0
 
 

@@ -167,11 +167,11 @@ def test_diversified(spark, limit, cap, want):
 
 
 CORPUS = [
-    ("standup", "src/slack", "Slack", ["sarah"], ["Morning standup notes: sarah is blocked on the migration.", "Deploy moved to Thursday."], 2.0),
-    ("pricing", "src/chrome", "Chrome", ["acme"], ["Acme pricing proposal draft, twelve seats at the annual rate.", "Discount needs approval."], 3.0),
-    ("kubernetes", "src/term", "Terminal", ["infra"], ["kubectl rollout restart deployment ingest", "The pod crashloops after the rollout."], 4.0),
-    ("hiring", "src/mail", "Mail", ["jo"], ["Interview loop for the backend candidate on Monday.", "Feedback form link."], 30.0),
-    ("design", "src/figma", "Figma", ["ui"], ["Onboarding mockups: second screen has the consent toggle.", "Colour tokens updated."], 40.0),
+    ("garden", "com.example.notes", "Notes", ["plants"], ["Tomatoes need repotting before the frost.", "Order compost for the raised bed."], 1.0),
+    ("insurance", "com.example.web", "Browser", ["carrier"], ["Insurance renewal quote for the van, excess raised.", "Compare with the other carrier."], 3.5),
+    ("backup", "com.example.shell", "Shell", ["nas"], ["rsync of the photo archive stalled", "The archive disk reports bad sectors."], 5.0),
+    ("choir", "com.example.mail", "Mail", ["anna"], ["Rehearsal of the choir moves to the town hall.", "Bring the alto parts."], 31.0),
+    ("recipe", "com.example.reader", "Reader", ["bread"], ["Sourdough starter, feed twice a day.", "Bake at high heat with steam."], 50.0),
 ]
 
 
@@ -187,14 +187,14 @@ def corpus(spark):
 
 def test_search_recalls_each_probe(spark):
     base, chunks = corpus(spark)
-    probes = {"what did sarah say in standup": "standup", "acme pricing": "pricing", "kubectl rollout": "kubernetes", "backend candidate interview": "hiring", "onboarding mockups": "design"}
+    probes = {"when is the choir rehearsal": "choir", "van insurance renewal": "insurance", "photo archive rsync": "backup", "tomatoes repotting": "garden", "sourdough starter": "recipe"}
     for p, want in probes.items():
         top = retrieve.hybrid_search(chunks, retrieve.Query(p)).orderBy("place").limit(3).collect()
         assert want in [r.episode_id for r in top] and top[0].provenance == "untrusted_ambient"
     six = retrieve.hybrid_search(chunks, retrieve.Query("", (base - dt.timedelta(hours=6), base))).collect()
-    assert {r.episode_id for r in six} == {"standup", "pricing", "kubernetes"}
-    assert [r.episode_id for r in retrieve.hybrid_search(chunks, retrieve.Query("rollout", app="Terminal", entities=["INFRA"])).collect()] == ["kubernetes"] * 2
-    assert retrieve.hybrid_search(chunks, retrieve.Query("rollout", limit=0)).count() == 0
+    assert {r.episode_id for r in six} == {"garden", "insurance", "backup"}
+    assert [r.episode_id for r in retrieve.hybrid_search(chunks, retrieve.Query("archive", app="Shell", entities=["NAS"])).collect()] == ["backup"] * 2
+    assert retrieve.hybrid_search(chunks, retrieve.Query("archive", limit=0)).count() == 0
 
 
 def test_vectors(spark):
@@ -244,7 +244,7 @@ def test_key_session():
 def test_tools(spark):
     base, chunks = corpus(spark)
     tools = serve.MemoryTools(lambda q: retrieve.hybrid_search(chunks, q))
-    assert tools.call("search_memory", {"query": "acme pricing", "limit": 1.5}, base)[0]["episode_id"] == "pricing"
+    assert tools.call("search_memory", {"query": "van insurance renewal", "limit": 1.5}, base)[0]["episode_id"] == "insurance"
     assert len(tools.call("recent_activity", {"window": "6h"}, base)) == 6
     for bad in ({"query": " "}, {"query": "x", "limit": 0}, {"query": "x", "time_range": {"start": "2026"}}):
         with pytest.raises(serve.ToolError, match="INVALID_ARGUMENTS"):
@@ -302,8 +302,9 @@ def test_idle_gap_is_closed_at_the_bound(spark):
 
 
 WORKDAY = [
-    (0, "app_change", "safari", "ANE docs", "guide"), (5, "text_signal", "safari", "ANE docs", None), (7, "tick", None, None, "guide with notes"), (9, "text_signal", "safari", "ANE docs", None), (11, "tick", None, None, "guide with notes"),
-    (12, "clipboard", "safari", "ANE docs", "copied"), (20, "app_change", "slack", "#general", "thread"), (340, "tick", None, None, "thread"), (350, "tick", None, None, "thread"), (360, "activity", None, None, "thread"), (365, "finish", None, None, None),
+    (0, "app_change", "editor", "notes.md", "draft of the plan"), (30, "text_signal", "editor", "notes.md", None), (33, "tick", None, None, "draft of the plan, second part"), (40, "text_signal", "editor", "notes.md", None),
+    (45, "tick", None, None, "draft of the plan, second part"), (50, "clipboard", "editor", "notes.md", "a quoted line"), (90, "app_change", "browser", "timetable", "trains on monday"), (500, "tick", None, None, "trains on monday"),
+    (520, "tick", None, None, "trains on monday"), (700, "activity", None, None, "trains on monday"), (720, "finish", None, None, None),
 ]
 
 
@@ -319,13 +320,13 @@ def counters(rows):
 def test_replay_counters():
     out, state = engine.replay(workday())
     assert counters(out) == [3, 3, 4, 1, 1] and state.provider_calls == 5
-    assert [r["ts"] for r in out if r["kind"] == "close"] == [20.0, 20.0, 365.0]
+    assert [r["ts"] for r in out if r["kind"] == "close"] == [90.0, 90.0, 720.0]
 
 
 def test_engine_honours_modes():
-    mode = lambda x: {"safari": "never_capture", "slack": "redact"}.get(x["bundle"], "capture")
+    mode = lambda x: {"editor": "never_capture", "browser": "redact"}.get(x["bundle"], "capture")
     out, _ = engine.replay(workday(), mode)
-    assert all(r["app"] != "safari" for r in out)
+    assert all(r["app"] != "editor" for r in out)
     assert {r["text"] for r in out if r["kind"] == "screen"} == {redact.PLACEHOLDER}
 
 

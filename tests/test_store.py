@@ -86,7 +86,7 @@ class Stopped(Exception):
 
 def stopping(monkeypatch, after):
     """The store's driver is lost after so many moves."""
-    moved, move = [], st.Store._move
+    moved, move = [], st.Store.move
 
     def some(self, *a):
         if len(moved) == after:
@@ -94,7 +94,7 @@ def stopping(monkeypatch, after):
         moved.append(a)
         move(self, *a)
 
-    monkeypatch.setattr(st.Store, "_move", some)
+    monkeypatch.setattr(st.Store, "move", some)
     return moved
 
 
@@ -130,14 +130,14 @@ def test_a_retry_by_the_same_store_object(spark, tmp_path, monkeypatch):
             pass
     s.ingest(*rows, "n")
     s.ingest(*rows, "n")
-    assert sizes(s)["events"] == 2 and sizes(s)["chunks"] == 3 and s._children(f"{s.root}/_pending") == []
+    assert sizes(s)["events"] == 2 and sizes(s)["chunks"] == 3 and s.children(f"{s.root}/_pending") == []
 
 
 def test_recover_drops_what_is_not_ready(spark, tmp_path):
     s = st.Store(spark, f"file://{tmp_path}/s")
-    s._touch(f"{s.root}/_pending/half/events/shard=2026-W02/part-0.parquet")
-    assert st.Store(spark, s.root)._children(f"{s.root}/_pending") == ["half"]  # may be another writer's
-    assert s.recover() == [] and s._children(f"{s.root}/_pending") == []
+    s.touch(f"{s.root}/_pending/half/events/shard=2026-W02/part-0.parquet")
+    assert st.Store(spark, s.root).children(f"{s.root}/_pending") == ["half"]  # may be another writer's
+    assert s.recover() == [] and s.children(f"{s.root}/_pending") == []
 
 
 def test_opening_migrates_and_indexes(spark, tmp_path):
@@ -147,12 +147,12 @@ def test_opening_migrates_and_indexes(spark, tmp_path):
     want = sorted(map(tuple, s.read("postings").collect()))
     for old in ("postings", "lengths", "_schema"):  # as a store of version 2 was left
         s.delete(s.path(old))
-    s._touch(f"{s.root}/_schema/version=2")
+    s.touch(f"{s.root}/_schema/version=2")
     again = st.Store(spark, s.root)
     assert again.version() == 3 and sorted(map(tuple, again.read("postings").collect())) == want and again.count("lengths") == 3
     again.reindex()
     assert sorted(map(tuple, again.read("postings").collect())) == want
-    s._touch(f"{s.root}/_schema/version=9")
+    s.touch(f"{s.root}/_schema/version=9")
     try:
         st.Store(spark, s.root)
         raise AssertionError("a newer store was opened")
@@ -187,7 +187,7 @@ def test_compaction_keeps_the_rows(spark, tmp_path):
     before = sorted(map(tuple, s.read("postings").collect()))
     assert s.compact("postings") == ["2026-W02", "2026-W10"] and s.compact("postings") == []
     assert sorted(map(tuple, s.read("postings").collect())) == before
-    assert all(len(s._children(f"{s.path('postings')}/{x}")) == 1 for x in ("shard=2026-W02", "shard=2026-W10"))
+    assert all(len(s.children(f"{s.path('postings')}/{x}")) == 1 for x in ("shard=2026-W02", "shard=2026-W10"))
 
 
 def searchable(spark, root):
@@ -241,3 +241,24 @@ def test_search_with_a_vector_and_a_corrupt_one(spark, tmp_path):
     s.upsert_vectors(spark.createDataFrame([(c, "m", d, 0.01, v, of[c]) for c, d, v in rows], "chunk_id string, model_id string, dim int, scale float, embedding array<tinyint>, shard string"))
     found = [r.chunk_id for r in s.search(retrieve.Query("zzz"), query_vector=([100, 0], 0.01, "m")).orderBy("place").collect()]
     assert found == ["C00-0", "C05-2"]  # ragged and odd rows are skipped, the last is below the floor
+
+
+def test_terms_meet_whatever_the_form(spark, tmp_path):
+    import unicodedata
+
+    s, t = st.Store(spark, f"file://{tmp_path}/s"), dt.datetime(2026, 1, 6)
+    words = ["Café", "naïveté", "Ελλάδα", "Йогурт", "Ångström", "tiếng", "Ёлка"]
+    texts = [(w, unicodedata.normalize(form, w)) for w in words for form in ("NFC", "NFD")]
+    s.ingest(
+        spark.createDataFrame([("E", t, t)], "id string, ts_start timestamp, ts_end timestamp"),
+        spark.createDataFrame([(f"V{i}", "E", t, "system") for i in range(len(texts))], "id string, episode_id string, ts timestamp, provenance string"),
+        spark.createDataFrame([(f"C{i:02d}", "E", f"V{i}", x, t, "ax") for i, (_, x) in enumerate(texts)], "id string, episode_id string, event_id string, text string, ts_capture timestamp, source string"),
+    )
+    bare = lambda w: "".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")
+    queries = [retrieve.Query(q) for w in words for q in (unicodedata.normalize("NFC", w.upper()), bare(w))]
+    found = {}
+    for r in s.search_table(retrieve.query_rows(spark, queries)).collect():
+        found.setdefault(r.probe, set()).add(r.chunk_id)
+    for i in range(len(queries)):
+        assert found[i] == {f"C{2 * (i // 2):02d}", f"C{2 * (i // 2) + 1:02d}"}, queries[i]
+    assert {r.chunk_id for r in s.search(queries[4]).collect()} == found[4]

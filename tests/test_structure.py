@@ -95,3 +95,38 @@ def test_depth_and_pruning_follow_the_intervals(spark):
     got = [(r.kind, r.name or r.text, r.depth, r.pruned) for r in markup.nodes(df).orderBy("pos").collect()]
     assert got == [("open", "a", 0, False), ("open", "b", 1, False), ("leaf", "x", 2, False), ("open", "b", 1, True), ("leaf", "y", 2, True), ("open", "c", 2, True), ("leaf", "z", 3, True), ("leaf", "w", 0, False)]
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_inverted_lists(spark, tmp_path):
+    import numpy as np
+
+    from tidemark.operators.vector_lists import VectorLists, recall
+
+    g = np.random.default_rng(5)
+    middle = g.normal(size=(12, 16))
+    x = np.clip(np.round((middle[g.integers(12, size=700)] + 0.3 * g.normal(size=(700, 16))) * 30), -127, 127).astype(int)
+    x[300:520] = x[7]  # copies: a hot list, and ties
+    rows = [(f"c{i:04d}", 16, 0.01 + (i % 3) * 0.001, x[i].tolist()) for i in range(700)]
+    odd = [("short", 16, 0.01, [1, 2]), ("none", 16, 0.01, None), ("hole", 16, 0.01, [None] * 16), (None, 16, 0.01, x[0].tolist())]
+    df = spark.createDataFrame(rows + odd, "chunk_id string, dim int, scale double, embedding array<tinyint>").repartition(3)
+    index = VectorLists.built(df, f"file://{tmp_path}/lists", 16)
+    probes = df.where("chunk_id < 'c0700' AND cast(substr(chunk_id, 2) AS int) % 50 = 0").withColumnRenamed("chunk_id", "probe")
+
+    def brute(held, k, floor=None):
+        out = []
+        for i in range(0, 700, 50):
+            s = [(-(float(x[i] @ x[j]) * rows[j][2] * rows[i][2]), rows[j][0]) for j in held if j != i]
+            out += [(rows[i][0], c, p + 1) for p, (v, c) in enumerate(sorted(t for t in s if floor is None or -t[0] >= floor)[:k])]
+        return sorted(out)
+
+    get = lambda found: sorted((r.probe, r.id, r.place) for r in found.collect())
+    exact = index.search(probes, 10, but_self=True)
+    assert get(exact) == brute(range(700), 10)
+    assert get(index.search(probes, 5, floor=1.0, but_self=True)) == brute(range(700), 5, 1.0)
+    assert recall(index.search(probes, 10, visits=12, but_self=True), exact).first().recall > 0.9
+    assert index.search(probes, 3).where("place = 1 AND similarity > 0").count() == 14
+    gone = [*range(300, 520), 1, 2]
+    index.remove(spark.createDataFrame([(f"c{i:04d}",) for i in gone] + [("nobody",)], "chunk_id string"))
+    assert get(index.search(probes, 10, but_self=True)) == brute([i for i in range(700) if i not in set(gone)], 10)
+    index.remove(df.select("chunk_id"))
+    assert index.search(probes, 10).count() == 0

@@ -16,8 +16,8 @@ def simulate() -> int:
     from tidemark.streaming.engine import replay
 
     script = [
-        (0, "app_change", "browser", "docs", "guide"), (5, "text_signal", "browser", "docs", None), (7, "tick", None, None, "guide, longer"), (12, "clipboard", "browser", "docs", "copied"),
-        (20, "app_change", "chat", "#general", "thread"), (340, "tick", None, None, "thread"), (360, "activity", None, None, "thread"), (365, "finish", None, None, None),
+        (0, "app_change", "editor", "notes", "a plan"), (10, "text_signal", "editor", "notes", None), (13, "tick", None, None, "a plan with dates"), (15, "clipboard", "editor", "notes", "a date"),
+        (60, "app_change", "mail", "outbox", "a letter"), (400, "tick", None, None, "a letter"), (450, "activity", None, None, "a letter"), (470, "finish", None, None, None),
     ]
     out, _ = replay({"seq": i, "ts": float(t), "kind": k, "bundle": b, "app": b, "title": title, "text": x} for i, (t, k, b, title, x) in enumerate(script))
     kinds = [r["kind"] for r in out]

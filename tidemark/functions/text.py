@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,10 +77,35 @@ def query_terms(text: Column) -> Column:
     return F.slice(F.array_distinct(kept), 1, MAX_TERMS)
 
 
+def _bases() -> tuple[str, str]:
+    """Letters that are composed of a base and marks, and their bases: a rule, not a list."""
+    pairs = [(chr(c), unicodedata.normalize("NFD", chr(c))) for c in range(0xC0, 0x2000)]
+    kept = [(c, d[0]) for c, d in pairs if len(d) > 1 and d[0].isalpha() and all(unicodedata.category(m) == "Mn" for m in d[1:]) and c == c.lower()]
+    return "".join(c for c, _ in kept), "".join(b for _, b in kept)
+
+
+COMPOSED, BASES = _bases()
+
+
+def folded(text: Column) -> Column:
+    """Lower case without marks: composed and decomposed forms of a letter are its base, in any alphabet."""
+    return F.translate(F.regexp_replace(F.lower(text), r"\p{Mn}+", ""), COMPOSED, BASES)
+
+
 def index_terms(text: Column) -> Column:
-    """Terms of the full-text index: letter and digit runs, lower case, Latin accents folded."""
-    folded = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Terms of the full-text index: letter and digit runs, folded."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+def search_terms(text: Column) -> Column:
+    """query_terms as the index has them."""
+    return F.array_distinct(F.filter(F.transform(query_terms(text), folded), lambda w: w != ""))
+
+
+def folded_terms(terms: list[str]) -> list[str]:
+    """The same on the driver."""
+    bare = ("".join(c for c in unicodedata.normalize("NFD", t.lower()) if unicodedata.category(c) != "Mn") for t in terms)
+    return list(dict.fromkeys(unicodedata.normalize("NFC", t) for t in bare if t))
 
 
 def url_like(text: Column) -> Column:

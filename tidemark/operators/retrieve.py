@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.dates import shard_bounds
-from tidemark.functions.text import UPPER, entity_match, index_terms, query_term_list, query_terms
+from tidemark.functions.text import UPPER, entity_match, folded_terms, index_terms, query_term_list, search_terms
 from tidemark.functions.vectors import int_dot
 
 K1, B, RARE_IDF = 1.2, 0.75, 1e-6
@@ -127,7 +127,7 @@ def knn(vectors: DataFrame, ints: list[int], scale: float, model: str, floor: fl
 def candidate_lists(chunks: DataFrame, q: Query, index: DataFrame | None = None, stats: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None) -> list[DataFrame]:
     """The keyword, recency and vector lists that apply, each filtered and then cut to the pool."""
     able = chunks.where(hard_filter(q))
-    terms, out = query_term_list(q.text), []
+    terms, out = folded_terms(query_term_list(q.text)), []
     if terms:
         scores = bm25(index if index is not None else inverted_index(chunks), stats if stats is not None else shard_stats(chunks), terms)
         out.append(ranked(able.select("shard", "chunk_id").join(scores, ["shard", "chunk_id"]), [F.col("score"), F.col("chunk_id")], q.pool))
@@ -179,7 +179,7 @@ def search_many(queries: DataFrame, catalog: DataFrame, index: DataFrame, stats:
     list; several shards' lists are fused by rank again and diversified again.
     """
     q = queries.withColumn("clamped", F.greatest(F.least("limit", F.lit(CLAMP)), F.lit(0))).withColumn("pool", F.greatest(F.col("clamped") * 5, F.lit(50))).where("clamped > 0")
-    q = _pairs(q.withColumn("terms", query_terms(F.coalesce("text", F.lit("")))).drop("text"), shards, pruned)
+    q = _pairs(q.withColumn("terms", search_terms(F.coalesce("text", F.lit("")))).drop("text"), shards, pruned)
     narrow = catalog.select("shard", "chunk_id", "episode_id", "ts_capture", "app_name", "bundle_id", "entity_keys")
     wanted = ["probe", "shard", "lo", "hi", "app", "entities", "pool"]
     entry = lambda df, i, key: df.select("probe", "shard", "chunk_id", "episode_id", "pool", F.lit(i).alias("list"), key.cast("double").alias("key"))
@@ -237,7 +237,7 @@ def hybrid_search(chunks: DataFrame, q: Query, index: DataFrame | None = None, s
 
 def search_one(spark: SparkSession, q: Query, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None, pruned: bool = True) -> DataFrame:
     """search_many for one query whose terms and vector are literals."""
-    terms = query_term_list(q.text)
+    terms = folded_terms(query_term_list(q.text))
     near = None
     if vectors is not None and query_vector is not None:
         near = knn(vectors, *query_vector).select(F.lit(0).alias("probe"), "shard", "chunk_id", "similarity")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tidemark.functions.text import MAX_TERMS, SPINNERS, STOPWORDS, query_term_list
-from tidemark.operators import chunk, exclude, filing, neardup, redact
+from tidemark.operators import chunk, exclude, filing, markup, neardup, redact
 from tidemark.plans import queries as q
 from tidemark.plans.derived import CHUNKS_SQL, CONTEXTS_SQL, DRAFTS_SQL, EVENTS_SQL, SHARD_SQL
 
@@ -19,7 +19,7 @@ def values(rows, names: str) -> str:
 NORM = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
 WORDS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: w <> '')"
 TERMS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
-FOLDED = "translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+FOLDED = "strip_accents(lower(text))"
 LO, HI = (f"TIMESTAMP '{x}'" for x in q.RANGE)
 ELO, EHI = (f"TIMESTAMP '{x}'" for x in q.EVENT_RANGE)
 STRATEGY = "CASE " + " ".join(f"WHEN bundle = {lit(b)} THEN {lit(s)}" for b, s in exclude.STRATEGIES) + " ELSE 'axThenOCR' END"
@@ -81,7 +81,7 @@ def _minhash() -> str:
 
 def _index() -> str:
     return f"""{CHUNKS_SQL},
-      toks AS (SELECT shard, chunk_id, {TERMS.format(FOLDED).replace("lower(translate", "(translate")} AS terms FROM chunks),
+      toks AS (SELECT shard, chunk_id, {TERMS.format(FOLDED).replace("lower(strip", "(strip")} AS terms FROM chunks),
       words AS (SELECT shard, chunk_id, len(terms) AS len, unnest(terms) AS term FROM toks),
       idx AS (SELECT shard, chunk_id, len, term, count(*) AS tf FROM words GROUP BY ALL),
       stats AS (SELECT shard, count(*) AS n_chunks, avg(len(terms)) AS avg_len FROM toks GROUP BY shard),
@@ -126,7 +126,7 @@ def _many(lo: str, hi: str, app: str, entity: str) -> str:
     return f"""WITH {_index()},
       qs AS (SELECT item_id AS probe, text, CAST({lo} AS TIMESTAMP) AS lo, CAST({hi} AS TIMESTAMP) AS hi, CAST({app} AS VARCHAR) AS app, CAST({entity} AS VARCHAR) AS entity FROM benchmark),
       w AS (SELECT probe, {words} AS w FROM qs), p AS (SELECT probe, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT probe, term, min(i) AS i FROM p GROUP BY ALL),
-      t AS (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY i) AS nth FROM f QUALIFY nth <= {MAX_TERMS}),
+      t0 AS (SELECT probe, term, row_number() OVER (PARTITION BY probe ORDER BY i) AS nth FROM f QUALIFY nth <= {MAX_TERMS}), t AS (SELECT probe, strip_accents(term) AS term, min(nth) AS nth FROM t0 GROUP BY ALL),
       reach AS (SELECT qs.*, shard FROM qs, (SELECT DISTINCT shard FROM chunks) WHERE lo IS NULL OR shard BETWEEN {SHARD_SQL.format("lo")} AND {SHARD_SQL.format("hi")}),
       n2 AS (SELECT shard, term, count(*) AS n FROM idx GROUP BY ALL),
       p2 AS (SELECT probe, shard, chunk_id, nth, CASE WHEN ln((n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) <= 0 THEN 1e-6::DOUBLE ELSE ln((n_chunks - n + 0.5::DOUBLE) / (n + 0.5::DOUBLE)) END
@@ -257,7 +257,14 @@ def oracle_sql() -> dict[str, str]:
           c AS (SELECT item_id, bucket, count(*) AS n FROM b GROUP BY ALL)
           SELECT item_id, bucket, round(n / sqrt(CAST(sum(n * n) OVER (PARTITION BY item_id) AS DOUBLE)), 9) AS weight FROM c""",
         "quantize_int8": f"WITH {QUANT} SELECT vec_id, generate_subscripts(ints, 1) - 1 AS i, unnest(ints) AS x FROM z",
-        "knn_topk": f"WITH {QUANT} SELECT z.vec_id, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(z.ints[i] * p.ints[i] AS BIGINT))) AS BIGINT) AS dot FROM z, z p WHERE p.vec_id = 0 AND z.vec_id <> 0 ORDER BY dot DESC, z.vec_id LIMIT 10",
+        "knn_topk": f"""WITH {QUANT}, b AS (SELECT z.vec_id, ints, CAST(CAST(s AS FLOAT) AS DOUBLE) AS scale FROM z JOIN s USING (vec_id)),
+          n AS (SELECT p.vec_id AS probe, b.vec_id, p.scale AS own, b.scale, CAST(list_sum(list_transform(range(1, 65), lambda i: CAST(b.ints[i] * p.ints[i] AS BIGINT))) AS BIGINT) AS dot FROM b JOIN b p ON p.vec_id % 100 = 0 AND p.vec_id <> b.vec_id)
+          SELECT probe, vec_id, dot, row_number() OVER (PARTITION BY probe ORDER BY dot * scale * own DESC, vec_id) AS place FROM n QUALIFY place <= 10""",
+        "knn_lists": "SELECT count(*) FILTER (WHERE vec_id % 100 = 0) AS probes, true AS found FROM embeddings",
+        "tree_text": f"SELECT id, n_nodes, length(text) AS n_text, sha256(text) AS hash FROM ({markup.tree_sql()})",
+        "gap_admission": """WITH RECURSIVE e AS (SELECT event_type AS client, epoch_us(ts) AS us, min(event_id) AS event_id FROM events GROUP BY event_type, epoch_us(ts)),
+          a AS (SELECT client, min(us) AS us FROM e GROUP BY client UNION ALL (SELECT a.client, min(e.us) AS us FROM a JOIN e ON e.client = a.client AND e.us >= a.us + 21600000000 GROUP BY a.client))
+          SELECT client, event_id FROM a JOIN e USING (client, us)""",
         "unembedded_anti": f"WITH {CHUNKS_SQL} SELECT chunk_id FROM chunks WHERE chunk_id NOT IN (SELECT doc_id FROM labels)",
         "vector_upsert_latest": "SELECT user_id AS chunk_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1",
         "query_terms": f"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2 AND x NOT IN ({", ".join(map(lit, STOPWORDS))})) AS w FROM documents),

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import dates, text, vectors
-from tidemark.operators import chunk, exclude, filing, neardup, redact, retrieve, serve, sessions
+from tidemark.operators import chunk, exclude, filing, markup, neardup, redact, retrieve, serve, sessions, vector_lists
 from tidemark.plans import derived
 from tidemark.plans.derived import table
 from tidemark.sources.store import Store, latest_vectors, reliable, scratch
@@ -168,6 +168,17 @@ def near_dup(spark, d):
     return neardup.collapse(table(spark, d, "documents").select(F.col("doc_id").alias("seq"), "text"))
 
 
+def dup_index(spark, d):
+    """The documents in three batches against the state that the batches before left."""
+    docs = table(spark, d, "documents")
+    most = docs.agg(F.max("doc_id")).first()[0] or 0
+    rows = docs.select(F.lpad(F.col("doc_id").cast("string"), 15, "0").alias("id"), F.timestamp_seconds("doc_id").alias("at"), "text", F.floor(F.col("doc_id") * 3 / (most + 1)).alias("batch"))
+    index = neardup.DupIndex(spark, scratch(spark, "dup-index"))
+    parts = [index.judge(rows.where(F.col("batch") == i).drop("batch"), i) for i in range(3)]
+    both = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return both.select(F.col("id").cast("long").alias("seq"), "verdict", F.col("kept_as").cast("long").alias("kept_as"), "jaccard")
+
+
 def hash_embedding(spark, d):
     b = table(spark, d, "benchmark").select("item_id", F.explode(vectors.features(F.col("text"))).alias("f"))
     counts = b.groupBy("item_id", vectors.bucket512(F.col("f")).alias("bucket")).agg(F.count("*").alias("n"))
@@ -183,11 +194,26 @@ def quantize_int8(spark, d):
     return _vectors(spark, d).select("vec_id", F.posexplode("ints").alias("i", "x")).select("vec_id", "i", F.col("x").cast("int").alias("x"))
 
 
+def _lists(spark, d):
+    """Inverted lists of all vectors, and the vectors whose id is divisible by 100 as queries."""
+    key = F.lpad(F.col("vec_id").cast("string"), 15, "0")
+    v = reliable(_vectors(spark, d).select(key.alias("chunk_id"), key.alias("probe"), "vec_id", "scale", F.col("ints").alias("embedding")))
+    return vector_lists.VectorLists.built(v, scratch(spark, "vector-lists"), 64), v.where("vec_id % 100 = 0")
+
+
 def knn_topk(spark, d):
-    v = _vectors(spark, d)
-    probe = v.where("vec_id = 0").select(F.col("ints").alias("pi"))
-    j = v.where("vec_id <> 0").crossJoin(F.broadcast(probe)).select("vec_id", vectors.int_dot(F.col("ints"), F.col("pi")).alias("dot"))
-    return j.orderBy(F.desc("dot"), "vec_id").limit(10)
+    """The ten nearest of every vector whose id is divisible by 100, by the exact scan of all lists."""
+    lists, probes = _lists(spark, d)
+    found = lists.search(probes, 10, but_self=True)
+    return found.select(F.col("probe").cast("long").alias("probe"), F.col("id").cast("long").alias("vec_id"), "dot", F.col("place").cast("long").alias("place"))
+
+
+def knn_lists(spark, d):
+    """Whether visits to four fifths of the lists find 0.9 or more of what the exact scan finds."""
+    lists, probes = _lists(spark, d)
+    near = lists.search(probes, 10, visits=max(1, round(0.8 * len(lists.centroids))), but_self=True)
+    r = vector_lists.recall(near, lists.search(probes, 10, but_self=True))
+    return r.select("probes", (F.col("recall") >= 0.9).alias("found"))
 
 
 def unembedded_anti(spark, d):
@@ -287,7 +313,7 @@ def recall_at_3(spark, d):
     wanted = terms.select("probe", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     pairs = store.read("postings").select("term", "chunk_id").join(wanted, "term").groupBy("probe", "chunk_id", "size").agg(F.count("*").alias("n")).where("n = size")
     held = pairs.select("probe", "chunk_id").join(items, "probe").join(store.read("chunks").select(F.col("id").alias("chunk_id"), "text"), "chunk_id").where(F.col("text").contains(F.col("item")))
-    asked = items.where(F.size(text.query_terms(F.col("item"))) > 0).select("probe")
+    asked = items.where(F.size(text.search_terms(F.col("item"))) > 0).select("probe")
     held = reliable(held.select("probe", "chunk_id", F.lit(1).alias("label")).join(asked, "probe", "left_semi"))
     return retrieve.recall_at(found.select("probe", "chunk_id", "place").join(held, ["probe", "chunk_id"]), held.select("probe", "label"))
 
@@ -327,11 +353,12 @@ def sweep_dedup(spark, d):
     return sessions.sweep_distinct(e).select("sweep", "window_id", "stored")
 
 
-def _context_signals(spark, d):
-    """Application changes and clipboard signals of each user, as the capture engine takes them."""
+def _context_signals(spark, d, kind=None):
+    """Application changes and clipboard signals of each user (or other kinds), as the capture engine takes them."""
+    kind = F.when(F.col("event_id") % 7 == 0, "clipboard").otherwise("app_change") if kind is None else kind
     e = derived.app_contexts(spark, d)
     seq = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")).cast("long")
-    return e.select(F.col("user_id").cast("string").alias("stream"), seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.when(F.col("event_id") % 7 == 0, "clipboard").otherwise("app_change").alias("kind"), "bundle", "app", "title", F.col("app").alias("text"))
+    return e.select(F.col("user_id").cast("string").alias("stream"), seq.alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), kind.alias("kind"), "bundle", "app", "title", F.col("app").alias("text"))
 
 
 def capture_stats(spark, d):
@@ -460,6 +487,30 @@ def throttle(spark, d):
     return serve.throttled(e, 3, 3600.0).select("client", "seq", "admitted")
 
 
+def gap_admission(spark, d):
+    """Events of a kind that come six hours or more after the last admitted one."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("client"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), "event_id")
+    return serve.admitted_gap(e, "client", "at", 21_600.0).select("client", "event_id")
+
+
+def tree_text(spark, d):
+    t = markup.tree_text(table(spark, d, "pages"))
+    return t.select("id", "n_nodes", F.length("text").cast("long").alias("n_text"), F.sha2("text", 256).alias("hash"))
+
+
+def timed_capture(spark, d):
+    """The capture engine over each user's events, with typing, its timers firing at their own times."""
+    from tidemark.streaming.engine import folded
+
+    return folded(_typing(spark, d), timers=True, idle=43_200.0, debounce=7_200.0, fallback=21_600.0)
+
+
+def _typing(spark, d):
+    i = F.col("event_id")
+    kind = F.when(i % 3 == 0, "text_signal").when(i % 7 == 0, "clipboard").when(i % 5 == 0, "activity").otherwise("app_change")
+    return _context_signals(spark, d, kind)
+
+
 def engine_fold(spark, d):
     """The capture engine over the events of each user: application changes, ticks in between."""
     from tidemark.streaming.engine import folded
@@ -472,10 +523,10 @@ def engine_fold(spark, d):
 
 ALL = [
     normalize_hash, title_normalize, shard_id, shard_range, shards_intersecting, droppable_shards, external_key, exclusion_mode, capability_strategy, ocr_fallback, layered_choice, ocr_budget,
-    redact_tokens, redact_cards, luhn, sentence_split, token_estimate, chunk_pack, event_time, exact_dedup, hourly_volume, volume_stats, minhash_signature, lsh_candidates, near_dup, hash_embedding,
-    quantize_int8, knn_topk, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search, search_table,
+    redact_tokens, redact_cards, luhn, sentence_split, token_estimate, chunk_pack, event_time, exact_dedup, hourly_volume, volume_stats, minhash_signature, lsh_candidates, near_dup, dup_index, hash_embedding,
+    quantize_int8, knn_topk, knn_lists, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search, search_table,
     sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, ambient_sweep, sweep_stats, sweep_log, ambient_choice, chunk_stage, sweep_plan, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, drafts_by_status, pending_drafts,
-    url_denylist, extract_validate, compose_page, format_results, provenance_join, throttle, engine_fold,
+    url_denylist, extract_validate, compose_page, format_results, provenance_join, throttle, gap_admission, tree_text, timed_capture, engine_fold,
 ]
 
 
