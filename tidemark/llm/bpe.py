@@ -47,7 +47,7 @@ from tidemark.llm.common import bounded_batches, scratch, table
 #: Before a blank between two non-blanks (Unicode white space counts as blank).
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a piece, and distinct pieces that each generation of a worker's memory holds.
-PIECE, REMEMBERED = 32_768, 150_000
+PIECE, REMEMBERED = 32_768, 200_000
 
 PIECE_SQL = "text_id string, doc_id long, piece int, part int, parts int, raw boolean, text string"
 IDS_SQL = "text_id string, doc_id long, piece int, part int, parts int, ids binary"
@@ -79,8 +79,10 @@ class Bpe:
         added = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.token = functools.lru_cache(maxsize=1 << 17)(self.whole.id_to_token)
-        self.young: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        self.young: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
+        self.decimal = [str(i) for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
 
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -103,10 +105,11 @@ class Bpe:
         return left + right
 
     def known(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of tokens, ids joined by commas, and decoded text of each text, by way of a bounded memory of pieces.
+        """Number of tokens, ids joined by commas, and decoded text of each text, by way of a bounded memory of pieces' ids.
 
         Two generations: a full young one takes the old one's place, and old
-        pieces that are met again move to the young.
+        pieces that are met again move to the young. Each new piece is decoded
+        too; should one not come back as it was, `odd` has what it gives.
         """
         split = [CUT.sub("\0 ", s).split("\0") if "\0" not in s else [s] for s in texts]
         if len(self.young) > REMEMBERED:
@@ -120,13 +123,17 @@ class Bpe:
                 self.young[p] = held
         for first in range(0, len(missing), 4096):
             some = missing[first : first + 4096]
-            for p, e in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                decoded = self.decode(e.ids)
-                self.young[p] = (len(e.ids), ",".join(map(str, e.ids)), p if decoded == p else decoded)
-        out = []
-        for pieces in split:
-            n, ids, decoded = zip(*map(self.young.__getitem__, pieces), strict=True)
-            out.append((sum(n), ",".join(filter(None, ids)), "".join(decoded)))
+            ids = [e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
+            decimal = self.decimal
+            self.young.update(zip(some, [",".join([decimal[i] for i in x]) for x in ids], strict=True))
+            back = self.whole.decode_batch(ids, skip_special_tokens=False)
+            if back != some:
+                self.odd.update((p, d) for p, d in zip(some, back, strict=True) if p != d)
+        known, out = self.young.__getitem__, []
+        for s, pieces in zip(texts, split, strict=True):
+            ids = ",".join(map(known, pieces))
+            decoded = "".join(self.odd.get(p, p) for p in pieces) if self.odd else s
+            out.append((ids.count(",") + 1 if ids else 0, ids, decoded))
         return out
 
 
