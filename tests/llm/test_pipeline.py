@@ -57,3 +57,22 @@ def test_empty_table(spark):
     corpus.empty(spark).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
     assert P.run(spark, root).count() == 0
+
+
+def test_odd_rows_pass_each_stage(spark):
+    """Null ids, null, empty and wordless texts, repeated rows: as the stages' docstrings say."""
+    a, b, item = corpus.prose(1, 120), corpus.prose(2, 120), corpus.prose(7007, 30)
+    leak = f"{corpus.prose(3, 60)} {item} {corpus.prose(4, 60)}"
+    rows = [(None, a, "en", "s", 1), (5, a, "en", "s", 1), (5, a, "en", "s", 1), (None, b, "en", None, 1), (6, None, "en", "s", 0), (7, "", "en", "s", 0), (8, " \n", "en", "s", 2), (9, leak, "en", "s", 1), (9, corpus.prose(5, 90), "en", "s", 1), (None, leak + " more", "en", "s", 1)]
+    docs = spark.createDataFrame(rows, corpus.SQL).repartition(2)
+    root = scratch(spark, "pipeline-odd")
+    spark.createDataFrame([(0, item), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    texts = lambda df: sorted(r.text or "" for r in df.collect())
+    one = P.by_rules(spark, docs, root)
+    assert texts(one) == sorted(t for _, t, *_ in rows if t and t.strip())
+    two = [(r.doc_id, r.text) for r in P.one_of_each(spark, docs, root).collect()]
+    assert two.count((None, a)) == two.count((5, a)) == 1 and (None, b) in two and (9, corpus.prose(5, 90)) in two
+    four = texts(P.without_benchmark(spark, docs, root))
+    assert four == sorted(t or "" for _, t, *_ in rows if item not in (t or ""))
+    five = {(r.doc_id, r.source, r.size): r.taken for r in P.mixed(spark, docs, root).collect()}
+    assert five[(6, "s", 0)] == five[(7, "s", 0)] == five[(8, "s", 0)] == 0 and five[(None, None, 120)] > 0

@@ -11,7 +11,7 @@ the FTRL-proximal updates over them in one task in a fixed order. Scoring is a
 sparse dot product per document with weights of a fixed size (2**BITS).
 
 Cases: a null text counts as empty, and an empty text scores by the bias
-alone; labels with null quality or doc_id are left out; a document labelled
+alone; a text of any length is scored whole, in slabs of bounded size; labels with null quality or doc_id are left out; a document labelled
 twice is two examples; repeated documents each get their score; a corpus
 without labels scores 0.5 everywhere. Extra columns are ignored.
 """

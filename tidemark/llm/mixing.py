@@ -11,7 +11,8 @@ Everything is DataFrame code. Ranks and running sums are two-level (a sum over
 pieces, then one within each piece), so a source that holds a third of all
 rows is spread over many tasks.
 
-Cases: a null or empty text has size 0 and is never taken; repeated rows are
+Cases: a null or empty text has size 0 and is never taken; a long text counts
+whole and is dealt to as many blocks as it fills; repeated rows are
 rows of their own; a null source is a source, the last one; no rows give no
 rows; a tie in the shuffle (equal doc_id) falls to the larger text and then to
 either of two equal rows, which no result tells apart. Extra columns are

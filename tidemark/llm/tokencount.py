@@ -13,7 +13,8 @@ counts of the pieces add up to the text's; pieces met before are not encoded
 again. The memory of pieces is bounded and only saves time.
 
 Cases: null and empty texts have 0 bytes and 0 tokens; repeated texts are
-encoded once and counted for each row; no rows give no rows and an unchanged
+encoded once and counted for each row; a long text is one row of a task and is
+counted whole; no rows give no rows and an unchanged
 cache. Extra columns are ignored.
 """
 
