@@ -305,6 +305,10 @@ def oracle_sql() -> dict[str, str]:
           p_partkey % 13 <> 0 AS on_screen, p_partkey % 17 = 0 AS layered, p_partkey % 101 = 0 AS hidden FROM part),
           k AS (SELECT * FROM w WHERE on_screen AND NOT layered AND area >= {exclude.MIN_AREA} AND title IS NOT NULL AND (sweep, pid) NOT IN (SELECT (sweep, pid) FROM w WHERE hidden))
           SELECT sweep, window_id, row_number() OVER (PARTITION BY sweep ORDER BY area DESC, window_id) AS place FROM k QUALIFY place <= {exclude.MAX_WINDOWS}""",
+        "sweep_unfocused": f"""WITH w AS (SELECT p_partkey % 20 AS sweep, p_partkey AS window_id, p_partkey % 37 AS pid, CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_type END AS title, p_size * 20 * 400 AS area,
+          p_partkey % 13 <> 0 AS on_screen, p_partkey % 17 = 0 AS layered, p_partkey % 101 = 0 AS hidden FROM part),
+          k AS (SELECT * FROM w WHERE on_screen AND NOT layered AND area >= {exclude.MIN_AREA} AND title IS NOT NULL AND (sweep, pid) NOT IN (SELECT (sweep, pid) FROM w WHERE hidden) AND (sweep, pid, title) NOT IN (SELECT (sweep, pid, title) FROM w WHERE window_id % 3 = 0 AND title IS NOT NULL))
+          SELECT sweep, window_id, row_number() OVER (PARTITION BY sweep ORDER BY area DESC, window_id) AS place FROM k QUALIFY place <= {exclude.MAX_WINDOWS}""",
         "ledger_since": "SELECT CAST(o_orderdate AS TIMESTAMP) AS ts, o_orderstatus AS destination, CAST(floor(o_totalprice) AS BIGINT) AS byte_count, CAST(o_orderkey AS VARCHAR) AS purpose FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01' AND o_orderpriority = '1-URGENT'",
         "draft_insert_idempotent": f"WITH {DRAFTS_SQL} SELECT id, external_key FROM drafts WHERE external_key NOT IN (SELECT external_key FROM drafts WHERE id % 10 = 0) QUALIFY row_number() OVER (PARTITION BY external_key ORDER BY created_at, id) = 1",
         "draft_transition": f"""WITH {DRAFTS_SQL}, a AS (SELECT o_orderkey + CASE WHEN o_orderkey % 50 = 0 THEN 1000000000 ELSE 0 END AS id, ['approve', 'dismiss', 'commit', 'undo'][o_orderkey % 4 + 1] AS action FROM orders),

@@ -399,14 +399,24 @@ def chunk_stage(spark, d):
     return chunk.stage_volume(chunk.chunking_stage(table(spark, d, "documents").select(F.col("doc_id").alias("event_id"), F.coalesce("text", F.lit("")).alias("text"))))
 
 
-def sweep_plan(spark, d):
+def _windows(spark, d):
     p = table(spark, d, "part")
-    w = p.select(
+    return p.select(
         (F.col("p_partkey") % 20).alias("sweep"), F.col("p_partkey").alias("window_id"), (F.col("p_partkey") % 37).alias("pid"), F.concat(F.lit("com.example."), F.col("p_brand")).alias("bundle"), F.col("p_brand").alias("app"),
         F.when(F.col("p_partkey") % 11 == 0, F.lit("⠋ ")).otherwise(F.concat(F.lit("⠙ "), F.col("p_type"))).alias("title"), F.when(F.col("p_partkey") % 17 == 0, 3).otherwise(0).alias("layer"),
         (F.col("p_size") * 20).alias("width"), F.lit(400).alias("height"), (F.col("p_partkey") % 13 != 0).alias("on_screen"), (F.col("p_partkey") % 101 == 0).alias("sharing_none"),
     )
-    return exclude.sweep_plan(w).select("sweep", "window_id", "place")
+
+
+def sweep_plan(spark, d):
+    return exclude.sweep_plan(_windows(spark, d)).select("sweep", "window_id", "place")
+
+
+def sweep_unfocused(spark, d):
+    """The plan of each sweep without the windows that are focused, or bear the title of one of their process."""
+    w = _windows(spark, d)
+    focused = w.where(F.col("window_id") % 3 == 0).select("sweep", "pid", text.window_title(F.col("title")).alias("title"))
+    return exclude.sweep_plan(w, focused.distinct()).select("sweep", "window_id", "place")
 
 
 def ocr_assemble(spark, d):
@@ -525,7 +535,7 @@ ALL = [
     normalize_hash, title_normalize, shard_id, shard_range, shards_intersecting, droppable_shards, external_key, exclusion_mode, capability_strategy, ocr_fallback, layered_choice, ocr_budget,
     redact_tokens, redact_cards, luhn, sentence_split, token_estimate, chunk_pack, event_time, exact_dedup, hourly_volume, volume_stats, minhash_signature, lsh_candidates, near_dup, dup_index, hash_embedding,
     quantize_int8, knn_topk, knn_lists, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search, search_table,
-    sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, ambient_sweep, sweep_stats, sweep_log, ambient_choice, chunk_stage, sweep_plan, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, drafts_by_status, pending_drafts,
+    sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, ambient_sweep, sweep_stats, sweep_log, ambient_choice, chunk_stage, sweep_plan, sweep_unfocused, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, drafts_by_status, pending_drafts,
     url_denylist, extract_validate, compose_page, format_results, provenance_join, throttle, gap_admission, tree_text, timed_capture, engine_fold,
 ]
 
