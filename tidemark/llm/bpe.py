@@ -47,7 +47,7 @@ from tidemark.llm.common import bounded_batches, scratch, table
 #: Before a blank between two non-blanks (Unicode white space counts as blank).
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Characters of a piece, and distinct pieces that each generation of a worker's memory holds.
-PIECE, REMEMBERED = 32_768, 200_000
+PIECE, REMEMBERED = 32_768, 400_000
 
 PIECE_SQL = "text_id string, doc_id long, piece int, part int, parts int, raw boolean, text string"
 IDS_SQL = "text_id string, doc_id long, piece int, part int, parts int, ids binary"
@@ -61,6 +61,20 @@ def hexdigest(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+class Memory(dict):
+    """Pieces' ids; what an older generation knows, or a new encoding, fills it."""
+
+    def __init__(self, bpe: Bpe, older: dict | None = None):
+        self.bpe, self.older = bpe, dict(older or {})
+
+    def __missing__(self, piece: str) -> str:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.bpe.piece(piece)
+        self[piece] = ids
+        return ids
+
+
 class Bpe:
     """A tokenizer file's encoder: whole texts, words by merges alone, and joins of encodings."""
 
@@ -79,10 +93,10 @@ class Bpe:
         added = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.token = functools.lru_cache(maxsize=1 << 17)(self.whole.id_to_token)
-        self.young: dict[str, str] = {}
-        self.old: dict[str, str] = {}
-        self.odd: dict[str, str] = {}
-        self.decimal = [str(i) for i in range(self.whole.get_vocab_size(with_added_tokens=True))]
+        self.memory, self.odd = Memory(self), {}
+        size = self.whole.get_vocab_size(with_added_tokens=True)
+        self.decimal = [str(i) for i in range(size)]
+        self.bytes = [self.decode([i]).encode() for i in range(size)]
 
     def encode(self, text: str) -> list[int]:
         return self.whole.encode(text, add_special_tokens=False).ids
@@ -107,35 +121,25 @@ class Bpe:
     def known(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of tokens, ids joined by commas, and decoded text of each text, by way of a bounded memory of pieces' ids.
 
-        Two generations: a full young one takes the old one's place, and old
-        pieces that are met again move to the young. Each new piece is decoded
-        too; should one not come back as it was, `odd` has what it gives.
+        A full memory becomes the older one of the next, whose pieces move over when they are met again.
         """
-        split = [CUT.sub("\0 ", s).split("\0") if "\0" not in s else [s] for s in texts]
-        if len(self.young) > REMEMBERED:
-            self.young, self.old = {}, self.young
-        missing = []
-        for p in {p for pieces in split for p in pieces}.difference(self.young):
-            held = self.old.get(p)
-            if held is None:
-                missing.append(p)
-            else:
-                self.young[p] = held
-        for first in range(0, len(missing), 4096):
-            some = missing[first : first + 4096]
-            ids = [e.ids for e in self.whole.encode_batch_fast(some, add_special_tokens=False)]
-            decimal = self.decimal
-            self.young.update(zip(some, [",".join([decimal[i] for i in x]) for x in ids], strict=True))
-            back = self.whole.decode_batch(ids, skip_special_tokens=False)
-            if back != some:
-                self.odd.update((p, d) for p, d in zip(some, back, strict=True) if p != d)
-        known, out = self.young.__getitem__, []
-        for s, pieces in zip(texts, split, strict=True):
-            ids = ",".join(map(known, pieces))
+        out = []
+        for s in texts:
+            if len(self.memory) > REMEMBERED:
+                self.memory = Memory(self, self.memory)
+            pieces = CUT.sub("\0 ", s).split("\0") if "\0" not in s else [s]
+            ids = ",".join(map(self.memory.__getitem__, pieces))
             decoded = "".join(self.odd.get(p, p) for p in pieces) if self.odd else s
             out.append((ids.count(",") + 1 if ids else 0, ids, decoded))
         return out
 
+    def piece(self, text: str) -> str:
+        """The ids of a piece, joined by commas; the piece is decoded too. Tokens whose own texts add up to the piece decode to it."""
+        ids = self.encode(text)
+        if b"".join([self.bytes[i] for i in ids]) != text.encode() and (decoded := self.decode(ids)) != text:
+            self.odd[text] = decoded
+        return ",".join([self.decimal[i] for i in ids])
+
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str) -> Bpe:
