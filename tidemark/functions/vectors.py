@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,19 +35,26 @@ def squared_length(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a column that a lambda refers to would be computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def quantize(df: DataFrame, column: str, dim: int) -> DataFrame:
     """df plus ints and scale: the first dim numbers as a unit vector in steps of scale, half away from zero.
 
-    Length and scale become columns first, so no element computes them again.
     A zero vector stays zero, with scale 1.
     """
-    d = df.withColumn("_v", F.transform(F.slice(column, 1, dim), lambda x: x.cast("double")))
-    d = d.withColumn("_len", F.sqrt(squared_length(F.col("_v"))))
-    d = d.withColumn("_u", F.when(F.col("_len") > 0, F.transform("_v", lambda x: x / F.col("_len"))).otherwise(F.col("_v")))
-    d = d.withColumn("_most", F.aggregate("_u", F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x))))
-    d = d.withColumn("_scale", F.when(F.col("_most") > 0, F.col("_most") / 127).otherwise(F.lit(1.0)))
-    ints = F.transform("_u", lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / F.col("_scale")).cast("int"))).cast("tinyint"))
-    return d.select(*df.columns, ints.alias("ints"), F.col("_scale").cast("float").alias("scale"))
+
+    def steps(u: Column, scale: Column) -> Column:
+        ints = F.transform(u, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.round(x / scale).cast("int"))).cast("tinyint"))
+        return F.struct(ints.alias("ints"), scale.cast("float").alias("scale"))
+
+    most = lambda u: F.aggregate(u, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    unit = lambda v, n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
+    of_unit = lambda u: let(most(u), lambda m: let(F.when(m > 0, m / 127).otherwise(F.lit(1.0)), lambda s: steps(u, s)))
+    q = let(F.transform(F.slice(column, 1, dim), lambda x: x.cast("double")), lambda v: let(F.sqrt(squared_length(v)), lambda n: let(unit(v, n), of_unit)))
+    return df.withColumn("_q", q).select(*df.columns, F.col("_q.ints").alias("ints"), F.col("_q.scale").alias("scale"))
 
 
 def dequantized(ints: Column, scale: Column) -> Column:
