@@ -504,7 +504,7 @@ def test_golden_points(spark):
 
 
 def test_registry_has_each_operator_once():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in registry.queries()) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
@@ -518,4 +518,7 @@ def test_queries_run_on_any_extra_columns(spark, name, tmp_path):
     more(spark.createDataFrame([(0, corpus.prose(7, 30))], "item_id long, text string")).write.parquet(f"{root}/benchmark.parquet")
     more(spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")).write.parquet(f"{root}/labels.parquet")
     more(spark.createDataFrame(TALK, "conv_id long, turn long, role string, text string")).write.parquet(f"{root}/conversations.parquet")
+    vectors = [(i, [((i * 37 + j * 11) % 19 - 9) / 20 for j in range(8)], i % 3) for i in range(200)]
+    clashing = spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").withColumns({c: F.lit(1) for c in ("cell", "split", "score", "vector", "place", "probe")})
+    clashing.write.parquet(f"{root}/embeddings.parquet")
     assert registry.queries()[name](spark, root).count() > 0 or name.startswith(("op3", "op9"))
