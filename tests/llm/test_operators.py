@@ -428,7 +428,7 @@ def test_another_version_misses_the_cache(spark, monkeypatch):
 
 
 def brute_matches(text, containment=0.8):
-    c = licenses.Classes(licenses.TEMPLATES, containment)
+    c = licenses.Classes(licenses.known_templates(), containment)
     _, g = licenses.shingles(*joined([text]))
     found = {}
     for half, templates in c.of.items():
@@ -443,7 +443,7 @@ def brute_matches(text, containment=0.8):
 
 def test_license_matches_are_brute_force(spark):
     some = list(corpus.rows())
-    for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
+    for i, (name, text) in enumerate(licenses.known_templates().items()):
         for k in range(6):
             some.append((1000 + 10 * i + k, f"{corpus.prose(k, 11 * k + i)} {text.upper() if k % 2 else text} {corpus.prose(50 + k, 30)}", "en", "s", 0))
         w = text.split()
@@ -453,17 +453,34 @@ def test_license_matches_are_brute_force(spark):
         got.setdefault(r.doc_id, {})[r.license] = r.containment
     want = {d: m for d, t, *_ in some if d is not None and (m := brute_matches(t or ""))}
     assert got == want
-    assert all(name in want[1000 + 10 * i] for i, name in enumerate(licenses.TEMPLATES))
+    assert all(name in want[1000 + 10 * i] for i, name in enumerate(licenses.known_templates()))
     assert licenses.scan(corpus.empty(spark)).count() == 0
 
 
 def test_bands_guarantee_collision():
-    c = licenses.Classes(licenses.TEMPLATES, 0.8)
+    c = licenses.Classes(licenses.known_templates(), 0.8)
     for half, templates in c.of.items():
         for _, g, need in templates:
             assert (1 - need / (2 * half + len(g) - need)) ** c.bands[half] <= licenses.MISS * 1.0001
 
 
+def test_long_licences_are_known_and_told_apart(spark):
+    known = licenses.known_templates()
+    assert {"apache-2.0-text", "gpl-2.0-text", "gpl-3.0-text", "lgpl-2.1-text", "mpl-2.0-text", "cc0-1.0-text", "bsd-3-text"} <= set(known)
+    names = [n for n in known if n.endswith("-text")]
+    some = [(i, f"{corpus.prose(i, 700)} {known[n]} {corpus.prose(i + 1, 900)}", "en", "s", 0) for i, n in enumerate(names)]
+    words = known["gpl-3.0-text"].split()
+    some.append((100, " ".join(words[: int(0.7 * len(words))]), "en", "s", 0))  # too little of it
+    some.append((101, " ".join(words[: int(0.9 * len(words))]), "en", "s", 0))
+    got = {}
+    for r in licenses.scan(corpus.frame(spark, some)).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert all(n in got[i] for i, n in enumerate(names))
+    long = {n for n in names if len(known[n]) > 5000}
+    assert all(got[i] & long == {n} for i, n in enumerate(names) if n in long)
+    assert "gpl-3.0-text" not in got.get(100, set()) and "gpl-3.0-text" in got[101]
+
+
 # op10
 
 

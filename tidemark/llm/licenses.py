@@ -8,6 +8,9 @@ the required share of a template's shingles meets one of its bands with
 probability 1 - MISS at least. What the bands retrieve is decided by exact
 containment: the share of the template's shingles that the window holds.
 
+The long licences stand as whole texts in licence_texts/, read by the driver.
+A document of fewer shingles than a template needs isn't looked at for it.
+
 A document is scanned whole, in one row, so nothing is shuffled. Cases: null,
 empty and shingle-free texts match nothing; repeated rows each give their
 matches; two windows with equal containment report the first; an empty table gives
@@ -17,6 +20,7 @@ no rows; templates of one word are refused. Extra columns are ignored.
 from __future__ import annotations
 
 import math
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +49,22 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+#: The third condition makes the three-clause text.
+TEMPLATES["bsd-3-text"] = TEMPLATES["bsd-2-text"].replace(
+    "\nTHIS SOFTWARE IS", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE IS"
+)
 #: A window with the required share of a template goes unretrieved with this probability at most.
 MISS = 1e-6
 SLAB = 1 << 18
+#: Classes from this many shingles on are looked for apart, in documents long enough for them.
+LONG = 1024
+
+
+def known_templates() -> dict[str, str]:
+    """TEMPLATES, and the whole texts of the long licences."""
+    folder = resources.files("tidemark.llm") / "licence_texts"
+    long = {f"{f.name.removesuffix('.txt')}-text": f.read_text(encoding="utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+    return {**TEMPLATES, **dict(sorted(long.items()))}
 
 
 def shingles(data: np.ndarray, ends: np.ndarray):
@@ -78,19 +95,29 @@ class Classes:
             self.bands[half] = math.ceil(math.log(MISS) / math.log(1 - alike))
         n = max(self.bands.values())
         self.keys = mixed(np.arange(1, n + 1, dtype=np.uint64))
+        self.tiers = [t for t in ([h for h in self.of if h < LONG], [h for h in self.of if h >= LONG]) if t]
+        self.least = {half: min(need for _, _, need in ts) for half, ts in self.of.items()}
         self.signs = {half: np.array([[(mixed(g ^ k) >> np.uint64(32)).min() for k in self.keys[: self.bands[half]]] for _, g, _ in ts], np.uint32) for half, ts in self.of.items()}
 
 
 def matches(data: np.ndarray, ends: np.ndarray, c: Classes):
     """(doc, name, containment, first shingle) of each document and template, best window first."""
     doc, g = shingles(data, ends)
-    if not len(g):
-        return []
+    best = {}
+    for tier in c.tiers:
+        able = np.bincount(doc, minlength=len(ends))[doc] >= min(c.least[half] for half in tier)
+        if able.any():
+            _windows_found(doc[able], g[able], c, tier, best)
+    return [(d, name, n / of, where) for (d, name), (n, of, where) in sorted(best.items())]
+
+
+def _windows_found(doc: np.ndarray, g: np.ndarray, c: Classes, tier: list[int], best: dict) -> None:
+    """The best window of each document (whole in doc, g) and template of these classes, into best."""
     opening = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
     inside = np.arange(len(g)) - np.repeat(opening, np.diff(np.append(opening, len(g))))
-    blocks = {half: np.flatnonzero(inside % half == 0) for half in c.of}
+    blocks = {half: np.flatnonzero(inside % half == 0) for half in tier}
     found = {half: np.zeros((len(c.of[half]), len(b)), bool) for half, b in blocks.items()}
-    for k, key in enumerate(c.keys):
+    for k, key in enumerate(c.keys[: max(c.bands[half] for half in tier)]):
         v = (mixed(g ^ key) >> np.uint64(32)).astype(np.uint32)
         for half, b in blocks.items():
             if k >= c.bands[half]:
@@ -101,24 +128,24 @@ def matches(data: np.ndarray, ends: np.ndarray, c: Classes):
             np.minimum(low[:-1], low[1:], out=win[:-1], where=together)
             for t, sign in enumerate(c.signs[half][:, k]):
                 found[half][t] |= win == sign
-    best = {}
     for half, b in blocks.items():
         for t, (name, own, need) in enumerate(c.of[half]):
             for i in np.flatnonzero(found[half][t]):
                 lo = b[i]
                 hi = min(lo + 2 * half, len(g))
                 has = g[lo:hi][doc[lo:hi] == doc[lo]]
+                if len(has) < need:
+                    continue
                 n = int(np.isin(own, has).sum())
                 at = (int(doc[lo]), name)
                 if n >= need and (at not in best or n > best[at][0]):
                     best[at] = (n, len(own), int(inside[lo]))
-    return [(d, name, n / of, where) for (d, name), (n, of, where) in sorted(best.items())]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, containment: float = 0.8) -> DataFrame:
     """doc_id, license, containment, first_shingle (start of the best window) of every match."""
     bounded_batches(docs.sparkSession)
-    templates = templates or TEMPLATES
+    templates = templates or known_templates()
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("first_shingle", pa.int64())])
 
     def run(batches):
@@ -139,8 +166,10 @@ def op9_licenses(spark, sf_dir: str) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same windows and containment in DuckDB SQL, without the retrieval."""
-    c = Classes(TEMPLATES, 0.8)
-    rows = [f"('{name}', {half}, {need}, '{TEMPLATES[name]}')" for half, ts in c.of.items() for name, _, need in ts]
+    known = known_templates()
+    c = Classes(known, 0.8)
+    text = {name: t.replace("'", "''") for name, t in known.items()}
+    rows = [f"('{name}', {half}, {need}, '{text[name]}')" for half, ts in c.of.items() for name, _, need in ts]
     grams = "list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1])"
     cut = "regexp_extract_all(lower({0}), '(?:[a-z]|[^\\x00-\\x7F])+|[0-9]+')"
     return f"""
