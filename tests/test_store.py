@@ -77,7 +77,7 @@ def one_episode(spark):
 
 
 def sizes(s):
-    return {t: s.count(t) for t in ("episodes", "events", "chunks", "postings", "lengths")}
+    return {t: s.count(t) for t in ("episodes", "events", "chunks", "postings", "maxima", "lengths")}
 
 
 class Stopped(Exception):
@@ -145,11 +145,11 @@ def test_opening_migrates_and_indexes(spark, tmp_path):
     assert s.version() == st.schemas.SCHEMA_VERSION and s.migrate() == []
     s.ingest(*one_episode(spark))
     want = sorted(map(tuple, s.read("postings").collect()))
-    for old in ("postings", "lengths", "_schema"):  # as a store of version 2 was left
+    for old in ("postings", "maxima", "lengths", "_schema"):  # as a store of version 2 was left
         s.delete(s.path(old))
     s.touch(f"{s.root}/_schema/version=2")
     again = st.Store(spark, s.root)
-    assert again.version() == 3 and sorted(map(tuple, again.read("postings").collect())) == want and again.count("lengths") == 3
+    assert again.version() == st.schemas.SCHEMA_VERSION and sorted(map(tuple, again.read("postings").collect())) == want and again.count("lengths") == 3
     again.reindex()
     assert sorted(map(tuple, again.read("postings").collect())) == want
     s.touch(f"{s.root}/_schema/version=9")
@@ -262,3 +262,86 @@ def test_terms_meet_whatever_the_form(spark, tmp_path):
     for i in range(len(queries)):
         assert found[i] == {f"C{2 * (i // 2):02d}", f"C{2 * (i // 2) + 1:02d}"}, queries[i]
     assert {r.chunk_id for r in s.search(queries[4]).collect()} == found[4]
+
+
+def many_chunks(spark, root, parts=2):
+    """Two weeks of 1,500 chunks each, 8 a block, in several transactions whose blocks meet; some are rich in a word, some have no time."""
+    import random
+
+    s, r = st.Store(spark, root), random.Random(7)
+    words = [f"w{i}" for i in range(30)]
+    starts = [dt.datetime(2026, 1, 5), dt.datetime(2026, 1, 12)]
+    spark_rows = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    for part in range(parts):
+        episodes, events, chunks = [], [], []
+        for w, start in enumerate(starts):
+            e = f"E{w}-{part}"
+            episodes.append((e, start, start, f"app{part}", "b", ["Key"]))
+            for i in range(part, 1500, parts):
+                t = start + dt.timedelta(seconds=900 * (i // 8) + i % 8)
+                text = " ".join(r.choices(words, k=r.randint(5, 40)) + (["budget"] * (3 if i // 8 in (20, 21, 90) else 1) if i % 3 == 0 else []) + (["review"] if i % 5 == 0 else []))
+                chunks.append((f"C{w}-{i:04d}", e, f"V{w}-{i}", text, None if i % 97 == 0 else t, "ax"))
+                if i % 50:
+                    events.append((f"V{w}-{i}", e, t, "system"))
+        s.ingest(
+            spark_rows(episodes, "id string, ts_start timestamp, ts_end timestamp, app_name string, bundle_id string, entity_keys array<string>"), spark_rows(events, "id string, episode_id string, ts timestamp, provenance string"),
+            spark_rows(chunks, "id string, episode_id string, event_id string, text string, ts_capture timestamp, source string"),
+        )
+    return s
+
+
+def read_rows(df):
+    """Rows that the scan of a plan without shuffles handed on."""
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_blocks_of_postings_are_skipped_and_the_answer_stays(spark, tmp_path):
+    s = many_chunks(spark, f"file://{tmp_path}/s")
+    week = (dt.datetime(2026, 1, 12), dt.datetime(2026, 1, 13, 5))
+    queries = [
+        retrieve.Query("budget"), retrieve.Query("budget review", limit=3), retrieve.Query("w3 budget review", week), retrieve.Query("budget", app="app1"), retrieve.Query("review w1 w2", entities=["key"], limit=30),
+        retrieve.Query("budget", app="nobody"), retrieve.Query("absent"), retrieve.Query("budget absent"), retrieve.Query("w5", (week[0], week[0])),
+    ]
+    whole = {}
+    for x in s.search_table(retrieve.query_rows(spark, queries)).collect():  # reads all postings of its terms
+        whole.setdefault(x.probe, []).append(tuple(x)[1:])
+    for i, q in enumerate(queries):
+        assert sorted(map(tuple, s.search(q).collect())) == sorted(whole.get(i, [])), q
+    names = s.shards()
+    budget = s.read("postings").where("term = 'budget'")
+    some, counts = s.keyword_postings(retrieve.Query("budget"), names, pool=10)
+    assert {(x.shard, x.n) for x in counts.collect()} == {(x.shard, x["count"]) for x in budget.groupBy("shard").count().collect()}
+    assert 0 < some.count() < budget.count() / 4
+    assert s.keyword_postings(retrieve.Query("absent"), names)[0].count() == 0 and s.keyword_postings(retrieve.Query(""), names)[0].count() == 0
+    # A filter that the first blocks don't satisfy leaves all blocks to be read.
+    assert s.keyword_postings(retrieve.Query("budget", app="nobody"), names, pool=10)[0].count() == budget.count()
+
+
+def test_skipped_blocks_are_not_decoded(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(st.schemas.WRITTEN, "postings", {"parquet.page.row.count.limit": "64"})  # a term has more pages than one, as it has at scale
+    s = many_chunks(spark, f"file://{tmp_path}/s", 1)
+    term = s.read("postings").where("term = 'w7'")
+    last = term.agg(F.max("block")).first()[0]
+    some = term.where(retrieve.in_slots(F.col("block"), [(last - 60, last - 58), (last - 9, last - 9)]))
+    n, read, of_term, of_all = some.count(), read_rows(some), read_rows(term), read_rows(s.read("postings"))
+    assert 0 < n <= read < of_term / 2 < of_all / 10
+
+
+def test_maxima_bound_every_score(spark, tmp_path):
+    s = many_chunks(spark, f"file://{tmp_path}/s")
+    names = s.shards()
+    terms = ["budget", "review", "w3"]
+    m = s.read("maxima").where(F.col("term").isin(terms)).groupBy("shard", "term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+    bounds = retrieve.block_bounds(m, m.groupBy("shard", "term").agg(F.sum("n").alias("n")), s.statistics(names))
+    scores = retrieve.bm25(s.read("postings"), s.statistics(names), terms)
+    of = s.read("postings").select("shard", "chunk_id", "block").distinct()
+    both = scores.join(of, ["shard", "chunk_id"]).join(bounds, ["shard", "block"])
+    assert both.where(-F.col("score") > F.col("bound")).count() == 0 and both.count() == scores.count()
+
+
+def test_ranges_of_slots():
+    assert retrieve.slot_ranges([]) == [] and retrieve.slot_ranges([5, 3, 4, 9, 3]) == [(3, 5), (9, 9)]
+    assert retrieve.slot_ranges([1, 3, 10, 12, 30], most=2) == [(1, 12), (30, 30)]
+    assert len(retrieve.slot_ranges(list(range(0, 1000, 2)), most=8)) == 8

@@ -20,6 +20,10 @@ from tidemark.functions.vectors import int_dot
 
 K1, B, RARE_IDF = 1.2, 0.75, 1e-6
 RRF_K, EPISODE_CAP, FLOOR, CLAMP = 60, 3, 0.3, 200
+#: A block of postings: the chunks captured in one slot of so many seconds.
+BLOCK_SECONDS = 900
+#: Rounding may lift a score above its block's bound by less than this.
+SLACK = 1 + 1e-9
 
 
 @dataclass
@@ -52,11 +56,21 @@ def hard_filter(q: Query) -> Column:
     return reduce(lambda a, b: a & b, clauses, F.lit(True))
 
 
-def inverted_index(chunks: DataFrame) -> DataFrame:
-    """shard, term, chunk_id, tf, len of every term of every chunk: written once, read by each query."""
-    words = chunks.select("shard", "chunk_id", index_terms(F.col("text")).alias("terms"))
-    words = words.select("shard", "chunk_id", F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    return words.groupBy("shard", "term", "chunk_id", "len").agg(F.count("*").alias("tf"))
+def inverted_index(chunks: DataFrame, *more: str) -> DataFrame:
+    """shard, term, chunk_id, tf, len (and more columns of the chunk) of every term of every chunk: written once, read by each query."""
+    words = chunks.select("shard", "chunk_id", *more, index_terms(F.col("text")).alias("terms"))
+    words = words.select("shard", "chunk_id", *more, F.size("terms").alias("len"), F.explode("terms").alias("term"))
+    return words.groupBy("shard", "term", "chunk_id", "len", *more).agg(F.count("*").alias("tf"))
+
+
+def block_of(ts: Column) -> Column:
+    """The number of the slot in which a chunk was captured; -1 without a time."""
+    return F.coalesce(F.floor(F.unix_seconds(ts.cast("timestamp")) / BLOCK_SECONDS), F.lit(-1)).cast("int")
+
+
+def block_maxima(postings: DataFrame) -> DataFrame:
+    """shard, term, block, n, max_tf, min_len: what bounds a term's scores in a block, whatever the statistics will be."""
+    return postings.groupBy("shard", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
 
 
 def chunk_lengths(chunks: DataFrame) -> DataFrame:
@@ -69,6 +83,13 @@ def shard_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg(F.size(index_terms(F.col("text")))).alias("avg_len"))
 
 
+def bm25_part(tf: str, length: str) -> Column:
+    """A term's part of a score: of n_chunks chunks of mean length avg_len, n hold it."""
+    idf = F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.when(idf <= 0, F.lit(RARE_IDF)).otherwise(idf)
+    return idf * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("avg_len")))
+
+
 def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     """shard, chunk_id, score (smaller is better) of the chunks that hold a term.
 
@@ -78,10 +99,7 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     hits = index.where(F.col("term").isin(terms))
     df = hits.groupBy("shard", "term").agg(F.count("*").alias("n"))
     s = hits.join(df, ["shard", "term"]).join(stats, "shard")
-    idf = F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(RARE_IDF)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    s = s.withColumn("part", part)
+    s = s.withColumn("part", bm25_part("tf", "len"))
     parts = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("part"))), F.lit(0.0)) for t in terms]
     return s.groupBy("shard", "chunk_id").agg((-reduce(lambda a, b: a + b, parts)).alias("score"))
 
@@ -168,7 +186,7 @@ def _obeys() -> Column:
     return inside & F.coalesce(app, F.lit(False)) & keys
 
 
-def search_many(queries: DataFrame, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], near: DataFrame | None = None, pruned: bool = True) -> DataFrame:
+def search_many(queries: DataFrame, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], near: DataFrame | None = None, pruned: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """probe, shard, chunk_id, episode_id, score, place: the answers to a table of queries, in one plan.
 
     queries: as query_rows gives them. catalog: shard, chunk_id, episode_id,
@@ -183,7 +201,7 @@ def search_many(queries: DataFrame, catalog: DataFrame, index: DataFrame, stats:
     narrow = catalog.select("shard", "chunk_id", "episode_id", "ts_capture", "app_name", "bundle_id", "entity_keys")
     wanted = ["probe", "shard", "lo", "hi", "app", "entities", "pool"]
     entry = lambda df, i, key: df.select("probe", "shard", "chunk_id", "episode_id", "pool", F.lit(i).alias("list"), key.cast("double").alias("key"))
-    scores = bm25_many(index, stats, q.select("probe", "shard", F.posexplode("terms").alias("nth", "term")))
+    scores = bm25_many(index, stats, q.select("probe", "shard", F.posexplode("terms").alias("nth", "term")), counts)
     lists = [entry(scores.join(q.select(*wanted), ["probe", "shard"]).join(narrow, ["shard", "chunk_id"]).where(_obeys()), 0, F.col("score"))]
     recent = q.where((F.size("terms") == 0) | F.col("lo").isNotNull()).select(*wanted)
     lists.append(entry(narrow.join(recent, "shard").where(_obeys()), 1, -F.unix_micros(F.col("ts_capture").cast("timestamp"))))
@@ -203,24 +221,46 @@ def search_many(queries: DataFrame, catalog: DataFrame, index: DataFrame, stats:
     return final.select("probe", "shard", "chunk_id", "episode_id", "score", "place")
 
 
-def bm25_many(index: DataFrame, stats: DataFrame, wanted: DataFrame) -> DataFrame:
+def bm25_many(index: DataFrame, stats: DataFrame, wanted: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """probe, shard, chunk_id, score of the chunks that hold a term; wanted: probe, shard, nth, term.
 
-    Counts are per shard and term, over all chunks. Parts add up in the terms'
+    Counts are per shard and term, over all chunks: those of the index, unless
+    counts (shard, term, n) are given for an index of some blocks. Parts add up in the terms'
     order, so that equal texts score alike.
     """
     terms = wanted.select("shard", "term").distinct()
     hits = index.join(terms, ["shard", "term"])
-    n = hits.groupBy("shard", "term").agg(F.count("*").alias("n"))
+    n = counts if counts is not None else hits.groupBy("shard", "term").agg(F.count("*").alias("n"))
     s = hits.join(n, ["shard", "term"]).join(stats, "shard")
-    idf = F.ln((F.col("n_chunks") - F.col("n") + 0.5) / (F.col("n") + 0.5))
-    idf = F.when(idf <= 0, F.lit(RARE_IDF)).otherwise(idf)
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    s = s.select("shard", "term", "chunk_id", part.alias("part")).join(wanted, ["shard", "term"])
+    s = s.select("shard", "term", "chunk_id", bm25_part("tf", "len").alias("part")).join(wanted, ["shard", "term"])
     parts = F.transform(F.array_sort(F.collect_list(F.struct("nth", "part"))), lambda x: x["part"])  # MAX_TERMS at most
     return s.groupBy("probe", "shard", "chunk_id").agg((-F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)).alias("score"))
 
 
+def block_bounds(maxima: DataFrame, counts: DataFrame, stats: DataFrame) -> DataFrame:
+    """shard, block, bound, n: no chunk of the block scores above the bound, and n chunks at least hold a term."""
+    of = maxima.withColumnRenamed("n", "held").join(counts, ["shard", "term"]).join(stats, "shard")
+    return of.groupBy("shard", "block").agg((F.sum(bm25_part("max_tf", "min_len")) * SLACK).alias("bound"), F.max("held").alias("n"))
+
+
+def best_blocks(bounds: DataFrame, rows: int) -> DataFrame:
+    """The blocks of the greatest bounds of each shard, as many as hold so many rows. A shard has as many blocks as a week has slots."""
+    before = W.partitionBy("shard").orderBy(F.desc("bound"), "block").rowsBetween(W.unboundedPreceding, -1)
+    return bounds.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).where(F.col("before") < rows).drop("before")
+
+
+def slot_ranges(blocks: list[int], most: int = 64) -> list[tuple[int, int]]:
+    """`most` closed ranges at most that cover the numbers: of the gaps between them the widest stay."""
+    xs = sorted(set(blocks))
+    gaps = sorted(range(1, len(xs)), key=lambda i: (xs[i - 1] - xs[i], i))[: most - 1]
+    cuts = [0, *sorted(i for i in gaps if xs[i] - xs[i - 1] > 1), len(xs)]
+    return [(xs[a], xs[b - 1]) for a, b in zip(cuts, cuts[1:]) if a < b]
+
+
+def in_slots(block: Column, ranges: list[tuple[int, int]]) -> Column:
+    return reduce(lambda a, b: a | b, [block.between(lo, hi) for lo, hi in ranges], F.lit(False))
+
+
 def hybrid_search(chunks: DataFrame, q: Query, index: DataFrame | None = None, stats: DataFrame | None = None, vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None) -> DataFrame:
     """chunk_id, episode_id, text, score, source, provenance, ts_capture, place: the answer to one query, by search_many.
 
@@ -235,14 +275,14 @@ def hybrid_search(chunks: DataFrame, q: Query, index: DataFrame | None = None, s
     return found.join(meta, ["shard", "chunk_id"]).select("chunk_id", "episode_id", "text", "score", "source", "provenance", "ts_capture", "place")
 
 
-def search_one(spark: SparkSession, q: Query, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None, pruned: bool = True) -> DataFrame:
+def search_one(spark: SparkSession, q: Query, catalog: DataFrame, index: DataFrame, stats: DataFrame, shards: list[str], vectors: DataFrame | None = None, query_vector: tuple[list[int], float, str] | None = None, pruned: bool = True, counts: DataFrame | None = None) -> DataFrame:
     """search_many for one query whose terms and vector are literals."""
     terms = folded_terms(query_term_list(q.text))
     near = None
     if vectors is not None and query_vector is not None:
         near = knn(vectors, *query_vector).select(F.lit(0).alias("probe"), "shard", "chunk_id", "similarity")
     hits = index.where(F.col("term").isin(terms)) if terms else index.limit(0)
-    return search_many(query_rows(spark, [q]), catalog, hits, stats, shards, near, pruned).drop("probe")
+    return search_many(query_rows(spark, [q]), catalog, hits, stats, shards, near, pruned, counts).drop("probe")
 
 
 def known_source(source: Column) -> Column:

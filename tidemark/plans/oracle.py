@@ -271,6 +271,7 @@ def oracle_sql() -> dict[str, str]:
           p AS (SELECT doc_id, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM w), f AS (SELECT doc_id, term, min(i) AS i FROM p GROUP BY ALL)
           SELECT doc_id, term, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS nth FROM f QUALIFY nth < {MAX_TERMS}""",
         "bm25_topk": f"WITH {_index()} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score, chunk_id LIMIT 50",
+        "bm25_topk_blocks": f"WITH {_index()} SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score, chunk_id LIMIT 10",
         "recency_topk": f"WITH {CHUNKS_SQL} SELECT shard, chunk_id, row_number() OVER (PARTITION BY shard ORDER BY ts_capture DESC, chunk_id) AS rank FROM chunks QUALIFY rank <= 50",
         "filter_time_app_entity": f"WITH {CHUNKS_SQL} SELECT chunk_id, ts_capture FROM chunks WHERE ts_capture BETWEEN {LO} AND {HI} AND (app_name = 'src0' OR bundle_id = 'src0') AND list_contains(entity_keys, 'en')",
         "rrf_fuse": f"WITH {_index()}, {_search(LO, HI, 8)} SELECT shard, chunk_id, round(score, 9) AS score FROM fused",

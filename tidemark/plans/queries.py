@@ -290,6 +290,16 @@ def _document_store(spark, d):
     return store
 
 
+def bm25_topk_blocks(spark, d):
+    """The ten best chunks of a store for a query's terms, by the blocks of postings that can hold them."""
+    store = _document_store(spark, d)
+    names, q = store.shards(), retrieve.Query(SEARCH)
+    index, counts = store.keyword_postings(q, names, pool=10)
+    terms = spark.createDataFrame([(0, s, i, t) for s in names for i, t in enumerate(text.folded_terms(text.query_term_list(SEARCH)))], "probe int, shard string, nth int, term string")
+    scores = retrieve.bm25_many(index, store.statistics(names), terms, counts)
+    return scores.orderBy("score", "chunk_id").limit(10).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.round("score", 6).alias("score"))
+
+
 def _answers(found, *more):
     return found.select(*more, F.col("chunk_id").cast("long").alias("chunk_id"), F.col("episode_id").cast("long").alias("episode_id"), F.round("score", 9).alias("score"), F.col("place").cast("long").alias("place"), "provenance")
 
@@ -534,7 +544,7 @@ def engine_fold(spark, d):
 ALL = [
     normalize_hash, title_normalize, shard_id, shard_range, shards_intersecting, droppable_shards, external_key, exclusion_mode, capability_strategy, ocr_fallback, layered_choice, ocr_budget,
     redact_tokens, redact_cards, luhn, sentence_split, token_estimate, chunk_pack, event_time, exact_dedup, hourly_volume, volume_stats, minhash_signature, lsh_candidates, near_dup, dup_index, hash_embedding,
-    quantize_int8, knn_topk, knn_lists, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search, search_table,
+    quantize_int8, knn_topk, knn_lists, unembedded_anti, vector_upsert_latest, query_terms, bm25_topk, bm25_topk_blocks, recency_topk, filter_time_app_entity, rrf_fuse, diversify, hybrid_search, cross_shard_search, recent_activity, recall_at_3, store_search, search_table,
     sessions_idle, sessions_idle_global, context_episodes, consecutive_dedup, sweep_dedup, capture_stats, ambient_sweep, sweep_stats, sweep_log, ambient_choice, chunk_stage, sweep_plan, sweep_unfocused, ocr_assemble, ledger_since, draft_insert_idempotent, draft_transition, drafts_by_status, pending_drafts,
     url_denylist, extract_validate, compose_page, format_results, provenance_join, throttle, gap_admission, tree_text, timed_capture, engine_fold,
 ]

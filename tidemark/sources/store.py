@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.dates import shard_bounds, shard_of
-from tidemark.operators.retrieve import Query, chunk_lengths, inverted_index, known_source, search_many, search_one, shards_for, with_provenance
+from tidemark.functions.text import folded_terms, query_term_list
+from tidemark.operators.retrieve import Query, best_blocks, block_bounds, block_maxima, block_of, bm25_many, chunk_lengths, hard_filter, in_slots, inverted_index, known_source, search_many, search_one, shards_for, slot_ranges, with_provenance
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -115,7 +116,7 @@ class Store(Files):
     def append(self, table: str, df: DataFrame) -> None:
         """Rows added to a table; columns it lacks are null."""
         if table in schemas.SHARDED:
-            self._dealt(table, df).write.mode("append").partitionBy("shard").parquet(self.path(table))
+            self._dealt(table, df).write.mode("append").options(**schemas.WRITTEN.get(table, {})).partitionBy("shard").parquet(self.path(table))
         else:
             self._fitted(table, df).write.mode("append").parquet(self.path(table))
 
@@ -131,8 +132,13 @@ class Store(Files):
         e = reliable(episodes.withColumn("shard", shard_of(F.col("ts_start"))))
         of = e.select(F.col("id").alias("episode_id"), "shard")
         c = chunks.join(of, "episode_id")
-        kept = c.select("shard", F.col("id").alias("chunk_id"), "text")
-        self._commit(name, {"events": events.join(of, "episode_id"), "chunks": c, "postings": inverted_index(kept), "lengths": chunk_lengths(kept), "episodes": e})
+        self._commit(name, {"events": events.join(of, "episode_id"), "chunks": c, **self._index(c), "episodes": e})
+
+    def _index(self, chunks: DataFrame) -> dict:
+        """Postings, the maxima of their blocks (from the postings as they are written aside) and lengths."""
+        ts = F.col("ts_capture") if "ts_capture" in chunks.columns else F.lit(None)
+        kept = chunks.select("shard", F.col("id").alias("chunk_id"), "text", block_of(ts).alias("block"))
+        return {"postings": inverted_index(kept, "block"), "maxima": lambda aside: block_maxima(self._read_at(schemas.struct("postings"), f"{aside}/postings")), "lengths": chunk_lengths(kept)}
 
     def _known(self, name: str) -> bool:
         """Whether a transaction of this name is done; one that is ready is finished first."""
@@ -140,12 +146,16 @@ class Store(Files):
             self._publish(name)
         return self.exists(f"{self.root}/_done/{name}")
 
-    def _commit(self, name: str, tables: dict[str, DataFrame], instead_of: list[str] = ()) -> None:
-        """Writes the tables aside, marks them as ready, and publishes them in place of the files `instead_of` (paths below the root)."""
+    def _commit(self, name: str, tables: dict, instead_of: list[str] = ()) -> None:
+        """Writes the tables aside, marks them as ready, and publishes them in place of the files `instead_of` (paths below the root).
+
+        A table is a DataFrame, or makes one of what is written aside before it.
+        """
         aside = f"{self.root}/_pending/{name}"
         self.delete(aside)
         for table, df in tables.items():
-            self._dealt(table, df).write.mode("overwrite").partitionBy("shard").parquet(f"{aside}/{table}")
+            rows = df(aside) if callable(df) else df
+            self._dealt(table, rows).write.mode("overwrite").options(**schemas.WRITTEN.get(table, {})).partitionBy("shard").parquet(f"{aside}/{table}")
         if instead_of:
             self.spark.createDataFrame([(x,) for x in instead_of], "path string").coalesce(1).write.text(f"{aside}/_instead_of")
         self.touch(f"{aside}/_READY")
@@ -199,38 +209,66 @@ class Store(Files):
             raise ValueError(f"the store has schema version {self.version()}, this is {schemas.SCHEMA_VERSION}")
         steps = [v for v in sorted(schemas.VERSIONS) if v > self.version()]
         for v in steps:
-            if "postings" in schemas.VERSIONS[v] and self.exists(self.path("chunks")) and not self.exists(self.path("postings")):
+            if any(t in ("postings", "maxima") and not self.exists(self.path(t)) for t in schemas.VERSIONS[v]) and self.exists(self.path("chunks")):
                 self.reindex()
             self.touch(f"{self.root}/_schema/version={v}")
         return steps
 
     def reindex(self) -> None:
-        """Writes postings and lengths anew from the chunks."""
-        kept = self.read("chunks").select("shard", F.col("id").alias("chunk_id"), "text")
-        old = [f"{t}/{s}/{x}" for t in ("postings", "lengths") for s in self.children(self.path(t)) for x in self.children(f"{self.path(t)}/{s}")]
-        self._commit(f"reindex-{uuid.uuid4().hex}", {"postings": inverted_index(kept), "lengths": chunk_lengths(kept)}, old)
+        """Writes postings, maxima and lengths anew from the chunks."""
+        old = [f"{t}/{s}/{x}" for t in ("postings", "maxima", "lengths") for s in self.children(self.path(t)) for x in self.children(f"{self.path(t)}/{s}")]
+        self._commit(f"reindex-{uuid.uuid4().hex}", self._index(self.read("chunks").select("shard", "id", "text", "ts_capture")), old)
 
-    def catalog(self, shards: list[str]) -> DataFrame:
-        """What search_many ranks, without text: the chunks of these shards that have their event, with their episode's application and keys."""
+    def catalog(self, shards: list[str], slots: list[tuple[int, int]] | None = None) -> DataFrame:
+        """What search_many ranks, without text: the chunks of these shards (and slots) that have their event, with their episode's application and keys."""
         part = lambda table: self.read(table).where(F.col("shard").isin(shards))
         of = part("episodes").select("shard", F.col("id").alias("episode_id"), "app_name", "bundle_id", "entity_keys")
         chunks = part("chunks").select("shard", F.col("id").alias("chunk_id"), "episode_id", "event_id", "ts_capture")
+        chunks = chunks if slots is None else chunks.where(in_slots(block_of(F.col("ts_capture")), slots))
         return chunks.join(part("events").select("shard", F.col("id").alias("event_id")), ["shard", "event_id"], "left_semi").join(of, ["shard", "episode_id"])
 
     def statistics(self, shards: list[str]) -> DataFrame:
         return self.read("lengths").where(F.col("shard").isin(shards)).groupBy("shard").agg(F.count("*").alias("n_chunks"), F.avg("len").alias("avg_len"))
 
+    def keyword_postings(self, q: Query, shards: list[str], pool: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """The postings that can reach the first `pool` rows of a shard's keyword list (q's own pool, if not given), and shard, term, n of q's terms.
+
+        A block's bound adds up what its terms can give at most. The blocks of
+        the greatest bounds are scored first; where they hold `pool` chunks that
+        obey q's filters, the last of these says what a block must promise to
+        be read at all. Blocks outside the range go in any case. Numbers of
+        blocks leave the cluster, of which a year has some 35,000.
+        """
+        terms, pool = folded_terms(query_term_list(q.text)), pool or q.pool
+        if not terms:
+            return self.read("postings").limit(0), self.read("maxima").select("shard", "term", "n").limit(0)
+        part = lambda table: self.read(table).where(F.col("shard").isin(shards) & F.col("term").isin(terms))
+        counts, stats = part("maxima").groupBy("shard", "term").agg(F.sum("n").alias("n")), self.statistics(shards)
+        inside = F.lit(True) if q.time_range is None else F.col("block").between(*[block_of(F.lit(t)) for t in q.time_range])
+        merged = part("maxima").where(inside).groupBy("shard", "term", "block").agg(F.sum("n").alias("n"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"))
+        bounds, postings = block_bounds(merged, counts, stats), part("postings").where(inside)
+        numbers = lambda df: slot_ranges([r[0] for r in df.select("block").distinct().toLocalIterator()])
+        first = numbers(best_blocks(bounds, 2 * pool))
+        wanted = self.spark.createDataFrame([(0, s, i, t) for s in shards for i, t in enumerate(terms)], "probe int, shard string, nth int, term string")
+        scores = bm25_many(postings.where(in_slots(F.col("block"), first)), stats, wanted, counts)
+        able = self.catalog(shards, first).where(hard_filter(q)).select("shard", "chunk_id")
+        nth = F.row_number().over(W.partitionBy("shard").orderBy("score", "chunk_id"))
+        least = scores.join(able, ["shard", "chunk_id"]).withColumn("nth", nth).where(F.col("nth") == pool).select("shard", (-F.col("score")).alias("least"))
+        kept = bounds.join(least, "shard", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least")))
+        return postings.where(in_slots(F.col("block"), numbers(kept))), counts
+
     def search(self, q: Query, query_vector: tuple[list[int], float, str] | None = None) -> DataFrame:
         """chunk_id, episode_id, text, score, source, provenance, ts_capture, place: the answer to q.
 
-        Only the shards that the range meets are read, and their postings and
-        vectors as they are stored. A chunk without its event isn't found; text
+        Only the shards that the range meets are read, of their postings the
+        blocks that can matter, their vectors as they are stored. A chunk without its event isn't found; text
         and provenance are fetched for the answer's rows alone.
         """
         names = shards_for(self.shards(), q.time_range)
         part = lambda table: self.read(table).where(F.col("shard").isin(names))
         vectors = part("vectors") if query_vector is not None else None
-        found = search_one(self.spark, q, self.catalog(names), part("postings"), self.statistics(names), names, vectors, query_vector)
+        postings, counts = self.keyword_postings(q, names)
+        found = search_one(self.spark, q, self.catalog(names), postings, self.statistics(names), names, vectors, query_vector, counts=counts)
         return self.answered(found, names)
 
     def search_table(self, queries: DataFrame) -> DataFrame:
@@ -251,7 +289,7 @@ class Store(Files):
 
     def _dealt(self, table: str, df: DataFrame) -> DataFrame:
         """Rows of a shard in as few files as their size asks for, a hot shard in several, sorted by what readers look for."""
-        return self._fitted(table, df).hint("rebalance", F.col("shard")).sortWithinPartitions("shard", schemas.SORTED[table])
+        return self._fitted(table, df).hint("rebalance", F.col("shard")).sortWithinPartitions("shard", *schemas.SORTED[table])
 
     def shards(self, table: str = "episodes") -> list[str]:
         """Ids of the existing shards, sorted; one short string a week leaves the cluster."""
