@@ -345,3 +345,9 @@ def test_ranges_of_slots():
     assert retrieve.slot_ranges([]) == [] and retrieve.slot_ranges([5, 3, 4, 9, 3]) == [(3, 5), (9, 9)]
     assert retrieve.slot_ranges([1, 3, 10, 12, 30], most=2) == [(1, 12), (30, 30)]
     assert len(retrieve.slot_ranges(list(range(0, 1000, 2)), most=8)) == 8
+
+
+def test_a_chunk_counts_its_own_terms(spark):
+    rows = [("2026-W02", "C1", "Budget budget, review; the BUDGET"), ("2026-W02", "C2", ""), ("2026-W02", "C3", None), ("2026-W03", "C4", "x"), ("2026-W03", "C5", "!!")]
+    got = {tuple(r) for r in retrieve.inverted_index(spark.createDataFrame(rows, "shard string, chunk_id string, text string")).select("shard", "chunk_id", "term", "tf", "len").collect()}
+    assert got == {("2026-W02", "C1", "budget", 3, 5), ("2026-W02", "C1", "review", 1, 5), ("2026-W02", "C1", "the", 1, 5), ("2026-W03", "C4", "x", 1, 1)}

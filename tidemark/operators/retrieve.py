@@ -58,9 +58,13 @@ def hard_filter(q: Query) -> Column:
 
 def inverted_index(chunks: DataFrame, *more: str) -> DataFrame:
     """shard, term, chunk_id, tf, len (and more columns of the chunk) of every term of every chunk: written once, read by each query."""
-    words = chunks.select("shard", "chunk_id", *more, index_terms(F.col("text")).alias("terms"))
-    words = words.select("shard", "chunk_id", *more, F.size("terms").alias("len"), F.explode("terms").alias("term"))
-    return words.groupBy("shard", "term", "chunk_id", "len", *more).agg(F.count("*").alias("tf"))
+    # Equal terms stand together once sorted: a chunk counts its own, and nothing is shuffled.
+    words = chunks.select("shard", "chunk_id", *more, F.sort_array(index_terms(F.col("text"))).alias("terms")).withColumn("len", F.size("terms"))
+    first = F.filter(F.sequence(F.lit(0), F.col("len") - 1), lambda i: (i == 0) | (F.get("terms", i) != F.get("terms", i - 1)))
+    words = words.withColumn("first", F.when(F.col("len") > 0, first))
+    run = F.transform("first", lambda at, i: F.struct(F.get("terms", at).alias("term"), (F.coalesce(F.get("first", i + 1), F.col("len")) - at).cast("long").alias("tf")))
+    # An outer explode, since Spark would compute the terms of a plain one twice, to leave out empty arrays early.
+    return words.select("shard", "chunk_id", "len", *more, F.explode_outer(run).alias("run")).where("run IS NOT NULL").select("shard", "run.term", "chunk_id", "len", *more, "run.tf")
 
 
 def block_of(ts: Column) -> Column:

@@ -132,13 +132,13 @@ class Store(Files):
         e = reliable(episodes.withColumn("shard", shard_of(F.col("ts_start"))))
         of = e.select(F.col("id").alias("episode_id"), "shard")
         c = chunks.join(of, "episode_id")
-        self._commit(name, {"events": events.join(of, "episode_id"), "chunks": c, **self._index(c), "episodes": e})
+        self._commit(name, {"events": events.join(of, "episode_id"), "chunks": c, **self._index(lambda aside: self._read_at(schemas.struct("chunks"), f"{aside}/chunks")), "episodes": e})
 
-    def _index(self, chunks: DataFrame) -> dict:
-        """Postings, the maxima of their blocks (from the postings as they are written aside) and lengths."""
-        ts = F.col("ts_capture") if "ts_capture" in chunks.columns else F.lit(None)
-        kept = chunks.select("shard", F.col("id").alias("chunk_id"), "text", block_of(ts).alias("block"))
-        return {"postings": inverted_index(kept, "block"), "maxima": lambda aside: block_maxima(self._read_at(schemas.struct("postings"), f"{aside}/postings")), "lengths": chunk_lengths(kept)}
+    def _index(self, chunks) -> dict:
+        """Postings, the maxima of their blocks and lengths, each from what is written aside before it: texts are joined and dealt once."""
+        kept = lambda aside: chunks(aside).select("shard", F.col("id").alias("chunk_id"), "text", block_of(F.col("ts_capture")).alias("block"))
+        held = lambda aside: self._read_at(schemas.struct("postings"), f"{aside}/postings")
+        return {"postings": lambda aside: inverted_index(kept(aside), "block"), "maxima": lambda aside: block_maxima(held(aside)), "lengths": lambda aside: chunk_lengths(kept(aside))}
 
     def _known(self, name: str) -> bool:
         """Whether a transaction of this name is done; one that is ready is finished first."""
@@ -217,7 +217,7 @@ class Store(Files):
     def reindex(self) -> None:
         """Writes postings, maxima and lengths anew from the chunks."""
         old = [f"{t}/{s}/{x}" for t in ("postings", "maxima", "lengths") for s in self.children(self.path(t)) for x in self.children(f"{self.path(t)}/{s}")]
-        self._commit(f"reindex-{uuid.uuid4().hex}", self._index(self.read("chunks").select("shard", "id", "text", "ts_capture")), old)
+        self._commit(f"reindex-{uuid.uuid4().hex}", self._index(lambda _: self.read("chunks")), old)
 
     def catalog(self, shards: list[str], slots: list[tuple[int, int]] | None = None) -> DataFrame:
         """What search_many ranks, without text: the chunks of these shards (and slots) that have their event, with their episode's application and keys."""
