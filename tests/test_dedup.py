@@ -106,3 +106,39 @@ def test_the_sink_stores_a_repeated_chunk_once_over_batches(spark, tmp_path):
         sink(captured(spark, rows), i)
     sink(captured(spark, batches[-1]), 3)  # a retried batch
     assert store.count("events") == 4 and sorted(r.episode_id for r in store.read("chunks").collect()) == ["u-1", "u-4"]
+
+
+def greedy(signatures, threshold=neardup.THRESHOLD, rows=neardup.PERMUTATIONS // neardup.BANDS):
+    """Row by row: the links of retained rows to those that collapse, by every pair that shares a band."""
+    kept, links = [], []
+    share = lambda a, b: any(a[i : i + rows] == b[i : i + rows] for i in range(0, len(a), rows))
+    for i, s in enumerate(signatures):
+        near = [(k, i, sum(x == y for x, y in zip(signatures[k], s, strict=True)) / len(s)) for k in kept if share(signatures[k], s)]
+        near = [x for x in near if x[2] >= threshold]
+        links += near
+        if not near:
+            kept.append(i)
+    return kept, sorted(links)
+
+
+def test_a_large_bucket_takes_few_jobs_and_gives_the_links_of_row_by_row(spark, monkeypatch):
+    """Rows that share a band but aren't alike once cost a round each, and a pair of signatures for each two of them."""
+    r = random.Random(8)
+    head, rows = [r.randrange(1 << 32) for _ in range(8)], []
+    for i in range(90):
+        base = head + [r.randrange(1 << 32) for _ in range(120)] if i % 3 == 0 else list(rows[-1])
+        for _ in range(i % 3 * 6):
+            base[8 + r.randrange(120)] = r.randrange(1 << 32)
+        rows.append(base)
+    jobs, cut = [], neardup._cut
+    monkeypatch.setattr(neardup, "_cut", lambda df: jobs.append(1) or cut(df))
+    want = greedy(rows)
+    assert 30 <= len(want[0]) < 60 and len(want[1]) > 20
+    given = spark.createDataFrame(list(enumerate(rows)), "seq long, signature array<bigint>")
+    retained, links = neardup.retained_first(given)
+    assert (sorted(x.seq for x in retained.collect()), sorted(map(tuple, links.collect()))) == want
+    assert len(jobs) < 20
+    # blocks smaller than the bucket change nothing
+    every = given.selectExpr("seq", "0L AS key")
+    whole = sorted(map(tuple, neardup.bucket_links(every, every, given, 0.85).collect()))
+    assert sorted(map(tuple, neardup.bucket_links(every, every, given, 0.85, block=7).collect())) == whole and len(whole) >= len(want[1])

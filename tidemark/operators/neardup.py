@@ -6,9 +6,11 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions.text import normalize
 
@@ -16,6 +18,8 @@ from tidemark.functions.text import normalize
 PRIME, SEED, PERMUTATIONS, SHINGLE, BANDS, THRESHOLD = 4294967291, 0x5C701B6A2F9E4D13, 128, 3, 16, 0.85
 FNV32_OFFSET, FNV32_PRIME = 2166136261, 16777619
 EMPTY = 4294967295
+#: Rows of a block of a bucket, and rows that a task compares at a time (a group of two blocks is held whole).
+BLOCK, MOST_ROWS = 2048, 8192
 
 
 @functools.lru_cache(maxsize=8)
@@ -104,13 +108,6 @@ def minhash(text: pd.Series) -> pd.Series:
     return pd.Series(out + list(signatures_of(some)), dtype=object)
 
 
-def estimated_jaccard(a: Column, b: Column) -> Column:
-    """Share of equal places of two signatures."""
-    n = F.least(F.size(a), F.size(b))
-    same = F.size(F.filter(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), lambda x: x))
-    return F.when(n > 0, same / n).otherwise(F.lit(0.0))
-
-
 def band_rows(df: DataFrame, bands: int = BANDS) -> DataFrame:
     """df plus band and key, a row for each band of `signature`; rows of different `scope`, if df has one, share no key."""
     rows, scope = PERMUTATIONS // bands, [F.col("scope")] if "scope" in df.columns else []
@@ -118,39 +115,95 @@ def band_rows(df: DataFrame, bands: int = BANDS) -> DataFrame:
     return df.withColumn("k", F.explode(keys)).select(*df.columns, "k.band", "k.key")
 
 
-def links_of(pairs: DataFrame, earlier: DataFrame, later: DataFrame, threshold: float) -> DataFrame:
-    """earlier, later, jaccard of those pairs (earlier, later) that are similar enough, by the signatures (seq, signature) of either side."""
-    a, b = (df.select(F.col("seq").alias(n), F.col("signature").alias(f"of_{n}")) for df, n in ((earlier, "earlier"), (later, "later")))
-    both = pairs.select("earlier", "later").distinct().join(a, "earlier").join(b, "later")
-    return both.select("earlier", "later", estimated_jaccard(F.col("of_earlier"), F.col("of_later")).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def links_from(heads: DataFrame, members: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
+def bucket_links(heads: DataFrame, members: DataFrame, signatures: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """earlier, later, jaccard of the heads with the later members that share a band and are similar enough.
 
-    heads and members: seq, key. A bucket gives heads times members, not all its pairs.
+    heads and members: seq, key. A bucket's signatures are gathered once and
+    compared where they lie, so that only links are shuffled. A bucket of more
+    than `block` rows is dealt into blocks, a group for every two of them.
     """
-    pairs = heads.select(F.col("seq").alias("earlier"), "key").join(members.select(F.col("seq").alias("later"), "key"), "key").where("earlier < later")
-    return links_of(pairs, signatures, signatures, threshold)
+    both = heads.select("seq", "key", F.lit(1).alias("role")).unionByName(members.select("seq", "key", F.lit(2).alias("role")))
+    both = both.groupBy("key", "seq").agg(F.bit_or("role").alias("role"))
+    sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.bit_or("role").alias("roles")).where("n > 1 AND roles = 3").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    dealt = both.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("seq"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("seq", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "role")
+    # The values are below 2**32: half the bytes tell them apart.
+    short = signatures.select("seq", F.transform("signature", lambda x: (x - (1 << 31)).cast("int")).alias("signature"))
+    seq = signatures.schema["seq"].dataType
+    schema = pa.schema([("earlier", to_arrow_type(seq)), ("later", to_arrow_type(seq)), ("jaccard", pa.float64())])
+
+    def run(batches):
+        held: pa.Table | None = None
+        for b in batches:
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            if held.num_rows >= MOST_ROWS:
+                cut = int(group_starts(held)[-1])  # the last group may go on
+                if cut:
+                    yield from linked(held.slice(0, cut), threshold, schema)
+                    held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield from linked(held, threshold, schema)
+
+    there = dealt.join(short, "seq").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "seq")
+    found = there.mapInArrow(run, T.StructType([T.StructField("earlier", seq), T.StructField("later", seq), T.StructField("jaccard", T.DoubleType())]))
+    return found.groupBy("earlier", "later").agg(F.first("jaccard").alias("jaccard"))  # of every band that they share
+
+
+def group_starts(rows: pa.Table) -> np.ndarray:
+    """Where groups of equal key, lo and hi begin."""
+    key, lo, hi = (rows.column(c).to_numpy() for c in ("key", "lo", "hi"))
+    return np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+
+
+def linked(rows: pa.Table, threshold: float, schema: pa.Schema, most: int = 1 << 15):
+    """The links within groups of rows in order of key, lo, hi and seq, `most` pairs at a time."""
+    starts, seq = group_starts(rows), rows.column("seq").combine_chunks()
+    ends = np.repeat(np.append(starts[1:], rows.num_rows), np.diff(np.append(starts, rows.num_rows)))
+    role, block, lo, hi = (rows.column(c).to_numpy() for c in ("role", "block", "lo", "hi"))
+    signature = rows.column("signature").combine_chunks().flatten().to_numpy().reshape(rows.num_rows, -1)
+    later = np.where(role & 1, ends - np.arange(rows.num_rows) - 1, 0)  # rows after a head in its group
+    total = np.concatenate([[0], np.cumsum(later)])
+    for at in range(0, int(total[-1]), most):
+        pair = np.arange(at, min(at + most, int(total[-1])))
+        a = np.searchsorted(total, pair, "right") - 1
+        b = a + 1 + pair - total[a]
+        # In a group of two blocks, those of one block are compared elsewhere.
+        fit = (role[b] & 2 > 0) & ((lo[a] == hi[a]) | (block[a] != block[b]))
+        a, b = a[fit], b[fit]
+        share = (signature[a] == signature[b]).sum(axis=1) / signature.shape[1]
+        near = np.flatnonzero(share >= threshold)
+        if len(near):
+            yield pa.RecordBatch.from_arrays([seq.take(pa.array(a[near])), seq.take(pa.array(b[near])), pa.array(share[near])], schema=schema)
 
 
 def retained_of(keyed: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
     """seq of the rows that stay, of (seq, key) and (seq, signature), in order of seq.
 
-    A row that comes first in all its buckets, among those undecided, has no
-    earlier undecided neighbour: it is retained, and later neighbours of it
-    are collapsed. Each round decides the first undecided row at least.
+    A row that comes first in all its buckets is retained, and later neighbours
+    of it are collapsed: that takes large groups of near copies away. The links
+    of all others are found at once. Whoever has no earlier undecided neighbour
+    is retained, whoever has a retained one is collapsed, round by round: there
+    are as many rounds as links in a chain, whatever the size of the buckets.
     """
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    undecided = _cut(keyed.join(shared, "key", "left_semi").select("seq", "key"))
-    retained = [keyed.select("seq").distinct().join(undecided.select("seq").distinct(), "seq", "left_anti")]  # in no bucket with another
-    while undecided.limit(1).count():
-        least = undecided.groupBy("key").agg(F.min("seq").alias("least"))
-        ahead = undecided.join(least, "key").groupBy("seq").agg(F.min(F.col("seq") == F.col("least")).alias("free")).where("free").select("seq")
-        ahead = _cut(ahead)
-        retained.append(ahead)
-        near = links_from(undecided.join(ahead, "seq"), undecided, signatures, threshold).select(F.col("later").alias("seq"))
-        undecided = _cut(undecided.join(ahead.union(near).distinct(), "seq", "left_anti"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("seq").alias("least")).where("n > 1").select("key", "least")
+    undecided = _cut(keyed.join(shared, "key").select("seq", "key", (F.col("seq") == F.col("least")).alias("leads")))
+    apart = keyed.select("seq").distinct().join(undecided.select("seq").distinct(), "seq", "left_anti")  # in no bucket with another
+    ahead = _cut(undecided.groupBy("seq").agg(F.min("leads").alias("free")).where("free").select("seq"))
+    near = bucket_links(undecided.join(ahead, "seq"), undecided, signatures, threshold).select(F.col("later").alias("seq"))
+    undecided = _cut(undecided.join(ahead.union(near).distinct(), "seq", "left_anti").select("seq", "key"))
+    links = _cut(bucket_links(undecided, undecided, signatures, threshold).select("earlier", "later"))
+    collapsed = links.select(F.col("later").alias("seq")).distinct()
+    retained = [apart, ahead, undecided.select("seq").distinct().join(collapsed, "seq", "left_anti")]
+    while links.limit(1).count():
+        free = links.select(F.col("earlier").alias("seq")).distinct().join(links.select(F.col("later").alias("seq")), "seq", "left_anti")
+        gone = _cut(links.join(free.withColumnRenamed("seq", "earlier"), "earlier").select(F.col("later").alias("seq")).distinct())
+        left = lambda df, side: df.join(gone.withColumnRenamed("seq", side), side, "left_anti")  # noqa: B023, E731
+        # Rows that only collapsed ones come before are free from now on.
+        rest = left(left(links, "earlier"), "later")
+        loose = left(links, "later").join(rest.select("later"), "later", "left_anti").select(F.col("later").alias("seq")).distinct()
+        retained.append(_cut(loose))
+        links = _cut(rest)
     return _cut(functools.reduce(DataFrame.union, retained))
 
 
@@ -159,7 +212,7 @@ def retained_first(signatures: DataFrame, threshold: float = THRESHOLD, bands: i
     keyed = _cut(band_rows(signatures, bands).select("seq", "key"))
     retained = retained_of(keyed, signatures, threshold)
     heads, rest = keyed.join(retained, "seq"), keyed.join(retained, "seq", "left_anti")
-    return retained, links_from(heads, rest, signatures, threshold)
+    return retained, bucket_links(heads, rest, signatures, threshold)
 
 
 def judged(df: DataFrame, stored: DataFrame | None = None, stored_bands: DataFrame | None = None, threshold: float = THRESHOLD, bands: int = BANDS) -> tuple[DataFrame, DataFrame]:
@@ -186,11 +239,12 @@ def judged(df: DataFrame, stored: DataFrame | None = None, stored_bands: DataFra
     keyed = _cut(band_rows(signatures.select("seq", *scope, "signature"), bands).select("seq", "key"))
     free, old = keyed, None
     if stored is not None:
-        pairs = stored_bands.select(F.col("seq").alias("earlier"), "key").join(keyed.select(F.col("seq").alias("later"), "key"), "key")
-        old = _cut(links_of(pairs, stored, signatures, threshold))
+        met = stored_bands.join(keyed.select("key").distinct(), "key", "left_semi")
+        known_signatures = stored.select("seq", "signature").unionByName(signatures.select("seq", "signature"))
+        old = _cut(bucket_links(met, keyed, known_signatures, threshold))
         free = keyed.join(old.select(F.col("later").alias("seq")).distinct(), "seq", "left_anti")
     retained = retained_of(free, signatures, threshold)
-    links = links_from(keyed.join(retained, "seq"), keyed.join(retained, "seq", "left_anti"), signatures, threshold)
+    links = bucket_links(keyed.join(retained, "seq"), keyed.join(retained, "seq", "left_anti"), signatures, threshold)
     links = links if old is None else links.unionByName(old)
     best = links.groupBy(F.col("later").alias("of")).agg(F.min(F.struct((-F.col("jaccard")).alias("far"), "earlier")).alias("b"))
     best = best.select("of", F.col("b.earlier").alias("kept_as"), (-F.col("b.far")).alias("jaccard"))
