@@ -203,7 +203,8 @@ def admitted_gap(df: DataFrame, by: str, ts: str, gap: float) -> DataFrame:
     ends = nodes.groupBy("k", "s").agg(F.min("at").alias("head"), F.max("at").alias("last"))
     # What follows: the first row at or after at + step in its slice, else the head of the next.
     seek = nodes.select("k", (F.col("s") + 1).alias("s"), (F.col("at") + step).alias("at"), F.col("at").alias("source")).unionByName(nodes.select("k", "s", "at"), True)
-    ahead = F.min(F.when(F.col("source").isNull(), F.col("at"))).over(W.partitionBy("k", "s").orderBy("at").rangeBetween(0, W.unboundedFollowing))
+    # Latest first, so that the frame grows from row to row: one that shrinks is gone through anew for each.
+    ahead = F.min(F.when(F.col("source").isNull(), F.col("at"))).over(W.partitionBy("k", "s").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, 0))
     hops = seek.withColumn("next", ahead).where("source IS NOT NULL").join(ends.select("k", (F.col("s") - 1).alias("s"), "head"), ["k", "s"], "left")
     hops = reliable(hops.select("k", F.col("source").alias("at"), F.coalesce("next", "head").alias("next")).where("next IS NOT NULL"))
     # Rows that nothing within the gap comes before.
