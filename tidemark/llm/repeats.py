@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import prefix, stretches
 from tidemark.llm.common import bounded_batches, mixed, scratch, slabs, utf8_column
+from tidemark.llm.sketch import membership
 
 NONE = -(1 << 63)
 SLAB = 1 << 18
@@ -109,6 +110,8 @@ def pieces(ends: np.ndarray, most: int, length: int):
 
 RUN = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("size", pa.int32()), ("reps", pa.int32())])
 RUN_SQL = "h long, d long, key long, dig long, first long, n int, off int, size int, reps int"
+SEGMENT = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("segment", pa.binary())])
+SEGMENT_SQL = "h long, d long, off int, n int, key long, dig long, first long, segment binary"
 
 
 class Units:
@@ -128,8 +131,11 @@ def identified(docs: DataFrame) -> DataFrame:
     return docs.withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE))).withColumn("dig", F.xxhash64(text)).withColumn("text", text)
 
 
-def run_table(docs: DataFrame, units: Units, length: int, k: int, wanted: Callable | None = None, floor: int | None = None) -> DataFrame:
-    """The runs of identified documents; wanted(h) says which anchor hashes to keep."""
+def run_table(docs: DataFrame, units: Units, length: int, k: int, wanted: Callable | None = None, floor: int | None = None, asked: Callable | None = None) -> DataFrame:
+    """The runs of identified documents; wanted(h) says which anchor hashes to keep.
+
+    asked(h, d, key, dig, first) says of which runs the segments are wanted instead, with their units, as `fetch` gives them.
+    """
     floor = floor or length
 
     def run(batches):
@@ -158,9 +164,14 @@ def run_table(docs: DataFrame, units: Units, length: int, k: int, wanted: Callab
                     s = np.flatnonzero(new)
                     within, rows = begin - bounds[rows], rows + lo_doc
                     ints = lambda x: pa.array(x[s].astype(np.int32))  # noqa: B023, E731
+                    if asked is not None:
+                        s = s[asked(h[s].view(np.int64), d[s], key[rows[s]], dig[rows[s]], within[s])]
+                        cut = pa.array([bytes(whole[f * w : t * w]) for f, t in zip(begin[s].tolist(), end[s].tolist(), strict=True)], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(d[s]), ints(a - first), ints(n), pa.array(key[rows[s]]), pa.array(dig[rows[s]]), pa.array(within[s]), cut], schema=SEGMENT)
+                        continue
                     yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(d[s]), pa.array(key[rows[s]]), pa.array(dig[rows[s]]), pa.array(within[s]), ints(n), ints(a - first), ints(end - begin), pa.array(np.diff(np.append(s, len(h))).astype(np.int32))], schema=RUN)
 
-    return docs.select("key", "dig", "text").mapInArrow(run, RUN_SQL)
+    return docs.select("key", "dig", "text").mapInArrow(run, RUN_SQL if asked is None else SEGMENT_SQL)
 
 
 def longest_previous(place: np.ndarray, lcp: np.ndarray, floor: int) -> np.ndarray:
@@ -269,23 +280,36 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def repeated_ranges(docs: DataFrame, units: Units, length: int, k: int, first_stays: bool, wanted: Callable | None = None, most: int = MOST, floor: int | None = None) -> DataFrame:
+def repeated_ranges(docs: DataFrame, units: Units, length: int, k: int, first_stays: bool, wanted: Callable | None = None, most: int = MOST, floor: int | None = None, sifted: bool = False) -> DataFrame:
     """key, dig, ranges: (reach, lo, hi) for window starts [lo, hi) of each document whose next `reach` units occur elsewhere too.
 
     reach is length and, if another one is given, floor. first_stays: only those that occur earlier, by (doc_id, text hash, place).
+    sifted: `wanted` lets few anchors through that occur once; counting them all again would move more than it spares.
     """
     floor = floor or length
     every = written(run_table(docs, units, length, k, wanted, floor), "runs")
-    # What is grouped by an anchor is written before it is joined, so that an anchor of any frequency can be split in the join.
-    often = written(every.groupBy("h").agg(F.sum("reps").alias("r")).where("r > 1").select("h"), "repeated-anchors")
-    runs_ = written(every.join(often, "h"), "repeated-runs")
+    runs_ = every
+    if not sifted:
+        # What is grouped by an anchor is written before it is joined, so that an anchor of any frequency can be split in the join.
+        often = written(every.groupBy("h").agg(F.sum("reps").alias("r")).where("r > 1").select("h"), "repeated-anchors")
+        runs_ = written(every.join(often, "h"), "repeated-runs")
     distinct = runs_.groupBy("h", "d").agg(F.sum("reps").alias("count"), F.min(F.struct("key", "dig", "first")).alias("at"), *[F.min(c).alias(c) for c in ("n", "off", "size")])
     distinct = written(distinct, "segments")
     kinds = written(distinct.groupBy("h").agg(F.count("*").alias("kinds")).where("kinds > 1"), "buckets")
     mixed_up = distinct.join(kinds, "h")
-    found = resolved(fetch(docs, mixed_up.where(F.col("kinds") <= most), units), units, length, first_stays, floor)
-    if not kinds.where(F.col("kinds") > most).isEmpty():
-        found = found.unionByName(by_digest(fetch(docs, mixed_up.where(F.col("kinds") > most), units), units, length, first_stays, floor))
+    fits = F.col("kinds") <= most
+    large = not kinds.where(~fits).isEmpty()
+    if wanted is None:
+        found = resolved(fetch(docs, mixed_up.where(fits), units), units, length, first_stays, floor)
+    else:
+        # Cut out in another pass over the texts rather than fetched: no text is shuffled for a few of its segments.
+        n = kinds.where(fits).agg(F.sum("kinds")).first()[0] or 0
+        segments = run_table(docs, units, length, k, wanted, floor, membership(mixed_up.where(fits).select("h", "d", "at.*"), n))
+        if large:  # one in `most` runs at most; what passes by chance must not bring a large bucket into a task
+            segments = segments.join(F.broadcast(kinds.where(~fits).select("h")), "h", "left_anti").select(*SEGMENT.names)
+        found = resolved(segments, units, length, first_stays, floor, ("key", "dig", "first"))
+    if large:
+        found = found.unionByName(by_digest(fetch(docs, mixed_up.where(~fits), units), units, length, first_stays, floor))
     spans = written(found, "spans")
     verdict = distinct.join(spans, ["h", "d"], "left").where("count > 1 OR spans IS NOT NULL").select("h", "d", "count", "at", "spans")
     placed = runs_.select("h", "d", "key", "dig", "first", "n", "size", "reps").join(verdict, ["h", "d"])
@@ -320,14 +344,16 @@ def fetch(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
                 raw = data[ends[i] : ends[i + 1]]
                 _, store, _ = units.split(raw, np.array([0, len(raw)]))
                 out = [{**x, "key": key[i], "dig": dig[i], "segment": units.segment(store, x["first"], x["first"] + x["size"])} for x in asked[i]]
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield pa.RecordBatch.from_pylist(out, SEGMENT)
+
+    return both.mapInArrow(cutout, SEGMENT_SQL)
 
-    schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("off", pa.int32()), ("n", pa.int32()), ("key", pa.int64()), ("dig", pa.int64()), ("first", pa.int64()), ("segment", pa.binary())])
-    return both.mapInArrow(cutout, "h long, d long, off int, n int, key long, dig long, first long, segment binary")
 
+def resolved(fetched: DataFrame, units: Units, length: int, earlier: bool, floor: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """h, d, spans of the segments of buckets that fit a task; each bucket is sorted where it arrives.
 
-def resolved(fetched: DataFrame, units: Units, length: int, earlier: bool, floor: int) -> DataFrame:
-    """h, d, spans of the segments of buckets that fit a task; each bucket is sorted where it arrives."""
+    Of a segment given several times the first one counts, by `order`.
+    """
 
     def run(batches):
         rows: list[dict] = []
@@ -356,7 +382,7 @@ def resolved(fetched: DataFrame, units: Units, length: int, earlier: bool, floor
             yield flush()
 
     schema = pa.schema([("h", pa.int64()), ("d", pa.int64()), ("spans", SPAN)])
-    return fetched.repartition("h").sortWithinPartitions("h").mapInArrow(run, f"h long, d long, spans {SPAN_SQL}")
+    return fetched.repartition("h").sortWithinPartitions("h", *order).mapInArrow(run, f"h long, d long, spans {SPAN_SQL}")
 
 
 def by_digest(fetched: DataFrame, units: Units, length: int, earlier: bool, floor: int) -> DataFrame:

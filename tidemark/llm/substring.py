@@ -1,17 +1,20 @@
 """Substring dedup of 20-word windows behind a count-min prefilter.
 
-First pass: each task counts its windows' anchors (see repeats; equal windows
-have equal anchors) in a count-min sketch, written as the cells it met, block
-by block; the blocks of all tasks are added up. A merged cell is at least the
-count of each anchor in it, and an anchor's count at least that of each of its
+First pass: the anchors of all windows (see repeats; equal windows have equal
+anchors) are counted in a count-min sketch (see sketch). A merged cell is at least
+the count of each anchor in it, and an anchor's count at least that of each of its
 windows, so an estimate below two proves a window unique. Second pass: only
 windows estimated repeated are grouped exactly, by their words.
 
-The merged sketch leaves the cluster as one bit a cell (estimate of two or
-more), DEPTH * 2**bits bits. It is sized by the corpus, some LOAD cells for each
-anchor, up to 2**BITS cells a row: that bounds the broadcast at 64 MB, whatever
-the corpus. Beyond some 4 * 10**8 anchors (20 GB of text) a fuller sketch lets
-more windows through to the exact pass, which settles them all the same.
+The sketch is sized by the corpus, some LOAD cells for each anchor, up to 2**BITS
+cells a row. Beyond some 4 GB of text (CROWDED) it lets many unique windows
+through; their anchors are then counted exactly before anything else is grouped.
+
+Whole texts are shuffled only where they lose something. A Bloom filter of the
+segments to compare says which ones a third pass cuts out where it reads them; one
+of the documents with repeated windows says which texts meet their ranges. What
+passes a filter by chance is a segment met by no other, a later place of one that
+stands earlier too, or a text that finds no ranges.
 
 Words are told apart by 64-bit hashes. A word goes if a window over it also
 starts earlier: in a smaller doc_id, or in the same document before.
@@ -26,7 +29,6 @@ doc_id counts as the least; no rows give no rows; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.bytewords import words
-from tidemark.llm.common import mixed, slabs, table, utf8_column
-from tidemark.llm.repeats import MOST, SLAB, Units, covered, identified, pieces, repeated_ranges, runs
+from tidemark.llm.common import slabs, table, utf8_column
+from tidemark.llm.repeats import MOST, SLAB, Units, covered, identified, pieces, repeated_ranges, runs, written
+from tidemark.llm.sketch import CELLS_SQL, LEAST_BITS, all_set, cells, membership, packed, sized
 
 WINDOW, ANCHOR = 20, 6
-#: Cells of a row are 2**LEAST_BITS to 2**BITS, by the corpus: LOAD for each anchor, of which a text has one in some ANCHOR_BYTES.
-LEAST_BITS, BITS, DEPTH, LOAD, ANCHOR_BYTES = 20, 28, 2, 8, 48
-FLUSH = 1 << 21
+#: A text has an anchor in some so many bytes.
+ANCHOR_BYTES = 48
+#: Anchors a cell beyond which the sketch lets so many unique ones through that anchors are grouped exactly first.
+CROWDED = 0.3
 
 
 def split(data: np.ndarray, ends: np.ndarray):
@@ -52,98 +56,47 @@ def split(data: np.ndarray, ends: np.ndarray):
 WORDS = Units(split, np.uint64)
 
 
-def sized(docs: DataFrame) -> int:
-    """Bits that number the cells of a sketch of these documents."""
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return min(BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, LOAD * size / ANCHOR_BYTES)))))
-
-
-def cell(h: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mixed(h ^ np.uint64(0x5851F42D4C957F2D * (row + 1) % (1 << 64))) >> np.uint64(64 - bits)).astype(np.int64)
-
+def anchors_of(docs: DataFrame) -> float:
+    """Some number of anchors in these documents, by their bytes."""
+    return (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / ANCHOR_BYTES
 
-def partial_sketches(docs: DataFrame, window: int, anchor: int, bits: int) -> DataFrame:
-    """row, block, cells: what each task's windows add to each block of 65,536 cells (two-byte cell numbers)."""
-    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("cells", pa.binary())])
 
-    def run(batches):
-        held, size = [], 0
-
-        def flush():
-            h = np.concatenate(held)
-            for row in range(DEPTH):
-                c = np.sort(cell(h, row, bits))
-                # Counts beyond two say nothing more: a third equal cell goes.
-                c = c[np.concatenate((np.ones(min(2, len(c)), bool), c[2:] != c[:-2]))]
-                block = c >> 16
-                s = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-                low = (c & 65535).astype(np.uint16)
-                parts = [low[a:b].tobytes() for a, b in zip(s.tolist(), [*s[1:].tolist(), len(c)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), row, np.int32)), pa.array(block[s].astype(np.int32)), pa.array(parts, pa.binary())], schema=schema)
+def merged_sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = LEAST_BITS) -> list[np.ndarray]:
+    """For each row of the sketch of the windows' anchors, a packed bit per cell: whether the merged count is two or more."""
 
+    def anchors(batches):
         for b in batches:
             data, ends = utf8_column(b, "text")
             for first, last in slabs(ends, SLAB):
                 h, _, bounds = split(data[ends[first] : ends[last]], ends[first : last + 1] - ends[first])
                 for _, lo, hi, e in pieces(bounds, SLAB, window):
-                    got = runs(h[lo:hi], e, window, anchor)[3]
-                    held.append(got)
-                    size += len(got)
-                if size >= FLUSH:
-                    yield from flush()
-                    held, size = [], 0
-        if size:
-            yield from flush()
+                    yield runs(h[lo:hi], e, window, anchor)[3]
 
-    return docs.select("text").mapInArrow(run, "row int, block int, cells binary")
-
-
-def merged_sketch(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int = LEAST_BITS) -> list[np.ndarray]:
-    """For each row of the sketch, a packed bit per cell: whether the merged count is two or more."""
-
-    def add(batches):
-        at, total = None, None
-
-        def done():
-            return {"row": at[0], "block": at[1], "bits": np.packbits(total > 1, bitorder="little").tobytes()}
-
-        for b in batches:
-            out = []
-            for row, block, cells in zip(*(b.column(c).to_pylist() for c in ("row", "block", "cells")), strict=True):
-                if at != (row, block):
-                    if at is not None:
-                        out.append(done())
-                    at, total = (row, block), np.zeros(65536, np.uint8)
-                more = np.minimum(np.bincount(np.frombuffer(cells, np.uint16), minlength=65536), 2).astype(np.uint8)
-                total = np.minimum(total + more, 2)
-            if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
-        if at is not None:
-            yield pa.RecordBatch.from_pylist([done()], schema)
-
-    schema = pa.schema([("row", pa.int32()), ("block", pa.int32()), ("bits", pa.binary())])
-    parts = partial_sketches(docs, window, anchor, bits).repartition("row", "block").sortWithinPartitions("row", "block")
-    sketch = [np.zeros(1 << bits - 3, np.uint8) for _ in range(DEPTH)]
-    for r in parts.mapInArrow(add, "row int, block int, bits binary").collect():  # DEPTH * 2**bits bits
-        sketch[r["row"]][r["block"] << 13 : (r["block"] + 1) << 13] = np.frombuffer(r["bits"], np.uint8)
-    return sketch
+    # Counts beyond two say nothing more: a third equal cell of a task goes.
+    parts = docs.select("text").mapInArrow(lambda batches: cells(anchors(batches), bits, 2), CELLS_SQL)
+    return packed(parts, bits, 2)
 
 
 def estimated_repeated(sketch: list[np.ndarray], h: np.ndarray, bits: int) -> np.ndarray:
-    keep = np.ones(len(h), bool)
-    for row, packed in enumerate(sketch):
-        c = cell(h, row, bits)
-        keep &= (packed[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
-    return keep
+    return all_set(sketch, h, bits)
 
 
 def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bits: int | None = None, most: int = MOST) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every row; bits: the sketch's size, else by the corpus."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    bits = bits or sized(docs)
+    anchors = anchors_of(docs)
+    bits = bits or sized(anchors)
     sketch = docs.sparkSession.sparkContext.broadcast(merged_sketch(docs, window, anchor, bits))
     d = identified(docs)
-    found = repeated_ranges(d.select("key", "dig", "text"), WORDS, window, anchor, True, lambda h: estimated_repeated(sketch.value, h, bits), most)
+    wanted = lambda h: estimated_repeated(sketch.value, h, bits)
+    found = written(repeated_ranges(d.select("key", "dig", "text"), WORDS, window, anchor, True, wanted, most, sifted=anchors <= CROWDED * 2**bits), "ranges")
+    touched = membership(found.select("key", "dig"), found.count())
+
+    @F.pandas_udf("boolean")
+    def may_lose(key, dig):
+        import pandas as pd
+
+        return pd.Series(touched(key.to_numpy(), dig.to_numpy()))
 
     def run(batches):
         for b in batches:
@@ -169,7 +122,11 @@ def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             yield pa.RecordBatch.from_pydict(out, schema)
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    return d.join(found, ["key", "dig"], "left").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    # Texts that lose nothing are reported where they are read; only the others meet their ranges.
+    d = d.withColumn("may_lose", may_lose("key", "dig"))
+    whole = d.where("NOT may_lose").withColumn("ranges", F.lit(None).cast(found.schema["ranges"].dataType))
+    both = d.where("may_lose").join(found, ["key", "dig"], "left").unionByName(whole)
+    return both.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
