@@ -92,11 +92,12 @@ def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     found = written(repeated_ranges(d.select("key", "dig", "text"), WORDS, window, anchor, True, wanted, most, sifted=anchors <= CROWDED * 2**bits), "ranges")
     touched = membership(found.select("key", "dig"), found.count())
 
-    @F.pandas_udf("boolean")
-    def may_lose(key, dig):
-        import pandas as pd
-
-        return pd.Series(touched(key.to_numpy(), dig.to_numpy()))
+    def sieve(batches, lose: bool):
+        """The rows that may lose words, or the others."""
+        for b in batches:
+            may = touched(*(b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "dig")))
+            if (may == lose).any():
+                yield b.filter(pa.array(may == lose))
 
     def run(batches):
         for b in batches:
@@ -123,10 +124,10 @@ def removal_report(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
     # Texts that lose nothing are reported where they are read; only the others meet their ranges.
-    d = d.withColumn("may_lose", may_lose("key", "dig"))
-    whole = d.where("NOT may_lose").withColumn("ranges", F.lit(None).cast(found.schema["ranges"].dataType))
-    both = d.where("may_lose").join(found, ["key", "dig"], "left").unionByName(whole)
-    return both.select("doc_id", "text", "ranges").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    d, result = d.select("key", "dig", "doc_id", "text"), "doc_id long, n_words long, n_removed long, kept_sha256 string"
+    whole = d.withColumn("ranges", F.lit(None).cast(found.schema["ranges"].dataType)).mapInArrow(lambda batches: run(sieve(batches, False)), result)
+    met = d.mapInArrow(lambda batches: sieve(batches, True), "key long, dig long, doc_id long, text string").join(found, ["key", "dig"], "left")
+    return met.select("doc_id", "text", "ranges").mapInArrow(run, result).unionByName(whole)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
